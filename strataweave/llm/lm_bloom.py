@@ -7,12 +7,13 @@ are lower-cased words and an end; probabilities are smoothed recursively,
 
     p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 
-with k chosen from a grid by leave-one-out likelihood on a bounded sample of training texts.
+with k chosen from a grid by leave-one-out likelihood on a bounded sample of training texts. Unigram
+counts enter p quantised too (finely), and exactly into the base score.
 
 The counts, and so the filter, grow with the corpus. Filter and unigram table are cut into segments by the
-hash's leading bits. Segments are broadcast only up to ``max_broadcast_mb`` at a time; a model above it
-is read in several passes over the texts, each with its own segments, and the passes' counts
-are added before scoring, so that results do not depend on the bound.
+hash's leading bits. Segments are broadcast only up to ``max_broadcast_mb`` at a time (by default a
+twelfth of the driver's memory); a model above it is read in several passes over the texts, each with its
+own segments, and the passes' levels are joined before scoring, so that results do not depend on the bound.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, megabytes
 from .hash_counts import bits_for, merged, runs
 from .tokens import mix, slices, words
 
@@ -41,7 +42,8 @@ class Settings:
     log_base: float = 1.5
     bits_per_entry: int = 12
     probes: int = 5
-    max_broadcast_mb: int = 256
+    unigram_base: float = 1.1
+    max_broadcast_mb: int | None = None
     tuning_texts: int = 300
 
 
@@ -135,6 +137,7 @@ class Part:
     """Some segments, as tasks read them."""
 
     bits: int
+    owned: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
     cells: np.ndarray
@@ -174,92 +177,115 @@ class BloomModel:
         rows = segments.select("bucket", "types", "tokens", "levels", "size").collect()  # a row a bucket: 2**16 at most
         self.types, self.tokens = sum(r.types for r in rows), sum(r.tokens for r in rows)
         self.levels = max([0, *(r.levels for r in rows)])
+        bound = settings.max_broadcast_mb or max(16, megabytes(segments.sparkSession.conf.get("spark.driver.memory", "1g")) // 12)
         self.passes: list[list[int]] = [[]]
         held = 0
         for r in sorted(rows, key=lambda r: r.bucket):
-            if self.passes[-1] and held + r.size > settings.max_broadcast_mb << 20:
+            if self.passes[-1] and held + r.size > bound << 20:
                 self.passes.append([])
                 held = 0
             self.passes[-1].append(r.bucket)
             held += r.size
         self.smoothing = GRID[len(GRID) // 2]
-
-    def _part(self, buckets: list[int]) -> Part:
-        rows = sorted(self.segments.filter(F.col("bucket").isin(buckets)).select("bucket", "keys", "counts", "cells").collect()) if buckets else []
+        self.texts = 0
+
+    def _part(self, number: int) -> Part:
+        """The segments of a pass; the first also answers for buckets without any."""
+        owner = np.zeros(1 << self.bits, np.int64)
+        for i, buckets in enumerate(self.passes):
+            owner[buckets] = i
+        buckets, got = self.passes[number], []
+        for i in range(0, len(buckets), 64):
+            got += self.segments.filter(F.col("bucket").isin(buckets[i : i + 64])).select("bucket", "keys", "counts", "cells").collect()
         start, length, at = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, _U), 0
-        for r in rows:
+        got.sort(key=lambda r: r.bucket)
+        for r in got:
             start[r.bucket], length[r.bucket] = at, len(r.cells) // 8
             at += len(r.cells) // 8
-        whole = lambda column, kind: np.frombuffer(b"".join(r[column] for r in rows), kind)
-        return Part(self.bits, whole("keys", _U), whole("counts", np.int64), whole("cells", _U), start, length, self.levels, self.settings.probes)
-
-    def _read(self, texts: DataFrame, finish: Callable, schema: str) -> DataFrame:
-        """``finish`` applied to each batch with the counts of its texts' tokens: columns, text bounds, counts, levels."""
-        order, sc = self.settings.order, texts.sparkSession.sparkContext
-
-        def looked_up(part: Part, batch: pa.RecordBatch):
-            items, text, bounds = _sequences(batch.column("text"))
-            grams = [part.grams(*_grams(items, text, k)) for k in range(2, order + 1)]
-            return bounds, part.unigrams(items), grams
+        whole = lambda column, kind: np.frombuffer(b"".join(r[column] for r in got), kind)
+        return Part(self.bits, owner == number, whole("keys", _U), whole("counts", np.int64), whole("cells", _U), start, length, self.levels, self.settings.probes)
+
+    def _read(self, texts: DataFrame, columns: list[str], finish: Callable, schema: str) -> DataFrame:
+        """``finish`` applied to each batch with what the model has of its texts: bounds, known, base, levels by order."""
+        settings, sc = self.settings, texts.sparkSession.sparkContext
+        low, types, tokens = 0.1, self.types, self.tokens
+
+        def looked_up(part: Part, column: pa.Array):
+            items, text, bounds = _sequences(column)
+            counts = part.unigrams(items)
+            own = part.owned[(items >> _U(64 - part.bits)).astype(np.int64)]
+            own[bounds[:-1]] = False  # a begin is no token
+            levels = [np.where(counts > 0, quantised(np.maximum(counts, 1), settings.unigram_base), 0).astype(np.uint8)]
+            levels += [part.grams(*_grams(items, text, k)) for k in range(2, settings.order + 1)]
+            log = np.where(own, np.log10((counts + low) / (tokens + low * (types + 1))), 0.0) if types else np.zeros(len(items))
+            sums = lambda a: np.add.reduceat(a, bounds[:-1]) if len(bounds) > 1 else a[:0]
+            return bounds, sums((own & (counts > 0)).astype(np.int64)), sums(log), levels
 
         if len(self.passes) == 1:
-            shared = sc.broadcast(self._part(self.passes[0]))
+            shared = sc.broadcast(self._part(0))
 
             def one(batches):
                 for whole in batches:
                     for batch in slices(whole, "text"):
-                        yield finish(batch, *looked_up(shared.value, batch))
+                        yield finish(batch, *looked_up(shared.value, batch.column("text")))
 
             return texts.mapInArrow(one, schema)
 
-        # Several passes: counts of each are written a text; every hash is in one pass, so sums are whole.
-        # Scores depend on the text alone, and one reading serves all rows of the same text.
+        # Levels of each pass are written a text. Each hash is in one pass, so sums over passes are whole.
+        # They depend on the text alone: rows are keyed by its digest, and equal texts share one reading.
+        names = [f"l{k}" for k in range(1, settings.order + 1)]
         keyed = texts.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-        distinct = keyed.groupBy("key").agg(F.first("text").alias("text"))
-        parts = []
-        for buckets in self.passes:
-            shared = sc.broadcast(self._part(buckets))
+        passes = []
+        for number in range(len(self.passes)):
+            shared = sc.broadcast(self._part(number))
 
-            def some(batches, shared=shared):
+            def some(batches, shared=shared, number=number):
                 for whole in batches:
                     for batch in slices(whole, "text"):
-                        bounds, unigrams, grams = looked_up(shared.value, batch)
+                        bounds, known, base, levels = looked_up(shared.value, batch.column("text"))
                         cut = lambda a: [a[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cut(unigrams), pa.binary()), *(pa.array(cut(g), pa.binary()) for g in grams)], ["key", "c1", *(f"c{k}" for k in range(2, order + 1))])
-
-            parts.append(materialize(distinct.mapInArrow(some, "key string, c1 binary" + "".join(f", c{k} binary" for k in range(2, order + 1))), "lm-pass"))
-        joined = keyed.drop("text")
-        for i, part in enumerate(parts):
-            joined = joined.join(part.toDF("key", *(f"p{i}_{c}" for c in part.columns[1:])), "key")
-        n = len(parts)
+                        yield pa.RecordBatch.from_arrays([
+                            batch.column("key"), pa.array(np.full(len(known), number), pa.int32()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                            *(pa.array(cut(a), pa.binary()) for a in levels),
+                        ], ["key", "pass", "known", "base", *names])
+
+            kinds = "key string, pass int, known long, base double" + "".join(f", {c} binary" for c in names)
+            passes.append(materialize(keyed.select("key", "text").mapInArrow(some, kinds), "lm-pass"))
+            shared.unpersist()
+        union = passes[0]
+        for other in passes[1:]:
+            union = union.union(other)
+        union = union.groupBy("key", "pass").agg(F.first(F.struct("known", "base", *names)).alias("got"))
+        gathered = union.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "got"))).alias("passes"))
 
         def every(batches):
             for batch in batches:
-                def total(column: str, kind):
-                    got = [b"".join(batch.column(f"p{i}_{column}").to_pylist()) for i in range(n)]
-                    return sum(np.frombuffer(g, kind) for g in got)
-
-                lengths = [len(x) // 8 for x in batch.column("p0_c1").to_pylist()]
-                yield finish(batch, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), total("c1", np.int64), [total(f"c{k}", np.uint8) for k in range(2, order + 1)])
+                rows = [[p["got"] for p in row] for row in batch.column("passes").to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(r[0]["l1"]) for r in rows])]).astype(np.int64)
+                levels = [sum(np.frombuffer(b"".join(r[i][c] for r in rows), np.uint8) for i in range(len(self_passes))) for c in names]
+                yield finish(batch, bounds, np.array([sum(p["known"] for p in r) for r in rows], np.int64), np.array([sum(p["base"] for p in r) for r in rows], float), levels)
 
-        return joined.mapInArrow(every, schema)
+        self_passes = list(self.passes)
+        results = gathered.join(keyed.select(*columns, "key"), "key") if columns else gathered.join(keyed.select("key"), "key")
+        return results.mapInArrow(every, schema)
 
     def _log_probabilities(self) -> Callable:
-        """log10 of each item's probability and of its unigram probability; ``less`` 1 leaves the item itself out."""
-        values, low, types, tokens = level_counts(self.levels, self.settings.log_base), 0.1, self.types, self.tokens
-
-        def compute(bounds, unigrams, grams, smoothing: float, texts: int, less: int = 0):
-            c1 = np.maximum(unigrams - less, 0)
-            base = (c1 + low) / (tokens + low * (types + 1)) if types else np.full(len(c1), 1.0)
-            p, history = base, np.concatenate([[0], unigrams[:-1]]).astype(float)
+        """log10 of each item's probability, and which items are tokens; ``less`` 1 leaves the item itself out."""
+        s, low, types, tokens, top = self.settings, 0.1, self.types, self.tokens, self.levels
+        ones, values = level_counts(255, s.unigram_base), level_counts(top, s.log_base)
+
+        def compute(bounds, levels, smoothing: float, texts: int, less: int = 0):
+            c1 = ones[levels[0]]
+            p = (np.maximum(c1 - less, 0) + low) / (tokens + low * (types + 1)) if types else np.full(len(c1), 1.0)
+            history = np.concatenate([[0.0], c1[:-1]])[: len(c1)]
             history[bounds[:-1] + 1] = texts  # every training text has one begin
-            for level in grams:
+            for level in levels[1:]:
                 c = np.maximum(values[level] - less, 0)
                 p = (c + smoothing * p) / (np.maximum(np.maximum(history - less, 0), c) + smoothing)
-                history = np.concatenate([[0.0], values[level][:-1]])
-            token = np.ones(len(unigrams), bool)
+                history = np.concatenate([[0.0], values[level][:-1]])[: len(level)]
+            token = np.ones(len(c1), bool)
             token[bounds[:-1]] = False
-            return np.log10(p), np.log10(base), token
+            return np.log10(p), token
 
         return compute
 
@@ -267,15 +293,15 @@ class BloomModel:
         """Choose the smoothing by leave-one-out likelihood of a bounded, hash-chosen sample of training texts."""
         compute, self.texts = self._log_probabilities(), texts
 
-        def finish(batch, bounds, unigrams, grams):
+        def finish(batch, bounds, known, base, levels):
             sums = []
             for k in GRID:
-                p, _, token = compute(bounds, unigrams, grams, k, texts, less=1)
+                p, token = compute(bounds, levels, k, texts, less=1)
                 sums.append(float(p[token].sum()))
             return pa.RecordBatch.from_arrays([pa.array(range(len(GRID)), pa.int32()), pa.array(sums, pa.float64())], ["k", "s"])
 
         sample = materialize(training.select("text").orderBy(F.xxhash64("text"), "text").limit(self.settings.tuning_texts), "lm-sample")
-        rows = self._read(sample, finish, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        rows = self._read(sample, [], finish, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
         if rows:
             self.smoothing = GRID[max(rows, key=lambda r: (r.s, -r.k)).k]
 
@@ -283,25 +309,25 @@ class BloomModel:
         """``columns`` of each row (numbers or strings) with n_tokens, n_known, train_tokens, base_score, score."""
         compute, smoothing, count, tokens = self._log_probabilities(), self.smoothing, self.texts, self.tokens
 
-        def finish(batch, bounds, unigrams, grams):
-            p, base, token = compute(bounds, unigrams, grams, smoothing, count)
-            sums = lambda a: np.add.reduceat(np.where(token, a, 0), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+        def finish(batch, bounds, known, base, levels):
+            p, token = compute(bounds, levels, smoothing, count)
+            total = np.add.reduceat(np.where(token, p, 0.0), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
             return pa.RecordBatch.from_arrays([
                 *(batch.column(c) for c in columns), pa.array(np.diff(bounds) - 1, pa.int64()),
-                pa.array(sums(unigrams > 0).astype(np.int64), pa.int64()), pa.array(np.full(len(bounds) - 1, tokens), pa.int64()),
-                pa.array(sums(base), pa.float64()), pa.array(sums(p), pa.float64()),
+                pa.array(known, pa.int64()), pa.array(np.full(len(bounds) - 1, tokens), pa.int64()),
+                pa.array(base, pa.float64()), pa.array(total, pa.float64()),
             ], [*columns, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         chosen = texts.select(*columns, "text")
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-        return self._read(chosen, finish, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return self._read(chosen, columns, finish, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def fit(training: DataFrame, settings: Settings = Settings()) -> BloomModel:
     """Count the n-grams of ``training.text`` (null: empty) and build the filter. An empty table gives an empty model."""
     training = training.select("text")
     figures = training.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    order, bits = settings.order, bits_for((figures.b or 0) / 6 * settings.order)
+    order, bits = settings.order, bits_for((figures.b or 0) / 6 * settings.order, 4_000_000)
 
     def hashes(whole):
         for batch in slices(whole, "text"):
