@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def megabytes(size: str) -> int:
+    """MB of a size as Spark's settings give it, such as 750m or 8g."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", size.lower()).groups()
+    return int(int(number) * {"k": 1 / 1024, "": 1 / (1 << 20), "m": 1, "g": 1024, "t": 1 << 20}[unit])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package where they would not find it on their own path."""
     root = Path(__file__).resolve().parent
