@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_bloom, mixing, ngram_jaccard, packing, quality_gam
+from . import chat_format, lm_bloom, mixing, ngram_jaccard, packing, quality_gam
 from .lm_bloom import held_out
 
 
@@ -23,6 +23,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.windows(conversations.unionByName(chat_format.planted(spark))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
@@ -38,7 +43,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = (op1_lm_bloom, op3_ngram_jaccard, op6_packing, op9_mixing, op10_quality_gam)
+_QUERIES = (op1_lm_bloom, op3_ngram_jaccard, op4_chat_format, op6_packing, op9_mixing, op10_quality_gam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
