@@ -12,7 +12,7 @@ counts enter p quantised too (finely), and exactly into the base score.
 
 The counts, and so the filter, grow with the corpus. Filter and unigram table are cut into segments by the
 hash's leading bits. Segments are broadcast only up to ``max_broadcast_mb`` at a time (by default a
-twelfth of the driver's memory); a model above it is read in several passes over the texts, each with its
+sixth of the driver's memory); a model above it is read in several passes over the texts, each with its
 own segments, and the passes' levels are joined before scoring, so that results do not depend on the bound.
 """
 
@@ -40,8 +40,8 @@ _U = np.uint64
 class Settings:
     order: int = 2
     log_base: float = 1.5
-    bits_per_entry: int = 12
-    probes: int = 5
+    bits_per_entry: int = 10
+    probes: int = 4
     unigram_base: float = 1.1
     max_broadcast_mb: int | None = None
     tuning_texts: int = 300
@@ -121,9 +121,9 @@ def _segment(settings: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
         place, bits = _places(keys, _U(len(cells)), settings.probes)
         np.bitwise_or.at(cells, place.astype(np.int64), bits)
         return pd.DataFrame({
-            "bucket": [int(group["bucket"].iloc[0])], "keys": [unigrams.tobytes()], "counts": [counts.tobytes()],
+            "bucket": [int(group["bucket"].iloc[0])], "keys": [unigrams.tobytes()], "counts": [counts.astype(np.uint32).tobytes()],
             "cells": [cells.tobytes()], "types": [len(unigrams)], "tokens": [int(counts.sum())],
-            "levels": [top], "size": [16 * len(unigrams) + 8 * len(cells)],
+            "levels": [top], "size": [12 * len(unigrams) + 8 * len(cells)],
         })
 
     return build
@@ -177,7 +177,7 @@ class BloomModel:
         rows = segments.select("bucket", "types", "tokens", "levels", "size").collect()  # a row a bucket: 2**16 at most
         self.types, self.tokens = sum(r.types for r in rows), sum(r.tokens for r in rows)
         self.levels = max([0, *(r.levels for r in rows)])
-        bound = settings.max_broadcast_mb or max(16, megabytes(segments.sparkSession.conf.get("spark.driver.memory", "1g")) // 12)
+        bound = settings.max_broadcast_mb or max(16, megabytes(segments.sparkSession.conf.get("spark.driver.memory", "1g")) // 6)
         self.passes: list[list[int]] = [[]]
         held = 0
         for r in sorted(rows, key=lambda r: r.bucket):
@@ -194,16 +194,17 @@ class BloomModel:
         owner = np.zeros(1 << self.bits, np.int64)
         for i, buckets in enumerate(self.passes):
             owner[buckets] = i
-        buckets, got = self.passes[number], []
-        for i in range(0, len(buckets), 64):
-            got += self.segments.filter(F.col("bucket").isin(buckets[i : i + 64])).select("bucket", "keys", "counts", "cells").collect()
-        start, length, at = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, _U), 0
-        got.sort(key=lambda r: r.bucket)
-        for r in got:
-            start[r.bucket], length[r.bucket] = at, len(r.cells) // 8
-            at += len(r.cells) // 8
-        whole = lambda column, kind: np.frombuffer(b"".join(r[column] for r in got), kind)
-        return Part(self.bits, owner == number, whole("keys", _U), whole("counts", np.int64), whole("cells", _U), start, length, self.levels, self.settings.probes)
+        buckets = sorted(self.passes[number])
+        start, length = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, _U)
+        whole = {"keys": bytearray(), "counts": bytearray(), "cells": bytearray()}
+        for i in range(0, len(buckets), 8):  # a few at a time, so that the driver holds one copy
+            rows = self.segments.filter(F.col("bucket").isin(buckets[i : i + 8])).select("bucket", *whole).collect()
+            for r in sorted(rows, key=lambda r: r.bucket):
+                start[r.bucket], length[r.bucket] = len(whole["cells"]) // 8, len(r.cells) // 8
+                for column, held in whole.items():
+                    held += r[column]
+        keys, counts, cells = (np.frombuffer(whole[c], kind) for c, kind in (("keys", _U), ("counts", np.uint32), ("cells", _U)))
+        return Part(self.bits, owner == number, keys, counts, cells, start, length, self.levels, self.settings.probes)
 
     def _read(self, texts: DataFrame, columns: list[str], finish: Callable, schema: str) -> DataFrame:
         """``finish`` applied to each batch with what the model has of its texts: bounds, known, base, levels by order."""
@@ -255,17 +256,18 @@ class BloomModel:
         union = passes[0]
         for other in passes[1:]:
             union = union.union(other)
-        union = union.groupBy("key", "pass").agg(F.first(F.struct("known", "base", *names)).alias("got"))
-        gathered = union.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "got"))).alias("passes"))
+        one = [F.first(F.when(F.col("pass") == i, F.struct("known", "base", *names)), ignorenulls=True).alias(f"p{i}") for i in range(len(passes))]
+        gathered = union.groupBy("key").agg(*one)
+
+        count = len(passes)
 
         def every(batches):
             for batch in batches:
-                rows = [[p["got"] for p in row] for row in batch.column("passes").to_pylist()]
+                rows = list(zip(*(batch.column(f"p{i}").to_pylist() for i in range(count)), strict=True))
                 bounds = np.concatenate([[0], np.cumsum([len(r[0]["l1"]) for r in rows])]).astype(np.int64)
-                levels = [sum(np.frombuffer(b"".join(r[i][c] for r in rows), np.uint8) for i in range(len(self_passes))) for c in names]
+                levels = [sum(np.frombuffer(b"".join(r[i][c] for r in rows), np.uint8) for i in range(count)) for c in names]
                 yield finish(batch, bounds, np.array([sum(p["known"] for p in r) for r in rows], np.int64), np.array([sum(p["base"] for p in r) for r in rows], float), levels)
 
-        self_passes = list(self.passes)
         results = gathered.join(keyed.select(*columns, "key"), "key") if columns else gathered.join(keyed.select("key"), "key")
         return results.mapInArrow(every, schema)
 

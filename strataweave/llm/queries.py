@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_bloom, mixing, ngram_jaccard, packing, quality_gam
+from . import chat_format, cover_tree, lm_bloom, mixing, ngram_jaccard, packing, quality_gam, rp_forest
 from .lm_bloom import held_out
 
 
@@ -32,6 +32,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -43,7 +51,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = (op1_lm_bloom, op3_ngram_jaccard, op4_chat_format, op6_packing, op9_mixing, op10_quality_gam)
+_QUERIES = (op1_lm_bloom, op3_ngram_jaccard, op4_chat_format, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
