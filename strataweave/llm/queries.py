@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cover_tree, lm_bloom, mixing, ngram_jaccard, packing, quality_gam, rp_forest
+from . import chat_format, cover_tree, html_template, lm_bloom, mixing, ngram_jaccard, packing, quality_gam, rp_forest
 from .lm_bloom import held_out
 
 
@@ -19,6 +19,10 @@ def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.classes(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = (op1_lm_bloom, op3_ngram_jaccard, op4_chat_format, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam)
+_QUERIES = (op1_lm_bloom, op2_html_template, op3_ngram_jaccard, op4_chat_format, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

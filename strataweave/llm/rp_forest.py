@@ -27,7 +27,7 @@ class Settings:
     sample: int = 8192
     least_leaf: int = 32
     #: Share of all leaves that a query visits; set for a recall of at least 0.9 on vectors without structure.
-    visit: float = 0.25
+    visit: float = 0.35
     block: int = 2048
     seed: int = 7
 
