@@ -7,6 +7,9 @@ verification. Heavy sets scan inverted lists: with the elements in one global or
 linked sets share an element among their first n - ceil(t n) + 1, so only those positions are listed. The
 boundary is the size at which the summed cost of both ways is least for the sizes at hand.
 
+Candidates are compared by their parity signatures first: the sets' shingles are counted modulo 2 in 512 places, and two
+sets differ in at least as many shingles as their signatures do in places. What that bound leaves is verified exactly.
+
 The result is each document's class: no pairs are expanded. Equal sets are one node from the start. A list
 of heavy candidates is checked against one hub at first, then only its members that are still in another
 component than its majority are compared on, so a group of n near copies costs about n verifications, and no link
@@ -46,6 +49,8 @@ class Settings:
     max_light: int = 64
     #: Compare all remaining members at once if that makes no more rows than this many times the listed ones.
     residual_factor: float = 4.0
+    #: Nodes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle.
+    broadcast_nodes: int = 1_000_000
 
 
 def shared_least(n: int, m: int, s: Settings) -> int:
@@ -94,6 +99,24 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+PLACES = 512
+SIGNATURE = [f"p{i}" for i in range(PLACES // 64)]
+
+
+def _signature(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in each place, as 64-bit integers."""
+    places = (mix(shingles + _U(0x51)) >> _U(64 - 9)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=PLACES).astype(np.uint8) & 1).view(np.int64)
+
+
+def _may_link(a: str, b: str, s: Settings) -> str:
+    """SQL: sizes and signatures of the rows aliased a and b allow a link."""
+    total = f"({a}.n + {b}.n)"
+    least = f"(({s.numerator} * {total} + {s.numerator + s.denominator - 1}) div {s.numerator + s.denominator})"
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in SIGNATURE)
+    return f"{s.denominator} * least({a}.n, {b}.n) >= {s.numerator} * greatest({a}.n, {b}.n) and {differ} <= {total} - 2 * {least}"
+
+
 def _subset_keys(shingles: np.ndarray, s: Settings):
     """(key, least, most size) for each enumerated subset; the key also tells the two sizes."""
     n = len(shingles)
@@ -146,11 +169,25 @@ def _rare_first(shingles: np.ndarray, hint: tuple[np.ndarray, np.ndarray], n: in
     return shingles[:n]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity."""
+def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity; reads the texts of those nodes."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(nodes.join(described.groupBy("node").agg(F.min("doc_id").alias("wanted_id")), "node"), "nj-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= s.broadcast_nodes else wanted
+
+    def content(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = shingle_sets(batch.column("text"), s.words)
+                own = [_node(x) if len(x) else None for x in sets]
+                same = pa.array([x == y for x, y in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"]).filter(same)
+
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("text", "node")
+    sets = materialize(texts.mapInArrow(content, "node long, shingles binary"), "nj-sets").dropDuplicates(["node"])
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
-    def task(batches):
+    def compare(batches):
         for whole in batches:
             for batch in slices(whole, "sb", 16 << 20):
                 keep = []
@@ -160,43 +197,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                     keep.append(s.denominator * both >= s.numerator * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(task, "b long, a long").select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    return materialize(joined.mapInArrow(compare, "a long, b long"), "nj-links")
 
 
-def _heavy_links(lists: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Links that, with their closure, are all links among the members (element, node, n) of inverted lists."""
-    fits = F.expr(f"{s.denominator} * least(n, m) >= {s.numerator} * greatest(n, m)")
-    hubs = lists.groupBy("element").agg(F.min(F.struct("node", "n")).alias("hub"))
-    near = lists.join(hubs, "element").select("element", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"))
-    pairs = near.filter(fits & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialize(pairs, "nj-tried")
-    links = materialize(_verified(tried, sets, s), "nj-links")
-    used = materialize(hubs.select("element", F.col("hub.node").alias("node")), "nj-hubs")
+def _heavy_links(lists: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
+    """Links that, with their closure, are all links among the members (element, node, n, signature) of inverted lists."""
+    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    hubs = lists.groupBy("element").agg(F.min(F.struct("node", "n", *SIGNATURE)).alias("hub")).select("element", "hub.*")
+    near = lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}"))
+    tried = materialize(near.select(*ends).distinct(), "nj-tried")
+    links = _verified(tried, docs, described, s)
+    used = materialize(hubs.select("element", "node"), "nj-hubs")
     rows = lists.count()
     while True:
         found = components(links)
         joined = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         members = joined.groupBy("element", "component").count()
         major = members.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("length"), F.count("*").alias("parts")).filter("parts > 1")
-        open_ = joined.join(major, "element")
         # Who is neither in the list's largest component nor has been its hub has still to meet the others.
-        minor = materialize(open_.filter("component <> major").join(used, ["element", "node"], "left_anti"), "nj-minor")
+        minor = joined.join(major, "element").filter("component <> major").join(used, ["element", "node"], "left_anti")
+        minor = materialize(minor.select("element", "node", "n", *SIGNATURE, "component", "length"), "nj-minor")
         cost = minor.agg(F.sum("length")).first()[0] or 0
         if not cost:
             return links
         last = cost <= s.residual_factor * rows + 1_000_000
         if not last:  # one more hub a list, chosen by hash so that lists of one group take different ones
-            minor = minor.groupBy("element").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "element")).alias("h")).select("element", "h.*")
+            one = F.min_by(F.struct("node", "n", *SIGNATURE, "component"), F.xxhash64("node", "element"))
+            minor = materialize(minor.groupBy("element").agg(one.alias("h")).select("element", "h.*"), "nj-minor")
             used = materialize(used.union(minor.select("element", "node")), "nj-hubs")
-        others = minor.select("element", F.col("node").alias("x"), F.col("n").alias("m"), F.col("component").alias("own"))
-        pairs = joined.join(others, "element").filter(fits & (F.col("component") != F.col("own")))
-        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "nj-tried")
-        more = _verified(pairs, sets, s)
-        links = materialize(links.union(more), "nj-links")
+        near = joined.alias("x").join(minor.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
+        pairs = materialize(near.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
+        if pairs.limit(1).count():
+            links = materialize(links.union(_verified(pairs, docs, described, s)), "nj-links")
+            tried = tried.union(pairs)
         if last:
             return links
-        tried = tried.union(pairs)
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -222,11 +258,13 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), s.words)
+                signatures = np.array([_signature(x) for x in sets]).reshape(len(sets), len(SIGNATURE))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) if len(x) else None for x in sets], pa.int64()),
-                ], ["doc_id", "n_shingles", "node"])
+                    *(pa.array(signatures[:, i]) for i in range(len(SIGNATURE))),
+                ], ["doc_id", "n_shingles", "node", *SIGNATURE])
 
-    described = materialize(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "nj-nodes")
+    described = materialize(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long" + "".join(f", {c} long" for c in SIGNATURE)), "nj-nodes")
     sizes = {r.n_shingles: r.n for r in described.filter(f"n_shingles between 1 and {s.max_light}").select("n_shingles", "node").distinct().groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     light = boundary(sizes, s)
     hint = docs.sparkSession.sparkContext.broadcast(_order_hint(docs, described.count(), s))  # at most a third of the sample's shingles
@@ -258,20 +296,14 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
         F.col("node").alias("a"), F.when(F.col("n") == F.col("low"), F.col("large")).otherwise(F.col("small")).alias("b")
     ).filter("a <> b").distinct()
 
-    lists = materialize(emitted.filter("high = 0").select("element", "node", "n"), "nj-heavy")
-    wanted = lists.select("node").distinct().join(described.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("node", "doc_id")
-
-    def content(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = shingle_sets(batch.column("text"), s.words)
-                own = pa.array([_node(x) if len(x) else 0 for x in sets], pa.int64())
-                both = pa.RecordBatch.from_arrays([own, pa.array([x.tobytes() for x in sets], pa.binary()), batch.column("node")], ["node", "shingles", "wanted"])
-                yield both.filter(pa.array([x.as_py() == y.as_py() for x, y in zip(own, batch.column("node"), strict=True)], pa.bool_())).select(["node", "shingles"])
-
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "node")
-    sets = materialize(texts.mapInArrow(content, "node long, shingles binary").dropDuplicates(["node"]), "nj-sets")
-    links = _heavy_links(lists, sets, s).union(light_links)
+    # Heavy: members of fitting size share a band or are in neighbouring ones; who shares none has no partner.
+    band = F.floor(F.log("n") / float(np.log(s.denominator / s.numerator)) + 1e-9)
+    banded = emitted.filter("high = 0").select("element", "node", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    busy = banded.groupBy("element", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("element", "band")
+    lists = banded.join(busy, ["element", "band"]).select("element", "node", "n").distinct()
+    marks = described.groupBy("node").agg(*(F.first(c).alias(c) for c in SIGNATURE))
+    lists = materialize(lists.join(marks, "node"), "nj-heavy")
+    links = _heavy_links(lists, docs, described, s).union(light_links)
     found = components(links)
     return described.join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("class"))
 
