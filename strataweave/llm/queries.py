@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cover_tree, html_template, lm_bloom, mixing, ngram_jaccard, packing, quality_gam, rp_forest
+from . import chat_format, cover_tree, html_template, license_scan, lm_bloom, mixing, ngram_jaccard, packing, quality_gam, rp_forest
 from .lm_bloom import held_out
 
 
@@ -32,6 +32,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(conversations.unionByName(chat_format.planted(spark))))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
@@ -55,7 +61,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = (op1_lm_bloom, op2_html_template, op3_ngram_jaccard, op4_chat_format, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam)
+_QUERIES = (op1_lm_bloom, op2_html_template, op3_ngram_jaccard, op4_chat_format, op5_license_scan, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
