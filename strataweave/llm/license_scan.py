@@ -83,7 +83,7 @@ class Matcher:
             for t, w in weights.items():
                 self.lists.setdefault(t, []).append((i, w / whole))
             left = 1.0  # a line without the strong terms so far reaches at most the root of this
-            for t, w in sorted(weights.items(), key=lambda x: (-self.idf[x[0]], -x[1], x[0])):  # rare ones first
+            for t, w in sorted(weights.items(), key=lambda x: (len(x[0]) < 5, -self.idf[x[0]], -x[1], x[0])):  # long and rare ones first
                 if left < self.threshold**2 - 1e-9:
                     break
                 strong.add(t)
