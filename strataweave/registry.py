@@ -7,13 +7,22 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Modules with QUERIES (key -> callable) and ORACLE (key -> DuckDB SQL).
-MODULES: tuple[str, ...] = ()
+from .plans import fixtures
+
+#: Modules that register queries.
+MODULES: tuple[str, ...] = ("q_flags",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"strataweave.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in import_module(m).QUERIES.items()}
+    _load()
+    return dict(fixtures.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(m).ORACLE.items()}
+    _load()
+    return dict(fixtures.ORACLE)
