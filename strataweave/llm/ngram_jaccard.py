@@ -8,7 +8,8 @@ linked sets share an element among their first n - ceil(t n) + 1, so only those
 boundary is the size at which the summed cost of both ways is least for the sizes at hand.
 
 Candidates are compared by their parity signatures first: the sets' shingles are counted modulo 2 in 512 places, and two
-sets differ in at least as many shingles as their signatures do in places. What that bound leaves is verified exactly.
+sets differ in at least as many shingles as their signatures do in places. Large sets have a second signature of 8192
+places, read only for pairs that the first one leaves. What is left then is verified exactly, on the texts.
 
 The result is each document's class: no pairs are expanded. Equal sets are one node from the start. A list
 of heavy candidates is checked against one hub at first, then only its members that are still in another
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .components import components
 from .hash_counts import bits_for, merged, runs
 from .tokens import mix, ngrams, slices, words
@@ -99,7 +100,7 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-PLACES = 512
+PLACES, WIDE_PLACES, WIDE_FROM = 512, 8192, 700
 SIGNATURE = [f"p{i}" for i in range(PLACES // 64)]
 
 
@@ -109,6 +110,14 @@ def _signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(places, minlength=PLACES).astype(np.uint8) & 1).view(np.int64)
 
 
+def _wide(shingles: np.ndarray) -> bytes | None:
+    """The same for large sets, as bytes."""
+    if len(shingles) < WIDE_FROM:
+        return None
+    places = (mix(shingles + _U(0x77)) >> _U(64 - 13)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=WIDE_PLACES).astype(np.uint8) & 1).tobytes()
+
+
 def _may_link(a: str, b: str, s: Settings) -> str:
     """SQL: sizes and signatures of the rows aliased a and b allow a link."""
     total = f"({a}.n + {b}.n)"
@@ -171,33 +180,43 @@ def _rare_first(shingles: np.ndarray, hint: tuple[np.ndarray, np.ndarray], n: in
 
 def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the similarity; reads the texts of those nodes."""
+    wide = described.filter("wide is not null").groupBy("node").agg(F.first("wide").alias("wide"), F.first("n_shingles").alias("n"))
+
+    def narrow(batches):
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("wa", "wb", "na", "nb")), strict=True):
+                differ = 0 if x is None or y is None else int(np.bitwise_count(np.frombuffer(x, _U) ^ np.frombuffer(y, _U)).sum())
+                keep.append(n is None or m is None or differ <= n + m - 2 * shared_least(n, m, s))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    marked = pairs.join(wide.toDF("a", "wa", "na"), "a", "left").join(wide.toDF("b", "wb", "nb"), "b", "left").select("a", "b", "wa", "wb", "na", "nb")
+    pairs = materialize(marked.mapInArrow(narrow, "a long, b long"), "nj-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(nodes.join(described.groupBy("node").agg(F.min("doc_id").alias("wanted_id")), "node"), "nj-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= s.broadcast_nodes else wanted
 
-    def content(batches):
+    def content(batches):  # an id may be on several rows: the row whose text has the node's set is kept
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = shingle_sets(batch.column("text"), s.words)
-                own = [_node(x) if len(x) else None for x in sets]
+                own = [_node(x) if len(x) else None for x in shingle_sets(batch.column("text"), s.words)]
                 same = pa.array([x == y for x, y in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"]).filter(same)
+                yield batch.filter(same)
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("text", "node")
-    sets = materialize(texts.mapInArrow(content, "node long, shingles binary"), "nj-sets").dropDuplicates(["node"])
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("node", "text")
+    texts = texts.mapInArrow(content, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def compare(batches):
         for whole in batches:
-            for batch in slices(whole, "sb", 16 << 20):
+            for batch in slices(whole, "tb", 2 << 20):
                 keep = []
-                for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                for x, y in zip(*(shingle_sets(batch.column(c), s.words) for c in ("ta", "tb")), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(s.denominator * both >= s.numerator * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return materialize(joined.mapInArrow(compare, "a long, b long"), "nj-links")
 
 
@@ -261,10 +280,10 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
                 signatures = np.array([_signature(x) for x in sets]).reshape(len(sets), len(SIGNATURE))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) if len(x) else None for x in sets], pa.int64()),
-                    *(pa.array(signatures[:, i]) for i in range(len(SIGNATURE))),
-                ], ["doc_id", "n_shingles", "node", *SIGNATURE])
+                    *(pa.array(signatures[:, i]) for i in range(len(SIGNATURE))), pa.array([_wide(x) for x in sets], pa.binary()),
+                ], ["doc_id", "n_shingles", "node", *SIGNATURE, "wide"])
 
-    described = materialize(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long" + "".join(f", {c} long" for c in SIGNATURE)), "nj-nodes")
+    described = materialize(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long" + "".join(f", {c} long" for c in SIGNATURE) + ", wide binary"), "nj-nodes")
     sizes = {r.n_shingles: r.n for r in described.filter(f"n_shingles between 1 and {s.max_light}").select("n_shingles", "node").distinct().groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     light = boundary(sizes, s)
     hint = docs.sparkSession.sparkContext.broadcast(_order_hint(docs, described.count(), s))  # at most a third of the sample's shingles
@@ -286,9 +305,10 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], ["element", "node", "n", "low", "high"])
 
     # Written before it is read twice; the shuffles below carry no text.
-    emitted = materialize(docs.mapInArrow(rows, "element long, node long, n int, low int, high int"), "nj-listed")
-    shared = emitted.groupBy("element").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("element")
-    emitted = materialize(emitted.join(shared, "element").distinct(), "nj-lists")
+    listed_rows = materialize(docs.mapInArrow(rows, "element long, node long, n int, low int, high int"), "nj-listed")
+    shared = listed_rows.groupBy("element").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("element")
+    emitted = materialize(listed_rows.join(shared, "element").distinct(), "nj-lists")
+    discard(listed_rows)
 
     # Light: in a list of sizes low and high every smaller set is linked with every larger one.
     sides = emitted.filter("high > 0").groupBy("element").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("small"), F.min(F.when(F.col("n") == F.col("high"), F.col("node"))).alias("large"))
