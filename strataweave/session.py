@@ -47,7 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    context = stored.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def megabytes(size: str) -> int:
