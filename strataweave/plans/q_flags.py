@@ -78,9 +78,9 @@ def _(t):
     return flags.dismiss(t.nodes, t.nodes.filter("k % 19 = 0")).select("id", "dismissed")
 
 
-@query("FLT-15", "SELECT id, name FROM {nodes} WHERE lower(name) LIKE '%green%' ORDER BY name, id LIMIT 50")
+@query("FLT-15", "SELECT id, name FROM {nodes} WHERE lower(name) LIKE '%widget%' ORDER BY name, id LIMIT 50")
 def _(t):
-    return flags.search(t.nodes, "Green").select("id", "name")
+    return flags.search(t.nodes, "Widget").select("id", "name")
 
 
 @query("FLT-16", "SELECT doc_id, source FROM documents WHERE lang IN ('de', 'fr') AND source ILIKE '%RC1%'")
