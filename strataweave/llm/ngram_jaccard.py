@@ -50,6 +50,8 @@ class Settings:
     max_light: int = 64
     #: Compare all remaining members at once if that makes no more rows than this many times the listed ones.
     residual_factor: float = 4.0
+    #: Lists of at most so many members are scanned in full, longer ones through hubs; both are exact.
+    short_list: int = 32
     #: Nodes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle.
     broadcast_nodes: int = 1_000_000
 
@@ -220,18 +222,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, s: Settin
     return materialize(joined.mapInArrow(compare, "a long, b long"), "nj-links")
 
 
-def _heavy_links(lists: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
-    """Links that, with their closure, are all links among the members (element, node, n, signature) of inverted lists."""
-    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    hubs = lists.groupBy("element").agg(F.min(F.struct("node", "n", *SIGNATURE)).alias("hub")).select("element", "hub.*")
-    near = lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}"))
-    tried = materialize(near.select(*ends).distinct(), "nj-tried")
+def _ends():
+    return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+
+
+def _heavy_components(lists: DataFrame, light_links: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) by all links among the members (element, node, n, signature) of inverted lists, and ``light_links``.
+
+    Short lists are scanned in full. Long ones, which a large group of near copies fills, are compared with a hub first.
+    """
+    sizes = lists.groupBy("element").agg(F.count("*").alias("length"), F.min(F.struct("node", "n", *SIGNATURE)).alias("hub"))
+    long_ = sizes.filter(F.col("length") > s.short_list)
+    hubs = materialize(long_.select("element", "hub.*"), "nj-hubs")
+    short = lists.join(sizes.filter(F.col("length") <= s.short_list).select("element"), "element")
+    near = short.alias("x").join(short.alias("y"), F.expr(f"x.element = y.element and x.node < y.node and {_may_link('x', 'y', s)}")).select(*_ends())
+    long_lists = materialize(lists.join(hubs.select("element"), "element"), "nj-long")
+    to_hub = long_lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}")).select(*_ends())
+    tried = materialize(near.union(to_hub).distinct(), "nj-tried")
     links = _verified(tried, docs, described, s)
-    used = materialize(hubs.select("element", "node"), "nj-hubs")
-    rows = lists.count()
-    while True:
-        found = components(links)
-        joined = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = materialize(components(links.union(light_links)), "nj-found")
+    used, rows = hubs.select("element", "node"), long_lists.count()
+    while rows:
+        joined = long_lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         members = joined.groupBy("element", "component").count()
         major = members.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("length"), F.count("*").alias("parts")).filter("parts > 1")
         # Who is neither in the list's largest component nor has been its hub has still to meet the others.
@@ -239,19 +251,21 @@ def _heavy_links(lists: DataFrame, docs: DataFrame, described: DataFrame, s: Set
         minor = materialize(minor.select("element", "node", "n", *SIGNATURE, "component", "length"), "nj-minor")
         cost = minor.agg(F.sum("length")).first()[0] or 0
         if not cost:
-            return links
+            break
         last = cost <= s.residual_factor * rows + 1_000_000
         if not last:  # one more hub a list, chosen by hash so that lists of one group take different ones
             one = F.min_by(F.struct("node", "n", *SIGNATURE, "component"), F.xxhash64("node", "element"))
             minor = materialize(minor.groupBy("element").agg(one.alias("h")).select("element", "h.*"), "nj-minor")
             used = materialize(used.union(minor.select("element", "node")), "nj-hubs")
         near = joined.alias("x").join(minor.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
-        pairs = materialize(near.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
+        pairs = materialize(near.select(*_ends()).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
         if pairs.limit(1).count():
-            links = materialize(links.union(_verified(pairs, docs, described, s)), "nj-links")
+            links = links.union(_verified(pairs, docs, described, s))
             tried = tried.union(pairs)
+            found = materialize(components(links.union(light_links)), "nj-found")
         if last:
-            return links
+            break
+    return found
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -323,8 +337,7 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
     lists = banded.join(busy, ["element", "band"]).select("element", "node", "n").distinct()
     marks = described.groupBy("node").agg(*(F.first(c).alias(c) for c in SIGNATURE))
     lists = materialize(lists.join(marks, "node"), "nj-heavy")
-    links = _heavy_links(lists, docs, described, s).union(light_links)
-    found = components(links)
+    found = _heavy_components(lists, light_links, docs, described, s)
     return described.join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("class"))
 
 
