@@ -42,11 +42,11 @@ FIXTURES: dict[str, str] = {
         UNION ALL SELECT 'c1', 'c2' UNION ALL SELECT 'c2', 'c3' UNION ALL SELECT 'c3', 'c1'""",
     "chunks": """
         SELECT doc_id, cast(doc_id as string) || ':' || cast(i as string) AS chunk_id, cast(i as bigint) AS seq, substr(text, cast(i * 1000 + 1 as int), 1000) AS text
-        FROM (SELECT doc_id, text, explode_range((length(text) - 1) div 1000) AS i FROM {documents} WHERE length(text) > 0) d""",
+        FROM (SELECT doc_id, text, [[range (length(text) - 1) div 1000]] AS i FROM {documents} WHERE length(text) > 0) d""",
     "mentions": """
         SELECT DISTINCT chunk_id, doc_id, seq, lower(m) AS entity, CASE length(m) % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Drug' WHEN 2 THEN 'Disease' ELSE 'Concept' END AS type,
                CASE WHEN length(m) % 2 = 0 THEN cast(0.6 as double) ELSE cast(0.75 as double) END AS confidence
-        FROM (SELECT chunk_id, doc_id, seq, explode_all(text, '[A-Z][a-z]{6,11}') AS m FROM {chunks}) c""",
+        FROM (SELECT chunk_id, doc_id, seq, explode_all(text, '[A-Z][a-z][a-z][a-z][a-z][a-z][a-z]+') AS m FROM {chunks}) c""",
     "observations": """
         SELECT 'user:' || cast(user_id as string) || ':' || event_type AS id, user_id, CASE event_type WHEN 'click' THEN 'symptom' WHEN 'view' THEN 'medication' WHEN 'purchase' THEN 'diagnosis' WHEN 'signup' THEN 'allergy' ELSE 'other' END AS entity_type,
                min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, avg(value) / 500 AS confidence
@@ -84,12 +84,12 @@ FIXTURES: dict[str, str] = {
 
 
 def _spark(sql: str) -> str:
-    sql = re.sub(r"explode_range\(([^()]*\([^()]*\)[^()]*\)[^()]*)\)", r"explode(sequence(0, cast(\1 as int)))", sql)
+    sql = re.sub(r"\[\[range (.*?)\]\]", r"explode(sequence(0, cast(\1 as int)))", sql)
     return re.sub(r"explode_all\((\w+), ('[^']*')\)", r"explode(regexp_extract_all(\1, \2, 0))", sql)
 
 
 def _duck(sql: str) -> str:
-    sql = re.sub(r"explode_range\(([^()]*\([^()]*\)[^()]*\)[^()]*)\)", r"unnest(range(0, \1 + 1))", sql)
+    sql = re.sub(r"\[\[range (.*?)\]\]", r"unnest(range(0, \1 + 1))", sql)
     sql = re.sub(r"explode_all\((\w+), ('[^']*')\)", r"unnest(regexp_extract_all(\1, \2))", sql)
     return sql.replace(" div ", " // ").replace("array(", "list_value(")
 
