@@ -68,46 +68,64 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def net(points: np.ndarray, start: np.ndarray, radius: float) -> np.ndarray:
-    """``start`` and, in order, each point further than ``radius`` from all before it."""
-    chosen = list(start)
-    for at in range(0, len(points), 256):
-        chunk = np.arange(at, min(at + 256, len(points)))
-        if chosen:
-            near = np.full(len(chunk), np.inf)
-            for c in range(0, len(chosen), 2048):
-                near = np.minimum(near, _distance(points[chunk], points[chosen[c : c + 2048]]).min(axis=1))
-            chunk = chunk[near > radius]
-        inside = _distance(points[chunk], points[chunk])
-        open_ = np.ones(len(chunk), bool)
+    """``start`` and, in order, each point further than ``radius`` from all before it, but for rounding.
+
+    Single precision is enough: the radius that nodes really cover is measured afterwards.
+    """
+    points = points.astype(np.float32)
+    least = 1 - radius * radius / 2
+    chosen, kept = list(start), [points[start]]
+    for at in range(0, len(points), 512):
+        chunk = np.arange(at, min(at + 512, len(points)))
+        near = np.full(len(chunk), -2, np.float32)
+        for block in kept:
+            if len(block):
+                near = np.maximum(near, (points[chunk] @ block.T).max(axis=1))
+        chunk = chunk[near < least]
+        inside = points[chunk] @ points[chunk].T >= least
+        open_, new = np.ones(len(chunk), bool), []
         for i in range(len(chunk)):
             if open_[i]:
-                chosen.append(int(chunk[i]))
-                open_ &= inside[i] > radius
+                new.append(int(chunk[i]))
+                if inside[i, i + 1 :].any():
+                    open_ &= ~inside[i]
+        chosen += new
+        kept.append(points[new])
+        if len(kept) > 8:
+            kept = [np.concatenate(kept)]
     return np.array(chosen, np.int64)
 
 
-def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    who, far = np.zeros(len(points), np.int64), np.zeros(len(points))
+def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    points, centers = points.astype(np.float32), centers.astype(np.float32)
+    who = np.zeros(len(points), np.int64)
     for at in range(0, len(points), 512):
-        d = _distance(points[at : at + 512], centers)
-        who[at : at + 512] = d.argmin(axis=1)
-        far[at : at + 512] = d.min(axis=1)
-    return who, far
+        who[at : at + 512] = (points[at : at + 512] @ centers.T).argmax(axis=1)
+    return who
 
 
 def build(points: np.ndarray, weights: np.ndarray, radii: list[float]) -> CoverTree:
     """Nested nets; a point belongs to its nearest last node, a node to the nearest node above."""
     nets = [np.zeros(min(len(points), 1), np.int64)]
     for r in radii[1:]:
-        nets.append(net(points, nets[-1], r))
-    bucket, _ = _nearest(points, points[nets[-1]])
+        nets.append(net(points, nets[-1], r) if len(nets[-1]) < len(points) else nets[-1])
+    whole = lambda k: len(nets[k]) == len(points)
+
+    def owners(rows: np.ndarray, k: int) -> np.ndarray:
+        if whole(k):
+            place = np.empty(len(points), np.int64)
+            place[nets[k]] = np.arange(len(points))
+            return place[rows]
+        return _nearest(points[rows], points[nets[k]])
+
+    bucket = owners(np.arange(len(points)), len(nets) - 1)
     levels, owner = [], bucket
     for k in range(len(nets) - 1, -1, -1):
         gap = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", points, points[nets[k]][owner]), 0))
         radius, weight = np.zeros(len(nets[k])), np.zeros(len(nets[k]), np.int64)
         np.maximum.at(radius, owner, gap)
         np.add.at(weight, owner, weights)
-        parent = _nearest(points[nets[k]], points[nets[k - 1]])[0] if k else np.zeros(len(nets[k]), np.int64)
+        parent = owners(nets[k], k - 1) if k else np.zeros(len(nets[k]), np.int64)
         levels.append(Level(nets[k], parent, radius, weight))
         owner = parent[owner]
     return CoverTree(points, levels[::-1], bucket)
@@ -120,29 +138,48 @@ def _members(labels: np.ndarray, n: int) -> list[np.ndarray]:
 
 def node_pairs(a: CoverTree, b: CoverTree, distance: float):
     """Dual traversal: yields (level, i, j) of node pairs linked as a whole, then (-1, i, j) of last-level pairs to compare."""
-    alive = np.ones((1, 1), bool)
-    whole = []
+    i = j = np.zeros(min(len(a.points), len(b.points), 1), np.int64)
     for k, (x, y) in enumerate(zip(a.levels, b.levels, strict=True)):
-        px, py = a.points[x.centers].astype(np.float32), b.points[y.centers].astype(np.float32)
-        keep = np.zeros((len(px), len(py)), bool)
-        for at in range(0, len(px), 256):
-            rows = slice(at, min(at + 256, len(px)))
-            allowed = alive[x.parent[rows]][:, y.parent] if k else np.ones((rows.stop - at, len(py)), bool)
-            if not allowed.any():
-                continue
-            reach = (distance + SLACK + x.radius[rows, None] + y.radius[None, :]).astype(np.float32)
-            keep[rows] = allowed & (px[rows] @ py.T >= 1 - reach * reach / 2 - SLACK)
-        i, j = np.nonzero(keep)
+        if k:
+            i, j = _children(a, b, k, i, j, distance)
+        out = []
         for at in range(0, len(i), 1 << 16):
             ii, jj = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             gap = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.points[x.centers[ii]], b.points[y.centers[jj]]), 0))
-            far = gap > distance + 1e-7 + x.radius[ii] + y.radius[jj]
-            full = gap + x.radius[ii] + y.radius[jj] < distance - 1e-7
-            whole += [(k, u, v) for u, v in zip(ii[full].tolist(), jj[full].tolist(), strict=True)]
-            keep[ii[far | full], jj[far | full]] = False
-        alive = keep
-    yield from whole
-    yield from ((-1, int(u), int(v)) for u, v in zip(*np.nonzero(alive), strict=True))
+            reach = x.radius[ii] + y.radius[jj]
+            full = gap + reach < distance - 1e-7
+            yield from ((k, u, v) for u, v in zip(ii[full].tolist(), jj[full].tolist(), strict=True))
+            open_ = (gap <= distance + 1e-7 + reach) & ~full
+            out.append((ii[open_], jj[open_]))
+        i, j = (np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64) for n in range(2))
+    yield from ((-1, u, v) for u, v in zip(i.tolist(), j.tolist(), strict=True))
+
+
+def _children(a: CoverTree, b: CoverTree, k: int, i: np.ndarray, j: np.ndarray, distance: float):
+    """Pairs of children of the pairs (i, j) of level k - 1 that single precision does not rule out."""
+    x, y = a.levels[k], b.levels[k]
+    order_a, order_b = np.argsort(x.parent, kind="stable"), np.argsort(y.parent, kind="stable")
+    n_a, n_b = (np.bincount(v.parent, minlength=len(w.levels[k - 1].centers)) for v, w in ((x, a), (y, b)))
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    count = n_a[i] * n_b[j]
+    if count.sum() * 16 <= len(x.centers) * len(y.centers):  # few: listed
+        pair = np.repeat(np.arange(len(i)), count)
+        local = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+        return order_a[first_a[i[pair]] + local // n_b[j[pair]]], order_b[first_b[j[pair]] + local % n_b[j[pair]]]
+    alive = np.zeros((len(n_a), len(n_b)), bool)
+    alive[i, j] = True
+    px, py = a.points[x.centers].astype(np.float32), b.points[y.centers].astype(np.float32)
+    out = []
+    for at in range(0, len(px), 256):
+        rows = slice(at, min(at + 256, len(px)))
+        near = px[rows] @ py.T
+        # First one bound for the row, then the pair's own for what is left.
+        widest = distance + SLACK + x.radius[rows] + y.radius.max()
+        u, v = np.nonzero(near >= (1 - widest * widest / 2 - SLACK).astype(np.float32)[:, None])
+        reach = distance + SLACK + x.radius[rows][u] + y.radius[v]
+        keep = (near[u, v] >= 1 - reach * reach / 2 - SLACK) & alive[x.parent[rows][u], y.parent[v]]
+        out.append((u[keep] + at, v[keep]))
+    return tuple(np.concatenate([o[n] for o in out]) for n in range(2))
 
 
 def _forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -292,7 +329,7 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
         for frame in frames:
             x = matrix(frame["embedding"].tolist(), kind).astype(np.float64)
             if len(x):
-                yield frame.assign(pivot=_nearest(x / norms(x)[:, None], shared.value)[0])
+                yield frame.assign(pivot=_nearest(x / norms(x)[:, None], shared.value))
 
     vector = points.schema["embedding"].dataType.simpleString()
     placed = points.mapInPandas(assign, f"embedding {vector}, vec_id long, copies long, pivot long")

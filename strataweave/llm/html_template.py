@@ -51,7 +51,6 @@ class Settings:
     #: Hosts with fewer pages are compared together with other small hosts.
     least_pages: int = 4
     link_share: float = 0.6
-    least_mass: float = 0.25
 
 
 @dataclass
@@ -183,18 +182,41 @@ def deduce(pages: list[list[Token]], settings: Settings) -> Template:
     if any(main):
         template.content = [main[s] > 0 for s in range(n)]
         return template
-    # Without an article or main element: slots that vary, are no link lists and hold much text.
+    # Without an article or main element: the container of the slot with most text, less what is constant or a link list.
     distinct = len({"".join(texts[s][i] for s in range(n)) for i in range(len(pages))})
     fits = []
     for s in range(n):
         constant = distinct > 2 and len(set(texts[s])) == 1
-        listed = any(any(k.startswith("<a ") for k in keys) for keys in template.nested.get(s, [])) and links[s] > settings.link_share * mass[s]
-        fits.append(mass[s] if not constant and not listed and links[s] <= settings.link_share * mass[s] else 0)
-    most = max(fits, default=0)
-    template.content = [most > 0 and f >= settings.least_mass * most for f in fits]
+        listed = links[s] > settings.link_share * mass[s]
+        fits.append(0 if constant or listed else mass[s])
+    if not any(fits):
+        template.content = [False] * n
+        return template
+    paths = _containers(root)
+    home = paths[fits.index(max(fits))]
+    named = bool(home) and not root[home[-1]].startswith("<body") and not root[home[-1]].startswith("<html")
+    inside = [paths[s][: len(home)] == home for s in range(n)]  # of a container of its own all is kept, of a whole body what varies
+    template.content = [inside[s] and (fits[s] > 0 or named and links[s] <= settings.link_share * mass[s]) for s in range(n)]
     return template
 
 
+def _containers(root: list[str]) -> list[tuple[int, ...]]:
+    """For each slot the root tokens that open the containers around it."""
+    stack: list[tuple[int, str]] = []
+    out: list[tuple[int, ...]] = [()]
+    for i, key in enumerate(root):
+        name = re.match(r"</?([^\s>]*)", key).group(1)
+        if key.startswith("</"):
+            for j in range(len(stack) - 1, -1, -1):
+                if stack[j][1] == name:
+                    del stack[j:]
+                    break
+        elif name in _BLOCK and name in _HOLDS and name not in ("p", "li"):
+            stack.append((i, name))
+        out.append(tuple(k for k, _ in stack))
+    return out
+
+
 def extract(page: list[Token], template: Template) -> str:
     """The text of the content slots: blocks in page order, one a line."""
     blocks, parts = [], []

@@ -48,6 +48,8 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
     ("Proprietary", "All rights reserved. Proprietary and confidential"),
 )
+#: Usual English words, taken as strong terms only where nothing else is left.
+COMMON = frozenset("a all an and any are as at be by for form from free in into is it made may not of on or out public that the this to under use was were which will with without work you".split())
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -59,10 +61,11 @@ class Settings:
 
 def terms(text: str) -> Counter:
     """Terms with A-Z lower-cased; digits and inner dots and hyphens count as letters."""
-    return Counter(_TERM.findall(text.translate(_LOWER)))
+    return Counter(_TERM.findall(lowered(text)))
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def lowered(text: str) -> str:
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class Matcher:
@@ -83,13 +86,13 @@ class Matcher:
             for t, w in weights.items():
                 self.lists.setdefault(t, []).append((i, w / whole))
             left = 1.0  # a line without the strong terms so far reaches at most the root of this
-            for t, w in sorted(weights.items(), key=lambda x: (len(x[0]) < 5, -self.idf[x[0]], -x[1], x[0])):  # long and rare ones first
+            for t, w in sorted(weights.items(), key=lambda x: (x[0] in COMMON, len(x[0]) < 3, -self.idf[x[0]], -x[1], x[0])):  # rare ones first
                 if left < self.threshold**2 - 1e-9:
                     break
                 strong.add(t)
                 left -= (w / whole) ** 2
         self.strong = strong
-        self.pattern = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, strong), key=lambda t: (-len(t), t))) + ")(?![a-z0-9])", re.I | re.A)
+        self.pattern = re.compile("(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, strong), key=lambda t: (-len(t), t))) + ")(?![a-z0-9])")
 
     def best(self, counts: Counter) -> tuple[float, str | None]:
         """The highest cosine and its licence; of equal ones the first template."""
@@ -104,7 +107,7 @@ class Matcher:
 
     def scan(self, text: str) -> tuple[str | None, float, bool]:
         """Licence, cosine and whether the file as a whole is the match."""
-        top, seen = (0.0, None), -1
+        top, seen, text = (0.0, None), -1, lowered(text)
         for hit in self.pattern.finditer(text):
             if hit.start() < seen:
                 continue
