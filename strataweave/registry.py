@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import fixtures
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("q_flags", "q_graph", "q_feedback", "q_facts", "q_audit")
+MODULES: tuple[str, ...] = ("q_flags", "q_graph", "q_feedback", "q_facts", "q_audit", "q_rules")
 
 
 def _load() -> None:
