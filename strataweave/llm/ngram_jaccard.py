@@ -48,10 +48,10 @@ class Settings:
     #: Cost of verifying an element of a heavy set, in units of a listed row.
     verify_cost: float = 1.0
     max_light: int = 64
-    #: Compare all remaining members at once if that makes no more rows than this many times the listed ones.
-    residual_factor: float = 4.0
+    #: Compare all remaining members at once if that is no more comparisons of signatures than this many times the listed rows.
+    residual_factor: float = 1000.0
     #: Lists of at most so many members are scanned in full, longer ones through hubs; both are exact.
-    short_list: int = 32
+    short_list: int = 64
     #: Nodes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle.
     broadcast_nodes: int = 1_000_000
 
@@ -334,7 +334,8 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
     band = F.floor(F.log("n") / float(np.log(s.denominator / s.numerator)) + 1e-9)
     banded = emitted.filter("high = 0").select("element", "node", "n", F.explode(F.array(band, band + 1)).alias("band"))
     busy = banded.groupBy("element", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("element", "band")
-    lists = banded.join(busy, ["element", "band"]).select("element", "node", "n").distinct()
+    # From here a list is an element and a band: two members of one list may still share another.
+    lists = banded.join(busy, ["element", "band"]).select(F.xxhash64("element", "band").alias("element"), "node", "n")
     marks = described.groupBy("node").agg(*(F.first(c).alias(c) for c in SIGNATURE))
     lists = materialize(lists.join(marks, "node"), "nj-heavy")
     found = _heavy_components(lists, light_links, docs, described, s)
