@@ -32,7 +32,7 @@ def confidence_strategy(name: str, score: str) -> Column:
     return {"minimum": F.min(s), "maximum": F.max(s), "average": F.avg(s), "product": F.product(s), "noisy_or": 1 - F.product(1 - s)}[name]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of pairs; for candidates that blocking has left."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
