@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources up to which their targets are broadcast (some MB).
+MOST_BROADCAST = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -59,6 +63,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     sized = docs.withColumn("size", words_in(F.col("text")))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    goals = materialize(goals, "mixing-targets")  # a row a source: sent to all tasks if they are few, else joined by a shuffle
+    goals = F.broadcast(goals) if goals.count() <= MOST_BROADCAST else goals
     joined = sized.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
     return joined.withColumn(
