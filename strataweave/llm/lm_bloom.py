@@ -188,6 +188,7 @@ class BloomModel:
             held += r.size
         self.smoothing = GRID[len(GRID) // 2]
         self.texts = 0
+        self.shared = None
 
     def _part(self, number: int) -> Part:
         """The segments of a pass; the first also answers for buckets without any."""
@@ -223,7 +224,7 @@ class BloomModel:
             return bounds, sums((own & (counts > 0)).astype(np.int64)), sums(log), levels
 
         if len(self.passes) == 1:
-            shared = sc.broadcast(self._part(0))
+            shared = self.shared = self.shared or sc.broadcast(self._part(0))  # tuning and scoring share it
 
             def one(batches):
                 for whole in batches:
