@@ -19,6 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Hosts up to which their page counts are broadcast (some MB).
+MOST_BROADCAST = 100_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?][^>]*>|[^<]++|<",
@@ -259,7 +263,9 @@ def main_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
+    # A row a host: sent to all tasks if they are few, else joined by a shuffle of the pages.
+    sizes = materialize(rows.groupBy("host").agg(F.count("*").alias("n")), "pages-hosts")
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     small = sizes.filter((F.col("n") < s.least_pages) | (F.col("host") == "")).agg(F.sum("n")).first()[0] or 0
     pools = max(1, -(-small // s.group))
     pooled = (F.col("n") < s.least_pages) | (F.col("host") == "")
