@@ -4,8 +4,10 @@ After Arasu and Garcia-Molina, "Extracting structured data from web pages". Page
 bounded size. Tags, comments and words whose numbers of occurrences agree in every page of a group form an equivalence
 class. The class of tokens that occur once in every page, in one order, is the template's root; a class whose
 occurrences always fall between the same two root tokens is valid too and is nested there. What lies between two root
-tokens is a slot. A slot's enclosing elements, its nested classes and how its text varies decide whether it is content; a
-page's text is what its content slots hold outside of boilerplate elements.
+tokens is a slot; slots that only inline tags part are one unit. The blocks of a nested class are a region of their own in their
+unit. How a region's text varies between pages, its share of links, its containers and whether it stands in a main element
+decide whether it is content: a main element is evidence, constant regions and link lists are left out inside it too. A page's
+text is what its content regions hold outside of boilerplate elements.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ class Settings:
     #: Hosts with fewer pages are compared together with other small hosts.
     least_pages: int = 4
     link_share: float = 0.6
+    #: What a character inside a main element counts against one outside.
+    main_weight: int = 4
 
 
 @dataclass
@@ -107,11 +111,16 @@ def equivalence_classes(pages: list[list[Token]]) -> dict[tuple[int, ...], list[
     return classes
 
 
+#: Unit, opening tag of the innermost nested block or "", and place: NO_MAIN, INSIDE or OUTSIDE.
+Region = tuple[int, str, int]
+NO_MAIN, INSIDE, OUTSIDE = range(3)
+
+
 @dataclass
 class Template:
     root: list[str]
-    content: list[bool] = field(default_factory=list)  # by slot; slot k stands before root token k
-    nested: dict[int, list[list[str]]] = field(default_factory=dict)
+    nested: dict[int, list[list[str]]] = field(default_factory=dict)  # by slot; slot k stands before root token k
+    content: set[Region] = field(default_factory=set)
 
 
 def _slots(page: list[Token], root: list[str]) -> list[int]:
@@ -124,9 +133,21 @@ def _slots(page: list[Token], root: list[str]) -> list[int]:
     return out
 
 
-def _states(page: list[Token]):
-    """For each token whether it stands in boilerplate, in a main element and in a link."""
-    stack: list[tuple[str, bool, bool]] = []
+def _units(root: list[str]) -> list[int]:
+    """The unit of each slot: an inline root token does not part what stands around it."""
+    out = [0]
+    for key in root:
+        out.append(out[-1] + (_element(key) in _BLOCK))
+    return out
+
+
+def _element(key: str) -> str:
+    return re.match(r"</?([^\s>]*)", key).group(1)
+
+
+def _states(page: list[Token], anchors: set[str]):
+    """For each token whether it stands in boilerplate, in a main element and in a link, and its innermost nested block."""
+    stack: list[tuple[str, tuple[bool, bool, bool, str]]] = []
     out = []
     for t in page:
         if t.kind == "open" and t.name in _HOLDS and t.name not in _VOID and not t.raw.endswith("/>"):
@@ -137,17 +158,29 @@ def _states(page: list[Token]):
                         break
                     if stack[i][0] not in ("a", "span", "p"):
                         break
-            inside_main = any(s[2] for s in stack) or t.main
-            stack.append((t.name, t.boilerplate or t.name == "header" and not inside_main, t.main))
+            skip, inside, link, anchor = stack[-1][1] if stack else (False, False, False, "")
+            inside = inside or t.main
+            skip = skip or t.boilerplate or t.name == "header" and not inside
+            stack.append((t.name, (skip, inside, link or t.name == "a", t.key if t.key in anchors else anchor)))
         elif t.kind == "close":
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == t.name:
                     del stack[i:]
                     break
-        out.append((any(s[1] for s in stack), any(s[2] for s in stack), any(s[0] == "a" for s in stack)))
+        out.append(stack[-1][1] if stack else (False, False, False, ""))
     return out
 
 
+def _regions(page: list[Token], template: Template):
+    """The text tokens outside of boilerplate: position, region and whether in a link."""
+    anchors = {k for classes in template.nested.values() for keys in classes for k in keys if k[1] != "/" and _element(k) in _BLOCK & _HOLDS}
+    units, slots, states = _units(template.root), _slots(page, template.root), _states(page, anchors)
+    other = OUTSIDE if any(t.main for t in page) else NO_MAIN
+    for i, (t, slot, (skip, inside, link, anchor)) in enumerate(zip(page, slots, states, strict=True)):
+        if t.kind == "text" and not skip:
+            yield i, (units[slot], anchor, INSIDE if inside else other), link
+
+
 def deduce(pages: list[list[Token]], settings: Settings) -> Template:
     """The template of pages that were made alike."""
     classes = equivalence_classes(pages)
@@ -159,48 +192,48 @@ def deduce(pages: list[list[Token]], settings: Settings) -> Template:
         if not root or all(w[key] > w[root[-1]] for w in where):
             root.append(key)
     template = Template(root)
-    n = len(root) + 1
-    slots, states = [_slots(p, root) for p in pages], [_states(p) for p in pages]
-    held: list[dict[str, set[int]]] = [defaultdict(set) for _ in pages]
-    mass, links, main, plain = [0] * n, [0] * n, [0] * n, [0] * n
-    texts: list[list[str]] = [[""] * len(pages) for _ in range(n)]
-    for i, page in enumerate(pages):
-        for t, slot, (skip, inside, link) in zip(page, slots[i], states[i], strict=True):
-            if t.kind == "text":
-                size = len(t.raw.strip())
-                if skip:
-                    plain[slot] += size
-                    continue
-                mass[slot] += size
-                links[slot] += size * link
-                main[slot] += size * inside
-                texts[slot][i] += t.raw.strip()
-            elif t.key:
-                held[i][t.key].add(slot)
+    held: dict[str, set[int]] = defaultdict(set)
+    for page in pages:
+        for t, slot in zip(page, _slots(page, root), strict=True):
+            if t.key:
+                held[t.key].add(slot)
     for vector, keys in classes.items():
         keys = [k for k in keys if k in tags]
         if len(keys) > 1 and max(vector) > 1:
-            inside = {s for k in keys for h in held for s in h.get(k, ())}
+            inside = {s for k in keys for s in held[k]}
             if len(inside) == 1:  # valid: always between the same two root tokens
                 template.nested.setdefault(inside.pop(), []).append(keys)
-    if any(main):
-        template.content = [main[s] > 0 for s in range(n)]
-        return template
-    # Without an article or main element: the container of the slot with most text, less what is constant or a link list.
-    distinct = len({"".join(texts[s][i] for s in range(n)) for i in range(len(pages))})
-    fits = []
-    for s in range(n):
-        constant = distinct > 2 and len(set(texts[s])) == 1
-        listed = links[s] > settings.link_share * mass[s]
-        fits.append(0 if constant or listed else mass[s])
-    if not any(fits):
-        template.content = [False] * n
-        return template
-    paths = _containers(root)
-    home = paths[fits.index(max(fits))]
-    named = bool(home) and not root[home[-1]].startswith("<body") and not root[home[-1]].startswith("<html")
-    inside = [paths[s][: len(home)] == home for s in range(n)]  # of a container of its own all is kept, of a whole body what varies
-    template.content = [inside[s] and (fits[s] > 0 or named and links[s] <= settings.link_share * mass[s]) for s in range(n)]
+    mass, links = Counter(), Counter()
+    texts: dict[Region, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
+    whole: list[int] = []
+    places: Counter = Counter()  # pages with and without a main element
+    for i, page in enumerate(pages):
+        pieces = []
+        for at, region, link in _regions(page, template):
+            piece = page[at].raw.strip()
+            if piece:
+                mass[region] += len(piece)
+                links[region] += len(piece) * link
+                texts[region][i].add(piece)
+                pieces.append(piece)
+        whole.append(hash(tuple(pieces)))
+        places[any(t.main for t in page)] += 1
+    main_units = {u for u, _, place in mass if place == INSIDE}
+    scores: dict[Region, int] = {}
+    for region, own in texts.items():
+        # The same text on most pages, some of which differ elsewhere, is the template's.
+        constant = 2 * len(own) > places[region[2] != NO_MAIN] and len({whole[i] for i in own}) > 2 and len({frozenset(t) for t in own.values()}) == 1
+        if not constant and links[region] <= settings.link_share * mass[region]:
+            near = region[2] == INSIDE or region[2] == NO_MAIN and region[0] in main_units
+            scores[region] = mass[region] * (settings.main_weight if near else 1)
+    # What varies in main elements stays; besides, the container of the text with the highest score, on pages with and without a main element.
+    template.content = {r for r in scores if r[2] == INSIDE}
+    paths = dict(zip(reversed(_units(root)), reversed(_containers(root)), strict=True))
+    for rated in ([r for r in scores if r[2] == NO_MAIN], [r for r in scores if r[2] != NO_MAIN]):
+        best = max(rated, key=lambda r: scores[r], default=None)
+        if best and best[2] != INSIDE:
+            home = paths[best[0]]
+            template.content |= {r for r in rated if paths[r[0]][: len(home)] == home}
     return template
 
 
@@ -209,7 +242,7 @@ def _containers(root: list[str]) -> list[tuple[int, ...]]:
     stack: list[tuple[int, str]] = []
     out: list[tuple[int, ...]] = [()]
     for i, key in enumerate(root):
-        name = re.match(r"</?([^\s>]*)", key).group(1)
+        name = _element(key)
         if key.startswith("</"):
             for j in range(len(stack) - 1, -1, -1):
                 if stack[j][1] == name:
@@ -222,10 +255,9 @@ def _containers(root: list[str]) -> list[tuple[int, ...]]:
 
 
 def extract(page: list[Token], template: Template) -> str:
-    """The text of the content slots: blocks in page order, one a line."""
+    """The text of the content regions: blocks in page order, one a line."""
     blocks, parts = [], []
-    slots, states = _slots(page, template.root), _states(page)
-    has_main = any(inside for _, inside, _ in states)
+    kept = {i for i, region, _ in _regions(page, template) if region in template.content}
 
     def close():
         text = " ".join(html.unescape("".join(parts)).split())
@@ -233,10 +265,9 @@ def extract(page: list[Token], template: Template) -> str:
             blocks.append(text)
         parts.clear()
 
-    for t, slot, (skip, inside, _) in zip(page, slots, states, strict=True):
-        if t.kind == "text":
-            if not skip and (inside if has_main else template.content[slot]):
-                parts.append(t.raw)
+    for i, t in enumerate(page):
+        if i in kept:
+            parts.append(t.raw)
         elif t.kind in ("open", "close") and t.name in _BLOCK:
             close()
     close()

@@ -225,6 +225,28 @@ def test_equivalence_classes_nest():
     assert html_template.extract(made[0], template) == ("long text " * 22).strip()
 
 
+def test_template_decides_inside_main(spark):
+    """Constant slots and link lists inside a main element go, nested ones too; inline links and what varies stay."""
+    rng, rows, want = random.Random(8), [], {}
+    for i in range(12):
+        words = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(2 + i % 3)]
+        body = "".join(f'<p class="t">{w} <a href="/{i}">see {i}</a></p>' for w in words)
+        tools = '<ul class="u">' + '<li class="k">Print this page</li>' * (1 + i % 4) + "</ul>"
+        also = "".join(f'<dd><a href="/{i}/{k}">Other story {i} {k}</a></dd>' for k in range(5 - i % 3))
+        rows.append((i, f"http://main.example.org/{i}", f'<html><body><article><div class="x">Written by our team</div><h1>Title {i}</h1>{body}{tools}<dl class="q">{also}</dl></article></body></html>'))
+        want[i] = "\n".join([f"Title {i}", *(f"{w} see {i}" for w in words)])
+    got = {r.page_id: r.text for r in html_template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_main_element_is_evidence_only(spark):
+    """A short main element does not outweigh the long varying text beside it."""
+    rng = random.Random(9)
+    rows = [(i, f"http://card.example.org/{i}", f'<html><body><article class="c">Card {i}</article><div class="x">{" ".join(rng.choices("abcdefgh", k=90 + i))}</div><div class="y">Made here</div></body></html>') for i in range(9)]
+    for r in html_template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Card {r.page_id}\n" + re.search(r'class="x">([^<]*)', rows[r.page_id][2]).group(1)
+
+
 def test_licences(spark):
     rows = [
         ("repo/LICENSE", "Released under the MIT License"), ("repo/a.py", "x = 1\n"), ("repo/src/b.py", "# Licensed under the Apache License, Version 2.0.\ny = 2"),
