@@ -18,9 +18,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_gam.classify(docs, labels).filter("predicted = 1").select(*docs.columns)
 
 
+#: Stages on word shingles take five words and 0.8; the defaults are those of the query op3 alone.
+NEAR = ngram_jaccard.Settings(words=5, numerator=80, denominator=100)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each class of near-duplicates stays."""
-    return ngram_jaccard.representatives(docs)
+    return ngram_jaccard.representatives(docs, NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

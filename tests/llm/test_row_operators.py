@@ -267,6 +267,35 @@ def test_pipeline(spark):
     assert final.agg(F.sum("length")).first()[0] > 0
 
 
+def test_pipeline_near_duplicates(spark):
+    """The stage against brute force, with near copies between five words at 0.8 and three words at 0.9."""
+    rng, texts = random.Random(11), []
+    for b in range(30):
+        base = [f"w{b}x{i}" for i in range(rng.choice((12, 40, 150, 400)))]
+        texts.append(base)
+        for rate in (0.0, 0.005, 0.01, 0.015, 0.02, 0.022, 0.025, 0.03):
+            edited = list(base)
+            for at in rng.sample(range(len(base)), round(rate * len(base))):
+                edited[at] = f"e{rng.random()}"
+            texts.append(edited)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def least_ids(n, share):
+        sets = [frozenset(zip(*(t[k:] for k in range(n)), strict=False)) for t in texts]
+        least = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= share * (len(sets[i]) + len(sets[j]) - both) and least[i] != least[j]:
+                    a, b = sorted((least[i], least[j]))
+                    least = [a if x == b else x for x in least]
+        return sorted(set(least))
+
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect())
+    assert got == least_ids(5, 80)
+    assert len(got) < len(least_ids(3, 90))
+
+
 def test_registered():
     names = set(queries())
     assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names}
