@@ -44,7 +44,6 @@ class Settings:
     probes: int = 4
     unigram_base: float = 1.1
     max_broadcast_mb: int | None = None
-    tuning_texts: int = 300
 
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +227,7 @@ class BloomModel:
 
             def one(batches):
                 for whole in batches:
-                    for batch in slices(whole, "text"):
+                    for batch in slices(whole, "text", 1 << 20):
                         yield finish(batch, *looked_up(shared.value, batch.column("text")))
 
             return texts.mapInArrow(one, schema)
@@ -243,7 +242,7 @@ class BloomModel:
 
             def some(batches, shared=shared, number=number):
                 for whole in batches:
-                    for batch in slices(whole, "text"):
+                    for batch in slices(whole, "text", 1 << 20):
                         bounds, known, base, levels = looked_up(shared.value, batch.column("text"))
                         cut = lambda a: [a[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                         yield pa.RecordBatch.from_arrays([
@@ -293,7 +292,7 @@ class BloomModel:
         return compute
 
     def tune(self, training: DataFrame, texts: int) -> None:
-        """Choose the smoothing by leave-one-out likelihood of a bounded, hash-chosen sample of training texts."""
+        """Choose the smoothing by leave-one-out likelihood of all training texts; equal ones, which copies predict anyway, count once."""
         compute, self.texts = self._log_probabilities(), texts
 
         def finish(batch, bounds, known, base, levels):
@@ -303,8 +302,10 @@ class BloomModel:
                 sums.append(float(p[token].sum()))
             return pa.RecordBatch.from_arrays([pa.array(range(len(GRID)), pa.int32()), pa.array(sums, pa.float64())], ["k", "s"])
 
-        sample = materialize(training.select("text").orderBy(F.xxhash64("text"), "text").limit(self.settings.tuning_texts), "lm-sample")
-        rows = self._read(sample, [], finish, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        distinct = training.select("text").distinct()
+        if len(self.passes) > 1:  # each pass reads them
+            distinct = materialize(distinct, "lm-distinct")
+        rows = self._read(distinct, [], finish, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
         if rows:
             self.smoothing = GRID[max(rows, key=lambda r: (r.s, -r.k)).k]
 

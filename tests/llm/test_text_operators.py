@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataweave.llm import html_template, license_scan, lm_bloom, ngram_jaccard, quality_gam, tokens
 from strataweave.llm.components import components
@@ -102,6 +103,34 @@ def test_language_model_levels():
     assert (np.diff(q) >= 0).all() and q[0] == 1 and (np.abs(values[q] - counts) <= counts * 0.5).all()
 
 
+def test_language_model_tunes_on_all_texts(spark):
+    """A large group of copies that comes first by hash does not choose the smoothing; all distinct texts do, as by brute force."""
+    rng = random.Random(21)
+    words_ = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words_, k=40)) for _ in range(400)]
+    texts = [r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text"), "text").collect()]
+    rows = [texts[0]] * 600 + texts[1:]
+    model = lm_bloom.fit(spark.createDataFrame([(t,) for t in rows], "text string"))
+    ones, twos, total = Counter(), Counter(), 0
+    for t in rows:
+        w = [None, *t.split(), ""]
+        ones.update(w)
+        twos.update(zip(w, w[1:]))
+        total += len(w) - 1
+    kinds = len(ones) - 1
+
+    def likelihood(k):
+        out = 0.0
+        for t in texts:
+            w = [None, *t.split(), ""]
+            for a, b in zip(w, w[1:]):
+                p = (ones[b] - 1 + 0.1) / (total + 0.1 * (kinds + 1))
+                out += np.log10((twos[a, b] - 1 + k * p) / (max(ones[a] - 1, twos[a, b] - 1) + k))
+        return out
+
+    assert model.smoothing == max(lm_bloom.GRID, key=likelihood) > lm_bloom.GRID[0]
+
+
 def test_language_model_empty(spark, docs):
     assert lm_bloom.score_documents(docs.limit(0)).collect() == []
 
