@@ -11,10 +11,12 @@ Candidates are compared by their parity signatures first: the sets' shingles are
 sets differ in at least as many shingles as their signatures do in places. Large sets have a second signature of 8192
 places, read only for pairs that the first one leaves. What is left then is verified exactly, on the texts.
 
-The result is each document's class: no pairs are expanded. Equal sets are one node from the start. A list
-of heavy candidates is checked against one hub at first, then only its members that are still in another
-component than its majority are compared on, so a group of n near copies costs about n verifications, and no link
-between different sets is lost.
+The result is each document's class: no pairs are expanded. Equal sets are one node from the start. If an element is the
+first that two sets share, all before it in either set are differences, so the sum of its two places is at most the
+difference that a link allows: members without such a partner leave a list, and pairs beyond it are not compared there.
+Each list is compared with one hub first, the member with the fewest elements before the list's own (of a group of near copies, the
+one with the fewest changes). Only members that are still in another component than their list's largest are compared on, with all
+members of other components, so a group of n near copies costs about n verifications, and no link is lost.
 """
 
 from __future__ import annotations
@@ -48,10 +50,6 @@ class Settings:
     #: Cost of verifying an element of a heavy set, in units of a listed row.
     verify_cost: float = 1.0
     max_light: int = 64
-    #: Compare all remaining members at once if that is no more comparisons of signatures than this many times the listed rows.
-    residual_factor: float = 1000.0
-    #: Lists of at most so many members are scanned in full, longer ones through hubs; both are exact.
-    short_list: int = 64
     #: Nodes whose texts are fetched by a broadcast of their ids; more are fetched by a shuffle.
     broadcast_nodes: int = 1_000_000
 
@@ -120,28 +118,36 @@ def _wide(shingles: np.ndarray) -> bytes | None:
     return np.packbits(np.bincount(places, minlength=WIDE_PLACES).astype(np.uint8) & 1).tobytes()
 
 
+def _allowed(a: str, b: str, s: Settings) -> str:
+    """SQL: how many shingles the sets of linked rows a and b may differ in."""
+    total, both = f"({a}.n + {b}.n)", s.numerator + s.denominator
+    return f"({total} - 2 * (({s.numerator} * {total} + {both - 1}) div {both}))"
+
+
 def _may_link(a: str, b: str, s: Settings) -> str:
-    """SQL: sizes and signatures of the rows aliased a and b allow a link."""
-    total = f"({a}.n + {b}.n)"
-    least = f"(({s.numerator} * {total} + {s.numerator + s.denominator - 1}) div {s.numerator + s.denominator})"
+    """SQL: sizes, places in the list and signatures of the rows aliased a and b allow a link."""
     differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in SIGNATURE)
-    return f"{s.denominator} * least({a}.n, {b}.n) >= {s.numerator} * greatest({a}.n, {b}.n) and {differ} <= {total} - 2 * {least}"
+    fit = f"{s.denominator} * least({a}.n, {b}.n) >= {s.numerator} * greatest({a}.n, {b}.n)"
+    return f"{fit} and {a}.place + {b}.place <= {_allowed(a, b, s)} and {differ} <= {_allowed(a, b, s)}"
 
 
 def _subset_keys(shingles: np.ndarray, s: Settings):
-    """(key, least, most size) for each enumerated subset; the key also tells the two sizes."""
+    """(key, check, least, most size) for each enumerated subset; the key also tells the two sizes.
+
+    Key and check are independent: a link is taken from 96 bits of agreement.
+    """
     n = len(shingles)
     with np.errstate(over="ignore"):
-        each = mix(shingles * _U(3) + _U(1))
-        whole = each.sum(dtype=_U)
+        each = np.stack([mix(shingles * _U(3) + _U(1)), mix(shingles * _U(5) + _U(3))])
+        whole = each.sum(axis=1, dtype=_U)[:, None]
         for m in partner_sizes(n, s):
             c = shared_least(n, m, s)
             if c > min(n, m) or c == n == m:
                 continue
             left_out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-            keys = whole - each[left_out].sum(axis=1, dtype=_U)
+            keys = whole - each[:, left_out].sum(axis=2, dtype=_U)
             low, high = min(n, m), max(n, m)
-            yield mix(keys + _U(low * 1_000_003 + high)), low, high
+            yield mix(keys[0] + _U(low * 1_000_003 + high)), (mix(keys[1]) >> _U(33)).astype(np.int32), low, high
 
 
 def _order_hint(docs: DataFrame, count: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +213,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, s: Settin
 
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("node", "text")
     texts = texts.mapInArrow(content, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialize(texts, "nj-texts")  # read for both sides, and so that a hub's pairs can be dealt out
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def compare(batches):
@@ -219,52 +226,56 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, s: Settin
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return materialize(joined.mapInArrow(compare, "a long, b long"), "nj-links")
+    linked = materialize(joined.mapInArrow(compare, "a long, b long"), "nj-links")
+    discard(texts)
+    return linked
 
 
 def _ends():
     return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
 
 
+def _partnered(lists: DataFrame, s: Settings) -> DataFrame:
+    """The members (element, node, n, place) of lists whose place leaves room for some other member's."""
+    least = lists.groupBy("element").agg(F.min(F.struct("place", "node")).alias("first"), F.count("*").alias("length")).filter("length > 1")
+    # A partner has at most n * denominator / numerator elements, and the bound on the difference grows with its size.
+    room = F.expr(f"(n + n * {s.denominator} div {s.numerator}) * {s.denominator - s.numerator} div {s.denominator + s.numerator}")
+    fits = (F.col("node") == F.col("first.node")) | (F.col("place") + F.col("first.place") <= room)
+    return lists.join(least, "element").filter(fits).select("element", "node", "n", "place")
+
+
 def _heavy_components(lists: DataFrame, light_links: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
-    """(node, component) by all links among the members (element, node, n, signature) of inverted lists, and ``light_links``.
+    """(node, component) by all links among the members (element, node, n, place, signature) of inverted lists, and ``light_links``.
 
-    Short lists are scanned in full. Long ones, which a large group of near copies fills, are compared with a hub first.
+    Hubs first, a further one in each list as long as that finds links; then what is left is compared in full.
     """
-    sizes = lists.groupBy("element").agg(F.count("*").alias("length"), F.min(F.struct("node", "n", *SIGNATURE)).alias("hub"))
-    long_ = sizes.filter(F.col("length") > s.short_list)
-    hubs = materialize(long_.select("element", "hub.*"), "nj-hubs")
-    short = lists.join(sizes.filter(F.col("length") <= s.short_list).select("element"), "element")
-    near = short.alias("x").join(short.alias("y"), F.expr(f"x.element = y.element and x.node < y.node and {_may_link('x', 'y', s)}")).select(*_ends())
-    long_lists = materialize(lists.join(hubs.select("element"), "element"), "nj-long")
-    to_hub = long_lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}")).select(*_ends())
-    tried = materialize(near.union(to_hub).distinct(), "nj-tried")
-    links = _verified(tried, docs, described, s)
-    found = materialize(components(links.union(light_links)), "nj-found")
-    used, rows = hubs.select("element", "node"), long_lists.count()
-    while rows:
-        joined = long_lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        members = joined.groupBy("element", "component").count()
-        major = members.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("length"), F.count("*").alias("parts")).filter("parts > 1")
+    member = F.struct("place", "node", "n", *SIGNATURE)
+    hubs = materialize(lists.groupBy("element").agg(F.min(member).alias("h")).select("element", "h.*"), "nj-hubs")
+    tried = lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}"))
+    tried = materialize(tried.select(*_ends()).distinct(), "nj-tried")
+    links = _verified(tried, docs, described, s).union(light_links)
+    found = materialize(components(links), "nj-found")
+    used, last = hubs.select("element", "node"), False
+    while not last:
+        joined = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = joined.groupBy("element", "component").count()
+        major = parts.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
         # Who is neither in the list's largest component nor has been its hub has still to meet the others.
-        minor = joined.join(major, "element").filter("component <> major").join(used, ["element", "node"], "left_anti")
-        minor = materialize(minor.select("element", "node", "n", *SIGNATURE, "component", "length"), "nj-minor")
-        cost = minor.agg(F.sum("length")).first()[0] or 0
-        if not cost:
+        minor = joined.join(major, "element").filter("component <> major").join(used, ["element", "node"], "left_anti").select("element", "place", "node", "n", *SIGNATURE, "component")
+        minor = materialize(minor, "nj-minor")
+        if not minor.limit(1).count():
             break
-        last = cost <= s.residual_factor * rows + 1_000_000
-        if not last:  # one more hub a list, chosen by hash so that lists of one group take different ones
-            one = F.min_by(F.struct("node", "n", *SIGNATURE, "component"), F.xxhash64("node", "element"))
-            minor = materialize(minor.groupBy("element").agg(one.alias("h")).select("element", "h.*"), "nj-minor")
-            used = materialize(used.union(minor.select("element", "node")), "nj-hubs")
-        near = joined.alias("x").join(minor.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
-        pairs = materialize(near.select(*_ends()).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
-        if pairs.limit(1).count():
-            links = links.union(_verified(pairs, docs, described, s))
+        one = minor.groupBy("element").agg(F.min(F.struct("place", "node", "n", *SIGNATURE, "component")).alias("h")).select("element", "h.*")
+        for others, last in ((materialize(one, "nj-hubs"), False), (minor, True)):
+            near = joined.alias("x").join(others.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
+            pairs = materialize(near.select(*_ends()).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
+            more = _verified(pairs, docs, described, s) if pairs.limit(1).count() else None
             tried = tried.union(pairs)
-            found = materialize(components(links.union(light_links)), "nj-found")
-        if last:
-            break
+            if more is not None and more.limit(1).count():
+                links = links.union(more)
+                found = materialize(components(links), "nj-found")
+                used = used.union(others.select("element", "node"))
+                break
     return found
 
 
@@ -276,8 +287,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     a class's id. Repeated rows fall into one class. Rows of one id and different texts are classed each by its own text.
     An empty table gives an empty result. Further columns are ignored.
     """
-    joined = _classes(docs, settings)
-    least = joined.filter("node is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    joined = materialize(_classes(docs, settings), "nj-classes")
+    least = materialize(joined.filter("node is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "nj-least")  # so that a hot class is dealt out
     return joined.join(least, "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
@@ -306,38 +317,41 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
     def rows(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 for x in shingle_sets(batch.column("text"), s.words):
                     n, node = len(x), _node(x) if len(x) else 0
                     found = list(_subset_keys(x, s)) if 0 < n <= light else []
                     if n >= max(listed, 1):
-                        found.append((_rare_first(x, hint.value, prefix_length(n, s)), 0, 0))
-                    for keys, low, high in found:
-                        for column, value in zip(out, (keys.view(np.int64), node, n, low, high), strict=True):
-                            column.append(value if column is out[0] else np.full(len(keys), value, np.int64))
+                        rare = _rare_first(x, hint.value, prefix_length(n, s))
+                        found.append((rare, np.arange(len(rare)), 0, 0))
+                    for keys, place, low, high in found:
+                        for column, value in zip(out, (keys.view(np.int64), place, node, n, low, high), strict=True):
+                            column.append(value if isinstance(value, np.ndarray) else np.full(len(keys), value, np.int64))
                 columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], ["element", "node", "n", "low", "high"])
+                kinds = [np.int64, np.int32, np.int64, np.int32, np.int32, np.int32]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], ["element", "place", "node", "n", "low", "high"])
 
-    # Written before it is read twice; the shuffles below carry no text.
-    listed_rows = materialize(docs.mapInArrow(rows, "element long, node long, n int, low int, high int"), "nj-listed")
+    # Written before it is read twice; the shuffles below carry no text. A subset's place is its check.
+    listed_rows = materialize(docs.mapInArrow(rows, "element long, place int, node long, n int, low int, high int"), "nj-listed")
     shared = listed_rows.groupBy("element").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("element")
     emitted = materialize(listed_rows.join(shared, "element").distinct(), "nj-lists")
     discard(listed_rows)
 
     # Light: in a list of sizes low and high every smaller set is linked with every larger one.
-    sides = emitted.filter("high > 0").groupBy("element").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("small"), F.min(F.when(F.col("n") == F.col("high"), F.col("node"))).alias("large"))
-    light_links = emitted.filter("high > 0").join(sides, "element").select(
+    subsets = emitted.filter("high > 0")
+    sides = subsets.groupBy("element", "place").agg(F.min(F.when(F.col("n") == F.col("low"), F.col("node"))).alias("small"), F.min(F.when(F.col("n") == F.col("high"), F.col("node"))).alias("large"))
+    light_links = subsets.join(sides, ["element", "place"]).select(
         F.col("node").alias("a"), F.when(F.col("n") == F.col("low"), F.col("large")).otherwise(F.col("small")).alias("b")
     ).filter("a <> b").distinct()
 
     # Heavy: members of fitting size share a band or are in neighbouring ones; who shares none has no partner.
     band = F.floor(F.log("n") / float(np.log(s.denominator / s.numerator)) + 1e-9)
-    banded = emitted.filter("high = 0").select("element", "node", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = emitted.filter("high = 0").select("element", "node", "n", "place", F.explode(F.array(band, band + 1)).alias("band"))
     busy = banded.groupBy("element", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("element", "band")
     # From here a list is an element and a band: two members of one list may still share another.
-    lists = banded.join(busy, ["element", "band"]).select(F.xxhash64("element", "band").alias("element"), "node", "n")
+    lists = banded.join(busy, ["element", "band"]).select(F.xxhash64("element", "band").alias("element"), "node", "n", "place")
     marks = described.groupBy("node").agg(*(F.first(c).alias(c) for c in SIGNATURE))
-    lists = materialize(lists.join(marks, "node"), "nj-heavy")
+    lists = materialize(_partnered(lists, s).join(marks, "node"), "nj-heavy")
     found = _heavy_components(lists, light_links, docs, described, s)
     return described.join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("class"))
 

@@ -162,9 +162,8 @@ def test_shingle_join_is_exact(docs):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
 
 
-@pytest.mark.parametrize("short_list", [1, 1000])
-def test_shingle_join_of_sizes(spark, short_list):
-    """Pairs at and just under the threshold, for light and heavy sets, scanned in full or through hubs."""
+def test_shingle_join_of_sizes(spark):
+    """Pairs at and just under the threshold, for light and heavy sets."""
     rows, n = [], 0
     for size in [*range(8, 45), 60, 95, 150, 400]:
         base = [f"t{size}x{i}" for i in range(size + 2)]
@@ -172,7 +171,7 @@ def test_shingle_join_of_sizes(spark, short_list):
             rows += [(n, " ".join(base)), (n + 1, " ".join(base[: len(base) - cut])), (n + 2, " ".join([*base, *(f"new{size}y{i}" for i in range(cut))]))]
             n += 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_jaccard.classes(docs, ngram_jaccard.Settings(short_list=short_list)).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.classes(docs).collect()}
     sets = {i: frozenset(zip(w, w[1:], w[2:])) for i, w in ((i, t.split()) for i, t in rows)}
     root = {i: i for i in sets}
 
@@ -189,6 +188,43 @@ def test_shingle_join_of_sizes(spark, short_list):
     assert got == {i: find(i) for i in sets}
 
 
+def test_shingle_join_of_a_large_group(spark):
+    """A hot list: near copies at all distances from one text, chains of them and a group apart, as by brute force on 3 words and 0.9 and on 5 and 0.8."""
+    rng = random.Random(33)
+    base, other = ([f"{k}{i}" for i in range(90)] for k in "ab")
+    texts = [list(base), list(other)]
+    for _ in range(150):  # up to twelve changes, some shared
+        t = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 12)):
+            t[at] = f"c{at}" if rng.random() < 0.5 else f"d{rng.random()}"
+        texts.append(t)
+    for i in range(40):  # a chain whose ends do not link
+        t = list(texts[-1])
+        t[(2 * i) % 90] = f"e{i}"
+        texts.append(t)
+    for _ in range(30):
+        t = list(other)
+        t[rng.randrange(90)] = f"f{rng.random()}"
+        texts.append(t[: rng.randint(80, 90)] + base[:5])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for settings_ in (ngram_jaccard.Settings(), ngram_jaccard.Settings(words=5, numerator=80, denominator=100)):
+        sets = [frozenset(zip(*(t[k:] for k in range(settings_.words)))) for t in texts]
+        root = list(range(len(sets)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(sets[i] & sets[j])
+            if settings_.denominator * both >= settings_.numerator * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        got = {r.doc_id: r.component_id for r in ngram_jaccard.classes(docs, settings_).collect()}
+        assert got == {i: find(i) for i in range(len(sets))} and 2 < len(set(got.values())) < len(sets) - 20
+
+
 def test_shingle_join_boundary_is_by_cost():
     s = ngram_jaccard.Settings()
     assert ngram_jaccard.boundary({12: 100}, s) >= 12
