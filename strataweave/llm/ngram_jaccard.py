@@ -247,35 +247,34 @@ def _partnered(lists: DataFrame, s: Settings) -> DataFrame:
 def _heavy_components(lists: DataFrame, light_links: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
     """(node, component) by all links among the members (element, node, n, place, signature) of inverted lists, and ``light_links``.
 
-    Hubs first, a further one in each list as long as that finds links; then what is left is compared in full.
+    Hubs first, a further one in each list as long as that halves the members left; then these are compared with all others.
     """
     member = F.struct("place", "node", "n", *SIGNATURE)
     hubs = materialize(lists.groupBy("element").agg(F.min(member).alias("h")).select("element", "h.*"), "nj-hubs")
     tried = lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}"))
     tried = materialize(tried.select(*_ends()).distinct(), "nj-tried")
-    links = _verified(tried, docs, described, s).union(light_links)
-    found = materialize(components(links), "nj-found")
-    used, last = hubs.select("element", "node"), False
+    found = materialize(components(_verified(tried, docs, described, s).union(light_links)), "nj-found")
+    used, left, last = hubs.select("element", "node"), lists.count(), False
     while not last:
         joined = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = joined.groupBy("element", "component").count()
         major = parts.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
         # Who is neither in the list's largest component nor has been its hub has still to meet the others.
         minor = joined.join(major, "element").filter("component <> major").join(used, ["element", "node"], "left_anti").select("element", "place", "node", "n", *SIGNATURE, "component")
-        minor = materialize(minor, "nj-minor")
-        if not minor.limit(1).count():
+        others = materialize(minor, "nj-minor")
+        before, left = left, others.count()
+        if not left:
             break
-        one = minor.groupBy("element").agg(F.min(F.struct("place", "node", "n", *SIGNATURE, "component")).alias("h")).select("element", "h.*")
-        for others, last in ((materialize(one, "nj-hubs"), False), (minor, True)):
-            near = joined.alias("x").join(others.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
-            pairs = materialize(near.select(*_ends()).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
-            more = _verified(pairs, docs, described, s) if pairs.limit(1).count() else None
+        last = 2 * left > before  # hubs no longer halve what is left
+        if not last:
+            one = others.groupBy("element").agg(F.min(F.struct("place", "node", "n", *SIGNATURE, "component")).alias("h")).select("element", "h.*")
+            others = materialize(one, "nj-hubs")
+            used = used.union(others.select("element", "node"))
+        near = joined.alias("x").join(others.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
+        pairs = materialize(near.select(*_ends()).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
+        if pairs.limit(1).count():
             tried = tried.union(pairs)
-            if more is not None and more.limit(1).count():
-                links = links.union(more)
-                found = materialize(components(links), "nj-found")
-                used = used.union(others.select("element", "node"))
-                break
+            found = materialize(components(found.toDF("a", "b").union(_verified(pairs, docs, described, s))), "nj-found")
     return found
 
 
