@@ -54,28 +54,39 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct of size, source_size, target and copies, and that column's name."""
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"_mix{i}").lower() not in {c.lower() for c in docs.columns})
+    sized = docs.withColumn(name, words_in(F.col("text")))
+    goals = targets(sized.groupBy("source").agg(F.sum(name).alias("source_size")), weights, share, most)
+    goals = goals.select(F.col("source").alias(f"{name}s"), F.struct("source_size", "target").alias(f"{name}g"))
+    goals = materialize(goals, "mixing-targets")  # a row a source: sent to all tasks if they are few, else joined by a shuffle
+    goals = F.broadcast(goals) if goals.count() <= MOST_BROADCAST else goals
+    total, target = F.col(f"{name}g.source_size"), F.col(f"{name}g.target")
+    rate = F.when(total > 0, F.least(target / total, F.lit(most))).otherwise(0.0)
+    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    joined = sized.join(goals, F.col("source").eqNullSafe(F.col(f"{name}s")))
+    row = F.struct(F.col(name).alias("size"), total.alias("source_size"), target.alias("target"), copies.cast("int").alias("copies"))
+    return joined.withColumn(name, row).drop(f"{name}s", f"{name}g"), name
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target and ``copies``, the number of times that the mix emits the row.
 
-    Null text: size 0. Null source: a source of its own. Equal rows draw alike. An empty table gives an
-    empty result. The sums a source are pre-aggregated, so that a source with most rows costs no more;
-    the table joined back has one row a source.
+    Null text: size 0. Null source: a source of its own. Equal rows draw alike. Texts of any length are counted whole. An empty
+    table gives an empty result. Columns named like the results are replaced. The sums a source are pre-aggregated, so that a
+    source with most rows costs no more; the table joined back has one row a source.
     """
-    sized = docs.withColumn("size", words_in(F.col("text")))
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goals = materialize(goals, "mixing-targets")  # a row a source: sent to all tasks if they are few, else joined by a shuffle
-    goals = F.broadcast(goals) if goals.count() <= MOST_BROADCAST else goals
-    joined = sized.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    return joined.withColumn(
-        "copies", (F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    )
+    added = ["size", "source_size", "target", "copies"]
+    planned, name = _planned(docs.drop(*added), weights, share, most, seed)
+    return planned.select(*[c for c in planned.columns if c != name], *(F.col(f"{name}.{c}").alias(c) for c in added))
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the plan says, with the columns of ``docs``."""
-    planned = plan(docs, **settings).filter("copies > 0")
-    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the plan says, with the columns of ``docs``, whatever their names."""
+    planned, name = _planned(docs, weights, share, most, seed)
+    kept = planned.filter(f"{name}.copies > 0")
+    return kept.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies")))).select(*docs.columns)
 
 
 ORACLE = r"""

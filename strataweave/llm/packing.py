@@ -28,18 +28,24 @@ from .tokens import slices
 
 WINDOW = 2048
 END = 1
+#: The added token of the public vocabulary.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space for which cutting before a single blank would not keep to the pattern above.
 _UNUSUAL = re.compile(r"  |\n |[^\S \n]")
 _CACHE = 300_000
+#: Sources whose names and sums the driver and each task hold (some MB); more are an error.
+MOST_QUEUES = 100_000
+#: Rounds times queues that a task works on at once.
+_CELLS = 4_000_000
 
 
 class Encoder:
     """Byte-level BPE of a public vocabulary; ids as little-endian bytes.
 
     The pattern never joins what stands before white space to what follows, so that a text with single blanks can
-    be cut before each of them and the parts looked up in a bounded cache; other texts are encoded whole.
-    Strings of special tokens count as ordinary text.
+    be cut before each of them and the parts looked up in a bounded cache; other texts are encoded whole. The vocabulary's
+    one added token is its id wherever its string stands, as the tokenizer's own defaults have it.
     """
 
     def __init__(self, vocabulary: str):
@@ -62,6 +68,11 @@ class Encoder:
         return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if ADDED in text:
+            return np.array([ADDED_ID], "<u2").tobytes().join(self._plain(t) for t in text.split(ADDED))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
@@ -142,23 +153,20 @@ class Schedule:
     def round_of(self, queue: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The round that sends the token at this place of the queue, by bisection."""
         low, high = np.zeros(len(place), np.int64), np.full(len(place), self.rounds, np.int64)
+        rows = max(1, _CELLS // max(1, len(self.totals)))
         while (high - low > 1).any():
             mid = (low + high) // 2
-            sent = self.sent(mid)[np.arange(len(mid)), queue]
+            sent = np.concatenate([self.sent(mid[i : i + rows])[np.arange(len(mid[i : i + rows])), queue[i : i + rows]] for i in range(0, len(mid), rows)])
             low, high = np.where(sent <= place, mid, low), np.where(sent <= place, high, mid)
         return low
 
 
-def tokenized(docs: DataFrame, vocabulary: str, queues: DataFrame, max_queues: int) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, queues: DataFrame) -> DataFrame:
     """Ids of each text with the end, its queue, its task and its place among the task's tokens of the queue.
 
     Written to the shared folder, so that tasks and places stay as they are.
     """
-    if queues is None:
-        queued = docs.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("int"))
-    else:
-        queued = docs.join(F.broadcast(queues), docs["source"].eqNullSafe(queues["queue_source"]))  # at most max_queues rows
-    queued = queued.select("doc_id", "text", "queue")
+    queued = docs.join(F.broadcast(queues), docs["source"].eqNullSafe(queues["queue_source"])).select("doc_id", "text", "queue")  # a row a source: at most MOST_QUEUES
 
     def task(batches):
         encode, place, part = _encoder(vocabulary).encode, {}, TaskContext.get().partitionId()
@@ -181,29 +189,27 @@ def tokenized(docs: DataFrame, vocabulary: str, queues: DataFrame, max_queues: i
 
 def pack(
     docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", weights: Mapping[str | None, float] | None = None,
-    window: int = WINDOW, max_queues: int = 1024,
+    window: int = WINDOW,
 ) -> DataFrame:
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ``weights``: target proportions by source (missing: 0, served when the others are empty); by default each source's
-    share of all tokens, so that all queues end together. More than ``max_queues`` sources are hashed into
-    as many queues. All windows are full but the last, which is to be padded. Null text: only the end token;
-    null source: a source of its own; null ids and repeated rows are packed like any row. An empty
-    table gives an empty result.
+    share of all tokens, so that all queues end together. Each source is a queue of its own; their names and sums are held by the
+    driver, so that more than ``MOST_QUEUES`` raise an error. All windows are full but the last, which is to be padded. Null text: only
+    the end token; null source: a source of its own; null ids and repeated rows are packed like any row. Texts of any length
+    are cut at the ends of rounds and windows. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    names = sorted((r.source for r in docs.select("source").distinct().limit(max_queues + 1).collect()), key=lambda s: (s is None, s or ""))
-    queues = None
-    if len(names) <= max_queues:
-        queues = docs.sparkSession.createDataFrame(list(enumerate(names)), "queue int, queue_source string")
-    elif weights is not None:
-        raise ValueError(f"weights need at most {max_queues} sources")
-    ids = tokenized(docs, vocabulary, queues, max_queues)
+    names = sorted((r.source for r in docs.select("source").distinct().limit(MOST_QUEUES + 1).collect()), key=lambda s: (s is None, s or ""))
+    if len(names) > MOST_QUEUES:
+        raise ValueError(f"more than {MOST_QUEUES} sources")
+    queues = docs.sparkSession.createDataFrame(list(enumerate(names)), "queue int, queue_source string")
+    ids = tokenized(docs, vocabulary, queues)
     parts = ids.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(parts.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))), "packing-bases")
-    totals = np.zeros(max_queues if queues is None else len(names), np.int64)
-    for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # max_queues rows at most
+    totals = np.zeros(len(names), np.int64)
+    for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row a source
         totals[r.queue] = r.n
     shares = totals.astype(float) if weights is None else np.array([float(weights.get(s, 0)) for s in names])
     schedule = Schedule(totals, shares, window)
@@ -225,6 +231,12 @@ def _pieces(batch: pa.RecordBatch, schedule: Schedule):
         return
     first, last = schedule.round_of(queue, place), schedule.round_of(queue, place + n - 1)
     count = last - first + 1
+    limit = max(1, _CELLS // len(schedule.totals))
+    if len(queue) > 1 and count.sum() > limit:  # many queues or rounds: fewer documents at a time
+        half = len(queue) // 2
+        yield from _pieces(batch.slice(0, half), schedule)
+        yield from _pieces(batch.slice(half), schedule)
+        return
     doc = np.repeat(np.arange(len(queue)), count)
     rounds = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     needed, at = np.unique(np.concatenate([rounds, rounds + 1]), return_inverse=True)

@@ -83,15 +83,14 @@ def test_chat_escape(text):
 def documents(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "Gamma", "l'été", "x  y", "\n\nz", "12"], k=rng.randint(0, 80))), rng.choice(["a", "a", "a", "b", "c"]), "d") for i in range(200)]
-    rows += [(200, None, None, None), (201, "", "b", None), (None, "no id", "z", None), (1007, "repeated row", "a", None), (1007, "repeated row", "a", None), (300, "word " * 9000, "b", None)]
+    rows += [(203, "a <|endoftext|> b<|endoftext|>", "b", None), (200, None, None, None), (201, "", "b", None), (None, "no id", "z", None), (1007, "repeated row", "a", None), (1007, "repeated row", "a", None), (300, "word " * 9000, "b", None)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, part string")
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 1, "b": 5}])
 def test_packing(documents, weights):
     rows = packing.pack(documents, weights=weights).collect()
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer = _tokenizer()
     expected = Counter()
     for r in documents.collect():
         expected[(r.doc_id, tuple([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]))] += 1
@@ -138,7 +137,7 @@ def test_schedule_serves_all():
         assert (np.diff(sent, axis=0) >= 0).all() and (sent[0] == 0).all() and (sent[-1] == totals).all()
 
 
-@given(st.text(alphabet="aB1 \n\t.'sé\x1c  ", max_size=40))
+@given(st.lists(st.one_of(st.text(alphabet="aB1 \n\t.'sé\x1c  ", max_size=40), st.sampled_from(["<|endoftext|>", "<|endof", "text|>"])), max_size=5).map("".join))
 @settings(max_examples=150, deadline=None)
 def test_encoder_is_the_tokenizer(text):
     tokenizer = _tokenizer()
@@ -148,8 +147,7 @@ def test_encoder_is_the_tokenizer(text):
 
 def _tokenizer(kept=[]):
     if not kept:
-        kept.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-        kept[0].encode_special_tokens = True
+        kept.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))  # as it is, with its added token
     return kept[0]
 
 
@@ -183,6 +181,26 @@ def test_mixing(spark, documents):
     assert all(abs(r.n - r.t) < 0.05 * r.t for r in taken)
 
 
+def test_mixing_with_clashing_columns(spark, documents):
+    plain = Counter((r.doc_id, r.copies) for r in mixing.plan(documents).collect())
+    clash = documents.select("*", *(F.lit(99).alias(c) for c in ("size", "source_size", "target", "copies", "copy", "level", "weight", "_mix0")))
+    assert Counter((r.doc_id, r.copies) for r in mixing.plan(clash).collect()) == plain
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and {(r["size"], r.target, r["_mix0"]) for r in mixed.collect()} == {(99, 99, 99)}
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in Counter(i for (i, c), m in plain.items() for _ in range(c * m)).items()})
+
+
+def test_packing_of_many_sources(spark, monkeypatch):
+    """More queues than the old bound, each with its own share in every stretch; too many are an error."""
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"), F.col("id").cast("string").alias("source"))
+    rows = packing.pack(docs, weights={str(i): 1 for i in range(1500)}).collect()
+    first = Counter(r.doc_id for r in rows if r.sequence_id == 0 for _ in range(r.length))
+    assert sum(r.length for r in rows) == 1500 * rows[0].doc_tokens and len(first) == 1500 and max(first.values()) <= 2
+    monkeypatch.setattr(packing, "MOST_QUEUES", 1499)
+    with pytest.raises(ValueError):
+        packing.pack(docs)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(6)
