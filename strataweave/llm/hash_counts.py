@@ -18,9 +18,9 @@ RUNS = "bucket int, kind int, keys binary, counts binary"
 FLUSH = 3_000_000
 
 
-def bits_for(entries: float, per_bucket: int = 1_000_000, least: int = 3, most: int = 16) -> int:
+def bits_for(entries: float, per_bucket: int = 1_000_000, least: int = 3) -> int:
     """log2 of the number of buckets, for about ``per_bucket`` entries in each."""
-    return int(np.clip(np.ceil(np.log2(max(entries, 1) / per_bucket)), least, most))
+    return max(least, int(np.ceil(np.log2(max(entries, 1) / per_bucket))))
 
 
 def runs(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], bits: int) -> DataFrame:

@@ -7,8 +7,9 @@ are lower-cased words and an end; probabilities are smoothed recursively,
 
     p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 
-with k chosen from a grid by leave-one-out likelihood on a bounded sample of training texts. Unigram
-counts enter p quantised too (finely), and exactly into the base score.
+with k chosen from a grid by leave-one-out likelihood on all distinct training texts. Unigram
+counts enter p quantised too (finely), and exactly into the base score. Each text is read once: its scores and its
+leave-one-out likelihoods for every k of the grid are computed together, the likelihoods are summed, and the scores of the best k remain.
 
 The counts, and so the filter, grow with the corpus. Filter and unigram table are cut into segments by the
 hash's leading bits. Segments are broadcast only up to ``max_broadcast_mb`` at a time (by default a
@@ -120,9 +121,9 @@ def _segment(settings: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
         place, bits = _places(keys, _U(len(cells)), settings.probes)
         np.bitwise_or.at(cells, place.astype(np.int64), bits)
         return pd.DataFrame({
-            "bucket": [int(group["bucket"].iloc[0])], "keys": [unigrams.tobytes()], "counts": [counts.astype(np.uint32).tobytes()],
+            "bucket": [int(group["bucket"].iloc[0])], "keys": [unigrams.tobytes()], "counts": [counts.astype(_U).tobytes()],
             "cells": [cells.tobytes()], "types": [len(unigrams)], "tokens": [int(counts.sum())],
-            "levels": [top], "size": [12 * len(unigrams) + 8 * len(cells)],
+            "levels": [top], "size": [16 * len(unigrams) + 8 * len(cells)],
         })
 
     return build
@@ -173,7 +174,7 @@ class BloomModel:
 
     def __init__(self, segments: DataFrame, bits: int, settings: Settings):
         self.segments, self.bits, self.settings = segments, bits, settings
-        rows = segments.select("bucket", "types", "tokens", "levels", "size").collect()  # a row a bucket: 2**16 at most
+        rows = segments.select("bucket", "types", "tokens", "levels", "size").collect()  # a row a bucket, without its segment
         self.types, self.tokens = sum(r.types for r in rows), sum(r.tokens for r in rows)
         self.levels = max([0, *(r.levels for r in rows)])
         bound = settings.max_broadcast_mb or max(16, megabytes(segments.sparkSession.conf.get("spark.driver.memory", "1g")) // 6)
@@ -187,7 +188,6 @@ class BloomModel:
             held += r.size
         self.smoothing = GRID[len(GRID) // 2]
         self.texts = 0
-        self.shared = None
 
     def _part(self, number: int) -> Part:
         """The segments of a pass; the first also answers for buckets without any."""
@@ -203,7 +203,7 @@ class BloomModel:
                 start[r.bucket], length[r.bucket] = len(whole["cells"]) // 8, len(r.cells) // 8
                 for column, held in whole.items():
                     held += r[column]
-        keys, counts, cells = (np.frombuffer(whole[c], kind) for c, kind in (("keys", _U), ("counts", np.uint32), ("cells", _U)))
+        keys, counts, cells = (np.frombuffer(whole[c], kind) for c, kind in (("keys", _U), ("counts", np.int64), ("cells", _U)))
         return Part(self.bits, owner == number, keys, counts, cells, start, length, self.levels, self.settings.probes)
 
     def _read(self, texts: DataFrame, columns: list[str], finish: Callable, schema: str) -> DataFrame:
@@ -223,7 +223,7 @@ class BloomModel:
             return bounds, sums((own & (counts > 0)).astype(np.int64)), sums(log), levels
 
         if len(self.passes) == 1:
-            shared = self.shared = self.shared or sc.broadcast(self._part(0))  # tuning and scoring share it
+            shared = sc.broadcast(self._part(0))
 
             def one(batches):
                 for whole in batches:
@@ -273,65 +273,63 @@ class BloomModel:
 
     def _log_probabilities(self) -> Callable:
         """log10 of each item's probability, and which items are tokens; ``less`` 1 leaves the item itself out."""
-        s, low, types, tokens, top = self.settings, 0.1, self.types, self.tokens, self.levels
+        s, low, types, tokens, top, texts = self.settings, 0.1, self.types, self.tokens, self.levels, self.texts
         ones, values = level_counts(255, s.unigram_base), level_counts(top, s.log_base)
 
-        def compute(bounds, levels, smoothing: float, texts: int, less: int = 0):
+        def compute(bounds, levels, less: int = 0):
+            token = np.ones(len(levels[0]), bool)
+            token[bounds[:-1]] = False
             c1 = ones[levels[0]]
             p = (np.maximum(c1 - less, 0) + low) / (tokens + low * (types + 1)) if types else np.full(len(c1), 1.0)
-            history = np.concatenate([[0.0], c1[:-1]])[: len(c1)]
-            history[bounds[:-1] + 1] = texts  # every training text has one begin
-            for level in levels[1:]:
+            seen = [np.concatenate([[0.0], c1[:-1]])[: len(c1)]]
+            seen[0][bounds[:-1] + 1] = texts  # every training text has one begin
+            seen += [np.concatenate([[0.0], values[level][:-1]])[: len(level)] for level in levels[1:-1]]
+            parts = []
+            for level, history in zip(levels[1:], seen, strict=True):
                 c = np.maximum(values[level] - less, 0)
-                p = (c + smoothing * p) / (np.maximum(np.maximum(history - less, 0), c) + smoothing)
-                history = np.concatenate([[0.0], values[level][:-1]])[: len(level)]
-            token = np.ones(len(c1), bool)
-            token[bounds[:-1]] = False
-            return np.log10(p), token
+                parts.append((c, np.maximum(np.maximum(history - less, 0), c)))
+            for k in GRID:
+                q = p
+                for c, history in parts:
+                    q = (c + k * q) / (history + k)
+                yield np.where(token, np.log10(q), 0.0)
 
         return compute
 
-    def tune(self, training: DataFrame, texts: int) -> None:
-        """Choose the smoothing by leave-one-out likelihood of all training texts; equal ones, which copies predict anyway, count once."""
-        compute, self.texts = self._log_probabilities(), texts
-
-        def finish(batch, bounds, known, base, levels):
-            sums = []
-            for k in GRID:
-                p, token = compute(bounds, levels, k, texts, less=1)
-                sums.append(float(p[token].sum()))
-            return pa.RecordBatch.from_arrays([pa.array(range(len(GRID)), pa.int32()), pa.array(sums, pa.float64())], ["k", "s"])
-
-        distinct = training.select("text").distinct()
-        if len(self.passes) > 1:  # each pass reads them
-            distinct = materialize(distinct, "lm-distinct")
-        rows = self._read(distinct, [], finish, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-        if rows:
-            self.smoothing = GRID[max(rows, key=lambda r: (r.s, -r.k)).k]
+    def score(self, texts: DataFrame, columns: list[str], training: Column) -> DataFrame:
+        """``columns`` of each row (numbers or strings) with n_tokens, n_known, train_tokens, base_score, score.
 
-    def score(self, texts: DataFrame, columns: list[str]) -> DataFrame:
-        """``columns`` of each row (numbers or strings) with n_tokens, n_known, train_tokens, base_score, score."""
-        compute, smoothing, count, tokens = self._log_probabilities(), self.smoothing, self.texts, self.tokens
+        The rows for which ``training`` holds choose the smoothing; equal texts, which copies predict anyway, count once.
+        """
+        compute, tokens = self._log_probabilities(), self.tokens
+        grid = [f"{x}{i}" for x in "st" for i in range(len(GRID))]
 
         def finish(batch, bounds, known, base, levels):
-            p, token = compute(bounds, levels, smoothing, count)
-            total = np.add.reduceat(np.where(token, p, 0.0), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+            sums = [np.add.reduceat(p, bounds[:-1]) if len(bounds) > 1 else np.zeros(0) for less in (0, 1) for p in compute(bounds, levels, less)]
             return pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in columns), pa.array(np.diff(bounds) - 1, pa.int64()),
+                *(batch.column(c) for c in (*columns, "_of", "_digest")), pa.array(np.diff(bounds) - 1, pa.int64()),
                 pa.array(known, pa.int64()), pa.array(np.full(len(bounds) - 1, tokens), pa.int64()),
-                pa.array(base, pa.float64()), pa.array(total, pa.float64()),
-            ], [*columns, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                pa.array(base, pa.float64()), *(pa.array(x, pa.float64()) for x in sums),
+            ], [*columns, "_of", "_digest", "n_tokens", "n_known", "train_tokens", "base_score", *grid])
 
-        chosen = texts.select(*columns, "text")
+        # Two independent hashes stand for a text where equal ones are counted once.
+        digest = F.concat_ws(" ", F.xxhash64("text"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+        chosen = texts.select(*columns, training.alias("_of"), digest.alias("_digest"), "text")
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-        return self._read(chosen, columns, finish, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        kinds += ", n_tokens long, n_known long, train_tokens long, base_score double, " + ", ".join(f"{c} double" for c in grid)
+        read = materialize(self._read(chosen, [*columns, "_of", "_digest"], finish, kinds), "lm-scores")
+        each = read.filter("_of").groupBy("_digest").agg(*(F.first(c).alias(c) for c in grid[len(GRID) :]))
+        total = each.agg(*(F.sum(c) for c in grid[len(GRID) :])).first()
+        if total[0] is not None:
+            self.smoothing = GRID[max(range(len(GRID)), key=lambda i: (total[i], -i))]
+        return read.select(*columns, "n_tokens", "n_known", "train_tokens", "base_score", F.col(f"s{GRID.index(self.smoothing)}").alias("score"))
 
 
 def fit(training: DataFrame, settings: Settings = Settings()) -> BloomModel:
     """Count the n-grams of ``training.text`` (null: empty) and build the filter. An empty table gives an empty model."""
     training = training.select("text")
     figures = training.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    order, bits = settings.order, bits_for((figures.b or 0) / 6 * settings.order, 4_000_000)
+    order, bits = settings.order, bits_for((figures.b or 0) / 6 * settings.order, 2_000_000)
 
     def hashes(whole):
         for batch in slices(whole, "text"):
@@ -346,7 +344,7 @@ def fit(training: DataFrame, settings: Settings = Settings()) -> BloomModel:
     counted = runs(training, hashes, bits)
     segments = materialize(counted.groupBy("bucket").applyInPandas(_segment(settings), SEGMENT), "lm-segments")
     model = BloomModel(segments, bits, settings)
-    model.tune(training, figures.n)
+    model.texts = figures.n
     return model
 
 
@@ -363,4 +361,4 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Further columns are ignored.
     """
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    return fit(docs.filter(~F.col("held_out")), settings).score(docs, ["doc_id", "held_out"])
+    return fit(docs.filter(~F.col("held_out")), settings).score(docs, ["doc_id", "held_out"], ~F.col("held_out"))
