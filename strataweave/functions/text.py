@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 ABBREVIATIONS = {"cust": "customer", "addr": "address", "qty": "quantity", "num": "number", "amt": "amount", "desc": "description", "id": "identifier"}
 SYNONYMS = {"client": "customer", "vendor": "supplier", "item": "product", "widget": "product"}
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "what", "which", "how", "who", "when", "where")
-INDICATORS = ("shows", "demonstrates", "according", "therefore", "because", "result", "evidence", "study", "found", "reported", "percent", "increase", "decrease", "significant")
+INDICATORS = ("study", "research", "evidence", "treatment", "diagnosis", "patient", "clinical", "trial", "data", "analysis", "methodology", "results", "conclusion", "reference")
+FACT_PATTERNS = (r"\d+", r"(?i)\b(is|are|was|were|has|have|caused?|leads?|results?|shows?)\b", r"(?i)\b(treatment|medication|disease|patient|study|research)\b")
 
 
 def word_map(word: Column, values: Mapping[str, str]) -> Column:
