@@ -19,16 +19,22 @@ def lookup(key: Column, values: Mapping[str, float], default: float) -> Column:
 
 
 def decay_rate(entity_type: Column) -> Column:
-    return lookup(entity_type, rules.DECAY, rules.DEFAULT_DECAY)
+    """Of the half-life: ln 2 over its hours."""
+    return F.log(F.lit(2.0)) / lookup(entity_type, {k: v[0] for k, v in rules.DECAY.items()}, rules.DEFAULT_DECAY[0])
+
+
+def decay_floor(entity_type: Column) -> Column:
+    """Least score of a type, however old."""
+    return lookup(entity_type, {k: v[1] for k, v in rules.DECAY.items()}, rules.DEFAULT_DECAY[1])
 
 
 def hours_since(ts: Column, ref: str | datetime) -> Column:
     return (F.lit(ref).cast("timestamp").cast("double") - ts.cast("timestamp").cast("double")) / 3600
 
 
-def relevance(entity_type: Column, last: Column, count: Column, ref: str, least: float = 0.05, boost: float = 0.3, most_boost: float = 1.0) -> Column:
-    """max(least, exp(-rate * hours)) * (1 + min(boost * ln(count + 1), most_boost)), at most 1."""
-    decayed = F.greatest(F.exp(-decay_rate(entity_type) * hours_since(last, ref)), F.lit(least))
+def relevance(entity_type: Column, last: Column, count: Column, ref: str, boost: float = 0.3, most_boost: float = 1.0) -> Column:
+    """max(floor, exp(-rate * hours)) * (1 + min(boost * ln(count + 1), most_boost)), at most 1; times after the reference count as now."""
+    decayed = F.greatest(F.exp(-decay_rate(entity_type) * F.greatest(hours_since(last, ref), F.lit(0.0))), decay_floor(entity_type))
     return F.least(decayed * (1 + F.least(boost * F.log1p(count), F.lit(most_boost))), F.lit(1.0))
 
 
@@ -36,9 +42,9 @@ def relevance_category(score: Column) -> Column:
     return F.when(score >= 0.8, "current").when(score >= 0.5, "recent").when(score >= 0.2, "fading").otherwise("stale")
 
 
-def hours_until(entity_type: Column, target: float, least: float = 0.05) -> Column:
-    """Hours after which decay alone reaches the target; infinity where it never falls that low."""
-    return F.when(F.lit(target) <= least, F.lit(float("inf"))).otherwise(-F.log(F.lit(target)) / decay_rate(entity_type))
+def hours_until(entity_type: Column, target: float) -> Column:
+    """Hours after which decay alone reaches the target; infinity where the type's floor is not below it."""
+    return F.when(decay_floor(entity_type) >= target, F.lit(float("inf"))).otherwise(-F.log(F.lit(target)) / decay_rate(entity_type))
 
 
 def freshness(ts: Column, ref: str, days: int = 7) -> Column:

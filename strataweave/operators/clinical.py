@@ -11,7 +11,7 @@ from . import rules
 
 
 def _terms(subjects: DataFrame, column: str, name: str) -> DataFrame:
-    return subjects.select("subject_id", F.explode(column).alias(name)).distinct()
+    return subjects.select("subject_id", F.explode(F.transform(column, F.lower)).alias(name)).distinct()
 
 
 def _table(subjects: DataFrame, rows: Sequence, schema: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _table(subjects: DataFrame, rows: Sequence, schema: str) -> DataFrame:
 
 
 def alerts(subjects: DataFrame) -> DataFrame:
-    """subject_id, rule, detail, severity, confidence: drug pairs, drugs with conditions, cross reactions, symptom patterns."""
+    """subject_id, rule, detail, severity, confidence: drug pairs, drugs with conditions, cross reactions, symptom patterns, in any case."""
     drugs = _terms(subjects, "medications", "drug")
     pair = _table(subjects, rules.DRUG_PAIRS, "drug string, other string, severity string")
     pairs = drugs.join(pair, "drug").join(drugs.withColumnRenamed("drug", "other"), ["subject_id", "other"]).select("subject_id", F.lit("drug_pair").alias("rule"), F.concat_ws("+", "drug", "other").alias("detail"), "severity", F.lit(1.0).alias("confidence"))
@@ -27,9 +27,10 @@ def alerts(subjects: DataFrame) -> DataFrame:
     conditions = drugs.join(condition, "drug").join(_terms(subjects, "conditions", "condition"), ["subject_id", "condition"]).select("subject_id", F.lit("drug_condition"), F.concat_ws("+", "drug", "condition"), "severity", F.lit(1.0))
     reaction = _table(subjects, rules.CROSS_REACTIONS, "allergen string, drug string, severity string")
     reactions = _terms(subjects, "allergies", "allergen").join(reaction, "allergen").join(drugs, ["subject_id", "drug"]).select("subject_id", F.lit("cross_reaction"), F.concat_ws("+", "allergen", "drug"), "severity", F.lit(1.0))
-    pattern = _table(subjects, [(name, x, len(s), least) for name, s, least in rules.SYMPTOM_PATTERNS for x in s], "pattern string, symptom string, size int, least int")
-    hits = _terms(subjects, "symptoms", "symptom").join(pattern, "symptom").groupBy("subject_id", "pattern", "size", "least").agg(F.count_distinct("symptom").alias("n"))
-    patterns = hits.filter("n >= least").select("subject_id", F.lit("symptom_pattern"), "pattern", F.lit("medium"), F.round(F.least(F.lit(1.0), F.col("n") / F.col("size")), 6))
+    pattern = _table(subjects, [(name, severity, x, len(s), least) for name, severity, s, least in rules.SYMPTOM_PATTERNS for x in s], "pattern string, severity string, symptom string, size int, least int")
+    told = _terms(subjects, "symptoms", "told").join(pattern, F.expr("contains(told, symptom)"))  # a rule's words inside what was told
+    hits = told.groupBy("subject_id", "pattern", "severity", "size", "least").agg(F.count_distinct("symptom").alias("n"))
+    patterns = hits.filter("n >= least").select("subject_id", F.lit("symptom_pattern"), "pattern", "severity", F.round(F.least(F.lit(1.0), F.col("n") / F.col("size")), 6))
     return pairs.union(conditions).union(reactions).union(patterns)
 
 

@@ -69,23 +69,41 @@ def low_confidence(nodes: DataFrame, least: Mapping[str, float] = rules.LAYER_MI
     return nodes.withColumn("min_confidence", limits).filter("confidence < min_confidence")
 
 
-def _rule_matches(nodes: DataFrame, table: Sequence[tuple]) -> DataFrame:
+def _rule_matches(nodes: DataFrame, table: Sequence[tuple], excluded: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(id, layer, priority, step, canonical_type, target_layer) of each rule that a node's type or one of its labels meets."""
     spark = nodes.sparkSession
-    known = F.broadcast(spark.createDataFrame(list(table), "priority int, kind string, value string, canonical_type string, target_layer string"))
-    values = F.array(F.struct(F.lit("type").alias("kind"), F.lower("type").alias("value")))
-    values = F.concat(values, F.transform("labels", lambda x: F.struct(F.lit("label").alias("kind"), F.lower(x).alias("value"))))
-    return nodes.select("id", F.explode(values).alias("v")).select("id", "v.*").join(known, ["kind", "value"])
+    rows = [(i, step, kind, v, canonical, layer, list(excluded.get(step, ()))) for i, (step, canonical, layer, types, labels) in enumerate(table, 1) for kind, values in (("type", types), ("label", labels)) for v in values]
+    known = F.broadcast(spark.createDataFrame(rows, "priority int, step string, kind string, value string, canonical_type string, target_layer string, _not array<string>"))
+    values = F.array(F.struct(F.lit("type").alias("kind"), F.col("type").alias("value")))
+    values = F.concat(values, F.transform("labels", lambda x: F.struct(F.lit("label").alias("kind"), x.alias("value"))))
+    found = nodes.select("id", "layer", "labels", F.explode(values).alias("v")).select("id", "layer", "labels", "v.*").join(known, ["kind", "value"])
+    return found.filter(~F.arrays_overlap("labels", "_not"))
 
 
-def canonicalize(nodes: DataFrame, table: Sequence[tuple] = rules.CANONICAL_TYPES) -> DataFrame:
-    """id, canonical_type, target_layer, priority by the first matching rule: one pass in place of one update a rule."""
-    best = _rule_matches(nodes, table).groupBy("id").agg(F.min(F.struct("priority", "canonical_type", "target_layer")).alias("r"))
-    return best.select("id", "r.*")
+def canonicalize(nodes: DataFrame, table: Sequence[tuple] = rules.CANONICAL_TYPES, excluded: Mapping[str, Sequence[str]] = rules.NOT_CANONICAL) -> DataFrame:
+    """id, step, canonical_type, layer by the first matching rule: one pass in place of one update a rule. A layer that is set stays."""
+    best = _rule_matches(nodes, table, excluded).groupBy("id").agg(F.min(F.struct("priority", "step", "canonical_type", F.coalesce("layer", "target_layer").alias("layer"))).alias("r"))
+    return best.select("id", "r.step", "r.canonical_type", "r.layer")
 
 
-def canonicalize_dry_run(nodes: DataFrame, table: Sequence[tuple] = rules.CANONICAL_TYPES) -> DataFrame:
-    """Nodes that each rule alone would touch, not first-match."""
-    return _rule_matches(nodes, table).groupBy("priority", "canonical_type").agg(F.count_distinct("id").alias("n"))
+def canonicalize_dry_run(nodes: DataFrame, edges: DataFrame, table: Sequence[tuple] = rules.CANONICAL_TYPES, excluded: Mapping[str, Sequence[str]] = rules.NOT_CANONICAL) -> DataFrame:
+    """step, n: nodes that each step alone would touch on the graph as it is, not first-match; 0 where a step finds none.
+
+    Beside the rules: conversations to mark as structural, types to infer from labels, reviews to ask for, orphans to flag.
+    """
+    spark = nodes.sparkSession
+    plain = ~is_structural()
+    review = plain & noise_reason().isNull()
+    touched = F.explode(F.array_compact(F.array(
+        F.when(has_label(rules.CONVERSATION_LABELS), "conversation_structural"), F.when(F.col("type").isNull() & plain & has_label(rules.INFERRING_LABELS), "null_type_inference"),
+        F.when(F.col("type").isNull() & review, "null_type_review"), F.when(F.col("type").isin("Unknown", "unknown") & review, "unknown_type_review"),
+    )))
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    orphans = nodes.filter(plain & F.col("id").isNotNull()).join(linked, "id", "left_anti").select("id", F.lit("orphan_flagging").alias("step"))
+    found = _rule_matches(nodes, table, excluded).select("id", "step").union(nodes.select("id", touched.alias("step"))).union(orphans)
+    steps = [*(r[0] for r in table), "conversation_structural", "null_type_inference", "null_type_review", "unknown_type_review", "orphan_flagging"]
+    counts = found.groupBy("step").agg(F.count_distinct("id").alias("n"))
+    return F.broadcast(spark.createDataFrame([(x,) for x in steps], "step string")).join(counts, "step", "left").fillna(0, ["n"])
 
 
 def infer_type(nodes: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -101,11 +119,16 @@ def review_reasons(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("review_reason", reason).filter("review_reason is not null")
 
 
-def normalize_types(nodes: DataFrame, aliases: Mapping[str, str] = rules.TYPE_ALIASES) -> DataFrame:
-    """Types whose canonical form differs: by alias, else lower-cased with blanks and hyphens as underscores."""
-    fallback = F.lower(F.trim(F.translate("type", "- ", "__")))
-    canonical = F.coalesce(F.element_at(literal_map(aliases), F.coalesce(F.lower("type"), F.lit(""))), fallback)
-    return nodes.filter("type is not null").withColumn("canonical_type", canonical).filter("canonical_type <> type")
+def normalized_type(kind: Column, aliases: Mapping[str, str] = rules.TYPE_ALIASES) -> Column:
+    """A type lower-cased with blanks and hyphens as underscores, or what that is an alias of."""
+    plain = F.lower(F.trim(F.translate(kind, "- ", "__")))
+    return F.coalesce(F.try_element_at(literal_map(aliases), plain), plain)
+
+
+def normalize_types(mapped: DataFrame, aliases: Mapping[str, str] = rules.TYPE_ALIASES) -> DataFrame:
+    """Rows (type, canonical_type, ..) whose canonical type is not their type's normalized form, with that form in its place."""
+    fixed = normalized_type(F.col("type"), aliases)
+    return mapped.filter(F.col("type").isNotNull() & F.col("canonical_type").isNotNull() & (fixed != F.col("canonical_type"))).withColumn("canonical_type", fixed)
 
 
 def dismiss(nodes: DataFrame, ids: DataFrame, undo: bool = False) -> DataFrame:

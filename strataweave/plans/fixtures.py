@@ -37,6 +37,11 @@ FIXTURES: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'order:' || cast(l_orderkey as string), 'CONTAINS', 'part:' || cast(l_partkey as string), l_orderkey, l_partkey FROM {lineitem}
         UNION ALL SELECT DISTINCT 'supplier:' || cast(l_suppkey as string), 'SUPPLIES', 'part:' || cast(l_partkey as string), l_suppkey, l_partkey FROM {lineitem}
         UNION ALL SELECT 'order:' || cast(o_orderkey as string), 'CONTAINS', 'part:' || cast(o_orderkey + 100000000 as string), o_orderkey, cast(0 as bigint) FROM {orders} WHERE o_orderkey % 1000 = 1) e""",
+    "entities": """
+        SELECT CASE WHEN k % 41 = 0 THEN '' WHEN k % 43 = 0 THEN 'a b ' || id WHEN k % 47 = 0 THEN id || '<x>' WHEN k % 53 = 0 THEN 'none' ELSE id END AS id, name, labels, layer, k,
+               CASE k % 4 WHEN 0 THEN map_from_arrays(array('source', 'confidence', 'domain', 'description'), array('feed', cast(cast(k % 130 as double) / 100 as string), 'sales', CASE WHEN k % 8 = 0 THEN NULL ELSE 'text' END))
+                 WHEN 1 THEN map_from_arrays(array('Type', 'origin', 'reasoning'), array('x', 'crm', 'rule')) WHEN 2 THEN map_from_arrays(array('usage_count', 'usage_context', 'access_pattern', 'confidence'), array('3', 'report', 'daily', '0.7'))
+                 ELSE map_from_arrays(array('note', ' '), array(repeat('n', cast(k % 3 * 600 as int)), 'b')) END AS properties FROM {nodes}""",
     "hierarchy": """
         SELECT 'p' || cast(p_partkey as string) AS child, 'p' || cast(p_partkey div 2 as string) AS parent FROM {part} WHERE p_partkey > 1
         UNION ALL SELECT 'c1', 'c2' UNION ALL SELECT 'c2', 'c3' UNION ALL SELECT 'c3', 'c1'""",
@@ -48,7 +53,7 @@ FIXTURES: dict[str, str] = {
                CASE WHEN length(m) % 2 = 0 THEN cast(0.6 as double) ELSE cast(0.75 as double) END AS confidence
         FROM (SELECT chunk_id, doc_id, seq, explode_all(text, '[A-Z][a-z][a-z][a-z][a-z][a-z][a-z]+') AS m FROM {chunks}) c""",
     "observations": """
-        SELECT 'user:' || cast(user_id as string) || ':' || event_type AS id, user_id, CASE event_type WHEN 'click' THEN 'symptom' WHEN 'view' THEN 'medication' WHEN 'purchase' THEN 'diagnosis' WHEN 'signup' THEN 'allergy' ELSE 'other' END AS entity_type,
+        SELECT 'user:' || cast(user_id as string) || ':' || event_type AS id, user_id, CASE event_type WHEN 'click' THEN 'Symptom' WHEN 'view' THEN 'Medication' WHEN 'purchase' THEN 'Diagnosis' WHEN 'signup' THEN 'Preference' ELSE 'Other' END AS entity_type,
                min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, avg(value) / 500 AS confidence
         FROM {events} GROUP BY user_id, event_type""",
     "feedback": """
@@ -70,13 +75,13 @@ FIXTURES: dict[str, str] = {
         FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "subjects": """
         SELECT 'c' || cast(c_custkey as string) AS subject_id,
-               CASE c_custkey % 5 WHEN 0 THEN array('warfarin', 'aspirin') WHEN 1 THEN array('metformin') WHEN 2 THEN array('ibuprofen', 'lisinopril') WHEN 3 THEN array('amoxicillin') ELSE array('aspirin', 'metformin') END AS medications,
-               CASE c_custkey % 4 WHEN 0 THEN array('diabetes') WHEN 1 THEN array('hypertension', 'asthma') WHEN 2 THEN array('kidney disease') ELSE array('gout') END AS conditions,
+               CASE c_custkey % 5 WHEN 0 THEN array('warfarin', 'aspirin') WHEN 1 THEN array('metformin', 'Tramadol', 'diazepam') WHEN 2 THEN array('ibuprofen', 'lisinopril', 'potassium') WHEN 3 THEN array('amoxicillin', 'naproxen') ELSE array('aspirin', 'metformin') END AS medications,
+               CASE c_custkey % 4 WHEN 0 THEN array('diabetes', 'chronic kidney disease') WHEN 1 THEN array('hypertension', 'asthma', 'Heart failure') WHEN 2 THEN array('kidney disease', 'pregnancy') ELSE array('gout') END AS conditions,
                CASE c_custkey % 6 WHEN 0 THEN array('penicillin') WHEN 1 THEN array('aspirin') ELSE array('none') END AS allergies,
-               CASE c_custkey % 3 WHEN 0 THEN array('thirst', 'fatigue', 'blurred vision') WHEN 1 THEN array('chest pain', 'shortness of breath') ELSE array('fatigue') END AS symptoms FROM {customer}""",
+               CASE c_custkey % 3 WHEN 0 THEN array('thirst', 'fatigue', 'blurred vision', 'severe nausea', 'vomiting', 'mild abdominal pain') WHEN 1 THEN array('chest pain', 'shortness of breath') ELSE array('fatigue', 'Fever', 'chills', 'sudden confusion') END AS symptoms FROM {customer}""",
     "incoming": """
         SELECT p_partkey AS in_id, p_type AS type, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, cast(p_partkey % 5 as int) + 2) || substr(p_name, cast(p_partkey % 5 as int) + 4) END AS name
-        FROM {part} WHERE p_partkey % 10 = 0 OR p_partkey % 10 = 3""",
+        FROM {part}""",
     "store_a": "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status FROM {orders}",
     "store_b": "SELECT o_orderkey AS id, o_custkey AS owner, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM {orders} WHERE o_orderkey % 20 <> 0",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
@@ -91,7 +96,7 @@ def _spark(sql: str) -> str:
 def _duck(sql: str) -> str:
     sql = re.sub(r"\[\[range (.*?)\]\]", r"unnest(range(0, \1 + 1))", sql)
     sql = re.sub(r"explode_all\((\w+), ('[^']*')\)", r"unnest(regexp_extract_all(\1, \2))", sql)
-    return sql.replace(" div ", " // ").replace("array(", "list_value(")
+    return sql.replace(" div ", " // ").replace("map_from_arrays(", "map(").replace("array(", "list_value(")
 
 
 def _names(sql: str) -> list[str]:

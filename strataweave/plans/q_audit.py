@@ -123,7 +123,7 @@ def _(t):
     return t.nodes.groupBy("layer").agg(F.count("*").alias("total"), F.count_if(is_structural()).alias("structural"), F.count_if(m).alias("mapped"), F.round(100.0 * F.count_if(m) / F.count("*"), 2).alias("percent"))
 
 
-@query("AGG-26", "SELECT type, count(*) AS n FROM {nodes} WHERE type IS NOT NULL AND lower(type) NOT IN ('domain', 'businessconcept', 'informationasset', 'promo') AND NOT list_has_any(labels, ['Domain', 'Organization', 'DataEntity', 'BusinessConcept', 'InformationAsset']) GROUP BY 1 UNION ALL SELECT '(mapped)', count(*) FROM {nodes} WHERE lower(type) IN ('domain', 'businessconcept', 'informationasset', 'promo') OR list_has_any(labels, ['Domain', 'Organization', 'DataEntity', 'BusinessConcept', 'InformationAsset'])")
+@query("AGG-26", "SELECT type, count(*) AS n FROM {nodes} WHERE type IS NOT NULL AND NOT list_has_any(labels, ['Organization', 'DataEntity', 'BusinessConcept', 'InformationAsset']) GROUP BY 1 UNION ALL SELECT '(mapped)', count(*) FROM {nodes} WHERE list_has_any(labels, ['Organization', 'DataEntity', 'BusinessConcept', 'InformationAsset'])")
 def _(t):
     from ..operators.flags import canonicalize
 

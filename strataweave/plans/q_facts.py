@@ -104,9 +104,9 @@ def _(t):
 
 @query("SCL-04", r"SELECT id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS name, coalesce(CASE lower(type) WHEN 'businessconcept' THEN 'business_concept' WHEN 'informationasset' THEN 'information_asset' ELSE lower(type) END, 'unknown') AS type FROM {nodes}")
 def _(t):
-    from ..operators.rules import TYPE_ALIASES
+    from ..operators.rules import JOINED_TYPES
 
-    return t.nodes.select("id", F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), F.coalesce(text.word_map(F.lower("type"), TYPE_ALIASES), F.lit("unknown")).alias("type"))
+    return t.nodes.select("id", F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), F.coalesce(text.word_map(F.lower("type"), JOINED_TYPES), F.lit("unknown")).alias("type"))
 
 
 _SNAKE = r"lower(regexp_replace(regexp_replace(trim(type), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[\s-]+', '_', 'g'))"
@@ -114,25 +114,25 @@ _SNAKE = r"lower(regexp_replace(regexp_replace(trim(type), '([a-z0-9])([A-Z])',
 
 @query("SCL-05", f"SELECT DISTINCT type, CASE WHEN {_SNAKE} IN ('domain', 'business_concept', 'organization', 'information_asset', 'data_entity') THEN {_SNAKE} END AS resolved FROM {{nodes}} WHERE type IS NOT NULL")
 def _(t):
-    from ..operators.rules import KNOWN_TYPES, TYPE_ALIASES
+    from ..operators.rules import JOINED_TYPES, KNOWN_TYPES
 
-    return t.nodes.filter("type is not null").select("type", text.resolved_type(F.col("type"), TYPE_ALIASES, list(KNOWN_TYPES)).alias("resolved")).distinct()
+    return t.nodes.filter("type is not null").select("type", text.resolved_type(F.col("type"), JOINED_TYPES, list(KNOWN_TYPES)).alias("resolved")).distinct()
 
 
 @query("AGG-57", f"SELECT type, count(*) AS n FROM {{nodes}} WHERE type IS NOT NULL AND {_SNAKE} NOT IN ('domain', 'business_concept', 'organization', 'information_asset', 'data_entity') GROUP BY 1")
 def _(t):
-    from ..operators.rules import KNOWN_TYPES, TYPE_ALIASES
+    from ..operators.rules import JOINED_TYPES, KNOWN_TYPES
 
-    rows = t.nodes.filter("type is not null").withColumn("resolved", text.resolved_type(F.col("type"), TYPE_ALIASES, list(KNOWN_TYPES)))
+    rows = t.nodes.filter("type is not null").withColumn("resolved", text.resolved_type(F.col("type"), JOINED_TYPES, list(KNOWN_TYPES)))
     return rows.filter("resolved is null").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("SCL-06", "SELECT id, CASE type WHEN 'Domain' THEN 'Domain' WHEN 'BusinessConcept' THEN 'BusinessConcept' WHEN 'Organization' THEN 'Organization' WHEN 'InformationAsset' THEN 'InformationAsset' END AS class, CASE type WHEN 'Domain' THEN 'SEMANTIC' WHEN 'BusinessConcept' THEN 'SEMANTIC' WHEN 'Organization' THEN 'PERCEPTION' WHEN 'InformationAsset' THEN 'APPLICATION' END AS target FROM {nodes}")
 def _(t):
-    from ..operators.rules import KNOWN_TYPES, TYPE_ALIASES
+    from ..operators.rules import JOINED_TYPES, KNOWN_TYPES
 
     table = F.broadcast(t.spark.createDataFrame([(k, *v) for k, v in KNOWN_TYPES.items()], "resolved string, class string, target string"))
-    rows = t.nodes.withColumn("resolved", text.resolved_type(F.col("type"), TYPE_ALIASES, list(KNOWN_TYPES)))
+    rows = t.nodes.withColumn("resolved", text.resolved_type(F.col("type"), JOINED_TYPES, list(KNOWN_TYPES)))
     return rows.join(table, "resolved", "left").select("id", "class", "target")
 
 

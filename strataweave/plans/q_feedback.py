@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..operators import feedback, graph
+from ..operators import feedback, graph, rules
 from .fixtures import REF_TIME, query
 
-_RATES = "CASE entity_type WHEN 'symptom' THEN 0.05 WHEN 'medication' THEN 0.02 WHEN 'diagnosis' THEN 0.005 WHEN 'allergy' THEN 0.001 ELSE 0.01 END::DOUBLE"
+_CASE = lambda i: "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in rules.DECAY.items()) + f" ELSE {rules.DEFAULT_DECAY[i]} END::DOUBLE"
+_RATES, _FLOOR = f"(ln(2.0::DOUBLE) / {_CASE(0)})", _CASE(1)
 _HOURS = f"(epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(last_observed)) / 3600000000.0"
-_SCORE = f"least(greatest(exp(-{_RATES} * {_HOURS}), 0.05) * (1 + least(0.3 * ln(observation_count + 1), 1.0)), 1.0)"
+_SCORE = f"least(greatest(exp(-{_RATES} * greatest({_HOURS}, 0)), {_FLOOR}) * (1 + least(0.3 * ln(observation_count + 1), 1.0)), 1.0)"
 
 
 def _scored(t):
@@ -21,9 +22,9 @@ def _(t):
     return _scored(t).select("id", "entity_type", "score")
 
 
-@query("SCL-21", f"SELECT id, CASE WHEN {_SCORE} >= 0.8 THEN 'current' WHEN {_SCORE} >= 0.5 THEN 'recent' WHEN {_SCORE} >= 0.2 THEN 'fading' ELSE 'stale' END AS category, round(-ln(0.5) / {_RATES}, 4) AS hours FROM {{observations}}")
+@query("SCL-21", f"SELECT id, CASE WHEN {_SCORE} >= 0.8 THEN 'current' WHEN {_SCORE} >= 0.5 THEN 'recent' WHEN {_SCORE} >= 0.2 THEN 'fading' ELSE 'stale' END AS category, CASE WHEN {_FLOOR} >= 0.3 THEN 'infinity'::DOUBLE ELSE round(-ln(0.3::DOUBLE) / {_RATES}, 4) END AS hours FROM {{observations}}")
 def _(t):
-    return _scored(t).select("id", temporal.relevance_category(F.col("raw")).alias("category"), F.round(temporal.hours_until(F.col("entity_type"), 0.5), 4).alias("hours"))
+    return _scored(t).select("id", temporal.relevance_category(F.col("raw")).alias("category"), F.round(temporal.hours_until(F.col("entity_type"), 0.3), 4).alias("hours"))
 
 
 @query("SCL-24", f"SELECT id, CASE WHEN {_HOURS} <= 168 THEN 'recent' ELSE 'stale' END AS freshness FROM {{observations}}")
@@ -36,9 +37,9 @@ def _(t):
     return _scored(t).filter("last_observed >= timestamp '2024-01-20 00:00:00' and last_observed < timestamp '2024-01-28 00:00:00'").select("id", "score")
 
 
-@query("TOP-05", f"SELECT id, round({_SCORE}, 6) AS score FROM {{observations}} WHERE {_SCORE} >= 0.05 ORDER BY score DESC, id LIMIT 100")
+@query("TOP-05", f"SELECT id, round({_SCORE}, 6) AS score FROM {{observations}} WHERE {_SCORE} >= 0.05 ORDER BY score DESC, id")
 def _(t):
-    return _scored(t).filter("raw >= 0.05").orderBy(F.desc("score"), "id").limit(100).select("id", "score")
+    return _scored(t).filter("raw >= 0.05").orderBy(F.desc("score"), "id").select("id", "score")
 
 
 @query("SCL-27", "SELECT id, round(greatest(confidence * pow(0.9, k % 6), 0.1), 6) AS decayed, round(confidence * 0.3 + (k % 10) / 10.0 * 0.7, 6) AS blended, round(confidence * CASE layer WHEN 'PERCEPTION' THEN 0.7 WHEN 'SEMANTIC' THEN 0.85 WHEN 'REASONING' THEN 0.9 WHEN 'APPLICATION' THEN 1.0 ELSE 0.5 END, 6) AS adjusted FROM {nodes}")

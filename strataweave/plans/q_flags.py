@@ -7,10 +7,11 @@ from .fixtures import query
 
 _IN = lambda values: ", ".join(f"'{v}'" for v in values)
 _STRUCTURAL = "list_has_any(labels, [%s])" % _IN(rules.STRUCTURAL_LABELS)
-_RULES = ", ".join("(%d, '%s', '%s', '%s', '%s')" % r for r in rules.CANONICAL_TYPES)
-_MATCH = f"""rules(priority, kind, value, canonical_type, target_layer) AS (VALUES {_RULES}),
-  vals AS (SELECT id, 'type' AS kind, lower(type) AS value FROM {{nodes}} UNION ALL SELECT id, 'label', lower(unnest(labels)) FROM {{nodes}}),
-  hits AS (SELECT v.id, r.* FROM vals v JOIN rules r USING (kind, value))"""
+_RULES = ", ".join(f"({i}, '{step}', '{kind}', '{v}', '{canonical}', '{layer}')" for i, (step, canonical, layer, types, labels) in enumerate(rules.CANONICAL_TYPES, 1) for kind, values in (("type", types), ("label", labels)) for v in values)
+_MATCH = f"""rules(priority, step, kind, value, canonical_type, target_layer) AS (VALUES {_RULES}),
+  vals AS (SELECT id, layer, labels, 'type' AS kind, type AS value FROM {{nodes}} UNION ALL SELECT id, layer, labels, 'label', unnest(labels) FROM {{nodes}}),
+  hits AS (SELECT v.id, v.layer, r.* FROM vals v JOIN rules r USING (kind, value) WHERE NOT (step = 'table' AND list_has_any(labels, ['Chunk', 'Document', 'ExtractedEntity'])))"""
+_NORMAL = "CASE x {} ELSE x END".format(" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TYPE_ALIASES.items())).replace(" x ", " lower(trim(translate(type, '- ', '__'))) ").replace("ELSE x", "ELSE lower(trim(translate(type, '- ', '__')))")
 
 
 @query("FLT-01", f"SELECT unnest(labels) AS label, count(*) AS count FROM {{nodes}} WHERE {_STRUCTURAL} GROUP BY 1")
@@ -48,14 +49,25 @@ def _(t):
     return flags.low_confidence(t.nodes).select("id", "layer", "confidence")
 
 
-@query("FLT-08", f"WITH {_MATCH} SELECT id, priority, canonical_type, target_layer FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority) = 1")
+_FIRST = "first AS (SELECT id, step, canonical_type, coalesce(layer, target_layer) AS layer FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority) = 1)"
+
+
+@query("FLT-08", f"WITH {_MATCH}, {_FIRST} SELECT * FROM first")
 def _(t):
     return flags.canonicalize(t.nodes)
 
 
-@query("FLT-09", f"WITH {_MATCH} SELECT priority, canonical_type, count(DISTINCT id) AS n FROM hits GROUP BY ALL")
+_PLAIN = f"NOT {_STRUCTURAL}"
+_REVIEW = f"{_PLAIN} AND NOT (length(name) < 3 OR lower(trim(name)) IN ({_IN(rules.STOPWORDS)}))"
+
+
+@query("FLT-09", f"""WITH {_MATCH}, steps AS (SELECT DISTINCT step FROM rules UNION ALL VALUES ('conversation_structural'), ('null_type_inference'), ('null_type_review'), ('unknown_type_review'), ('orphan_flagging')),
+  touched AS (SELECT step, id FROM hits UNION ALL SELECT 'conversation_structural', id FROM {{nodes}} WHERE list_has_any(labels, ['ConversationSession', 'Message']) UNION ALL SELECT 'null_type_inference', id FROM {{nodes}} WHERE type IS NULL AND {_PLAIN} AND list_has_any(labels, [{_IN(rules.INFERRING_LABELS)}])
+    UNION ALL SELECT 'null_type_review', id FROM {{nodes}} WHERE type IS NULL AND {_REVIEW} UNION ALL SELECT 'unknown_type_review', id FROM {{nodes}} WHERE lower(type) = 'unknown' AND {_REVIEW}
+    UNION ALL SELECT 'orphan_flagging', id FROM {{nodes}} WHERE {_PLAIN} AND id NOT IN (SELECT src FROM {{edges}} UNION SELECT dst FROM {{edges}}))
+  SELECT step, count(DISTINCT id) AS n FROM steps LEFT JOIN touched USING (step) GROUP BY step""")
 def _(t):
-    return flags.canonicalize_dry_run(t.nodes)
+    return flags.canonicalize_dry_run(t.nodes, t.edges)
 
 
 @query("FLT-10", "SELECT id, lower(list_filter(labels, lambda x: x IN ('DataEntity', 'Organization', 'Domain'))[1]) AS inferred_type FROM {nodes} WHERE type IS NULL")
@@ -68,9 +80,10 @@ def _(t):
     return flags.review_reasons(t.nodes).select("id", "review_reason")
 
 
-@query("FLT-13", "SELECT id, CASE lower(type) WHEN 'businessconcept' THEN 'business_concept' WHEN 'informationasset' THEN 'information_asset' WHEN 'dataentity' THEN 'data_entity' ELSE lower(trim(translate(type, '- ', '__'))) END AS canonical_type FROM {nodes} WHERE type IS NOT NULL AND CASE lower(type) WHEN 'businessconcept' THEN 'business_concept' WHEN 'informationasset' THEN 'information_asset' WHEN 'dataentity' THEN 'data_entity' ELSE lower(trim(translate(type, '- ', '__'))) END <> type")
+@query("FLT-13", f"WITH {_MATCH}, {_FIRST} SELECT id, {_NORMAL} AS canonical_type FROM {{nodes}} JOIN first USING (id) WHERE type IS NOT NULL AND {_NORMAL} <> canonical_type")
 def _(t):
-    return flags.normalize_types(t.nodes).select("id", "canonical_type")
+    mapped = t.nodes.select("id", "type").join(flags.canonicalize(t.nodes).select("id", "canonical_type"), "id")
+    return flags.normalize_types(mapped).select("id", "canonical_type")
 
 
 @query("FLT-14", "SELECT id, id IN (SELECT id FROM {nodes} WHERE k % 19 = 0) AS dismissed FROM {nodes}")

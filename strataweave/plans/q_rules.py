@@ -7,15 +7,15 @@ from ..operators import clinical, resolve, rules, validation
 from .fixtures import REF_TIME, query
 
 _T = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-_SUBJECT = """d AS (SELECT DISTINCT subject_id, unnest(medications) AS drug FROM {subjects}), c AS (SELECT DISTINCT subject_id, unnest(conditions) AS condition FROM {subjects}), a AS (SELECT DISTINCT subject_id, unnest(allergies) AS allergen FROM {subjects}), s AS (SELECT DISTINCT subject_id, unnest(symptoms) AS symptom FROM {subjects})"""
-_PATTERNS = [(n, x, len(s), least) for n, s, least in rules.SYMPTOM_PATTERNS for x in s]
+_SUBJECT = """d AS (SELECT DISTINCT subject_id, lower(unnest(medications)) AS drug FROM {subjects}), c AS (SELECT DISTINCT subject_id, lower(unnest(conditions)) AS condition FROM {subjects}), a AS (SELECT DISTINCT subject_id, lower(unnest(allergies)) AS allergen FROM {subjects}), s AS (SELECT DISTINCT subject_id, lower(unnest(symptoms)) AS symptom FROM {subjects})"""
+_PATTERNS = [(n, v, x, len(s), least) for n, v, s, least in rules.SYMPTOM_PATTERNS for x in s]
 
 
-@query("JOIN-28", f"""WITH {_SUBJECT}, dp(x, y, severity) AS (VALUES {_T(rules.DRUG_PAIRS)}), dc(x, y, severity) AS (VALUES {_T(rules.DRUG_CONDITIONS)}), cr(x, y, severity) AS (VALUES {_T(rules.CROSS_REACTIONS)}), sp(pattern, symptom, size, least) AS (VALUES {_T(_PATTERNS)})
+@query("JOIN-28", f"""WITH {_SUBJECT}, dp(x, y, severity) AS (VALUES {_T(rules.DRUG_PAIRS)}), dc(x, y, severity) AS (VALUES {_T(rules.DRUG_CONDITIONS)}), cr(x, y, severity) AS (VALUES {_T(rules.CROSS_REACTIONS)}), sp(pattern, severity, symptom, size, least) AS (VALUES {_T(_PATTERNS)})
   SELECT p.subject_id, 'drug_pair' AS rule, x || '+' || y AS detail, severity, 1.0::DOUBLE AS confidence FROM d p JOIN dp ON p.drug = x JOIN d q ON q.subject_id = p.subject_id AND q.drug = y
   UNION ALL SELECT d.subject_id, 'drug_condition', x || '+' || y, severity, 1.0 FROM d JOIN dc ON drug = x JOIN c ON c.subject_id = d.subject_id AND condition = y
   UNION ALL SELECT d.subject_id, 'cross_reaction', x || '+' || y, severity, 1.0 FROM a JOIN cr ON allergen = x JOIN d ON d.subject_id = a.subject_id AND drug = y
-  UNION ALL SELECT subject_id, 'symptom_pattern', pattern, 'medium', round(least(1.0, count(*) / size), 6) FROM s JOIN sp USING (symptom) GROUP BY subject_id, pattern, size, least HAVING count(*) >= least""")
+  UNION ALL SELECT subject_id, 'symptom_pattern', pattern, severity, round(least(1.0, count(DISTINCT sp.symptom) / size), 6) FROM s JOIN sp ON contains(s.symptom, sp.symptom) GROUP BY subject_id, pattern, severity, size, least HAVING count(DISTINCT sp.symptom) >= least""")
 def _(t):
     return clinical.alerts(t.subjects)
 
@@ -42,12 +42,21 @@ def _(t):
     return t.nodes.select("id", F.when(F.col("confidence") >= 0.8, "valid").when(F.col("confidence") < 0.6, "warn").otherwise("review").alias("state"))
 
 
-_ERR = "concat_ws(',', CASE WHEN layer = 'APPLICATION' AND type IS NULL THEN 'layer_needs_type' END)"
+_LABELLED = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(n) for n in names)}) THEN '{layer}'" for layer, names in rules.LAYER_LABELS.items()) + " END"
+_PROP = lambda name: f"properties['{name}']"
+_HAS = lambda names: f"list_has_any(map_keys(properties), [{', '.join(repr(n) for n in names)}])"
+_ERRORS = "concat_ws(',', CASE WHEN id = '' THEN 'missing_id' END, CASE WHEN layer IS NULL THEN 'no_layer' END)"
+_WARNINGS = f"""concat_ws(',', CASE WHEN length(id) > 100 THEN 'long_id' END, CASE WHEN contains(id, ' ') THEN 'blank_in_id' END, CASE WHEN id IN ('null', 'none', 'undefined', '') THEN 'empty_id' END, CASE WHEN contains(id, '<') THEN 'special_in_id' END,
+  CASE WHEN len(list_filter(map_keys(properties), lambda x: trim(x) = '')) > 0 THEN 'blank_property' END, CASE WHEN len(list_filter(map_keys(properties), lambda x: lower(x) IN ('id', '_id', 'type', '_type', 'label', '_label'))) > 0 THEN 'reserved_property' END,
+  CASE WHEN len(list_filter(map_values(properties), lambda x: x IS NULL)) > 0 THEN 'null_property' END, CASE WHEN len(list_filter(map_values(properties), lambda x: length(x) > 1000)) > 0 THEN 'large_property' END,
+  CASE WHEN layer <> list_filter(list_transform(labels, lambda x: {_LABELLED}), lambda x: x IS NOT NULL)[1] THEN 'unusual_layer' END,
+  CASE WHEN layer = 'REASONING' THEN CASE WHEN {_PROP('confidence')} IS NULL THEN 'no_confidence' WHEN NOT {_PROP('confidence')}::DOUBLE BETWEEN 0 AND 1 THEN 'bad_confidence' END END,
+  {", ".join(f"CASE WHEN layer = '{layer}' AND NOT {_HAS(names)} THEN 'no_{names[0]}' END" for layer, names in rules.LAYER_PROPERTIES.items())})"""
 
 
-@query("VAL-01", f"SELECT id, {_ERR} AS errors, concat_ws(',', CASE WHEN layer IS NULL THEN 'no_layer' END, CASE WHEN type IS NULL THEN 'no_type' END, CASE WHEN upper(name) = name THEN 'upper_case_name' END) AS warnings, NOT coalesce(layer = 'APPLICATION' AND type IS NULL, false) AS is_valid FROM {{nodes}}")
+@query("VAL-01", f"SELECT id, {_ERRORS} AS errors, {_WARNINGS} AS warnings, {_ERRORS} = '' AS is_valid FROM {{entities}}")
 def _(t):
-    return validation.validate_entities(t.nodes)
+    return validation.validate_entities(t.entities)
 
 
 @query("VAL-02", "SELECT src, rel_type, dst, CASE WHEN rel_type NOT IN ('PLACED', 'SUPPLIES') THEN 'not_permitted' ELSE '' END AS errors, rel_type IN ('PLACED', 'SUPPLIES') AS is_valid FROM {edges}")
@@ -55,9 +64,9 @@ def _(t):
     return validation.validate_relationships(t.edges, {"editor": ("PLACED", "SUPPLIES")}, "editor")
 
 
-@query("VAL-03", "SELECT count(*) FILTER (WHERE NOT coalesce(layer = 'APPLICATION' AND type IS NULL, false)) AS valid, count(*) FILTER (WHERE layer = 'APPLICATION' AND type IS NULL) AS invalid FROM {nodes}")
+@query("VAL-03", f"SELECT count(*) FILTER (WHERE {_ERRORS} = '') AS valid, count(*) FILTER (WHERE {_ERRORS} <> '') AS invalid FROM {{entities}}")
 def _(t):
-    return validation.summary(validation.validate_entities(t.nodes))
+    return validation.summary(validation.validate_entities(t.entities))
 
 
 @query("VAL-04", """WITH s(label, path, least, most) AS (VALUES ('Organization', 'BELONGS_TO', 1, 1), ('BusinessConcept', 'PLACED', 1, 12), ('Organization', 'SUPPLIES', 1, 400)), t AS (SELECT id, unnest(labels) AS label FROM {nodes}), c AS (SELECT src AS id, rel_type AS path, count(*) AS n FROM {edges} GROUP BY 1, 2)
@@ -66,10 +75,9 @@ def _(t):
     return validation.shape_violations(t.nodes, t.edges, (("Organization", "BELONGS_TO", 1, 1), ("BusinessConcept", "PLACED", 1, 12), ("Organization", "SUPPLIES", 1, 400)))
 
 
-@query("VAL-05", "SELECT child AS id, 'lower_case' AS problem FROM {hierarchy} WHERE child = lower(child) AND child LIKE 'c%'")
+@query("VAL-05", "SELECT child AS id, CASE WHEN child = parent THEN 'self' ELSE 'lower_case' END AS problem FROM {hierarchy} WHERE child = parent OR child = lower(child)")
 def _(t):
-    problem = F.when(F.col("child") == F.col("parent"), "self").when(F.col("child") == F.lower("child"), "lower_case")
-    return t.hierarchy.filter("child like 'c%'").select(F.col("child").alias("id"), problem.alias("problem"))
+    return validation.hierarchy_problems(t.hierarchy)
 
 
 @query("VAL-06", "SELECT 'typed' AS rule, round(avg((type IS NOT NULL)::INT), 6) AS passed FROM {nodes} UNION ALL SELECT 'sure', round(avg((confidence >= 0.7)::INT), 6) FROM {nodes}")
@@ -77,28 +85,44 @@ def _(t):
     return validation.pass_rates(t.nodes, {"typed": "type is not null", "sure": "confidence >= 0.7"})
 
 
-@query("VAL-07", """WITH r AS (SELECT id, confidence, layer, CASE k % 3 WHEN 0 THEN 'SEMANTIC' WHEN 1 THEN 'REASONING' ELSE 'APPLICATION' END AS to_layer FROM {nodes} WHERE layer IS NOT NULL), p AS (SELECT *, list_position(['PERCEPTION', 'SEMANTIC', 'REASONING', 'APPLICATION'], layer) AS a, list_position(['PERCEPTION', 'SEMANTIC', 'REASONING', 'APPLICATION'], to_layer) AS b FROM r)
-  SELECT id, to_layer, concat_ws(',', CASE WHEN b < a THEN 'downward' END, CASE WHEN b > a + 1 THEN 'skips' END, CASE WHEN confidence < 0.6 THEN 'low_confidence' END) AS errors FROM p""")
+_TO = "CASE k % 3 WHEN 0 THEN 'SEMANTIC' WHEN 1 THEN 'REASONING' ELSE 'APPLICATION' END"
+_RANK = lambda c: f"list_position(['PERCEPTION', 'SEMANTIC', 'REASONING', 'APPLICATION'], {c})"
+_MISSING = ", ".join(f"CASE WHEN to_layer = '{layer}' AND coalesce({_PROP(name)}, '') = '' THEN 'missing_{name}' END" for layer, names in rules.LAYER_REQUIREMENTS.items() for name in names)
+
+
+@query("VAL-07", f"""WITH r AS (SELECT id, k, layer, properties, {_TO} AS to_layer FROM {{entities}} WHERE layer IS NOT NULL)
+  SELECT id, k, to_layer, concat_ws(',', CASE WHEN {_RANK('to_layer')} < {_RANK('layer')} THEN 'downward' END, {_MISSING}, CASE WHEN to_layer = 'REASONING' AND NOT {_PROP('confidence')}::DOUBLE BETWEEN 0 AND 1 THEN 'bad_confidence' END) AS errors FROM r""")
 def _(t):
-    to = F.when(F.col("k") % 3 == 0, "SEMANTIC").when(F.col("k") % 3 == 1, "REASONING").otherwise("APPLICATION")
-    rows = t.nodes.filter("layer is not null").select("id", "confidence", F.col("layer").alias("from_layer"), to.alias("to_layer"))
-    return validation.transition_errors(rows).select("id", "to_layer", "errors")
+    rows = t.entities.filter("layer is not null").withColumnRenamed("layer", "from_layer").withColumn("to_layer", F.expr(_TO))
+    return validation.transition_errors(rows).select("id", "k", "to_layer", "errors")
+
 
+_TARGET = "CASE user_id % 4 WHEN 0 THEN 'SEMANTIC' WHEN 1 THEN 'REASONING' WHEN 2 THEN 'APPLICATION' ELSE 'SEMANTIC' END"
+_LAYER = "CASE user_id % 4 WHEN 0 THEN 'PERCEPTION' WHEN 1 THEN 'SEMANTIC' WHEN 2 THEN 'REASONING' ELSE 'APPLICATION' END"
+_NAME = "CASE user_id % 7 WHEN 0 THEN 'Diabetes' WHEN 1 THEN 'chronic pain' WHEN 2 THEN 'fev' ELSE 'Zed' || cast(user_id as string) END"
+_CONFIDENCE = "CASE WHEN user_id % 3 = 0 THEN 0.97 ELSE 0.5 + confidence / 2 END"
+_ONTOLOGY = ", ".join("'" + n.replace("'", "''") + "'" for n in rules.ONTOLOGY_NAMES)
+_GATE = f"""gates AS (SELECT id, entity_type, {_LAYER} AS layer, {_TARGET} AS target, lower({_NAME}) AS name, {_CONFIDENCE} AS confidence, observation_count AS n, (epoch_us(last_observed) - epoch_us(first_observed)) / 3600000000.0 AS hours, user_id % 5 AS sources FROM {{observations}}),
+  criteria AS (SELECT *, CASE WHEN entity_type IN ('Diagnosis', 'Medication') THEN 'high' WHEN entity_type = 'Preference' THEN 'low' ELSE 'medium' END AS risk,
+    len(list_filter([{_ONTOLOGY}], lambda x: contains(name, x) OR contains(x, name))) > 0 OR entity_type IN ('Medication', 'Diagnosis', 'Symptom') AS known, CASE layer WHEN 'PERCEPTION' THEN [0.85::DOUBLE, 2, 0] WHEN 'SEMANTIC' THEN [0.92::DOUBLE, 3, 48] WHEN 'REASONING' THEN [0.95::DOUBLE, 5, 168] END AS c FROM gates),
+  gate AS (SELECT id, risk, layer, concat_ws(',', CASE WHEN c IS NULL THEN 'transition' END, CASE WHEN confidence < c[1] THEN 'confidence' END, CASE WHEN n < c[2] THEN 'observation_count' END, CASE WHEN c[3] > 0 AND hours < c[3] THEN 'temporal_stability' END,
+    CASE WHEN layer IN ('SEMANTIC', 'REASONING') AND sources < 3 THEN 'multi_source' END, CASE WHEN c IS NOT NULL AND NOT known THEN 'ontology_match' END) AS failed FROM criteria),
+  decided AS (SELECT id, risk, CASE WHEN failed <> '' THEN 'rejected' WHEN risk = 'high' AND layer <> 'PERCEPTION' THEN 'pending_review' ELSE 'approved' END AS decision, failed FROM gate)"""
 
-_FAILED = f"(confidence < 0.5)::INT + (observation_count < 10)::INT + ((epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(first_observed)) / 3600000000.0 < 24)::INT"
 
+def _gate(t):
+    rows = t.observations.select("id", "entity_type", "first_observed", "last_observed", "observation_count", F.expr(_LAYER).alias("layer"), F.expr(_TARGET).alias("target_layer"), F.expr(_NAME).alias("name"), F.expr(_CONFIDENCE).alias("confidence"), (F.col("user_id") % 5).alias("sources"))
+    return validation.promotion_gate(rows)
 
-@query("VAL-08", f"""WITH g AS (SELECT id, CASE WHEN entity_type IN ('diagnosis', 'allergy') THEN 'high' WHEN entity_type = 'medication' THEN 'medium' ELSE 'low' END AS risk, {_FAILED} AS f,
-  concat_ws(',', CASE WHEN confidence < 0.5 THEN 'confidence' END, CASE WHEN observation_count < 10 THEN 'observations' END, CASE WHEN (epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(first_observed)) / 3600000000.0 < 24 THEN 'stability' END) AS failed FROM {{observations}})
-  SELECT id, risk, CASE WHEN f = 0 AND risk = 'high' THEN 'pending' WHEN f = 0 THEN 'approve' WHEN f = 1 THEN 'pending' ELSE 'reject' END AS decision, failed FROM g""")
+
+@query("VAL-08", f"WITH {_GATE} SELECT * FROM decided")
 def _(t):
-    return validation.promotion_gate(t.observations, REF_TIME)
+    return _gate(t)
 
 
-@query("AGG-60", f"""WITH g AS (SELECT CASE WHEN entity_type IN ('diagnosis', 'allergy') THEN 'high' WHEN entity_type = 'medication' THEN 'medium' ELSE 'low' END AS risk, {_FAILED} AS f FROM {{observations}})
-  SELECT risk, CASE WHEN f = 0 AND risk = 'high' THEN 'pending' WHEN f = 0 THEN 'approve' WHEN f = 1 THEN 'pending' ELSE 'reject' END AS decision, count(*) AS n FROM g GROUP BY 1, 2""")
+@query("AGG-60", f"WITH {_GATE} SELECT risk, decision, count(*) AS n FROM decided GROUP BY 1, 2")
 def _(t):
-    return validation.promotion_gate(t.observations, REF_TIME).groupBy("risk", "decision").agg(F.count("*").alias("n"))
+    return _gate(t).groupBy("risk", "decision").agg(F.count("*").alias("n"))
 
 
 @query("VAL-09", "SELECT id, confidence >= 0.9 OR observation_count >= 10 AS promotes FROM {nodes} WHERE layer = 'PERCEPTION'")
@@ -106,9 +130,17 @@ def _(t):
     return t.nodes.filter("layer = 'PERCEPTION'").select("id", ((F.col("confidence") >= 0.9) | (F.col("observation_count") >= 10)).alias("promotes"))
 
 
-@query("VAL-10", "SELECT id, CASE WHEN confidence >= 0.9 THEN CASE layer WHEN 'PERCEPTION' THEN 'SEMANTIC' WHEN 'SEMANTIC' THEN 'REASONING' WHEN 'REASONING' THEN 'APPLICATION' ELSE layer END ELSE layer END AS layer, CASE WHEN confidence >= 0.9 AND layer IN ('PERCEPTION', 'SEMANTIC', 'REASONING') THEN 2 ELSE 1 END AS version FROM {nodes}")
+_NEXT = "CASE layer WHEN 'PERCEPTION' THEN 'SEMANTIC' WHEN 'SEMANTIC' THEN 'REASONING' WHEN 'REASONING' THEN 'APPLICATION' END"
+
+
+@query("VAL-10", f"""WITH p AS (SELECT id, k, name, layer, properties, CASE WHEN k % 10 < 3 AND id <> '' THEN {_NEXT} END AS next FROM {{entities}})
+  SELECT id, k, coalesce(next, layer) AS layer, CASE WHEN next IS NULL THEN 1 ELSE 2 END AS version, CASE WHEN next IS NOT NULL THEN layer END AS promoted_from,
+    CASE WHEN list_contains(map_keys(properties), 'domain') THEN {_PROP('domain')} WHEN next = 'SEMANTIC' THEN 'medical' END AS domain, CASE WHEN list_contains(map_keys(properties), 'description') THEN {_PROP('description')} WHEN next = 'SEMANTIC' THEN name END AS description,
+    CASE WHEN list_contains(map_keys(properties), 'access_pattern') THEN {_PROP('access_pattern')} WHEN next = 'APPLICATION' THEN 'frequent_query' END AS access_pattern FROM p WHERE id NOT IN ('', 'none')""")
 def _(t):
-    return validation.promote(t.nodes, t.nodes.filter("confidence >= 0.9")).select("id", "layer", "version")
+    nodes = t.entities.filter("id not in ('', 'none')")
+    prop = lambda name: F.try_element_at("properties", F.lit(name)).alias(name)
+    return validation.promote(nodes, nodes.filter("k % 10 < 3")).select("id", "k", "layer", "version", "promoted_from", *map(prop, ("domain", "description", "access_pattern")))
 
 
 @query("VAL-11", "SELECT id, CASE WHEN k % 5 = 0 THEN 'approved' WHEN k % 5 = 1 THEN 'rejected' ELSE 'pending' END AS state FROM {nodes} WHERE status = 'pending'")
@@ -117,9 +149,13 @@ def _(t):
     return validation.decide(t.nodes.filter("status = 'pending'"), decisions).select("id", "state")
 
 
-@query("VAL-13", "SELECT p_type AS concept, lower(trim(p_name)) AS alias, count(*) AS usage FROM part GROUP BY 1, 2")
+@query("VAL-13", """WITH a AS (SELECT CASE WHEN p_type = 'PROMO' THEN 'STANDARD' ELSE p_type END AS concept, lower(trim(p_name)) AS alias FROM part), u AS (SELECT concept, alias, count(*) AS usage FROM a GROUP BY 1, 2),
+  s AS (SELECT DISTINCT p_type AS concept, CASE WHEN p_type = 'PROMO' THEN 'deprecated' ELSE 'active' END AS state, CASE WHEN p_type = 'PROMO' THEN 'STANDARD' END AS replaced_by FROM part)
+  SELECT s.concept, state, replaced_by, alias, usage FROM s LEFT JOIN u USING (concept)""")
 def _(t):
-    return validation.alias_usage(t.part.select(F.col("p_type").alias("concept"), F.col("p_name").alias("alias"), F.lit(1).alias("usage")))
+    aliases = t.part.select(F.col("p_type").alias("concept"), F.col("p_name").alias("alias"), F.lit(1).alias("usage"))
+    merges = t.spark.createDataFrame([("PROMO", "STANDARD")], "source string, target string")
+    return validation.concept_states(aliases, merges).join(validation.merge_concepts(aliases, merges), "concept", "left").select("concept", "state", "replaced_by", "alias", "usage")
 
 
 @query("SET-05", "SELECT id, 'confidence' AS trigger FROM {nodes} WHERE layer = 'PERCEPTION' AND confidence >= 0.95 UNION ALL SELECT id, 'confidence' FROM {nodes} WHERE layer = 'SEMANTIC' AND confidence >= 0.9")
