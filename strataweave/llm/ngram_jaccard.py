@@ -247,34 +247,40 @@ def _partnered(lists: DataFrame, s: Settings) -> DataFrame:
 def _heavy_components(lists: DataFrame, light_links: DataFrame, docs: DataFrame, described: DataFrame, s: Settings) -> DataFrame:
     """(node, component) by all links among the members (element, node, n, place, signature) of inverted lists, and ``light_links``.
 
-    Hubs first, a further one in each list as long as that halves the members left; then these are compared with all others.
+    A list's hub is compared with all its members and leaves it; lists whose members are all in one component are done. Further hubs follow as
+    long as that takes most members away; then those outside of their list's largest component are compared with all others.
     """
     member = F.struct("place", "node", "n", *SIGNATURE)
-    hubs = materialize(lists.groupBy("element").agg(F.min(member).alias("h")).select("element", "h.*"), "nj-hubs")
-    tried = lists.alias("x").join(hubs.alias("y"), F.expr(f"x.element = y.element and x.node <> y.node and {_may_link('x', 'y', s)}"))
-    tried = materialize(tried.select(*_ends()).distinct(), "nj-tried")
+
+    def compared(x: DataFrame, y: DataFrame, apart: str) -> DataFrame:
+        met = x.alias("x").join(y.alias("y"), F.expr(f"x.element = y.element and {apart} and {_may_link('x', 'y', s)}"))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def unsettled(members: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Members that are no hub, with their components, of lists that still hold several."""
+        rest = members.drop("component").join(hubs.filter("length > 2").select("element", F.col("node").alias("_hub")), "element").filter("node <> _hub").drop("_hub")
+        rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sides = rest.groupBy("element").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("length")).filter("a <> z")
+        return materialize(rest.join(sides.select("element", "length"), "element"), "nj-left")
+
+    hubs = materialize(lists.groupBy("element").agg(F.min(member).alias("h"), F.count("*").alias("length")).select("element", "length", "h.*"), "nj-hubs")
+    tried = materialize(compared(lists, hubs, "x.node <> y.node"), "nj-tried")
     found = materialize(components(_verified(tried, docs, described, s).union(light_links)), "nj-found")
-    used, left, last = hubs.select("element", "node"), lists.count(), False
-    while not last:
-        joined = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = joined.groupBy("element", "component").count()
-        major = parts.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
-        # Who is neither in the list's largest component nor has been its hub has still to meet the others.
-        minor = joined.join(major, "element").filter("component <> major").join(used, ["element", "node"], "left_anti").select("element", "place", "node", "n", *SIGNATURE, "component")
-        others = materialize(minor, "nj-minor")
-        before, left = left, others.count()
-        if not left:
-            break
-        last = 2 * left > before  # hubs no longer halve what is left
+    before, left, last = lists.count(), unsettled(lists, hubs), False
+    while not last and (count := left.count()):
+        last, before = 8 * count > before, count
+        parts = left.groupBy("element", "component").count()
+        major = parts.groupBy("element").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
+        others = left.join(major, "element").filter("component <> major").drop("major")
         if not last:
-            one = others.groupBy("element").agg(F.min(F.struct("place", "node", "n", *SIGNATURE, "component")).alias("h")).select("element", "h.*")
-            others = materialize(one, "nj-hubs")
-            used = used.union(others.select("element", "node"))
-        near = joined.alias("x").join(others.alias("y"), F.expr(f"x.element = y.element and x.component <> y.component and {_may_link('x', 'y', s)}"))
-        pairs = materialize(near.select(*_ends()).distinct().join(tried, ["a", "b"], "left_anti"), "nj-tried")
+            one = others.groupBy("element").agg(F.min(F.struct("place", "node", "n", *SIGNATURE, "component", "length")).alias("h"))
+            others = hubs = materialize(one.select("element", "h.*"), "nj-hubs")
+        pairs = materialize(compared(left, others, "x.component <> y.component").join(tried, ["a", "b"], "left_anti"), "nj-tried")
         if pairs.limit(1).count():
             tried = tried.union(pairs)
             found = materialize(components(found.toDF("a", "b").union(_verified(pairs, docs, described, s))), "nj-found")
+        if not last:
+            left = unsettled(left.drop("length"), hubs)
     return found
 
 
