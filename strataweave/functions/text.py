@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Expansions of words in names.
 ABBREVIATIONS = {"cust": "customer", "addr": "address", "qty": "quantity", "num": "number", "amt": "amount", "desc": "description", "id": "identifier"}
 SYNONYMS = {"client": "customer", "vendor": "supplier", "item": "product", "widget": "product"}
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "what", "which", "how", "who", "when", "where")
 INDICATORS = ("study", "research", "evidence", "treatment", "diagnosis", "patient", "clinical", "trial", "data", "analysis", "methodology", "results", "conclusion", "reference")
 FACT_PATTERNS = (r"\d+", r"(?i)\b(is|are|was|were|has|have|caused?|leads?|results?|shows?)\b", r"(?i)\b(treatment|medication|disease|patient|study|research)\b")
 
@@ -80,12 +79,6 @@ def content_id(text: Column) -> Column:
     return F.concat(F.lit("doc:"), F.substring(F.sha2(text, 256), 1, 16))
 
 
-def search_terms(query: Column, most: int = 10) -> Column:
-    """Words over two letters that are no stopwords, the first ``most``."""
-    words = F.split(F.lower(F.regexp_replace(query, r"[^A-Za-z0-9\s]", " ")), r"\s+")
-    return F.slice(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)), 1, most)
-
-
 def hash_embedding(text: Column, dims: int = 256) -> Column:
     """SHA-256 bytes in turn, scaled to -1 .. 1."""
     digest = F.sha2(text, 256)
@@ -113,13 +106,13 @@ def chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     return F.aggregate(pieces, empty, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
 
 
-def topics(text: Column, most: int = 20) -> Column:
-    """Headings of the first three levels, in order."""
-    lines = F.filter(F.split(text, "\n"), lambda w: w.rlike(r"^#{1,3} "))
-    return F.slice(F.array_distinct(F.transform(lines, lambda w: F.trim(F.regexp_replace(w, r"^#{1,3} ", "")))), 1, most)
-
-
-def intent(text: Column) -> Column:
-    """The first kind of message whose pattern the text holds."""
-    t = F.lower(text)
-    return F.when(t.rlike(r"^\s*(hi|hello|hey)\b"), "greeting").when(t.rlike(r"\b(bye|goodbye)\b"), "farewell").when(t.rlike(r"\b(thanks|thank you)\b"), "thanks").when(t.rlike(r"\?|\b(what|why|how|when)\b"), "question").otherwise("statement")
+def topics(documents: DataFrame, most_terms: int = 10, least: int = 3, most: int = 20) -> DataFrame:
+    """doc_id, topics: headings of the first three levels in order, then a text's most frequent capitalized terms seen ``least`` times; ties by term."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda w: F.trim(w).rlike(r"^#{1,3}\s+."))
+    heads = documents.select("doc_id", F.transform(lines, lambda w: F.trim(F.regexp_replace(F.trim(w), r"^#{1,3}\s+", ""))).alias("heads"))
+    terms = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?: +[A-Z][a-z]+)*\b"), 0)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))
+    best = terms.withColumn("k", rank).filter((F.col("k") <= most_terms) & (F.col("n") >= least)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("found"))
+    own = F.coalesce(F.col("found.term"), F.array().cast("array<string>"))
+    every = F.concat("heads", F.filter(own, lambda x: ~F.array_contains("heads", x)))
+    return heads.join(best, "doc_id", "left").select("doc_id", F.slice(every, 1, most).alias("topics"))

@@ -187,3 +187,20 @@ def overall(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, weight
 def chunk_table(documents: DataFrame, text: Column) -> DataFrame:
     """doc_id, seq, text of an array of chunks a document."""
     return documents.select("doc_id", F.posexplode(text).alias("seq", "text"))
+
+
+def graph(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, known: DataFrame, longest: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, name) and edges (src, rel_type, dst, confidence) of documents, their chunks and the entities that chunks mention.
+
+    A chunk's name is the start of its text, cut for storage. HAS_CHUNK, MENTIONS, and LINKS_TO where an entity has the name of a known node (id, name):
+    the first by id.
+    """
+    doc, entity = F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.concat(F.lit("extracted:"), F.replace(F.lower("entity"), F.lit(" "), F.lit("_")))
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    nodes = documents.join(sizes, "doc_id", "left").select(doc.alias("id"), F.lit("Document").alias("kind"), F.concat_ws(" ", F.coalesce("n", F.lit(0)), F.lit("chunks")).alias("name"))
+    nodes = nodes.union(chunks.select("chunk_id", F.lit("Chunk"), F.substring("text", 1, longest))).union(mentions.groupBy(entity).agg(F.lit("ExtractedEntity"), F.min("entity")))
+    said = mentions.groupBy("chunk_id", entity.alias("dst")).agg(F.max("confidence").alias("confidence"))
+    names = known.groupBy(F.lower("name").alias("entity")).agg(F.min("id").alias("dst"))
+    linked = mentions.withColumn("entity", F.lower("entity")).join(names, "entity").groupBy(entity.alias("src"), "dst").agg(F.max("confidence").alias("confidence"))
+    edges = chunks.select(doc.alias("src"), F.lit("HAS_CHUNK").alias("rel_type"), F.col("chunk_id").alias("dst"), F.lit(1.0).alias("confidence"))
+    return nodes, edges.union(said.select("chunk_id", F.lit("MENTIONS"), "dst", "confidence")).union(linked.select("src", F.lit("LINKS_TO"), "dst", "confidence"))

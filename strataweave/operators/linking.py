@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Question patterns by intent, in order, and window words.
-INTENTS = (("definition", ("what is", "define", "meaning")), ("lineage", ("where does", "come from", "source of")), ("impact", ("impact", "affect", "depends")), ("count", ("how many", "count", "number of")))
-WINDOWS = (("last month", 30), ("last week", 7), ("yesterday", 1), ("today", 0))
+from .resolve import ratio
+
+# Words that name a concept.
 CONCEPT_WORDS = {"ring": "Jewelry", "gear": "Machinery", "bolt": "Fastener", "anvil": "Tool"}
 
 
@@ -142,14 +142,6 @@ def ancestry(tree: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     return out.filter("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
 
 
-def question_intent(text: Column, intents=INTENTS) -> Column:
-    """The intent with most pattern hits; of equal ones the first."""
-    t = F.lower(text)
-    scored = F.array(*(F.struct(sum((F.contains(t, F.lit(p)).cast("int") for p in patterns), F.lit(0)).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, patterns) in enumerate(intents)))
-    best = F.array_max(scored)
-    return F.when(best["hits"] > 0, best["name"]).otherwise("other")
-
-
 def layered_retrieval(questions: DataFrame, nodes: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """question, layer, entities, confidence: per layer the nodes whose name is a term; min(0.5 + 0.1 n, 1) by the layer's weight."""
     terms = questions.select("question", F.explode(F.array_distinct("terms")).alias("term"))
@@ -158,13 +150,6 @@ def layered_retrieval(questions: DataFrame, nodes: DataFrame, weights: Mapping[s
     return hits.withColumn("confidence", F.round(F.least(0.5 + 0.1 * F.col("entities"), F.lit(1.0)) * weight, 6))
 
 
-def time_window(text: Column) -> Column:
-    """Days back that a text names: "n days ago", else the longest window word in it."""
-    number = F.regexp_extract(F.lower(text), r"(\d+) days ago", 1).try_cast("int")
-    words = F.coalesce(*(F.when(F.contains(F.lower(text), F.lit(w)), F.lit(d)) for w, d in sorted(WINDOWS, key=lambda x: -len(x[0]))))
-    return F.coalesce(number, words)
-
-
 def inferred_concept(name: Column, words: Mapping[str, str] = CONCEPT_WORDS) -> Column:
     """The concept of the first word that names one, else the name without blanks."""
     t = F.lower(name)
@@ -172,6 +157,31 @@ def inferred_concept(name: Column, words: Mapping[str, str] = CONCEPT_WORDS) ->
     return F.coalesce(known, F.replace(F.initcap(name), F.lit(" "), F.lit("")))
 
 
-def constraint(rule: Column) -> Column:
-    t = F.lower(rule)
-    return F.when(t.contains("unique"), "UNIQUE").when(t.contains("required") | t.contains("not null"), "NOT NULL").when(t.rlike("between|positive|greater|less"), "CHECK").otherwise("NONE")
+def validate_names(names: DataFrame, dictionary: DataFrame, weak: float = 0.4, suggested: float = 0.5, valid: float = 0.7, top: int = 3) -> DataFrame:
+    """name, is_valid, validated, confidence, suggestions of names against a dictionary (known, generic) of bounded size.
+
+    An exact name is valid as it is. Else the ``top`` most similar ones above ``weak`` count: valid if the best reaches ``valid``; their generics
+    from ``suggested`` on are suggestions, best first. Blank names are invalid. Distinct names alone meet the dictionary.
+    """
+    plain = names.select("name").distinct().withColumn("key", F.lower(F.trim(F.coalesce("name", F.lit("")))))
+    known = F.broadcast(dictionary.groupBy(F.lower("known").alias("known")).agg(F.min("generic").alias("generic")))  # a dictionary, not data
+    scored = plain.filter("key <> ''").select("key").distinct().join(known, F.lit(True)).withColumn("score", F.when(F.col("key") == F.col("known"), 1.0).otherwise(F.round(ratio(F.col("key"), F.col("known")), 6))).filter(F.col("score") > weak)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "known"))
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= top).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "generic"))).alias("m"))
+    first = F.get("m", F.lit(0))
+    others = F.array_distinct(F.transform(F.filter("m", lambda x: x["score"] >= suggested), lambda x: F.initcap(x["generic"])))
+    joined = plain.join(best, "key", "left")
+    ok = F.coalesce(first["score"] >= valid, F.lit(False))
+    none = F.array().cast("array<string>")
+    return joined.select("name", ok.alias("is_valid"), F.when(ok, F.initcap(first["generic"])).alias("validated"), F.coalesce(first["score"], F.lit(0.0)).alias("confidence"),
+                         F.when(first["score"] == 1.0, none).otherwise(F.coalesce(others, none)).alias("suggestions"))
+
+
+def suggest_types(types: DataFrame, canonical: Sequence[str], least: float = 0.4, top: int = 5) -> DataFrame:
+    """type, canonical, score: the ``top`` canonical types most similar to each distinct type's normalized form, above ``least``; ties by name."""
+    table = F.broadcast(types.sparkSession.createDataFrame([(c,) for c in canonical], "canonical string"))  # a registry, not data
+    kinds = types.filter("type is not null").select("type").distinct()
+    plain = F.translate(F.trim(F.lower("type")), "- ", "__")
+    scored = kinds.join(table, F.lit(True)).withColumn("score", F.round(ratio(plain, F.col("canonical")), 6)).filter(F.col("score") > least)
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("score"), "canonical"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("type", "canonical", "score")

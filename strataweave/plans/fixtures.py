@@ -82,6 +82,20 @@ FIXTURES: dict[str, str] = {
     "incoming": """
         SELECT p_partkey AS in_id, p_type AS type, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE substr(p_name, 1, cast(p_partkey % 5 as int) + 2) || substr(p_name, cast(p_partkey % 5 as int) + 4) END AS name
         FROM {part}""",
+    "attributes": """
+        SELECT DISTINCT replace(lower(p_brand), '#', '_') AS schema, CASE p_partkey % 3 WHEN 0 THEN 'dim_' WHEN 1 THEN 'raw_' ELSE '' END || replace(p_name, ' ', '_') AS table, cast(p_partkey % 12 as int) AS position,
+               CASE p_partkey % 12 WHEN 0 THEN replace(p_name, ' ', '_') || '_id' WHEN 1 THEN split_part(p_name, ' ', 2) || '_id' WHEN 2 THEN 'created_at' WHEN 3 THEN 'total_amount' WHEN 4 THEN 'is_active' WHEN 5 THEN 'email'
+                 WHEN 6 THEN 'order_day' WHEN 7 THEN 'total_rate' WHEN 8 THEN 'customer_name' WHEN 9 THEN 'quantity' WHEN 10 THEN 'long_description' ELSE 'memo' END AS column,
+               CASE p_partkey % 5 WHEN 0 THEN 'Must be unique' WHEN 1 THEN 'cannot be null' WHEN 2 THEN 'must be in ISO format' WHEN 3 THEN 'anything' ELSE NULL END AS rule FROM {part}""",
+    "asked": """
+        SELECT event_id, user_id, ts, CASE event_id % 26
+               WHEN 0 THEN 'What is ibuprofen?' WHEN 1 THEN 'Hello, good morning' WHEN 2 THEN 'My knee hurts and I am worried about it' WHEN 3 THEN 'thanks!'
+               WHEN 4 THEN 'Should I take aspirin? It is urgent' WHEN 5 THEN 'qué es la diabetes y para qué sirve la insulina' WHEN 6 THEN 'por qué tengo dolor, es normal que duela hace 3 días' WHEN 7 THEN 'qué debo hacer ahora mismo, qué me recomienda'
+               WHEN 8 THEN 'Tell me about the orders table and its columns' WHEN 9 THEN 'Can I combine warfarin with aspirin? I had chest pain yesterday' WHEN 10 THEN 'you mentioned something earlier about my diet, going back to that' WHEN 11 THEN 'what about the interaction with alcohol 2 weeks ago'
+               WHEN 12 THEN 'cuéntame sobre el tratamiento para la tos del mes pasado' WHEN 13 THEN 'goodbye' WHEN 14 THEN 'can you explain the causes of fever this week' WHEN 15 THEN 'nothing in particular 40 months ago'
+               WHEN 16 THEN 'I have been feeling better lately, thank you so much' WHEN 17 THEN 'why does it get worse?' WHEN 18 THEN 'my name is Pablo and i have a headache' WHEN 19 THEN 'random text with no meaning for anyone'
+               WHEN 20 THEN 'hi, this is Marta speaking; my fever has resolved' WHEN 21 THEN 'is it normal? how much is too much, what should i do next' WHEN 22 THEN '  how are treatments for asthma chosen?  ' WHEN 23 THEN 'call me doctor, i am Rosa'
+               WHEN 24 THEN 'the rash is gone. it went away: the cough' END AS question FROM {events}""",
     "store_a": "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status FROM {orders}",
     "store_b": "SELECT o_orderkey AS id, o_custkey AS owner, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM {orders} WHERE o_orderkey % 20 <> 0",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",

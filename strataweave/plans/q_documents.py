@@ -103,43 +103,3 @@ def _(t):
     return documents.chunk_table(t.documents, text.chunks(F.coalesce("text", F.lit(""))))
 
 
-def _catalog(t):
-    return catalog.from_tables(t.spark, {name: getattr(t, name) for name in sorted(GIVEN)})
-
-
-_COLUMNS = "cols AS (SELECT table_name AS \"table\", column_name AS \"column\", row_number() OVER (PARTITION BY table_name ORDER BY column_index) - 1 AS position FROM duckdb_columns() WHERE table_name IN ({}))".format(", ".join(f"'{n}'" for n in sorted(GIVEN)))
-
-
-@query("JOIN-41", f"WITH {_COLUMNS} SELECT 'main' AS \"schema\", \"table\", count(*) AS columns FROM cols GROUP BY 2")
-def _(t):
-    return catalog.overview(_catalog(t)).select("schema", "table", "columns")
-
-
-@query("JOIN-35", f"""WITH {_COLUMNS}, k AS (SELECT "table" AS target, regexp_replace("column", '^[a-z]+_', '') AS key FROM cols WHERE position = 0), u AS (SELECT "table", "column", regexp_replace("column", '^[a-z]+_', '') AS key FROM cols WHERE position > 0)
-  SELECT "table", "column", target FROM u JOIN k USING (key) WHERE "table" <> target""")
-def _(t):
-    return catalog.foreign_keys(_catalog(t))
-
-
-@query("SCL-31")
-def _(t):
-    return catalog.graph_edges(_catalog(t))
-
-
-@query("JOIN-30", "WITH p(policy, k) AS (VALUES ('retain', 3), ('mask', 5)) SELECT id, string_agg(policy, ',' ORDER BY policy) AS policies FROM {nodes} LEFT JOIN p ON nodes.k % p.k = 0 WHERE id LIKE 'supplier:%' GROUP BY id")
-def _(t):
-    suppliers = t.nodes.filter("id like 'supplier:%'")
-    named = lambda name, k: suppliers.filter(F.col("k") % k == 0).agg(F.lit(name).alias("policy"), F.collect_list("id").alias("applies_to"))
-    return catalog.policies_by_asset(named("retain", 3).union(named("mask", 5)), suppliers)
-
-
-@query("SRC-14", "SELECT 'HAS_CHUNK' AS rel_type, count(*) AS n FROM {chunks} UNION ALL SELECT 'MENTIONS', count(*) FROM (SELECT DISTINCT chunk_id, entity FROM {mentions}) m")
-def _(t):
-    edges = t.chunks.select(F.lit("HAS_CHUNK").alias("rel_type")).unionAll(t.mentions.select("chunk_id", "entity").distinct().select(F.lit("MENTIONS")))
-    return edges.groupBy("rel_type").agg(F.count("*").alias("n"))
-
-
-@query("SRC-17", "SELECT feedback_id, '{\"prompt\":\"' || query_text || '\",\"chosen\":\"' || response_text || '\"}' AS line FROM {feedback} WHERE rating = 5")
-def _(t):
-    row = F.struct(F.col("query_text").alias("prompt"), F.col("response_text").alias("chosen"))
-    return t.feedback.filter("rating = 5").select("feedback_id", F.to_json(row).alias("line"))

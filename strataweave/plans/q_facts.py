@@ -156,32 +156,11 @@ def _(t):
     return t.mentions.groupBy("chunk_id").agg(F.count_distinct("entity").alias("mentions"), F.min("entity").alias("first"))
 
 
-@query("SCL-12", r"SELECT doc_id, array_to_string(list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda w: regexp_matches(w, '^#{1,3} ')), lambda w: trim(regexp_replace(w, '^#{1,3} ', ''))))[1:20], '|') AS topics FROM documents WHERE len(list_distinct(list_filter(string_split(text, chr(10)), lambda w: regexp_matches(w, '^#{1,3} ')))) = 1")
-def _(t):
-    return t.documents.withColumn("t", text.topics(F.col("text"))).filter("size(t) = 1").select("doc_id", F.array_join("t", "|").alias("topics"))
-
-
-@query("SCL-14", r"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9\s]', ' ', 'g')), '\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'what', 'which', 'how', 'who', 'when', 'where'))[1:10], ' ') AS terms FROM documents")
-def _(t):
-    return t.documents.select("doc_id", F.array_join(text.search_terms(F.substring("text", 1, 200)), " ").alias("terms"))
-
-
-@query("SCL-15", r"SELECT session_id, seq, CASE WHEN regexp_matches(lower(content), '^\s*(hi|hello|hey)\b') THEN 'greeting' WHEN regexp_matches(lower(content), '\b(bye|goodbye)\b') THEN 'farewell' WHEN regexp_matches(lower(content), '\b(thanks|thank you)\b') THEN 'thanks' WHEN regexp_matches(lower(content), '\?|\b(what|why|how|when)\b') THEN 'question' ELSE 'statement' END AS intent FROM {messages}")
-def _(t):
-    return t.messages.select("session_id", "seq", text.intent(F.col("content")).alias("intent"))
-
-
 @query("SCL-38", "SELECT doc_id, list_sum(list_transform(range(0, 256), lambda i: (('0x' || substr(sha256(text), (i % 32) * 2 + 1, 2))::INT - 128) / 128.0)) AS total FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.aggregate(text.hash_embedding(F.col("text")), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("SCL-40", "SELECT session_id, arg_min(substr(content, 1, 40), (seq, content)) AS title FROM {messages} WHERE role = 'user' GROUP BY 1")
-def _(t):
-    first = F.min_by(F.substring("content", 1, 40), F.struct("seq", "content"))
-    return t.messages.filter("role = 'user'").groupBy("session_id").agg(first.alias("title"))
-
-
 @query("AGG-43", "SELECT count(*) AS chunks, sum(length(text))::BIGINT AS total, round(avg(length(text)), 6) AS average, min(length(text))::INT AS least, max(length(text))::INT AS most FROM {chunks}")
 def _(t):
     n = F.length("text")

@@ -146,21 +146,6 @@ def _(t):
     return linking.hybrid_search(matches, t.nodes, t.edges)
 
 
-_DICT = ("aspirin", "warfarin", "metformin", "ibuprofen", "lisinopril", "amoxicillin")
-
-
-@query("TOP-07", "WITH d(known) AS (VALUES " + ", ".join(f"('{d}')" for d in _DICT) + "), m AS (SELECT DISTINCT unnest(medications)[2:] AS name FROM {subjects}), s AS (SELECT name, known, round(1 - levenshtein(name, known)::DOUBLE / greatest(length(name), length(known)), 6) AS score FROM m, d) SELECT name, known, score FROM s WHERE score > 0.4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, known) <= 3")
-def _(t):
-    from pyspark.sql import Window
-
-    from ..operators.resolve import ratio
-
-    names = t.subjects.select(F.explode("medications").alias("m")).select(F.expr("substring(m, 2)").alias("name")).distinct()
-    table = F.broadcast(t.spark.createDataFrame([(d,) for d in _DICT], "known string"))
-    scored = names.join(table, F.lit(True)).withColumn("score", F.round(ratio(F.col("name"), F.col("known")), 6)).filter("score > 0.4")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "known"))).filter("rank <= 3").select("name", "known", "score")
-
-
 @query("SET-04", "SELECT subject_id, array_to_string(list_sort(list_distinct(list_concat(medications, conditions))), ',') AS merged FROM {subjects}")
 def _(t):
     merged = linking.merge_lists(t.subjects.select("subject_id", F.col("medications").alias("merged")), t.subjects.select("subject_id", F.col("conditions").alias("merged")), "subject_id", "merged")
@@ -184,43 +169,6 @@ def _(t):
     return t.subjects.select("subject_id", F.size(F.filter("symptoms", lambda s: F.contains(s, F.lit("pain")) | F.contains(s, F.lit("fatigue")))).alias("topics"))
 
 
-_Q = "(VALUES (0, 'What is a customer?'), (1, 'How many orders and what is their impact'), (2, 'Where does this come from'), (3, 'hello')) v(k, question)"
-
-
-def _asked(t):
-    texts = F.array(*(F.lit(x) for x in ("What is a customer?", "How many orders and what is their impact", "Where does this come from", "hello")))
-    return t.events.select("event_id", F.element_at(texts, (F.col("event_id") % 4 + 1).cast("int")).alias("question"))
-
-
-@query("SCL-16", f"SELECT event_id, CASE k WHEN 0 THEN 'definition' WHEN 1 THEN 'definition' WHEN 2 THEN 'lineage' ELSE 'other' END AS intent FROM events JOIN {_Q} ON event_id % 4 = k")
-def _(t):
-    return _asked(t).select("event_id", linking.question_intent(F.col("question")).alias("intent"))
-
-
-@query("SCL-17", f"SELECT event_id, CASE WHEN contains(lower(question), 'how many') THEN 'aggregate' WHEN contains(lower(question), 'what') THEN 'lookup' ELSE 'search' END AS strategy FROM events JOIN {_Q} ON event_id % 4 = k")
-def _(t):
-    q = F.lower("question")
-    return _asked(t).select("event_id", F.when(q.contains("how many"), "aggregate").when(q.contains("what"), "lookup").otherwise("search").alias("strategy"))
-
-
-@query("SCL-22", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 30 WHEN 1 THEN 7 WHEN 2 THEN 1 END::INT AS days FROM events")
-def _(t):
-    k = F.col("event_id") % 4
-    said = F.when(k == 0, F.concat(F.lit("seen "), F.col("event_id") % 30, F.lit(" days ago"))).when(k == 1, "Last week or so").when(k == 2, "it was yesterday").otherwise("some time")
-    return t.events.select("event_id", linking.time_window(said).alias("days"))
-
-
-@query("SCL-26", r"SELECT session_id, seq, regexp_extract(content, '(\w+) is (\w+)', 2) AS found FROM {messages}")
-def _(t):
-    return t.messages.select("session_id", "seq", F.regexp_extract("content", r"(\w+) is (\w+)", 2).alias("found"))
-
-
-@query("SCL-30", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 'UNIQUE' WHEN contains(lower(p_name), 'blue') THEN 'NOT NULL' WHEN contains(lower(p_name), 'old') THEN 'CHECK' ELSE 'NONE' END AS rule FROM part")
-def _(t):
-    said = F.when(F.contains("p_name", F.lit("red")), "must be unique").when(F.contains("p_name", F.lit("blue")), "is required").when(F.contains("p_name", F.lit("old")), "positive only").otherwise("free")
-    return t.part.select("p_partkey", linking.constraint(said).alias("rule"))
-
-
 @query("SCL-32", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'Jewelry' WHEN contains(p_name, 'gear') THEN 'Machinery' WHEN contains(p_name, 'bolt') THEN 'Fastener' WHEN contains(p_name, 'anvil') THEN 'Tool' ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') END AS concept FROM part")
 def _(t):
     return t.part.select("p_partkey", linking.inferred_concept(F.col("p_name")).alias("concept"))
@@ -244,12 +192,6 @@ def _(t):
     return t.customer.select("c_custkey", F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ").alias("row_text"))
 
 
-@query("SCL-41", r"WITH n AS (SELECT session_id, seq, regexp_extract(content, '([A-Z][a-z]+) (the|and)', 1) AS name FROM {messages} WHERE role = 'user') SELECT session_id, arg_max(name, (seq, name)) AS name FROM n WHERE name <> '' GROUP BY 1")
-def _(t):
-    rows = t.messages.filter("role = 'user'").select("session_id", "seq", F.regexp_extract("content", "([A-Z][a-z]+) (the|and)", 1).alias("name")).filter("name <> ''")
-    return rows.groupBy("session_id").agg(F.max_by("name", F.struct("seq", "name")).alias("name"))
-
-
 @query("SRC-10")
 def _(t):
     """Specs written from the part table, one file a task, and read back as attributes."""

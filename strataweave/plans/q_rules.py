@@ -192,42 +192,12 @@ def _(t):
     return t.nodes.filter(F.lower("name").contains("red bolt")).select("id", F.when(F.lower("name") == "red bolt", 1.0).otherwise(0.8).alias("score"))
 
 
-_CANON = "('domain'), ('business_concept'), ('organization'), ('information_asset'), ('data_entity')"
-
-
-@query("TOP-06", f"""WITH c(canonical) AS (VALUES {_CANON}), k AS (SELECT DISTINCT type FROM {{nodes}} WHERE type IS NOT NULL), s AS (SELECT type, canonical, round(1 - levenshtein(lower(type), canonical)::DOUBLE / greatest(length(type), length(canonical)), 6) AS score FROM k, c)
-  SELECT type, canonical, score FROM s WHERE score > 0.2 QUALIFY row_number() OVER (PARTITION BY type ORDER BY score DESC, canonical) <= 3""")
-def _(t):
-    table = F.broadcast(t.spark.createDataFrame([(k,) for k in rules.KNOWN_TYPES], "canonical string"))
-    kinds = t.nodes.filter("type is not null").select("type").distinct()
-    scored = kinds.join(table, F.lit(True)).withColumn("score", F.round(resolve.ratio(F.lower("type"), F.col("canonical")), 6)).filter("score > 0.2")
-    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("score"), "canonical"))
-    return scored.withColumn("rank", rank).filter("rank <= 3").select("type", "canonical", "score")
-
-
-@query("SCL-29", "SELECT DISTINCT labels[1] AS name, CASE WHEN regexp_matches(lower(labels[1]), 'id') THEN 'BIGINT' WHEN regexp_matches(lower(labels[1]), 'date|time') THEN 'TIMESTAMP' WHEN regexp_matches(lower(labels[1]), 'asset|amount') THEN 'DECIMAL(10,2)' ELSE 'VARCHAR' END AS inferred FROM {nodes}")
-def _(t):
-    n = F.lower(F.col("labels")[0])
-    return t.nodes.select(F.col("labels")[0].alias("name"), F.when(n.rlike("id"), "BIGINT").when(n.rlike("date|time"), "TIMESTAMP").when(n.rlike("asset|amount"), "DECIMAL(10,2)").otherwise("VARCHAR").alias("inferred")).distinct()
-
-
-@query("SCL-42", f"WITH l AS (SELECT user_id, max(ts) AS last, count(*) AS n FROM events GROUP BY 1) SELECT user_id, date_diff('day', last::DATE, DATE '{REF_TIME[:10]}') AS days, n >= 50 AS returning_subject FROM l")
-def _(t):
-    rows = t.events.groupBy("user_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
-    return rows.select("user_id", F.datediff(F.lit(REF_TIME[:10]).cast("date"), F.col("last").cast("date")).cast("long").alias("days"), (F.col("n") >= 50).alias("returning_subject"))
-
-
 @query("SCL-25", f"SELECT user_id, CASE WHEN max(ts)::DATE >= DATE '{REF_TIME[:10]}' THEN 'today' WHEN max(ts)::DATE >= DATE '{REF_TIME[:10]}' - 1 THEN 'yesterday' WHEN max(ts)::DATE >= DATE '{REF_TIME[:10]}' - 7 THEN 'week' ELSE 'older' END AS bucket FROM events GROUP BY 1")
 def _(t):
     gap = F.datediff(F.lit(REF_TIME[:10]).cast("date"), F.max("ts").cast("date"))
     return t.events.groupBy("user_id").agg(F.when(gap <= 0, "today").when(gap <= 1, "yesterday").when(gap <= 7, "week").otherwise("older").alias("bucket"))
 
 
-@query("SCL-37", "SELECT feedback_id, query_text AS instruction, '' AS input, response_text AS output FROM {feedback} WHERE rating >= 4")
-def _(t):
-    return t.feedback.filter("rating >= 4").select("feedback_id", F.trim("query_text").alias("instruction"), F.lit("").alias("input"), F.trim("response_text").alias("output"))
-
-
 @query("STR-06", "SELECT ts::DATE AS day, operation_type, count(*) AS n, round(avg(success::INT), 6) AS success_rate FROM {predictions} GROUP BY 1, 2")
 def _(t):
     return t.predictions.groupBy(F.col("ts").cast("date").alias("day"), "operation_type").agg(F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_rate"))

@@ -38,7 +38,7 @@ def export(rows: DataFrame, path: str, kind: str = "json") -> None:
         rows.write.mode("overwrite").json(path)
         return
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in sorted(rows.schema, key=lambda f: f.name)]
-    rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def append_log(events: DataFrame, path: str) -> None:
