@@ -53,7 +53,9 @@ _NAMES = re.compile(
 
 @dataclass
 class Settings:
+    #: Pages of a host in a group, about; fewer where they are long, so that a group stays within some ``group_bytes``.
     group: int = 64
+    group_bytes: int = 16 << 20
     #: Hosts with fewer pages are compared together with other small hosts.
     least_pages: int = 4
     link_share: float = 0.6
@@ -288,21 +290,23 @@ def main_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """page_id, url, text, n_chars of every row, from its whole ``html``.
 
     A null or empty html gives an empty text. Pages without a url are compared with small hosts. A host's pages are dealt by
-    hash into groups of about ``settings.group``, so that a host with most pages is spread over tasks and all its pages
-    take part in a template. Repeated rows are pages of their own. An empty table gives an empty result; further columns are ignored.
+    hash into groups of about ``settings.group``, or as many as hold ``settings.group_bytes``, so that a host with most pages is spread over tasks and all
+    its pages take part in a template; one very long page fills a group alone. Repeated rows are pages of their own. An empty table gives an empty
+    result; further columns are ignored, whatever their names.
     """
     s = settings
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
     # A row a host: sent to all tasks if they are few, else joined by a shuffle of the pages.
-    sizes = materialize(rows.groupBy("host").agg(F.count("*").alias("n")), "pages-hosts")
+    groups = lambda n, b: F.greatest(F.ceil(n / s.group), F.ceil(b / s.group_bytes), F.lit(1))
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("b"))
+    sizes = materialize(sizes.withColumn("parts", groups(F.col("n"), F.col("b"))), "pages-hosts")
     sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
-    small = sizes.filter((F.col("n") < s.least_pages) | (F.col("host") == "")).agg(F.sum("n")).first()[0] or 0
-    pools = max(1, -(-small // s.group))
     pooled = (F.col("n") < s.least_pages) | (F.col("host") == "")
+    pools = sizes.filter(pooled).agg(groups(F.sum("n"), F.sum("b"))).first()[0] or 1
     spread = F.xxhash64("page_id", "url")
     joined = rows.join(sizes, "host")
-    joined = joined.withColumn("part", F.when(F.col("host") == "", F.pmod(spread, F.lit(pools))).when(pooled, F.pmod(F.xxhash64("host"), F.lit(pools))).otherwise(F.pmod(spread, F.ceil(F.col("n") / s.group))))
+    joined = joined.withColumn("part", F.when(F.col("host") == "", F.pmod(spread, F.lit(pools))).when(pooled, F.pmod(F.xxhash64("host"), F.lit(pools))).otherwise(F.pmod(spread, F.col("parts"))))
     joined = joined.withColumn("site", F.when(pooled, F.lit("")).otherwise(F.col("host"))).select("site", "part", "page_id", "url", "html")
     kinds = pages.schema
     schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long"

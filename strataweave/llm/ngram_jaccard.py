@@ -362,22 +362,25 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def representatives(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of each class, with the columns of ``docs``: a row whose id is the class's.
+    """One row of each class, with the columns of ``docs``, whatever their names: a row whose id is the class's.
 
-    Rows without words stay, one for each id.
+    Rows without words stay, one for each id. Of several rows with the kept id and set one stays. An empty table gives an empty result.
     """
-    own = docs.columns
+    own, name = docs.columns, "_"
+    while any(c.startswith(name) for c in own):
+        name += "_"
+    node, kept_id, kept_node = f"{name}node", f"{name}id", f"{name}kept"
     found = _classes(docs, settings).filter("node is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("kept"))
-    found = found.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.node").alias("_kept_node"))
+    found = found.select(F.col("kept.doc_id").alias(kept_id), F.col("kept.node").alias(kept_node))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def mark(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 nodes = [_node(x) if len(x) else None for x in shingle_sets(batch.column("text"), settings.words)]
-                yield batch.append_column("_node", pa.array(nodes, pa.int64()))
+                yield batch.append_column(node, pa.array(nodes, pa.int64()))
 
-    marked = docs.mapInArrow(mark, f"{kinds}, _node long")
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & F.col("_node").eqNullSafe(F.col("_kept_node"))
-    kept = marked.join(found, same, "left").filter("_node is null or _kept_node is not null")
-    return kept.dropDuplicates(["doc_id", "_node"]).select(*own)
+    marked = docs.mapInArrow(mark, f"{kinds}, `{node}` long")
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & F.col(node).eqNullSafe(F.col(kept_node))
+    kept = marked.join(found, same, "left").filter(F.col(node).isNull() | F.col(kept_node).isNotNull())
+    return kept.dropDuplicates(["doc_id", node]).select(*own)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strataweave.llm import chat_format, cover_tree, mixing, packing, rp_forest
+from strataweave.llm import chat_format, cover_tree, mixing, packing, quality_gam, rp_forest
 from strataweave.llm.queries import oracle_sql, queries
 
 
@@ -314,6 +314,66 @@ def test_pipeline_near_duplicates(spark):
     assert len(got) < len(least_ids(3, 90))
 
 
+@pytest.fixture(scope="module")
+def odd_documents(spark, tmp_path_factory):
+    """Nulls in every column, empty and very long texts, ties, repeats, and columns named like the stages' own; with labels."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=60)) + "." if i % 3 else "!!! $$$ " * 20, "en", "ab"[i % 2], i) for i in range(90)]
+    rows += [(200, None, None, None, None), (201, "", "en", "a", 0), (202, " \n ", "en", None, 3), (None, "no id at all here", None, "a", 5), (203, " ".join(rng.choices(words, k=200_000)) + ".", "en", "b", 1)]
+    rows += [(204, rows[1][1], "en", "a", 7), rows[2], rows[2], (205, "x" * 1_000_000, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(f"{c}!").alias(c) for c in ("score", "predicted", "_node", "class", "node", "size", "target", "copies", "queue", "ids"))).repartition(3)
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/none/labels.parquet")
+    docs.limit(0).write.parquet(f"{folder}/none/documents.parquet")
+    return folder
+
+
+def test_pipeline_of_odd_rows(spark, odd_documents):
+    """Each stage against a brute-force version on the rows that the one before kept."""
+    docs = spark.read.parquet(f"{odd_documents}/documents.parquet")
+    key = lambda r: (r.doc_id, r.text, r.lang, r.source, r.n_chars, r["_node"], r.score)
+    judged = quality_gam.classify(docs.drop("score", "predicted"), spark.read.parquet(f"{odd_documents}/labels.parquet")).collect()
+    good = corpus_pipeline.keep_quality(spark, docs, odd_documents)
+    assert good.columns == docs.columns
+    kept = good.collect()
+    assert Counter(map(key, kept)) == Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars, r["_node"], "score!") for r in judged if r.predicted)
+    assert 30 < len(kept) < docs.count() and {r.doc_id % 3 for r in kept if r.doc_id is not None and r.doc_id < 90} == {1, 2}
+
+    unique = corpus_pipeline.drop_near_duplicates(spark, good, odd_documents)
+    sets = []
+    for r in kept:
+        w = (r.text or "").lower().split()
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else zip(*(w[k:] for k in range(5)))))
+    stays = Counter()
+    for i, r in enumerate(kept):
+        alike = [o for j, o in enumerate(kept) if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+        if not sets[i] or (r.doc_id is None, r.doc_id or 0) == min((o.doc_id is None, o.doc_id or 0) for o in alike):
+            stays[key(r)] = 1
+    assert Counter(map(key, unique.collect())) == stays and unique.columns == docs.columns
+
+    mixed = corpus_pipeline.mix_sources(spark, unique, odd_documents)
+    assert mixed.columns == docs.columns
+    copies = {key(r): r.copies for r in mixing.plan(unique.drop("copies")).collect()}
+    assert Counter(map(key, mixed.collect())) == Counter({k: n for k, n in copies.items() if n})
+
+    packed = corpus_pipeline.pack_windows(spark, mixed, odd_documents).collect()
+    want = Counter()
+    for r in mixed.collect():
+        want[r.doc_id] += len(_tokenizer().encode(r.text or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == want and sorted(p for r in packed for p in range(r.sequence_id * 2048 + r.offset, r.sequence_id * 2048 + r.offset + r.length)) == list(range(sum(want.values())))
+
+
+def test_pipeline_of_empty_tables(spark, odd_documents):
+    assert corpus_pipeline.run(spark, f"{odd_documents}/none").count() == 0
+
+
 def test_registered():
     names = set(queries())
     assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names}

@@ -283,6 +283,28 @@ def test_main_text_of_odd_pages(spark):
     assert html_template.main_texts(frame.limit(0)).count() == 0
 
 
+def test_template_of_the_host_decides(spark):
+    """The same page gives another text beside other pages of its host, and nothing with an empty template."""
+    rng = random.Random(4)
+    page = "<html><body><div class='t'>We are a small team of writers</div><div class='b'>The story of today is long and new</div></body></html>"
+    alike = [page.replace("The story of today is long and new", " ".join(rng.choices("abcdefgh", k=40))) for _ in range(8)]
+    other = [page.replace("We are a small team of writers", " ".join(rng.choices("abcdefgh", k=40))) for _ in range(8)]
+    rows = [(i, "http://one.example.org/", p) for i, p in enumerate([page, *alike])] + [(100 + i, "http://two.example.org/", p) for i, p in enumerate([page, *other])]
+    got = {r.page_id: r.text for r in html_template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "The story of today is long and new" and got[100] == "We are a small team of writers"
+    tokens_ = html_template.tokenize(page)
+    assert html_template.extract(tokens_, html_template.Template([])) == ""
+
+
+def test_long_pages_in_groups_of_bytes(spark):
+    body = "word " * 20_000
+    rows = [(i, "http://long.example.org/", f"<html><body><div class='t'>Made here</div><article><p>{i} {body}</p></article></body></html>") for i in range(12)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_template.main_texts(frame).collect()}
+    parts = {r.page_id: r.text for r in html_template.main_texts(frame, html_template.Settings(group_bytes=300_000)).collect()}
+    assert whole == parts == {i: f"{i} {body.strip()}" for i in range(12)}
+
+
 def test_equivalence_classes_nest():
     settings_ = html_template.Settings()
     made = [html_template.tokenize(f"<html><body><ul>{'<li><a href=x>q</a></li>' * k}</ul><div>{'long text ' * (20 + k)}</div></body></html>") for k in (2, 3, 5)]
