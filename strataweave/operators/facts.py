@@ -78,3 +78,9 @@ def cleanup(facts: DataFrame, edges: DataFrame, validated: DataFrame, least: flo
     """Facts and hyperedges without the unvalidated facts below a confidence."""
     kept = facts.filter(F.col("confidence") >= least).unionByName(facts.filter(F.col("confidence") < least).join(validated.select("fact_id").distinct(), "fact_id", "left_semi").select(*facts.columns))
     return kept, edges.join(kept.select("fact_id"), "fact_id", "left_semi")
+
+
+def document_entities(chunks: DataFrame, mentions: DataFrame, type: str | None = None) -> DataFrame:
+    """doc_id, entity, type: the entities that a document's chunks mention, each once; of one type if that is given."""
+    found = chunks.select("doc_id", "chunk_id").join(mentions.select("chunk_id", "entity", "type"), "chunk_id")
+    return (found.filter(F.col("type") == type) if type else found).select("doc_id", "entity", "type").distinct()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +71,7 @@ def aggregate_confidence(scores: DataFrame, key: str, score: str = "confidence",
     w = F.lit(1.0) if weight is None else weight
     s = F.col(score)
     return scores.groupBy(key).agg(
-        F.round(F.min(s), 6).alias("least"), F.round(F.max(s), 6).alias("most"), F.round(F.avg(s), 6).alias("average"), F.round(F.sum(w * s) / F.sum(w), 6).alias("weighted"),
-        F.round(F.product(s), 6).alias("product"), F.round(1 - F.product(1 - s), 6).alias("noisy_or"),
+        F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("average"), (F.sum(w * s) / F.sum(w)).alias("weighted"), F.product(s).alias("product"), (1 - F.product(1 - s)).alias("noisy_or"),
     )
 
 
@@ -92,13 +95,39 @@ def confidence_trend(predictions: DataFrame, key: str, size: int = 5, share: flo
 
 
 def clamped_sums(steps: DataFrame, key: str, order: list[str], step: str, start: float, low: float, high: float) -> DataFrame:
-    """Final value a key of a sum that is clamped after every step, in order.
+    """key, value: the final value a key of a sum that is clamped after every step, in order.
 
-    The order matters, so that each key's steps are folded as one array; arrays hold numbers alone.
+    A run of steps maps x to min(max(x + add, least), most), and such maps compose to one. So rows are sorted by key and order over all
+    tasks, a task folds each key's run into one map, and only these, one a key and task, are put together: a key with most rows is spread.
     """
-    rows = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(step).alias("_step")))).alias("s"))
-    value = F.aggregate("s", F.lit(float(start)), lambda a, x: F.least(F.greatest(a + x["_step"], F.lit(float(low))), F.lit(float(high))))
-    return rows.select(key, F.round(value, 6).alias("value"))
+    rows = steps.select(key, *order, F.col(step).cast("double").alias("_step"))
+    ranged = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    kind = steps.schema[key].dataType.simpleString()
+
+    def fold(frames):
+        part, held = TaskContext.get().partitionId(), None
+        for frame in frames:
+            for who, step in zip(frame[key], frame["_step"], strict=True):
+                if held is None or held[0] != who:
+                    if held is not None:
+                        yield pd.DataFrame([held], columns=[key, "_part", "_add", "_least", "_most"])
+                    held = (who, part, 0.0, -math.inf, math.inf)
+                held = (who, part, held[2] + step, min(max(held[3] + step, low), high), min(max(held[4] + step, low), high))
+        if held is not None:
+            yield pd.DataFrame([held], columns=[key, "_part", "_add", "_least", "_most"])
+
+    runs = ranged.mapInPandas(fold, f"{key} {kind}, _part int, _add double, _least double, _most double")
+    ordered = F.array_sort(F.collect_list(F.struct("_part", "_add", "_least", "_most")))
+    value = F.aggregate(ordered, F.lit(float(start)), lambda x, m: F.least(F.greatest(x + m["_add"], m["_least"]), m["_most"]))
+    return runs.groupBy(key).agg(value.alias("value"))
+
+
+def propagated(feedback: DataFrame, entity: str, order: list[str], decay: float = 0.05, boost: float = 0.02, start: float = 0.5, low: float = 0.1, high: float = 1.0) -> DataFrame:
+    """entity, value, feedbacks, negative, positive: ratings up to 2 lower an entity's confidence (twice where critical), from 4 on they raise it, within bounds after each."""
+    bad, good = F.col("rating") <= 2, F.col("rating") >= 4
+    step = F.when(bad, -decay * F.when(F.col("severity") == "critical", 2).otherwise(1)).when(good, boost).otherwise(0.0)
+    counts = feedback.groupBy(entity).agg(F.count("*").alias("feedbacks"), F.count_if(bad).alias("negative"), F.count_if(good).alias("positive"))
+    return clamped_sums(feedback.withColumn("_step", step), entity, order, "_step", start, low, high).join(counts, entity)
 
 
 def demotions(feedback: DataFrame, entity: str = "entity", least: int = 5, negatives: int = 3) -> DataFrame:
@@ -108,8 +137,12 @@ def demotions(feedback: DataFrame, entity: str = "entity", least: int = 5, negat
 
 
 def rating_pairs(feedback: DataFrame, gap: int = 2, limit: int = 1000) -> DataFrame:
-    """Preference pairs of one query text whose ratings differ by at least ``gap`` and whose answers differ; widest first."""
-    f = feedback.select("query_text", "rating", "response_text", "feedback_id")
+    """Preference pairs of one query text whose ratings differ by at least ``gap`` and whose answers differ; the ``limit`` widest, then by ids.
+
+    Of equal answers to one query text with one rating only the first ``limit`` by id can be in the result; the others leave before the join.
+    """
+    rank = F.row_number().over(Window.partitionBy("query_text", "rating", "response_text").orderBy("feedback_id"))
+    f = feedback.select("query_text", "rating", "response_text", "feedback_id").withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
     chosen, rejected = f.toDF("query_text", "chosen_rating", "chosen", "chosen_id"), f.toDF("query_text", "rejected_rating", "rejected", "rejected_id")
     pairs = chosen.join(rejected, "query_text").filter((F.col("chosen_rating") - F.col("rejected_rating") >= gap) & (F.col("chosen") != F.col("rejected")))
     pairs = pairs.withColumn("gap", F.col("chosen_rating") - F.col("rejected_rating"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .resolve import ratio
 
 # Words that name a concept.
@@ -20,17 +21,27 @@ def bridges(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> Dat
     return rows.groupBy("rel_type", "dst").agg(F.count("*").alias("n"))
 
 
-def containment(concepts: DataFrame, assets: DataFrame, exact: float = 0.95, partial: float = 0.85) -> DataFrame:
-    """concept_id, asset_id, score: equal names, or all words of the concept's name among the asset's; best a pair.
+def containment(concepts: DataFrame, assets: DataFrame, kinds: Mapping[str, str], otherwise: str = "DESCRIBED_IN", exact: float = 0.95, partial: float = 0.85) -> DataFrame:
+    """concept_id, asset_id, score, rel_type: the words of one name among the other's (either way), or the concept's among the asset's description; best a pair.
 
-    Words are an inverted index: pairs are counted over shared words, never over all concepts and assets.
+    Words are an inverted index: pairs are counted over shared words, never over all concepts and assets. The relationship follows the asset's kind.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
-    left = concepts.select(F.col("id").alias("concept_id"), words(F.col("name")).alias("x"))
-    right = assets.select(F.col("id").alias("asset_id"), words(F.col("name")).alias("y"))
-    a, b = left.select("concept_id", F.size("x").alias("n"), F.explode("x").alias("w")), right.select("asset_id", F.size("y").alias("m"), F.explode("y").alias("w"))
-    shared = a.join(b, "w").groupBy("concept_id", "asset_id", "n", "m").agg(F.count("*").alias("k")).filter("k = n")
-    return shared.select("concept_id", "asset_id", F.when(F.col("n") == F.col("m"), exact).otherwise(partial).alias("score"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))
+    left = concepts.select(F.col("id").alias("concept_id"), words(F.col("name")).alias("x")).select("concept_id", F.size("x").alias("n"), F.explode("x").alias("w"))
+    rel = F.coalesce(*(F.when(F.col("kind") == k, r) for k, r in kinds.items()), F.lit(otherwise))
+    right = assets.select(F.col("id").alias("asset_id"), rel.alias("rel_type"), words(F.col("name")).alias("y"), words(F.col("description")).alias("d"))
+    right = right.select("asset_id", "rel_type", F.size("y").alias("m"), "y", "d", F.explode(F.array_union("y", "d")).alias("w"))
+    right = right.select("asset_id", "rel_type", "m", "w", F.array_contains("y", F.col("w")).alias("named"), F.array_contains("d", F.col("w")).alias("described"))
+    shared = left.join(right, "w").groupBy("concept_id", "asset_id", "rel_type", "n", "m").agg(F.count_if("named").alias("k"), F.count_if("described").alias("j"))
+    score = F.when((F.col("k") == F.col("n")) | (F.col("k") == F.col("m")), exact).when(F.col("j") == F.col("n"), partial)
+    return shared.select("concept_id", "asset_id", score.alias("score"), "rel_type").filter("score is not null")
+
+
+def confident_links(nodes: DataFrame, edges: DataFrame, rel_type: str, least: float) -> DataFrame:
+    """src, dst, confidence of one relationship between known nodes, from ``least`` on; best first."""
+    known = nodes.select("id")
+    rows = edges.filter((F.col("rel_type") == rel_type) & (F.col("confidence") >= least)).join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi")
+    return rows.select("src", "dst", "confidence").orderBy(F.desc("confidence"), "src", "dst")
 
 
 def concept_view(edges: DataFrame, first: str, second: str) -> DataFrame:
@@ -66,9 +77,13 @@ def find_concepts(concepts: DataFrame, text: str) -> DataFrame:
 
 
 def contradictions(inferences: DataFrame, validations: DataFrame, key: str, gap: float = 0.3) -> DataFrame:
-    """Keys whose two confidences differ by more than the gap."""
-    joined = inferences.select(key, F.col("confidence").alias("a")).join(validations.select(key, F.col("confidence").alias("b")), key)
-    return joined.filter(F.abs(F.col("a") - F.col("b")) > gap).select(key, F.round("a", 6).alias("inferred"), F.round("b", 6).alias("validated"))
+    """key, inference, entity, and their confidences where those of one key (a query) differ by more than the gap; a null confidence is 0.5.
+
+    Names of a key count once, by their best confidence, so that a busy key brings as many pairs as it has names, not rows.
+    """
+    one = lambda df, name, value: df.groupBy(key, F.col("name").alias(name)).agg(F.max(F.coalesce("confidence", F.lit(0.5))).alias(value))
+    joined = one(inferences, "inference", "inferred").join(one(validations, "entity", "validated"), key)
+    return joined.filter(F.abs(F.col("inferred") - F.col("validated")) > gap).select(key, "inference", "entity", "inferred", "validated")
 
 
 def open_topics(topics: DataFrame, resolved: DataFrame, top: int = 3) -> DataFrame:
@@ -131,15 +146,21 @@ def ranked_sources(parts: Sequence[DataFrame]) -> DataFrame:
     return union.groupBy("question", "source").agg(F.min("rank").alias("rank"))
 
 
-def ancestry(tree: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """node, ancestor, distance up to a depth, by one join a level."""
-    links = tree.select("child", "parent")
-    step = nodes.select("node").join(links.toDF("node", "ancestor"), "node").withColumn("distance", F.lit(1))
-    out = step
-    for k in range(2, depth + 1):
-        step = step.select("node", F.col("ancestor").alias("child")).join(links, "child").select("node", F.col("parent").alias("ancestor"), F.lit(k).alias("distance"))
-        out = out.union(step)
-    return out.filter("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+def ancestry(tree: DataFrame) -> DataFrame:
+    """node, ancestor, distance of every node to all above it in (child, parent), whatever the depth: paths double in a round, by one join on the ends known so far.
+
+    Nodes on a cycle, which have no top, are left out beyond their first step around it. Each round is written.
+    """
+    known = materialize(tree.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).filter("node <> ancestor").distinct(), "ancestry")
+    reach = 1
+    while True:
+        last = known.filter(F.col("distance") == reach)
+        further = last.select("node", F.col("ancestor").alias("middle")).join(known.select(F.col("node").alias("middle"), "ancestor", F.col("distance").alias("more")), "middle")
+        further = further.select("node", "ancestor", (F.col("more") + reach).alias("distance")).filter("node <> ancestor")
+        grown = materialize(known.union(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "ancestry")
+        if grown.count() == known.count():
+            return grown
+        known, reach = grown, 2 * reach
 
 
 def layered_retrieval(questions: DataFrame, nodes: DataFrame, weights: Mapping[str, float]) -> DataFrame:

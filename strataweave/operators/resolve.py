@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -23,8 +23,10 @@ def duplicate_pairs(nodes: DataFrame, edges: DataFrame, trim: bool = True) -> Da
     Names of one entity only are dropped before the join, so that what is shuffled for pairs are duplicates alone.
     """
     keyed = nodes.select("id", "name", "type", "confidence", name_key(trim=trim).alias("key")).filter("type is not null and key is not null")
-    keyed = keyed.withColumn("same", F.count("*").over(Window.partitionBy("type", "key"))).filter("same > 1").drop("same")
-    keyed = keyed.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    repeated = keyed.groupBy("type", "key").count().filter("count > 1").drop("count")
+    keyed = materialize(keyed.join(repeated, ["type", "key"]), "duplicates")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).join(keyed.select("id"), "id", "left_semi")
+    keyed = keyed.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     a, b = (keyed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "name", "confidence", "degree")), F.col("type"), F.col("key")) for x in "ab")
     return a.join(b, ["type", "key"]).filter("a_id < b_id")
 
@@ -88,23 +90,42 @@ def embedding_matches(queries: DataFrame, vectors: DataFrame, least: float = 0.9
     return q.join(v, "label").filter("in_id <> cand_id").select("in_id", "cand_id", cosine(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
 
 
+def _jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats; 1 for two empty ones."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
 def key_jaccard(left: DataFrame, right: DataFrame, least: float = 0.75, weight: float = 0.8) -> DataFrame:
-    """(in_id, cand_id, score, confidence) of property-key sets (id, keys) by an inverted index on keys.
+    """in_id, cand_keys, candidates, score, confidence of property-key sets (id, keys): the sets that an entity's own resembles, with how many entities have them.
 
+    Distinct sets are compared, by an inverted index on keys; entities come back by equi-joins, so that a set that most entities share stays one row.
     Two empty sets have 1, one empty set has 0.
     """
-    a, b = left.select(F.col("id").alias("in_id"), F.array_distinct("keys").alias("ka")), right.select(F.col("id").alias("cand_id"), F.array_distinct("keys").alias("kb"))
-    shared = a.select("in_id", F.size("ka").alias("na"), F.explode("ka").alias("key")).join(b.select("cand_id", F.size("kb").alias("nb"), F.explode("kb").alias("key")), "key")
-    scored = shared.groupBy("in_id", "cand_id").agg((F.count("*") / (F.first("na") + F.first("nb") - F.count("*"))).alias("score"))
-    empty = a.filter("size(ka) = 0").select("in_id", F.lit(0).alias("e")).join(b.filter("size(kb) = 0").select("cand_id", F.lit(0).alias("e")), "e").select("in_id", "cand_id", F.lit(1.0).alias("score"))
-    return scored.union(empty).filter(F.col("score") >= least).withColumn("confidence", F.col("score") * weight)
-
-
-def hybrid_matches(exact: DataFrame, fuzzy: DataFrame, embedding: DataFrame, structure: DataFrame, least: float = 0.72) -> DataFrame:
-    """Exact matches alone where there are any, else 0.3 fuzzy + 0.5 embedding + 0.2 structure."""
-    parts = [m.select("in_id", "cand_id", F.col("score") * w if w != 1 else F.col("score")).toDF("in_id", "cand_id", "score") for m, w in ((fuzzy, 0.3), (embedding, 0.5), (structure, 0.2))]
-    mixed = parts[0].union(parts[1]).union(parts[2]).groupBy("in_id", "cand_id").agg(F.sum("score").alias("score")).filter(F.col("score") >= least)
-    return exact.select("in_id", "cand_id", "score").union(mixed.join(exact.select("in_id").distinct(), "in_id", "left_anti"))
+    plain = lambda df: df.select("id", F.array_sort(F.array_distinct("keys")).alias("keys"))
+    mine, sets = plain(left), plain(right).groupBy("keys").agg(F.count("*").alias("candidates"))
+    asked = mine.select(F.col("keys").alias("ka")).distinct()
+    other = sets.select(F.col("keys").alias("kb"), "candidates")
+    pairs = asked.select("ka", F.explode("ka").alias("key")).join(other.select("kb", F.explode("kb").alias("key")), "key").select("ka", "kb").distinct()
+    empty = asked.filter("size(ka) = 0").select("ka", F.col("ka").alias("kb"))
+    scored = pairs.union(empty).withColumn("score", _jaccard(F.col("ka"), F.col("kb"))).filter(F.col("score") >= least).join(other, "kb")
+    found = mine.join(scored, F.col("keys") == F.col("ka"))
+    return found.select(F.col("id").alias("in_id"), F.col("kb").alias("cand_keys"), "candidates", "score", (F.col("score") * weight).alias("confidence"))
+
+
+def hybrid_matches(exact: DataFrame, fuzzy: DataFrame, embedding: DataFrame, own: DataFrame, known: DataFrame, least: float = 0.72, weights: tuple[float, float, float] = (0.3, 0.5, 0.2)) -> DataFrame:
+    """Exact matches alone where there are any, else weighted fuzzy + embedding + structure from ``least`` on.
+
+    Structure is the likeness of the property keys of both sides, (id, keys). It is worked out only for pairs that can still reach ``least`` with
+    it, which loses none.
+    """
+    f, e, s = weights
+    parts = [m.select("in_id", "cand_id", (F.col("score") * w).alias("score")) for m, w in ((fuzzy, f), (embedding, e))]
+    mixed = parts[0].union(parts[1]).groupBy("in_id", "cand_id").agg(F.sum("score").alias("score")).filter(F.col("score") >= least - s)
+    keys = lambda df, name, value: df.select(F.col("id").alias(name), F.array_distinct("keys").alias(value))
+    both = mixed.join(keys(own, "in_id", "x"), "in_id").join(keys(known, "cand_id", "y"), "cand_id")
+    scored = both.select("in_id", "cand_id", (F.col("score") + s * _jaccard(F.col("x"), F.col("y"))).alias("score")).filter(F.col("score") >= least)
+    return exact.select("in_id", "cand_id", "score").union(scored.join(exact.select("in_id").distinct(), "in_id", "left_anti"))
 
 
 def resolution_actions(incoming: DataFrame, matches: DataFrame, link: float = 0.9) -> DataFrame:
@@ -143,6 +164,13 @@ def merge_groups(pairs: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFram
     return after.select(F.col("u").alias("id"), F.col("v").alias("canonical")).union(tops.select("v", "v"))
 
 
+def duplicate_groups(nodes: DataFrame, trim: bool = True) -> DataFrame:
+    """(id, canonical): the least id of each group of one type and normalized name with several entities; one aggregate, no pairs."""
+    keyed = nodes.select("id", "type", name_key(trim=trim).alias("key")).filter("type is not null and key is not null")
+    groups = keyed.groupBy("type", "key").agg(F.min("id").alias("canonical"), F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(groups, ["type", "key"]).select("id", "canonical")
+
+
 def cross_type_duplicates(nodes: DataFrame) -> DataFrame:
     """Normalized names under at least two types: key, types, n."""
     return nodes.filter("type is not null").groupBy(name_key().alias("key")).agg(F.count_distinct("type").alias("types"), F.count("*").alias("n")).filter("types >= 2")

@@ -54,7 +54,7 @@ FIXTURES: dict[str, str] = {
         FROM (SELECT chunk_id, doc_id, seq, explode_all(text, '[A-Z][a-z][a-z][a-z][a-z][a-z][a-z]+') AS m FROM {chunks}) c""",
     "observations": """
         SELECT 'user:' || cast(user_id as string) || ':' || event_type AS id, user_id, CASE event_type WHEN 'click' THEN 'Symptom' WHEN 'view' THEN 'Medication' WHEN 'purchase' THEN 'Diagnosis' WHEN 'signup' THEN 'Preference' ELSE 'Other' END AS entity_type,
-               min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, avg(value) / 500 AS confidence
+               min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, cast(sum(cast(value as decimal(18, 6))) as double) / count(*) / 500 AS confidence
         FROM {events} GROUP BY user_id, event_type""",
     "feedback": """
         SELECT event_id AS feedback_id, 's' || cast(user_id as string) AS session_id, 'q' || cast(event_id % 200 as string) AS query_text, 'r' || cast(event_id as string) AS response_text,

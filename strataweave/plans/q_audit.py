@@ -309,9 +309,9 @@ def _(t):
     return t.nation.select(F.col("n_name").alias("source"), F.lower("n_name").alias("_s")).join(found.withColumnRenamed("source", "_s"), "_s").drop("_s")
 
 
-@query("SRC-19", "SELECT id, type, layer, coalesce(status, 'none') AS policy FROM {nodes} WHERE id LIKE 'part:%'")
+@query("SRC-19", "SELECT id, type, layer, coalesce(status, 'none') AS policy FROM {nodes}")
 def _(t):
-    return t.nodes.filter("id like 'part:%'").select("id", "type", "layer", F.coalesce("status", F.lit("none")).alias("policy"))
+    return t.nodes.select("id", "type", "layer", F.coalesce("status", F.lit("none")).alias("policy"))
 
 
 @query("SRC-21", "SELECT id, CASE WHEN id % 20 = 0 THEN NULL ELSE status END AS status FROM {store_a}")

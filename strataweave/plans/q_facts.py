@@ -76,9 +76,9 @@ def _(t):
     return facts.cleanup(made, facts.hyperedges(made), made.filter("fact_id like '0%'"), 0.68)[1].select("fact_id", "entity")
 
 
-@query("JOIN-14", "SELECT DISTINCT doc_id, entity, type FROM {mentions} WHERE type = 'Drug' AND doc_id % 10 = 3")
+@query("JOIN-14", "SELECT DISTINCT doc_id, entity, type FROM {mentions}")
 def _(t):
-    return t.chunks.join(t.mentions.drop("doc_id", "seq"), "chunk_id").filter("type = 'Drug' and doc_id % 10 = 3").select("doc_id", "entity", "type").distinct()
+    return facts.document_entities(t.chunks, t.mentions)
 
 
 _NAME = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"""

@@ -53,11 +53,11 @@ _R = lambda l: f"coalesce(list_position(['PERCEPTION', 'SEMANTIC', 'REASONING',
 
 
 @query("SCL-28", f"""SELECT a.id, CASE WHEN abs({_W('a.layer', 'a.confidence')} - {_W('b.layer', 'b.confidence')}) > 0.3 THEN CASE WHEN {_W('a.layer', 'a.confidence')} > {_W('b.layer', 'b.confidence')} THEN a.layer ELSE b.layer END
-  WHEN {_R('a.layer')} >= {_R('b.layer')} THEN a.layer ELSE b.layer END AS layer FROM {{nodes}} a JOIN {{nodes}} b ON a.id LIKE 'part:%' AND b.id = 'part:' || (a.k + 1) WHERE a.layer IS NOT NULL AND b.layer IS NOT NULL""")
+  WHEN {_R('a.layer')} >= {_R('b.layer')} THEN a.layer ELSE b.layer END AS layer FROM {{nodes}} a JOIN {{nodes}} b ON b.id = split_part(a.id, ':', 1) || ':' || (a.k + 1) WHERE a.layer IS NOT NULL AND b.layer IS NOT NULL""")
 def _(t):
-    a = t.nodes.filter("id like 'part:%' and layer is not null")
-    b = a.select((F.col("k") - 1).alias("k"), F.col("layer").alias("other"), F.col("confidence").alias("other_confidence"))
-    return a.join(b, "k").select("id", temporal.resolve_layers(F.col("layer"), F.col("confidence"), F.col("other"), F.col("other_confidence")).alias("layer"))
+    a = t.nodes.filter("layer is not null").withColumn("kind", F.substring_index("id", ":", 1))
+    b = a.select("kind", (F.col("k") - 1).alias("k"), F.col("layer").alias("other"), F.col("confidence").alias("other_confidence"))
+    return a.join(b, ["kind", "k"]).select("id", temporal.resolve_layers(F.col("layer"), F.col("confidence"), F.col("other"), F.col("other_confidence")).alias("layer"))
 
 
 @query("AGG-30", "SELECT count(*) AS total, round(avg(rating), 6) AS mean_rating, " + ", ".join(f"count(*) FILTER (WHERE rating = {r}) AS rating_{r}" for r in range(1, 6)) + ", count(correction_text) AS corrections, count(*) FILTER (WHERE rating >= 4) AS positives, count(*) FILTER (WHERE rating <= 2) AS negatives FROM {feedback}")
@@ -97,7 +97,7 @@ def _(t):
     return feedback.patterns(t.predictions, share=0.6)
 
 
-@query("AGG-36", "SELECT user_id, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(avg(confidence), 6) AS average, round(sum(observation_count * confidence) / sum(observation_count), 6) AS weighted, round(product(confidence), 6) AS product, round(1 - product(1 - confidence), 6) AS noisy_or FROM {observations} GROUP BY 1")
+@query("AGG-36", "SELECT user_id, min(confidence) AS least, max(confidence) AS most, avg(confidence) AS average, sum(observation_count * confidence) / sum(observation_count) AS weighted, product(confidence) AS product, 1 - product(1 - confidence) AS noisy_or FROM {observations} GROUP BY 1")
 def _(t):
     return feedback.aggregate_confidence(t.observations, "user_id", weight=F.col("observation_count"))
 
@@ -250,10 +250,3 @@ def _(t):
     sessions = t.events.select(F.concat(F.lit("s"), "user_id").alias("session_id")).union(t.spark.range(1).select(F.lit("s-none"))).distinct()
     counts = t.feedback.groupBy("session_id").agg(F.count("*").alias("feedbacks"), F.round(F.avg("rating"), 6).alias("mean"))
     return sessions.join(counts, "session_id", "left").withColumn("feedbacks", F.coalesce("feedbacks", F.lit(0)))
-
-
-@query("STR-05", """WITH RECURSIVE s AS (SELECT entity, CASE WHEN rating <= 2 THEN -0.05 WHEN rating >= 4 THEN 0.02 ELSE 0.0 END AS step, row_number() OVER (PARTITION BY entity ORDER BY created_at, feedback_id) AS i FROM {feedback}),
-  f(entity, i, v) AS (SELECT DISTINCT entity, 0::BIGINT, 0.5::DOUBLE FROM s UNION ALL SELECT f.entity, s.i, least(greatest(v + step, 0.1), 1.0)::DOUBLE FROM f JOIN s ON s.entity = f.entity AND s.i = f.i + 1) SELECT entity, round(arg_max(v, i), 6) AS value FROM f GROUP BY 1""")
-def _(t):
-    step = F.when(F.col("rating") <= 2, -0.05).when(F.col("rating") >= 4, 0.02).otherwise(0.0)
-    return feedback.clamped_sums(t.feedback.withColumn("step", step), "entity", ["created_at", "feedback_id"], "step", 0.5, 0.1, 1.0)

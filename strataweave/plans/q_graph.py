@@ -48,32 +48,42 @@ def _(t):
 
 
 @query("JOIN-05", """SELECT q.vec_id AS in_id, v.vec_id AS cand_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM {vectors} q JOIN {vectors} v ON q.label = v.label AND q.vec_id <> v.vec_id
-  WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.25""")
+  WHERE q.vec_id % 20 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.25""")
 def _(t):
-    return resolve.embedding_matches(t.vectors.filter("vec_id % 50 = 0"), t.vectors, 0.25)
+    return resolve.embedding_matches(t.vectors.filter("vec_id % 20 = 0"), t.vectors, 0.25)
 
 
-_KEYED = "keyed AS (SELECT id, k, list_distinct(list_concat([layer, status, 'k' || (k % 3)], labels)) AS keys FROM {nodes} WHERE id LIKE 'supplier:%')"
+_KEYED = "keyed AS (SELECT id, k, list_sort(list_distinct(list_filter(list_concat([layer, status, 'k' || (k % 3)], labels), lambda x: x IS NOT NULL))) AS keys FROM {nodes})"
 
 
 def _keyed(t):
     keys = F.array_distinct(F.concat(F.array("layer", "status", F.concat(F.lit("k"), F.col("k") % 3)), F.col("labels")))
-    return t.nodes.filter("id like 'supplier:%'").select("id", "k", F.array_compact(keys).alias("keys"))
+    return t.nodes.select("id", "k", F.array_compact(keys).alias("keys"))
 
 
-@query("JOIN-06", f"""WITH {_KEYED}, sets AS (SELECT id, k, list_filter(keys, lambda x: x IS NOT NULL) AS keys FROM keyed),
-  scored AS (SELECT a.id AS in_id, b.id AS cand_id, len(list_intersect(a.keys, b.keys))::DOUBLE / len(list_distinct(list_concat(a.keys, b.keys))) AS score FROM sets a JOIN sets b ON a.k % 10 = 0)
-  SELECT *, score * 0.8 AS confidence FROM scored WHERE score >= 0.75""")
+@query("JOIN-06", f"""WITH {_KEYED}, sets AS (SELECT keys, count(*) AS candidates FROM keyed GROUP BY 1), asked AS (SELECT DISTINCT keys FROM keyed WHERE k % 20 = 0),
+  scored AS (SELECT a.keys AS ka, b.keys AS kb, candidates, len(list_intersect(a.keys, b.keys))::DOUBLE / len(list_distinct(list_concat(a.keys, b.keys))) AS score FROM asked a, sets b)
+  SELECT id AS in_id, array_to_string(kb, ',') AS cand_keys, candidates, score, score * 0.8 AS confidence FROM keyed JOIN scored ON keys = ka WHERE k % 20 = 0 AND score >= 0.75""")
 def _(t):
     sets = _keyed(t)
-    return resolve.key_jaccard(sets.filter("k % 10 = 0"), sets)
+    return resolve.key_jaccard(sets.filter("k % 20 = 0"), sets).withColumn("cand_keys", F.array_join("cand_keys", ","))
 
 
-@query("JOIN-07", f"""WITH {_EXACT}, {_FUZZY}, mixed AS (SELECT in_id, cand_id, score * 0.3 + score * 0.5 AS score FROM fuzzy)
+_NEAR = """embedded AS (SELECT q.vec_id AS in_id, 'part:' || v.vec_id AS cand_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM {vectors} q JOIN {vectors} v ON q.label = v.label AND q.vec_id <> v.vec_id
+  WHERE q.vec_id % 20 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.2), near AS (SELECT * FROM embedded UNION ALL SELECT in_id, cand_id, 0.98 FROM fuzzy WHERE in_id % 3 = 1)"""
+
+
+@query("JOIN-07", f"""WITH {_EXACT}, {_FUZZY}, {_NEAR}, {_KEYED}, best AS (SELECT in_id, cand_id, max(score) AS score FROM near GROUP BY 1, 2), pairs AS (SELECT f.in_id, f.cand_id, f.score * 0.3 + n.score * 0.5 AS score, a.keys AS x, b.keys AS y FROM fuzzy f JOIN best n ON n.in_id = f.in_id AND n.cand_id = f.cand_id
+    JOIN keyed a ON a.id = 'part:' || f.in_id JOIN keyed b ON b.id = f.cand_id),
+  mixed AS (SELECT in_id, cand_id, score + 0.2 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS score FROM pairs)
   SELECT * FROM exact UNION ALL SELECT * FROM mixed WHERE score >= 0.72 AND in_id NOT IN (SELECT in_id FROM exact)""")
 def _(t):
     fuzzy = resolve.fuzzy_matches(t.incoming, t.nodes)
-    return resolve.hybrid_matches(resolve.exact_matches(t.incoming, t.nodes), fuzzy, fuzzy, fuzzy.limit(0))
+    near = resolve.embedding_matches(t.vectors.filter("vec_id % 20 = 0"), t.vectors, 0.2).withColumn("cand_id", F.concat(F.lit("part:"), "cand_id"))
+    near = near.union(fuzzy.filter("in_id % 3 = 1").withColumn("score", F.lit(0.98))).groupBy("in_id", "cand_id").agg(F.max("score").alias("score"))
+    sets = _keyed(t)
+    own = sets.filter("id like 'part:%'").select(F.expr("cast(substring(id, 6) as bigint)").alias("id"), "keys")
+    return resolve.hybrid_matches(resolve.exact_matches(t.incoming, t.nodes), fuzzy, near, own, sets)
 
 
 @query("JOIN-08", f"""WITH {_FUZZY}, best AS (SELECT in_id, max(score) AS score, arg_min(cand_id, (-score, cand_id)) AS cand_id FROM fuzzy GROUP BY in_id)
@@ -181,7 +191,7 @@ def _(t):
 
 @query("ALG-04", _pairs("lower(trim(name))") + " SELECT id, min(id) OVER (PARTITION BY type, key) AS canonical FROM keyed WHERE (type, key) IN (SELECT (type, key) FROM keyed GROUP BY type, key HAVING count(*) > 1)")
 def _(t):
-    return resolve.merge_groups(resolve.duplicate_pairs(t.nodes, t.edges))
+    return resolve.duplicate_groups(t.nodes)
 
 
 @query("AGG-02", """SELECT n.c AS entities, e.c AS relationships, o.c AS orphans, round(o.c / n.c, 6) AS orphan_rate, CASE WHEN o.c / n.c >= 0.8 THEN 'critical' WHEN o.c / n.c >= 0.5 THEN 'high' WHEN o.c / n.c >= 0.2 THEN 'medium' ELSE 'low' END AS severity

@@ -14,17 +14,19 @@ def _(t):
 
 
 _WORDS = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''))"
-_LINKS = f"""c AS (SELECT n_nationkey AS concept_id, {_WORDS('n_name')} AS x FROM nation UNION ALL SELECT 100, ['bolt'] UNION ALL SELECT 101, ['red', 'gear']), a AS (SELECT p_partkey AS asset_id, {_WORDS('p_name')} AS y FROM part),
-  l AS (SELECT concept_id, asset_id, CASE WHEN len(x) = len(y) THEN 0.95 ELSE 0.85 END::DOUBLE AS score FROM c JOIN a ON list_has_all(y, x))"""
+_LINKS = f"""c AS (SELECT n_nationkey AS concept_id, {_WORDS('n_name')} AS x FROM nation UNION ALL SELECT 100, ['bolt'] UNION ALL SELECT 101, ['red', 'gear'] UNION ALL SELECT 102, ['large', 'red', 'widget']),
+  a AS (SELECT p_partkey AS asset_id, {_WORDS('p_name')} AS y, {_WORDS("p_name || ' ' || p_type || ' brand ' || p_brand")} AS d, CASE WHEN p_partkey % 3 = 0 THEN 'Column' ELSE 'Table' END AS kind FROM part),
+  l AS (SELECT concept_id, asset_id, CASE WHEN list_has_all(y, x) OR list_has_all(x, y) THEN 0.95 ELSE 0.85 END::DOUBLE AS score, CASE kind WHEN 'Column' THEN 'REPRESENTED_IN' ELSE 'DESCRIBED_IN' END AS rel_type FROM c JOIN a ON list_has_all(y, x) OR list_has_all(x, y) OR list_has_all(d, x))"""
 
 
 def _links(t):
-    extra = t.spark.createDataFrame([(100, "bolt"), (101, "Red Gear")], "id int, name string")
+    extra = t.spark.createDataFrame([(100, "bolt"), (101, "Red Gear"), (102, "large red widget")], "id int, name string")
     concepts = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).union(extra)
-    return linking.containment(concepts, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    assets = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type", F.lit("brand"), "p_brand").alias("description"), F.when(F.col("p_partkey") % 3 == 0, "Column").otherwise("Table").alias("kind"))
+    return linking.containment(concepts, assets, {"Column": "REPRESENTED_IN"})
 
 
-@query("JOIN-20", f"WITH {_LINKS} SELECT concept_id, asset_id, score FROM l")
+@query("JOIN-20", f"WITH {_LINKS} SELECT concept_id, asset_id, score, rel_type FROM l")
 def _(t):
     return _links(t)
 
@@ -39,18 +41,16 @@ def _(t):
     return linking.concept_view(t.edges, "PLACED", "CONTAINS")
 
 
-@query("JOIN-24", "SELECT src, dst, e.confidence FROM {edges} e JOIN {nodes} a ON src = a.id JOIN {nodes} b ON dst = b.id WHERE rel_type = 'SUPPLIES' AND e.confidence >= 0.95 ORDER BY e.confidence DESC, src, dst LIMIT 200")
+@query("JOIN-24", "SELECT src, dst, e.confidence FROM {edges} e JOIN {nodes} a ON src = a.id JOIN {nodes} b ON dst = b.id WHERE rel_type = 'SUPPLIES' AND e.confidence >= 0.95 ORDER BY e.confidence DESC, src, dst")
 def _(t):
-    known = t.nodes.select("id")
-    rows = t.edges.filter("rel_type = 'SUPPLIES' and confidence >= 0.95").join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi")
-    return rows.select("src", "dst", "confidence").orderBy(F.desc("confidence"), "src", "dst").limit(200)
+    return linking.confident_links(t.nodes, t.edges, "SUPPLIES", 0.95)
 
 
-@query("JOIN-25", """WITH b AS (SELECT DISTINCT name, lower(name) AS key FROM {incoming}), n AS (SELECT id, lower(name) AS key FROM {nodes} WHERE id LIKE 'part:%'), x AS (SELECT b.name, 1 AS rank, n.id FROM b JOIN n USING (key)
+@query("JOIN-25", """WITH b AS (SELECT DISTINCT name, lower(name) AS key FROM {incoming}), n AS (SELECT id, lower(name) AS key FROM {nodes}), x AS (SELECT b.name, 1 AS rank, n.id FROM b JOIN n USING (key)
   UNION ALL SELECT b.name, 2, h.id FROM b JOIN (SELECT string_split(key, ' ')[1] AS head, min(id) AS id FROM n GROUP BY 1) h ON string_split(b.key, ' ')[1] = head WHERE length(head) > 3)
   SELECT name, arg_min(id, (rank, id)) AS id, CASE min(rank) WHEN 1 THEN 'exact' ELSE 'first_word' END AS how FROM x GROUP BY name""")
 def _(t):
-    return linking.link_mentions(t.incoming, t.nodes.filter("id like 'part:%'"))
+    return linking.link_mentions(t.incoming, t.nodes)
 
 
 @query("JOIN-33", "SELECT feedback_id AS chosen_id, (SELECT arg_max(feedback_id, (created_at, feedback_id)) FROM {feedback} WHERE rating <= 2) AS rejected_id FROM {feedback} WHERE rating >= 4 ORDER BY created_at DESC, feedback_id DESC LIMIT 500")
@@ -101,10 +101,11 @@ def _(t):
     return linking.layered_retrieval(_questions(t), t.nodes, LAYER_WEIGHTS)
 
 
-@query("JOIN-43", "WITH a AS (SELECT user_id, avg(value) / 500 AS c FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, avg(value) / 500 AS c FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, round(a.c, 6) AS inferred, round(b.c, 6) AS validated FROM a JOIN b USING (user_id) WHERE abs(a.c - b.c) > 0.05")
+@query("JOIN-43", """WITH a AS (SELECT user_id, event_type AS inference, max(coalesce(CASE WHEN event_id % 7 > 0 THEN value / 500 END, 0.5)) AS inferred FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2), b AS (SELECT user_id, event_type AS entity, max(value / 1000) AS validated FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2)
+  SELECT user_id, inference, entity, inferred, validated FROM a JOIN b USING (user_id) WHERE abs(inferred - validated) > 0.3""")
 def _(t):
-    one = lambda k: t.events.filter(F.col("event_type") == k).groupBy("user_id").agg((F.avg("value") / 500).alias("confidence"))
-    return linking.contradictions(one("view"), one("error"), "user_id", 0.05)
+    rows = lambda kinds, value: t.events.filter(F.col("event_type").isin(*kinds)).select("user_id", F.col("event_type").alias("name"), value.alias("confidence"))
+    return linking.contradictions(rows(("view", "click"), F.when(F.col("event_id") % 7 > 0, F.col("value") / 500)), rows(("error", "purchase"), F.col("value") / 1000), "user_id")
 
 
 @query("JOIN-46", "SELECT DISTINCT lower(name) AS name FROM {incoming} WHERE lower(name) NOT IN (SELECT lower(name) FROM {nodes})")
@@ -140,9 +141,9 @@ def _(t):
     return t.chunks.select("chunk_id", (F.col("seq") * 1000).alias("start"), F.length("text").alias("size"))
 
 
-@query("TOP-02", f"WITH {_DEG}, m AS (SELECT id, confidence AS match FROM {{nodes}} WHERE id LIKE 'part:%') SELECT m.id, round(match * 0.6 + (0.4 * least(coalesce(degree, 0) / 10, 1.0) + 0.3 * (type IS NOT NULL)::INT + 0.3 * (layer IS NOT NULL)::INT) * 0.4, 6)::DOUBLE AS score FROM m JOIN {{nodes}} n ON m.id = n.id LEFT JOIN deg ON deg.id = m.id ORDER BY score DESC, m.id LIMIT 10")
+@query("TOP-02", f"WITH {_DEG}, m AS (SELECT id, confidence AS match FROM {{nodes}}) SELECT m.id, round(match * 0.6 + (0.4 * least(coalesce(degree, 0) / 10, 1.0) + 0.3 * (type IS NOT NULL)::INT + 0.3 * (layer IS NOT NULL)::INT) * 0.4, 6)::DOUBLE AS score FROM m JOIN {{nodes}} n ON m.id = n.id LEFT JOIN deg ON deg.id = m.id ORDER BY score DESC, m.id LIMIT 10")
 def _(t):
-    matches = t.nodes.filter("id like 'part:%'").select("id", F.col("confidence").alias("match"))
+    matches = t.nodes.select("id", F.col("confidence").alias("match"))
     return linking.hybrid_search(matches, t.nodes, t.edges)
 
 
@@ -158,10 +159,9 @@ def _(t):
     return linking.ranked_sources([part(0), part(1)])
 
 
-@query("ALG-05", "WITH a1 AS (SELECT child AS node, parent AS ancestor FROM {hierarchy} WHERE child LIKE 'p%'), a2 AS (SELECT a.node, h.parent AS ancestor FROM a1 a JOIN {hierarchy} h ON a.ancestor = h.child), a3 AS (SELECT a.node, h.parent AS ancestor FROM a2 a JOIN {hierarchy} h ON a.ancestor = h.child) SELECT node, ancestor, min(d) AS distance FROM (SELECT *, 1 AS d FROM a1 UNION ALL SELECT *, 2 FROM a2 UNION ALL SELECT *, 3 FROM a3) x GROUP BY 1, 2")
+@query("ALG-05", "WITH RECURSIVE tree AS (SELECT child, parent FROM {hierarchy} WHERE child LIKE 'p%'), up(node, ancestor, distance) AS (SELECT child, parent, 1 FROM tree UNION ALL SELECT node, parent, distance + 1 FROM up JOIN tree ON ancestor = child) SELECT node, ancestor, distance FROM up")
 def _(t):
-    tree = t.hierarchy.filter("child like 'p%'")
-    return linking.ancestry(tree, tree.select(F.col("child").alias("node")), 3)
+    return linking.ancestry(t.hierarchy.filter("child like 'p%'"))
 
 
 @query("SCL-13", "SELECT subject_id, len(list_filter(symptoms, lambda s: contains(s, 'pain') OR contains(s, 'fatigue')))::INT AS topics FROM {subjects}")

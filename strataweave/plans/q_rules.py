@@ -164,10 +164,10 @@ def _(t):
     return parts[0].unionByName(parts[1])
 
 
-@query("TOP-01", """SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5) AS distance FROM {vectors} q JOIN {vectors} v ON q.vec_id % 50 = 0
+@query("TOP-01", """SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5) AS distance FROM {vectors} q JOIN {vectors} v ON q.vec_id % 20 = 0
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5), v.vec_id) <= 5""")
 def _(t):
-    q = t.vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    q = t.vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
     return nearest_l2(q, t.vectors, 5)
 
 
@@ -179,10 +179,10 @@ def nearest_l2(queries, vectors, k):
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "distance")
 
 
-@query("TOP-03", """SELECT a.vec_id AS in_id, b.vec_id AS cand_id FROM {vectors} a JOIN {vectors} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2
+@query("TOP-03", """SELECT a.vec_id AS in_id, b.vec_id AS cand_id FROM {vectors} a JOIN {vectors} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) <= 5""")
 def _(t):
-    found = resolve.embedding_matches(t.vectors.filter("vec_id % 25 = 0"), t.vectors, 0.2)
+    found = resolve.embedding_matches(t.vectors.filter("vec_id % 20 = 0"), t.vectors, 0.2)
     rank = F.row_number().over(Window.partitionBy("in_id").orderBy(F.round("score", 9).desc(), "cand_id"))
     return found.withColumn("rank", rank).filter("rank <= 5").select("in_id", "cand_id")
 
@@ -196,16 +196,3 @@ def _(t):
 def _(t):
     gap = F.datediff(F.lit(REF_TIME[:10]).cast("date"), F.max("ts").cast("date"))
     return t.events.groupBy("user_id").agg(F.when(gap <= 0, "today").when(gap <= 1, "yesterday").when(gap <= 7, "week").otherwise("older").alias("bucket"))
-
-
-@query("STR-06", "SELECT ts::DATE AS day, operation_type, count(*) AS n, round(avg(success::INT), 6) AS success_rate FROM {predictions} GROUP BY 1, 2")
-def _(t):
-    return t.predictions.groupBy(F.col("ts").cast("date").alias("day"), "operation_type").agg(F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_rate"))
-
-
-@query("STR-03", "SELECT user_id, ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2 HAVING count(*) >= 3")
-def _(t):
-    return t.events.filter("event_type = 'view'").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n")).filter("n >= 3")
-
-
-

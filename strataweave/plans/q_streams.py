@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..operators import feedback
 from ..session import shared_dir
-from ..streaming import events
+from ..sources import files
+from ..streaming import events, state
 from .fixtures import REF_TIME, query
 
 
@@ -30,11 +31,6 @@ def _(t):
     return batches.groupBy("name", "type").agg(F.sum("observations").alias("observations"))
 
 
-@query("STR-07", f"SELECT user_id, CASE WHEN max(ts) < TIMESTAMP '{REF_TIME}' - INTERVAL 36 HOUR THEN 'degraded' ELSE 'active' END AS state FROM events GROUP BY 1")
-def _(t):
-    return events.stale(t.events, "user_id", REF_TIME, "36 hours").select("user_id", "state")
-
-
 @query("STR-08", "SELECT doc_id, 'doc:' || substr(sha256(text), 1, 16) AS content_id FROM documents")
 def _(t):
     from ..functions.text import content_id
@@ -47,16 +43,6 @@ def _(t):
     return events.drain(events.first_seen(_stream(t), ["user_id", "event_type"]).select("user_id", "event_type"), "str-09")
 
 
-@query("STR-10", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
-  SELECT user_id, n::BIGINT AS session, count(*) AS events FROM s GROUP BY 1, 2""")
-def _(t):
-    from pyspark.sql import Window
-
-    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("events"))
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("session_window.start"))
-    return rows.select("user_id", number.cast("long").alias("session"), "events")
-
-
 @query("SRC-08")
 def _(t):
     return files.scan(t.spark, t.sf_dir, "*.parquet").select("category", "size")
@@ -104,3 +90,43 @@ def _(t):
     return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "component int, variance double")
 
 
+_COUNTED = """q AS (SELECT 'e' || (user_id % 5) AS entity, ts, event_id, event_id % 3 > 0 AS hit, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events),
+  f(entity, i, ts, count, hits, misses, first, promoted, queries, good) AS (SELECT DISTINCT entity, 0::BIGINT, NULL::TIMESTAMP, 0, 0, 0, NULL::TIMESTAMP, false, 0, 0 FROM q UNION ALL
+    SELECT entity, i, ts, CASE WHEN late THEN 1 WHEN up THEN 0 ELSE n END, CASE WHEN late OR up THEN 0 ELSE h END, CASE WHEN late OR up THEN 0 ELSE m END, CASE WHEN late THEN ts WHEN up THEN NULL ELSE began END, up, n, h FROM (
+      SELECT *, NOT late AND n >= 10 AND h >= 0.5 * (h + m) AS up FROM (SELECT *, ts - began > INTERVAL 24 HOUR AS late FROM (SELECT q.entity, q.i, q.ts, f.count + 1 AS n, f.hits + q.hit::INT AS h, f.misses + (NOT q.hit)::INT AS m, coalesce(f.first, q.ts) AS began FROM f JOIN q ON q.entity = f.entity AND q.i = f.i + 1) a) b) c)"""
+
+
+@query("STR-03", f"WITH RECURSIVE {_COUNTED} SELECT entity, ts, queries::BIGINT AS queries, good::BIGINT AS hits FROM f WHERE promoted")
+def _(t):
+    rows = _stream(t).select(F.concat(F.lit("e"), F.col("user_id") % 5).alias("entity"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 3 > 0).alias("hit"))
+    return events.drain(state.promoted_by_frequency(rows, "entity"), "promoted")
+
+
+_STEP = "CASE WHEN event_id % 5 < 2 THEN CASE WHEN event_id % 3 = 0 THEN -0.1 ELSE -0.05 END WHEN event_id % 5 > 2 THEN 0.02 ELSE 0.0 END"
+_FOLDED = f"""WITH RECURSIVE s AS (SELECT user_id, {_STEP}::DOUBLE AS step, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  f(user_id, i, v) AS (SELECT DISTINCT user_id, 0::BIGINT, 0.5::DOUBLE FROM s UNION ALL SELECT f.user_id, s.i, least(greatest(v + step, 0.1), 1.0)::DOUBLE FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)"""
+
+
+@query("STR-05", f"""{_FOLDED}, c AS (SELECT user_id, count(*) AS feedbacks, count(*) FILTER (WHERE event_id % 5 < 2) AS negative, count(*) FILTER (WHERE event_id % 5 > 2) AS positive FROM events GROUP BY 1)
+  SELECT f.user_id, round(arg_max(v, i), 6) AS value, any_value(feedbacks) AS feedbacks, any_value(negative) AS negative, any_value(positive) AS positive FROM f JOIN c ON c.user_id = f.user_id GROUP BY 1""")
+def _(t):
+    rows = t.events.select("user_id", "ts", "event_id", (1 + F.col("event_id") % 5).alias("rating"), F.when(F.col("event_id") % 3 == 0, "critical").otherwise("minor").alias("severity"))
+    return feedback.propagated(rows, "user_id", ["ts", "event_id"]).withColumn("value", F.round("value", 6))
+
+
+@query("STR-06", """WITH w AS (SELECT unnest(range(0, 7)) AS k), d AS (SELECT operation_type, ts::DATE - k::INT AS day, success, confidence FROM {predictions}, w)
+  SELECT operation_type, day AS start, count(*) AS n, round(avg(success::INT), 6) AS success_rate, round(avg(confidence) - avg(success::INT), 6) AS calibration FROM d GROUP BY 1, 2""")
+def _(t):
+    rates = events.rolling_success(t.predictions.withColumn("ts", F.col("ts").cast("timestamp")), "operation_type")
+    return rates.select("operation_type", F.col("window.start").cast("date").alias("start"), "n", F.round("success_rate", 6).alias("success_rate"), F.round(F.col("confidence") - F.col("success_rate"), 6).alias("calibration"))
+
+
+@query("STR-07", "SELECT user_id, max(ts) AS last, 'degraded' AS state FROM events GROUP BY 1 HAVING epoch_ms(max(ts)) + 36 * 3600000 < (SELECT epoch_ms(max(ts)) FROM events)")
+def _(t):
+    return events.drain(state.silent(_stream(t).select("user_id", "ts"), "user_id", 36 * 3600.0), "silent")
+
+
+@query("STR-10", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+  SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, n""")
+def _(t):
+    return events.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id").select("user_id", "started", "ended", "events")

@@ -64,16 +64,17 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "30 days") -> Dat
 
 
 def sessions(events: DataFrame, key: str, gap: str = "1 hour", late: str = "30 days") -> DataFrame:
-    """Sessions of a key that a silence ends."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("events"))
+    """Sessions of a key that a silence ends, with their first and last event; over a stream a session appears once the watermark has passed it."""
+    ends = F.count("*").alias("events"), F.min("ts").alias("started"), F.max("ts").alias("ended")
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(*ends)
+
+
+def rolling_success(outcomes: DataFrame, key: str, length: str = "7 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
+    """key, window, n, success_rate, confidence (mean) of (ts, success, confidence) in sliding windows, of a stream or a table."""
+    rows = outcomes.withWatermark("ts", late).groupBy(F.window("ts", length, step), key)
+    return rows.agg(F.count("*").alias("n"), F.avg(F.col("success").cast("int")).alias("success_rate"), F.avg("confidence").alias("confidence"))
 
 
 def crystallize(batch: DataFrame, number: int) -> DataFrame:
     """One row a normalized name and type of a micro-batch: observations summed, the best confidence kept."""
     return batch.groupBy(F.lower(F.trim("name")).alias("name"), "type").agg(F.count("*").alias("observations"), F.max("confidence").alias("confidence"))
-
-
-def stale(events: DataFrame, key: str, ref: str, silence: str) -> DataFrame:
-    """Key, last, state: degraded after a silence before the reference time."""
-    limit = F.lit(ref).cast("timestamp") - F.expr(f"interval {silence}")
-    return events.groupBy(key).agg(F.max("ts").alias("last")).withColumn("state", F.when(F.col("last").cast("timestamp") < limit, "degraded").otherwise("active"))
