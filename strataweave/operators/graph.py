@@ -51,15 +51,22 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def path_frequency(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(depth, n): directed paths by length, no edge twice in a path."""
-    e = edges.select("src", "dst").withColumn("eid", F.xxhash64("src", "dst"))
-    paths = e.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("eid").alias("used"))
-    out = paths.agg(F.count("*").alias("n")).select(F.lit(1).alias("depth"), "n")
-    for k in range(2, depth + 1):
-        paths = paths.join(e, F.col("end") == F.col("src")).filter(~F.array_contains("used", F.col("eid"))).select("start", F.col("dst").alias("end"), F.array_append("used", F.col("eid")).alias("used"))
-        out = out.union(paths.agg(F.count("*").alias("n")).select(F.lit(k).alias("depth"), "n"))
-    return out
+def path_frequency(edges: DataFrame) -> DataFrame:
+    """(depth, n): directed paths of one to three different edges, of distinct (src, dst).
+
+    Paths are counted, not made: by degrees at their middle, less those that use an edge twice (loops, and an edge after its reverse).
+    """
+    e = materialize(edges.select("src", "dst").distinct(), "paths")
+    out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outs"))
+    into = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("ins"))
+    degree = materialize(out.join(into, "id", "full").fillna(0), "paths-degrees")
+    loops = e.filter("src = dst").select(F.col("src").alias("id")).join(degree, "id").agg(F.count("*").alias("loops"), F.coalesce(F.sum(F.col("ins") + F.col("outs")), F.lit(0)).alias("at_loops"))
+    two = degree.agg(F.coalesce(F.sum(F.col("ins") * F.col("outs")), F.lit(0)).alias("two"))
+    around = e.join(degree.select(F.col("id").alias("src"), "ins"), "src").join(degree.select(F.col("id").alias("dst"), "outs"), "dst").agg(F.coalesce(F.sum(F.col("ins") * F.col("outs")), F.lit(0)).alias("three"))
+    turned = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").agg(F.count("*").alias("turned"))
+    one = e.agg(F.count("*").alias("one")).join(two, F.lit(True)).join(around, F.lit(True)).join(loops, F.lit(True)).join(turned, F.lit(True))  # a row each
+    counts = (F.col("one"), F.col("two") - F.col("loops"), F.col("three") - F.col("at_loops") - F.col("turned") + 2 * F.col("loops"))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("depth"), n.alias("n")) for k, n in enumerate(counts, 1)))).alias("p")).select("p.*")
 
 
 def inverse_edges(edges: DataFrame, inverses=rules.INVERSES) -> DataFrame:
@@ -87,17 +94,17 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
-def hierarchy_depth(tree: DataFrame, most: int = 1000) -> DataFrame:
+def hierarchy_depth(tree: DataFrame) -> DataFrame:
     """(node, depth, cyclic): longest path to a root (a node without parent); what never resolves lies on or below a cycle.
 
-    A level a round: a node is settled once all its parents are. Only rounds are bounded by ``most``.
+    A level a round, as many rounds as there are levels: a node is settled once all its parents are.
     """
     links = materialize(tree.select("child", "parent").distinct(), "tree")
     nodes = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     roots = nodes.join(links.select(F.col("child").alias("node")), "node", "left_anti")
     done = materialize(roots.withColumn("depth", F.lit(0)), "depths")
     parents = materialize(links.groupBy("child").agg(F.count("*").alias("parents")), "parents")
-    for _ in range(most):
+    while True:
         settled = links.join(done.select(F.col("node").alias("parent"), "depth"), "parent").groupBy("child").agg(F.count("*").alias("k"), F.max("depth").alias("top"))
         fresh = settled.join(parents, "child").filter("k = parents").select(F.col("child").alias("node"), (F.col("top") + 1).alias("depth"))
         fresh = materialize(fresh.join(done, "node", "left_anti"), "depths")
@@ -107,8 +114,8 @@ def hierarchy_depth(tree: DataFrame, most: int = 1000) -> DataFrame:
     return nodes.join(done, "node", "left").select("node", "depth", F.col("depth").isNull().alias("cyclic"))
 
 
-def cycles(tree: DataFrame, longest: int = 10) -> DataFrame:
-    """Directed cycles of up to ``longest`` steps, once each, as paths from their least node.
+def cycles(tree: DataFrame) -> DataFrame:
+    """Directed cycles of any length, once each, as paths from their least node.
 
     Nodes that settle in ``hierarchy_depth`` lie on no cycle and are left out before paths are grown.
     """
@@ -116,11 +123,13 @@ def cycles(tree: DataFrame, longest: int = 10) -> DataFrame:
     e = tree.select("child", "parent").join(loose.toDF("child"), "child", "left_semi").join(loose.toDF("parent"), "parent", "left_semi").distinct()
     paths = e.select(F.array("child").alias("path"), F.col("parent").alias("end"))
     found = None
-    for _ in range(longest):
+    while True:
         closed = paths.filter("end = path[0]").select(F.array_join("path", ">").alias("cycle"))
         found = closed if found is None else found.union(closed)
         paths = paths.filter("end > path[0] and not array_contains(path, end)").join(e, F.col("end") == F.col("child")).select(F.array_append("path", F.col("end")).alias("path"), F.col("parent").alias("end"))
-    return found
+        paths = materialize(paths, "cycles")
+        if not paths.limit(1).count():
+            return found
 
 
 def graph_totals(nodes: DataFrame, edges: DataFrame, bands=rules.SEVERITY_BANDS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .feedback import clamped_sums
 from .resolve import ratio
 
 # Words that name a concept.
@@ -108,18 +109,32 @@ def answer_confidence(counts: DataFrame, boosts: Mapping[str, tuple[int, float]]
     return counts.select("question", F.round(F.least(total, F.lit(1.0)), 6).alias("confidence"))
 
 
-def adaptive_weights(feedback: DataFrame, frame: int = 100, least: int = 10, step: float = 0.01, start: float = 0.5) -> DataFrame:
-    """feedback_type, weight: a step up or down a row by the success of the type in the last rows, kept in 0 .. 1."""
-    order = Window.orderBy("created_at", "feedback_id").rowsBetween(-(frame - 1), 0)
-    kinds = [r.feedback_type for r in feedback.select("feedback_type").distinct().limit(1001).collect()]
-    good = {k: F.sum(F.when(F.col("feedback_type") == k, F.when(F.col("rating") >= 4, 1).otherwise(-1))).over(order) for k in kinds}
-    seen = {k: F.count(F.when(F.col("feedback_type") == k, 1)).over(order) for k in kinds}
-    rows = feedback.withColumns({f"_g{i}": good[k] for i, k in enumerate(kinds)} | {f"_s{i}": seen[k] for i, k in enumerate(kinds)})
-    balance = F.coalesce(*(F.when((F.col("feedback_type") == k) & (F.col(f"_s{i}") >= least), F.signum(F.col(f"_g{i}").cast("double"))) for i, k in enumerate(kinds)), F.lit(0.0))
-    steps = rows.select("feedback_type", "created_at", "feedback_id", (balance * step).alias("_step"))
-    arrays = steps.groupBy("feedback_type").agg(F.array_sort(F.collect_list(F.struct("created_at", "feedback_id", "_step"))).alias("s"))
-    value = F.aggregate("s", F.lit(start), lambda a, x: F.least(F.greatest(a + x["_step"], F.lit(0.0)), F.lit(1.0)))
-    return arrays.select("feedback_type", F.round(value, 4).alias("weight"))
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0: sorted by ranges over all tasks, with each task's start from the counts before it."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    stored = materialize(ranged, "numbered")  # so that tasks and places stay as they are
+    task = F.shiftrightunsigned(name, 33)
+    counts = stored.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = stored.join(F.broadcast(starts), task == F.col("_task"))
+    return joined.withColumn(name, F.col("_start") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_start")
+
+
+def adaptive_weights(feedback: DataFrame, frame: int = 100, least: int = 10, step: float = 0.01, start: float = 0.5, stretch: int = 100_000) -> DataFrame:
+    """feedback_type, weight: a step up or down a row by the success of the type among the last ``frame`` rows of all types, kept in 0 .. 1.
+
+    Rows are numbered over all types. A type's rows are cut into stretches of numbers, each with the rows of the frame before it, so that
+    one type with most rows is spread; its steps are folded by runs.
+    """
+    rows = numbered(feedback.select("feedback_type", "rating", "created_at", "feedback_id"), ("created_at", "feedback_id"), "place")
+    own = F.floor(F.col("place") / stretch)
+    near = rows.withColumn("part", F.explode(F.array_distinct(F.array(own, F.floor((F.col("place") + frame - 1) / stretch)))))
+    last = Window.partitionBy("feedback_type", "part").orderBy("place").rangeBetween(-(frame - 1), 0)
+    good = F.sum(F.when(F.col("rating") >= 4, 1).otherwise(-1)).over(last)
+    moved = F.when(F.count("*").over(last) >= least, F.signum(good.cast("double"))).otherwise(0.0) * step
+    steps = near.withColumn("step", moved).filter(F.col("part") == own)
+    return clamped_sums(steps, "feedback_type", ["place"], "step", start, 0.0, 1.0).select("feedback_type", F.round("value", 4).alias("weight"))
 
 
 def hybrid_search(matches: DataFrame, nodes: DataFrame, edges: DataFrame, weight: float = 0.6, top: int = 10) -> DataFrame:

@@ -69,7 +69,7 @@ def fuzzy_matches(incoming: DataFrame, nodes: DataFrame, least: float = 0.85, pi
     end = F.floor((F.col("part") + 1) * size / (F.col("d") + 1)).cast("int")
     cut = cut.withColumns({"start": start, "long": end - start}).filter("long > 0").withColumn("piece", F.expr("substring(x, start + 1, long)"))
     lengths = cut.select("type", "long").distinct()
-    grams = right.join(F.broadcast(lengths), "type").filter(F.col("long") <= F.length("y"))
+    grams = right.join(lengths, "type").filter(F.col("long") <= F.length("y"))
     grams = grams.withColumn("place", F.explode(F.sequence(F.lit(0), F.length("y") - F.col("long")))).withColumn("piece", F.expr("substring(y, place + 1, long)"))
     pairs = cut.join(grams, ["type", "long", "piece"]).filter("abs(place - start) <= d").select("type", "x", "y").distinct()
     pairs = pairs.withColumn("score", ratio(F.col("x"), F.col("y"))).filter(F.col("score") >= least)

@@ -131,7 +131,9 @@ def _(t):
     return t.nodes.groupBy("layer").agg(F.count_distinct("type").alias("types"), F.count_distinct(F.col("labels")[0]).alias("classes"))
 
 
-@query("WIN-08")
+@query("WIN-08", """WITH RECURSIVE r AS (SELECT feedback_type, rating, row_number() OVER (ORDER BY created_at, feedback_id) AS p FROM {feedback}), g AS (SELECT feedback_type, p, sum(CASE WHEN rating >= 4 THEN 1 ELSE -1 END) OVER w AS good, count(*) OVER w AS seen FROM r WINDOW w AS (PARTITION BY feedback_type ORDER BY p RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)),
+  s AS (SELECT feedback_type, CASE WHEN seen >= 10 THEN sign(good) * 0.01 ELSE 0 END::DOUBLE AS step, row_number() OVER (PARTITION BY feedback_type ORDER BY p) AS i FROM g),
+  f(feedback_type, i, v) AS (SELECT DISTINCT feedback_type, 0::BIGINT, 0.5::DOUBLE FROM s UNION ALL SELECT f.feedback_type, s.i, least(greatest(v + step, 0), 1)::DOUBLE FROM f JOIN s ON s.feedback_type = f.feedback_type AND s.i = f.i + 1) SELECT feedback_type, round(arg_max(v, i), 4) AS weight FROM f GROUP BY 1""")
 def _(t):
     return linking.adaptive_weights(t.feedback)
 
