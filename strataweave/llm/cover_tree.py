@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import components
-from .vectors import cosines, element_type, matrix, norms, usable
+from .vectors import by_length, cosines, element_type, matrix, norms, usable
 
 SLACK = 1e-5  # single-precision products only ever keep more pairs than needed
 
@@ -304,11 +305,19 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
 
     n_links: other rows with cosine >= threshold. component_id: smallest id reachable by links, itself included;
     kept: whether that is its own. Rows that ``vectors.usable`` leaves out link with nothing; a null id has a null
-    component and is not kept. Equal vectors under one id are rows of their own in n_links. An empty table gives an empty
-    result. Further columns are ignored.
+    component and is not kept. Equal vectors under one id are rows of their own in n_links. Vectors of different lengths do not link. An empty table
+    gives an empty result. Further columns are ignored.
     """
-    s, kind = settings, element_type(table)
-    rows = usable(table)
+    known = reduce(DataFrame.union, (_linked_rows(rows, settings, element_type(table)) for rows in by_length(usable(table))))
+    known = known.groupBy("known_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    every = table.select(F.col("vec_id").cast("long").alias("vec_id")).join(known, F.col("vec_id") == F.col("known_id"), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+def _linked_rows(rows: DataFrame, s: Settings, kind: str) -> DataFrame:
+    """known_id, n_links, component_id of rows with vectors of one length."""
+    spark = rows.sparkSession
     points = rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     points = materialize(points, "ct-points")
     count = points.count()
@@ -323,7 +332,7 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
                 break
             chosen = finer
         pivots = unit[chosen]
-    shared = table.sparkSession.sparkContext.broadcast(pivots)  # at most ``pivots`` vectors
+    shared = spark.sparkContext.broadcast(pivots)  # at most ``pivots`` vectors
 
     def assign(frames):
         for frame in frames:
@@ -339,7 +348,7 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
     for r in parts:
         first[r.pivot] = (total, r.parts)
         total += r.parts
-    blocks = table.sparkSession.createDataFrame([(p, a, n) for p, (a, n) in first.items()], "pivot long, first long, parts int")
+    blocks = spark.createDataFrame([(p, a, n) for p, (a, n) in first.items()], "pivot long, first long, parts int")
     placed = placed.join(F.broadcast(blocks), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts"))
     packs = materialize(placed.groupBy("block").applyInPandas(_pack(kind, s), PACK), "ct-packs")
     pairs = materialize(_block_pairs(packs, s), "ct-pairs")
@@ -369,9 +378,6 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
     degrees = found.filter("n > 0").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("others"))
     classes = components(found.filter("n = 0")).withColumnRenamed("node", "point")
     weighed = points.select(F.col("vec_id").alias("point"), "embedding", "copies").join(degrees, "point", "left").join(classes, "point", "left")
-    known = rows.join(weighed, "embedding").select(
+    return rows.join(weighed, "embedding").select(
         F.col("vec_id").alias("known_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "point").alias("component_id"),
-    ).groupBy("known_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    every = table.select(F.col("vec_id").cast("long").alias("vec_id")).join(known, F.col("vec_id") == F.col("known_id"), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    )

@@ -11,23 +11,24 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import cosines, element_type, matrix, norms, usable
+from .vectors import by_length, cosines, element_type, matrix, norms, usable
 
 
 @dataclass(frozen=True)
 class Settings:
-    trees: int = 4
+    trees: int = 3
     depth: int = 6
     sample: int = 8192
     least_leaf: int = 32
     #: Share of all leaves that a query visits; set for a recall of at least 0.9 on vectors without structure.
-    visit: float = 0.35
+    visit: float = 0.3
     block: int = 2048
     seed: int = 7
 
@@ -98,12 +99,17 @@ def _blocks(rows: DataFrame, block: int, kind: str) -> DataFrame:
             "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [matrix(group["embedding"].tolist(), kind).tobytes()],
         })
 
-    salted = rows.join(sizes, ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), "parts"))
+    # Rows are dealt by place, not by id, so that one id on most rows is spread too.
+    salted = rows.join(sizes, ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "parts"))
     return salted.groupBy("tree", "leaf", "salt").applyInPandas(pack, "tree int, leaf int, ids binary, vectors binary")
 
 
 def _best(q_ids, q, ids, x, k: int):
-    """The k nearest rows of a block for each query; a fast product narrows, exact cosines decide."""
+    """The k nearest ids of a block for each query; a fast product narrows, exact cosines decide."""
+    _, first = np.unique(np.rec.fromarrays([ids, x.view(f"V{x.shape[1] * 8}").ravel()]), return_index=True) if len(np.unique(ids)) < len(ids) else (None, None)
+    if first is not None:  # repeated rows count once; rows of one id with different vectors make room for others below
+        ids, x = ids[first], x[first]
+    wanted, k = k, k + len(ids) - len(np.unique(ids))
     unit_q, unit_x = q / norms(q)[:, None], x / norms(x)[:, None]
     for at in range(0, len(q), 256):
         near = unit_q[at : at + 256] @ unit_x.T
@@ -112,18 +118,26 @@ def _best(q_ids, q, ids, x, k: int):
         for i, row in enumerate(near):
             some = np.flatnonzero((row >= least[i] - 1e-9) & (row > -np.inf))
             exact = cosines(np.broadcast_to(q[at + i], (len(some), q.shape[1])), x[some])
-            order = np.lexsort((ids[some], -exact))[:k]
+            order = np.lexsort((ids[some], -exact))
+            order = order[np.sort(np.unique(ids[some[order]], return_index=True)[1])][:wanted]  # the best row of each id
             yield from ((int(q_ids[at + i]), int(ids[some[j]]), float(exact[j])) for j in order)
 
 
 def nearest(table: DataFrame, queries: Column, k: int = 5, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for the rows that ``queries`` selects among all other ids.
 
-    Ties go to the smaller id; repeated ids count once. Rows that ``vectors.usable`` leaves out take no part. An empty
-    table gives an empty result. Further columns are ignored.
+    Ties go to the smaller id; repeated ids count once, by their best row. Rows that ``vectors.usable`` leaves out take no part, and vectors
+    of different lengths are not compared. An empty table gives an empty result. Further columns are ignored.
     """
-    s, kind = settings, element_type(table)
-    rows = usable(table)
+    parts = [_nearest(rows, queries, k, settings, element_type(table)) for rows in by_length(usable(table))]
+    merged = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, queries: Column, k: int, settings: Settings, kind: str) -> DataFrame:
+    """query_id, vec_id, score: the nearest of each block, for vectors of one length."""
+    s = settings
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample).collect()  # bounded by the setting
     forest = Forest(matrix([r.embedding for r in sample], kind), s)
     shared = rows.sparkSession.sparkContext.broadcast(forest)  # trees of fixed size
@@ -140,7 +154,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, settings: Settings =
     def visit(frames):
         for frame in frames:
             for vec_id, vector in zip(frame["vec_id"], frame["embedding"], strict=True):
-                x = np.asarray(vector, np.float64)
+                x = matrix([vector], kind)[0].astype(np.float64)
                 found = shared.value.search(x / np.sqrt(x @ x), s.trees * (k + 1))
                 yield pd.DataFrame({"tree": [f[0] for f in found], "leaf": [f[1] for f in found], "vec_id": vec_id, "embedding": [vector] * len(found)})
 
@@ -154,7 +168,4 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, settings: Settings =
                 x, q = (np.frombuffer(v, kind).reshape(n, -1).astype(np.float64) for v, n in ((r.vectors, len(ids)), (r.queries, len(q_ids))))
                 yield pd.DataFrame(_best(q_ids, q, ids, x, k), columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    ranked = stored.join(asked, ["tree", "leaf"]).select("ids", "vectors", "query_ids", "queries").mapInPandas(rank, "query_id long, vec_id long, score double")
-    merged = ranked.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return stored.join(asked, ["tree", "leaf"]).select("ids", "vectors", "query_ids", "queries").mapInPandas(rank, "query_id long, vec_id long, score double")

@@ -265,6 +265,28 @@ def test_forest(vectors):
     assert rp_forest.nearest(vectors.limit(0), query).count() == 0
 
 
+def test_vectors_of_lengths_repeats_and_extremes(spark):
+    """Each length is compared with its own kind, a repeated id leaves room for others, and no magnitude is too far."""
+    rng = np.random.default_rng(3)
+    short, long_ = rng.normal(size=(40, 3)), rng.normal(size=(60, 5))
+    short[1], long_[1] = short[0], long_[0] * 1e200
+    long_[2] = long_[0] * 1e-200
+    rows = [(i, v.tolist()) for i, v in enumerate(short)] + [(100 + i, v.tolist()) for i, v in enumerate(long_)] + [(101, long_[1].tolist())] * 30 + [(102, (-long_[0]).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in cover_tree.near_duplicates(frame).collect()}
+    assert got[0].component_id == got[1].component_id == 0 and got[100].component_id == got[101].component_id == got[102].component_id == 100
+    unit = lambda x: x / np.abs(x).max(axis=1)[:, None] / np.linalg.norm(x / np.abs(x).max(axis=1)[:, None], axis=1)[:, None]
+    assert got[0].n_links == (unit(short) @ unit(short)[0] >= 0.95).sum() - 1
+    assert got[100].n_links == (unit(long_) @ unit(long_)[0] >= 0.95).sum() - 1 + 30
+    found = defaultdict(list)
+    for r in sorted(rp_forest.nearest(frame, F.col("vec_id").isin(0, 100), 5, rp_forest.Settings(visit=1.0, block=16)).collect(), key=lambda r: r.rank):
+        found[r.query_id].append((r.vec_id, round(r.score, 9)))
+    for q, x in ((0, short), (100, long_)):
+        near = unit(x) @ unit(x)[0]
+        order = [i for i in np.lexsort((np.arange(len(x)), -np.round(near, 12))) if i][:5]
+        assert found[q] == [(q + i, round(near[i], 9)) for i in order]
+
+
 def test_forest_ties(spark):
     frame = spark.createDataFrame([(i, [1.0, float(i % 2)], 0) for i in range(200)], "vec_id long, embedding array<double>, label int")
     rows = rp_forest.nearest(frame, F.col("vec_id") == 100, 5).collect()
