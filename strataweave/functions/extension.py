@@ -52,12 +52,20 @@ def register_chunker(spark: SparkSession, name: str = "cut_chunks") -> None:
 
 
 def assertions(responses: DataFrame, table: list[tuple[str, str]]) -> DataFrame:
-    """(id, check, passed) of responses (id, text) for checks (kind, value): contains, regex, min_length, max_words, json."""
+    """(id, check, passed) of responses (id, text, and expected for similar) for checks (kind, value): contains, regex, min_length, max_words, similar, json.
+
+    similar: the share of different words that text and expected have in common; json: the text is an object with this key. A null text passes none.
+    """
+    t = F.col("text")
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+
+    def alike() -> Column:
+        return F.size(F.array_intersect(words(t), words(F.col("expected")))) / F.greatest(F.size(F.array_union(words(t), words(F.col("expected")))), F.lit(1))
+
     def passed(kind: str, value: str) -> Column:
-        t = F.col("text")
         return {
-            "contains": lambda: F.contains(F.lower(t), F.lit(value.lower())), "regex": lambda: t.rlike(value), "min_length": lambda: F.length(t) >= int(value),
-            "max_words": lambda: F.size(F.split(F.trim(t), r"\s+")) <= int(value), "json": lambda: F.get_json_object(t, value).isNotNull(),
+            "contains": lambda: F.contains(F.lower(t), F.lit(value.lower())), "regex": lambda: t.rlike(value), "min_length": lambda: F.length(t) >= int(value), "max_words": lambda: F.size(words(t)) <= int(value),
+            "similar": lambda: alike() >= float(value), "json": lambda: F.get_json_object(t, f"$.{value}").isNotNull(),
         }[kind]()
 
     checks = F.array(*(F.struct(F.lit(f"{k}:{v}").alias("check"), F.coalesce(passed(k, v), F.lit(False)).alias("passed")) for k, v in table))

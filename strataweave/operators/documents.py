@@ -204,3 +204,23 @@ def graph(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, known: D
     linked = mentions.withColumn("entity", F.lower("entity")).join(names, "entity").groupBy(entity.alias("src"), "dst").agg(F.max("confidence").alias("confidence"))
     edges = chunks.select(doc.alias("src"), F.lit("HAS_CHUNK").alias("rel_type"), F.col("chunk_id").alias("dst"), F.lit(1.0).alias("confidence"))
     return nodes, edges.union(said.select("chunk_id", F.lit("MENTIONS"), "dst", "confidence")).union(linked.select("src", F.lit("LINKS_TO"), "dst", "confidence"))
+
+
+def chunk_places(documents: DataFrame, chunks: DataFrame, head: int = 50, overlap: int = 0) -> DataFrame:
+    """chunk_id, start, stop: where each chunk (doc_id, chunk_id, seq, text) stands in its document's text, from 0.
+
+    The search for a chunk's first ``head`` characters runs on from the end of the chunk before it, less the overlap, a document's chunks in order; what is
+    not found stands where the search has come to.
+    """
+    parts = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", F.substring("text", 1, head).alias("head"), F.length("text").alias("n")))).alias("c"))
+    none = F.array().cast("array<struct<chunk_id:string,start:bigint,stop:bigint>>")
+
+    def add(state, c):
+        at = F.call_function("locate", c["head"], F.col("text"), (state["at"] + 1).cast("int"))
+        start = F.when(at > 0, at - 1).otherwise(state["at"]).cast("long")
+        row = F.struct(c["chunk_id"].alias("chunk_id"), start.alias("start"), (start + c["n"]).alias("stop"))
+        return F.struct(F.array_append(state["done"], row).alias("done"), (start + c["n"] - overlap).alias("at"))
+
+    joined = documents.join(parts, "doc_id")
+    places = F.aggregate("c", F.struct(none.alias("done"), F.lit(0).cast("long").alias("at")), add, lambda s: s["done"])
+    return joined.select(F.explode(places).alias("p")).select("p.*")

@@ -160,3 +160,13 @@ def concept_states(concepts: DataFrame, merges: DataFrame) -> DataFrame:
     """concept, state (active or deprecated), replaced_by."""
     moves = merges.groupBy(F.col("source").alias("concept")).agg(F.min("target").alias("replaced_by"))
     return concepts.select("concept").distinct().join(moves, "concept", "left").withColumn("state", F.when(F.col("replaced_by").isNull(), "active").otherwise("deprecated"))
+
+
+def registry_statistics(nodes: DataFrame, table: Sequence[tuple] = rules.CANONICAL_TYPES, aliases: Mapping[str, str] = rules.TYPE_ALIASES) -> DataFrame:
+    """layer, types, aliases, used: the registry's types by layer, with their aliases and the nodes that have them as they are."""
+    spark = nodes.sparkSession
+    registry = spark.createDataFrame([(r[1], r[2]) for r in {x[1]: x for x in table}.values()], "canonical string, layer string")
+    named = spark.createDataFrame(list(aliases.items()), "alias string, canonical string").groupBy("canonical").agg(F.count("*").alias("aliases"))
+    used = nodes.filter("type is not null").groupBy(F.lower("type").alias("canonical")).agg(F.count("*").alias("used"))
+    joined = registry.join(named, "canonical", "left").join(used, "canonical", "left").fillna(0, ["aliases", "used"])
+    return joined.groupBy("layer").agg(F.count("*").alias("types"), F.sum("aliases").alias("aliases"), F.sum("used").alias("used"))

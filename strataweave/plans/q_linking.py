@@ -126,11 +126,6 @@ def _(t):
     return t.edges.agg(F.round(bridge, 6).alias("bridge_ratio"), ((bridge > 0.1).cast("int") + (F.count_distinct("rel_type") > 50).cast("int")).alias("issues"))
 
 
-@query("AGG-61", "SELECT layer, count(DISTINCT type) AS types, count(DISTINCT labels[1]) AS classes FROM {nodes} GROUP BY layer")
-def _(t):
-    return t.nodes.groupBy("layer").agg(F.count_distinct("type").alias("types"), F.count_distinct(F.col("labels")[0]).alias("classes"))
-
-
 @query("WIN-08", """WITH RECURSIVE r AS (SELECT feedback_type, rating, row_number() OVER (ORDER BY created_at, feedback_id) AS p FROM {feedback}), g AS (SELECT feedback_type, p, sum(CASE WHEN rating >= 4 THEN 1 ELSE -1 END) OVER w AS good, count(*) OVER w AS seen FROM r WINDOW w AS (PARTITION BY feedback_type ORDER BY p RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)),
   s AS (SELECT feedback_type, CASE WHEN seen >= 10 THEN sign(good) * 0.01 ELSE 0 END::DOUBLE AS step, row_number() OVER (PARTITION BY feedback_type ORDER BY p) AS i FROM g),
   f(feedback_type, i, v) AS (SELECT DISTINCT feedback_type, 0::BIGINT, 0.5::DOUBLE FROM s UNION ALL SELECT f.feedback_type, s.i, least(greatest(v + step, 0), 1)::DOUBLE FROM f JOIN s ON s.feedback_type = f.feedback_type AND s.i = f.i + 1) SELECT feedback_type, round(arg_max(v, i), 4) AS weight FROM f GROUP BY 1""")
@@ -138,11 +133,6 @@ def _(t):
     return linking.adaptive_weights(t.feedback)
 
 
-@query("WIN-11", "SELECT chunk_id, seq * 1000 AS start, length(text)::INT AS size FROM {chunks}")
-def _(t):
-    return t.chunks.select("chunk_id", (F.col("seq") * 1000).alias("start"), F.length("text").alias("size"))
-
-
 @query("TOP-02", f"WITH {_DEG}, m AS (SELECT id, confidence AS match FROM {{nodes}}) SELECT m.id, round(match * 0.6 + (0.4 * least(coalesce(degree, 0) / 10, 1.0) + 0.3 * (type IS NOT NULL)::INT + 0.3 * (layer IS NOT NULL)::INT) * 0.4, 6)::DOUBLE AS score FROM m JOIN {{nodes}} n ON m.id = n.id LEFT JOIN deg ON deg.id = m.id ORDER BY score DESC, m.id LIMIT 10")
 def _(t):
     matches = t.nodes.select("id", F.col("confidence").alias("match"))
@@ -166,28 +156,11 @@ def _(t):
     return linking.ancestry(t.hierarchy.filter("child like 'p%'"))
 
 
-@query("SCL-13", "SELECT subject_id, len(list_filter(symptoms, lambda s: contains(s, 'pain') OR contains(s, 'fatigue')))::INT AS topics FROM {subjects}")
-def _(t):
-    return t.subjects.select("subject_id", F.size(F.filter("symptoms", lambda s: F.contains(s, F.lit("pain")) | F.contains(s, F.lit("fatigue")))).alias("topics"))
-
-
 @query("SCL-32", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'Jewelry' WHEN contains(p_name, 'gear') THEN 'Machinery' WHEN contains(p_name, 'bolt') THEN 'Fastener' WHEN contains(p_name, 'anvil') THEN 'Tool' ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') END AS concept FROM part")
 def _(t):
     return t.part.select("p_partkey", linking.inferred_concept(F.col("p_name")).alias("concept"))
 
 
-@query("SCL-33", "SELECT id, 'add_layer' AS suggestion FROM {nodes} WHERE layer IS NULL UNION ALL SELECT id, 'add_type' FROM {nodes} WHERE type IS NULL UNION ALL SELECT id, 'link_parent' FROM {nodes} WHERE id LIKE 'nation:%'")
-def _(t):
-    found = F.array_compact(F.array(F.when(F.col("layer").isNull(), "add_layer"), F.when(F.col("type").isNull(), "add_type"), F.when(F.col("id").startswith("nation:"), "link_parent")))
-    return t.nodes.select("id", F.explode(found).alias("suggestion"))
-
-
-@query("SCL-34", "SELECT labels[1] AS class, CASE WHEN avg((type IS NOT NULL)::INT) >= 0.4 THEN 'concept' ELSE 'gap' END AS inferred, count(*) AS n FROM {nodes} GROUP BY 1")
-def _(t):
-    rows = t.nodes.groupBy(F.col("labels")[0].alias("class")).agg(F.avg(F.col("type").isNotNull().cast("int")).alias("share"), F.count("*").alias("n"))
-    return rows.select("class", F.when(F.col("share") >= 0.4, "concept").otherwise("gap").alias("inferred"), "n")
-
-
 @query("SCL-39", "SELECT c_custkey, concat_ws(', ', 'name: ' || c_name, 'segment: ' || c_mktsegment, 'nation: ' || c_nationkey::VARCHAR) AS row_text FROM customer")
 def _(t):
     values = F.map_from_arrays(F.array(F.lit("name"), F.lit("segment"), F.lit("nation")), F.array("c_name", "c_mktsegment", F.col("c_nationkey").cast("string")))
@@ -229,15 +202,6 @@ def _(t):
     return extension.apply_checks(t.nodes, _CHECKS, "id")
 
 
-@query("EXT-03", "SELECT subject_id FROM {subjects} WHERE list_contains(medications, 'aspirin') AND list_contains(medications, 'warfarin')")
-def _(t):
-    from ..operators.clinical import alerts
-
-    enabled = [p for p in rules.DRUG_PAIRS if p[0] == "aspirin"]
-    found = alerts(t.subjects).filter("rule = 'drug_pair'")
-    return found.join(F.broadcast(t.spark.createDataFrame([(f"{a}+{b}",) for a, b, _ in enabled], "detail string")), "detail").select("subject_id")
-
-
 @query("EXT-04", "SELECT user_id, round(1 - product(1 - confidence), 6) AS confidence FROM {observations} GROUP BY 1")
 def _(t):
     return t.observations.groupBy("user_id").agg(F.round(extension.confidence_strategy("noisy_or", "confidence"), 6).alias("confidence"))
@@ -258,8 +222,3 @@ def _(t):
     extension.register_chunker(t.spark)
     t.documents.select("doc_id", "text").createOrReplaceTempView("_ext_documents")
     return t.spark.sql("SELECT doc_id, c.start, c.text FROM _ext_documents, LATERAL cut_chunks(text, 1000, 200) c")
-
-
-@query("EXT-07", r"SELECT doc_id AS id, 'contains:the' AS check, contains(lower(text), 'the') AS passed FROM documents UNION ALL SELECT doc_id, 'regex:[0-9]+', regexp_matches(text, '[0-9]+') FROM documents UNION ALL SELECT doc_id, 'min_length:500', length(text) >= 500 FROM documents")
-def _(t):
-    return extension.assertions(t.documents.select(F.col("doc_id").alias("id"), "text"), [("contains", "the"), ("regex", "[0-9]+"), ("min_length", "500")])

@@ -25,23 +25,6 @@ def _(t):
     return clinical.contraindications(t.subjects)
 
 
-@query("JOIN-40", "SELECT subject_id, array_to_string(list_sort(list_distinct(conditions)), ',') AS conditions, array_to_string(list_sort(list_distinct(medications)), ',') AS medications, array_to_string(list_sort(list_distinct(list_filter(allergies, lambda x: x <> 'none'))), ',') AS allergies FROM {subjects}")
-def _(t):
-    one = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return t.subjects.select("subject_id", one(F.col("conditions")).alias("conditions"), one(F.col("medications")).alias("medications"), one(F.filter("allergies", lambda x: x != "none")).alias("allergies"))
-
-
-@query("SCL-35", "SELECT subject_id, list_contains(medications, 'metformin') AND list_contains(conditions, 'diabetes') AS adherent, CASE WHEN list_contains(symptoms, 'fatigue') AND list_contains(medications, 'lisinopril') THEN 'side_effect' ELSE 'none' END AS effect FROM {subjects}")
-def _(t):
-    has = F.array_contains
-    return t.subjects.select("subject_id", (has("medications", "metformin") & has("conditions", "diabetes")).alias("adherent"), F.when(has("symptoms", "fatigue") & has("medications", "lisinopril"), "side_effect").otherwise("none").alias("effect"))
-
-
-@query("SCL-36", "SELECT id, CASE WHEN confidence >= 0.8 THEN 'valid' WHEN confidence < 0.6 THEN 'warn' ELSE 'review' END AS state FROM {nodes}")
-def _(t):
-    return t.nodes.select("id", F.when(F.col("confidence") >= 0.8, "valid").when(F.col("confidence") < 0.6, "warn").otherwise("review").alias("state"))
-
-
 _LABELLED = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(n) for n in names)}) THEN '{layer}'" for layer, names in rules.LAYER_LABELS.items()) + " END"
 _PROP = lambda name: f"properties['{name}']"
 _HAS = lambda names: f"list_has_any(map_keys(properties), [{', '.join(repr(n) for n in names)}])"
@@ -158,12 +141,6 @@ def _(t):
     return validation.concept_states(aliases, merges).join(validation.merge_concepts(aliases, merges), "concept", "left").select("concept", "state", "replaced_by", "alias", "usage")
 
 
-@query("SET-05", "SELECT id, 'confidence' AS trigger FROM {nodes} WHERE layer = 'PERCEPTION' AND confidence >= 0.95 UNION ALL SELECT id, 'confidence' FROM {nodes} WHERE layer = 'SEMANTIC' AND confidence >= 0.9")
-def _(t):
-    parts = [t.nodes.filter((F.col("layer") == x) & (F.col("confidence") >= c)).select("id", F.lit("confidence").alias("trigger")) for x, c in (("PERCEPTION", 0.95), ("SEMANTIC", 0.9))]
-    return parts[0].unionByName(parts[1])
-
-
 @query("TOP-01", """SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5) AS distance FROM {vectors} q JOIN {vectors} v ON q.vec_id % 20 = 0
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5), v.vec_id) <= 5""")
 def _(t):
