@@ -1,12 +1,13 @@
-"""Extension surface: rules as tables, named strategies, similarity metrics that Spark lacks, a chunking table function."""
+"""Extension surface: rules as tables, named strategies, similarity metrics that Spark lacks, pieces of texts, assertions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,17 +39,25 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-class Chunker:
-    """Table function: (start, text) of pieces of a size with an overlap."""
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """Array of (start, text): pieces of a size with an overlap, from 0; a text that ends inside a piece has no further one. Null is one empty piece."""
+    t, step = F.coalesce(text, F.lit("")), max(1, size - overlap)
+    last = F.floor(F.greatest(F.length(t) - overlap - 1, F.lit(0)) / step).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.substr(t, i * step + 1, F.lit(size)).alias("text")))
 
-    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
-        step = max(1, size - overlap)
-        for start in range(0, max(1, len(text or "") - overlap), step):
-            yield start, (text or "")[start : start + size]
 
+def rules_to_text(table: list[tuple[str, str]]) -> str:
+    """Name rules as JSON, to be stored and read again."""
+    return json.dumps([{"pattern": p, "replacement": r} for p, r in table], ensure_ascii=False)
 
-def register_chunker(spark: SparkSession, name: str = "cut_chunks") -> None:
-    spark.udtf.register(name, F.udtf(Chunker, returnType=T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])))
+
+def rules_from_text(text: str) -> list[tuple[str, str]]:
+    return [(r["pattern"], r["replacement"]) for r in json.loads(text)]
+
+
+def word_rules(words: dict[str, str]) -> list[tuple[str, str]]:
+    """Abbreviations or synonyms as name rules: whole words alone, in the order given."""
+    return [(rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])", full) for word, full in words.items()]
 
 
 def assertions(responses: DataFrame, table: list[tuple[str, str]]) -> DataFrame:

@@ -93,7 +93,8 @@ def _(t):
     return documents.relevancy(t.chunks, documents.repeated_terms(t.chunks))
 
 
-@query("SCL-08")
+@query("SCL-08", r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^\s*[-*_]{3,}\s*$', '', 'g'), '\*\*([^*\n]+)\*\*', '\1', 'g') AS x FROM documents)
+  SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda w: length(trim(w)) = 0 OR length(trim(w)) >= 3), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM c""")
 def _(t):
     return t.documents.select("doc_id", text.clean_markdown(F.col("text")).alias("text"))
 

@@ -167,7 +167,7 @@ def _(t):
     return t.customer.select("c_custkey", F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ").alias("row_text"))
 
 
-@query("SRC-10")
+@query("SRC-10", "SELECT DISTINCT p_type AS entity, p_name AS attribute, 'VARCHAR' AS type FROM part")
 def _(t):
     """Specs written from the part table, one file a task, and read back as attributes."""
     import uuid
@@ -181,19 +181,6 @@ def _(t):
     return read_specs(t.spark, path)["attributes"].select("entity", "attribute", "type").distinct()
 
 
-@query("SRC-23", "SELECT session_id, count(*) AS messages FROM {messages} GROUP BY 1")
-def _(t):
-    from ..sources.schemas import MESSAGES
-
-    rows = t.messages.select(*(F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(("session_id", "seq", "role", "content"), MESSAGES.fields)))
-    return rows.groupBy("session_id").agg(F.count("*").alias("messages"))
-
-
-@query("EXT-01", r"SELECT p_partkey, regexp_replace(replace(lower(p_name), 'widget', 'product'), '\s+', '_', 'g') AS normalized FROM part")
-def _(t):
-    return extension.apply_name_rules(t.part, [("widget", "product"), (r"\s+", "_")], "p_name").select("p_partkey", "normalized")
-
-
 _CHECKS = [("typed", "type is not null", "error", True), ("sure", "confidence >= 0.7", "warning", True), ("off", "false", "error", False)]
 
 
@@ -215,10 +202,3 @@ def _(t):
     named = pairs.join(t.incoming.select("in_id", F.lower("name").alias("x")), "in_id").join(t.nodes.select(F.col("id").alias("cand_id"), F.lower("name").alias("y")), "cand_id")
     distinct = named.select("x", "y").distinct()
     return distinct.select("x", "y", F.round(extension.matching_ratio("x", "y"), 6).alias("ratio"))
-
-
-@query("EXT-06")
-def _(t):
-    extension.register_chunker(t.spark)
-    t.documents.select("doc_id", "text").createOrReplaceTempView("_ext_documents")
-    return t.spark.sql("SELECT doc_id, c.start, c.text FROM _ext_documents, LATERAL cut_chunks(text, 1000, 200) c")

@@ -1,9 +1,13 @@
 """Reasoning, subject views and assertion operators as registered queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import extension
 from ..operators import clinical, documents, flags, reasoning, rules, validation
+from ..session import shared_dir
+from ..sources import schemas
 from .fixtures import REF_TIME, query
 
 _L = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -114,3 +118,35 @@ _CHECKS = [("contains", "the"), ("regex", "[0-9]+"), ("min_length", "500"), ("ma
 def _(t):
     made = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('{"a": '), "doc_id", F.lit("}"))).otherwise(F.col("text"))
     return extension.assertions(t.documents.select(F.col("doc_id").alias("id"), made.alias("text"), F.col("text").alias("expected")), _CHECKS)
+
+
+@query("EXT-01", r"SELECT p_partkey, regexp_replace(regexp_replace(replace(lower(p_name), 'widget', 'product'), '\bred\b', 'crimson', 'g'), '\s+', '_', 'g') AS normalized FROM part")
+def _(t):
+    table = [("widget", "product"), *extension.word_rules({"red": "crimson"}), (r"\s+", "_")]
+    stored = extension.rules_from_text(extension.rules_to_text(table))
+    return extension.apply_name_rules(t.part, stored, "p_name").select("p_partkey", "normalized")
+
+
+@query("EXT-06", "SELECT doc_id, i * 800 AS start, substr(coalesce(text, ''), i * 800 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(coalesce(text, '')) - 201, 0) // 800 + 1)) AS i FROM documents) d")
+def _(t):
+    return t.documents.select("doc_id", F.explode(extension.pieces(F.col("text"), 1000, 200)).alias("p")).select("doc_id", "p.*")
+
+
+@query("SRC-23", """SELECT 'sessions' AS name, count(*) AS n, count(DISTINCT session_id) AS keys FROM {sessions} UNION ALL SELECT 'messages', count(*), count(DISTINCT session_id) FROM {messages} UNION ALL SELECT 'feedback', count(*), count(DISTINCT feedback_id) FROM {feedback}
+  UNION ALL SELECT 'documents', count(*), count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'document_quality', count(*), count(DISTINCT doc_id) FROM {assessments} UNION ALL SELECT 'ontology_quality', count(DISTINCT day), count(DISTINCT day) FROM {assessments}
+  UNION ALL SELECT 'audit_logs', count(*), count(DISTINCT event_id) FROM events UNION ALL SELECT 'query_analytics', count(DISTINCT query_text), count(DISTINCT query_text) FROM {feedback}""")
+def _(t):
+    """Each table is written with its fixed schema and read back."""
+    text = lambda c: F.col(c).cast("string")
+    rows = {
+        "sessions": t.sessions, "messages": t.messages, "feedback": t.feedback, "documents": t.documents.select(text("doc_id").alias("document_id"), F.col("source").alias("category")),
+        "document_quality": t.assessments.select(text("doc_id").alias("document_id"), "score", "level"), "ontology_quality": t.assessments.groupBy(text("day").alias("assessment_id")).agg(F.avg("score").alias("score")),
+        "audit_logs": t.events.select(text("event_id").alias("event_id"), "event_type", "ts"), "query_analytics": t.feedback.groupBy(F.md5("query_text").alias("query_hash")).agg(F.count("*").alias("executions"), F.max("created_at").alias("last_seen")),
+    }
+    path, out = f"{shared_dir(t.spark)}/tables-{uuid.uuid4().hex}", None
+    for name, schema in schemas.TABLES.items():
+        schemas.conformed(rows[name], schema).write.parquet(f"{path}/{name}")
+        stored = t.spark.read.schema(schema).parquet(f"{path}/{name}")
+        one = stored.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(schema.fields[0].name).alias("keys"))
+        out = one if out is None else out.union(one)
+    return out

@@ -1,5 +1,7 @@
 """Fixed schemas of the relational tables."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -18,3 +20,15 @@ DOCUMENT_QUALITY = _struct(document_id="string", score="double", level="string",
 ONTOLOGY_QUALITY = _struct(assessment_id="string", score="double", level="string", coverage="double", compliance="double", coherence="double", assessed_at="time")
 AUDIT_LOGS = _struct(event_id="string", event_type="string", action="string", entity_id="string", old_values="string", new_values="string", ts="time")
 QUERY_ANALYTICS = _struct(query_hash="string", executions="long", mean_seconds="double", cache_hits="long", last_seen="time")
+
+#: By table name.
+TABLES = {
+    "sessions": SESSIONS, "messages": MESSAGES, "feedback": FEEDBACK, "documents": DOCUMENTS, "document_quality": DOCUMENT_QUALITY, "ontology_quality": ONTOLOGY_QUALITY, "audit_logs": AUDIT_LOGS,
+    "query_analytics": QUERY_ANALYTICS,
+}
+
+
+def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``rows`` with the schema's columns in its order and types; a column that is missing is null, others go."""
+    known = {c.lower() for c in rows.columns}
+    return rows.select(*((F.col(f.name) if f.name.lower() in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
