@@ -29,7 +29,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(base)
 
 
-def drain_batches(stream: DataFrame, name: str, apply: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def drain_batches(stream: DataFrame, name: str, apply: Callable[[DataFrame, int], DataFrame], mode: str = "append") -> DataFrame:
     """Run each batch through ``apply`` and write it under its batch id, so that a repeated batch replaces itself."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,7 +37,7 @@ def drain_batches(stream: DataFrame, name: str, apply: Callable[[DataFrame, int]
     def work(batch: DataFrame, number: int) -> None:
         apply(batch, number).write.mode("overwrite").parquet(f"{base}/batch={number}")
 
-    stream.writeStream.option("checkpointLocation", f"{base}-log").trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-log").trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
     return spark.read.parquet(base)
 
 
