@@ -14,7 +14,7 @@ leave-one-out likelihoods for every k of the grid are computed together, the lik
 The counts, and so the filter, grow with the corpus. Filter and unigram table are cut into segments by the
 hash's leading bits. Segments are broadcast only up to ``max_broadcast_mb`` at a time (by default a
 sixth of the driver's memory); a model above it is read in several passes over the texts, each with its
-own segments, and the passes' levels are joined before scoring, so that results do not depend on the bound.
+own segments, and each hands on the levels it has found, so that results do not depend on the bound.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, megabytes
+from ..session import discard, materialize, megabytes
 from .hash_counts import bits_for, merged, runs
 from .tokens import mix, slices, words
 
@@ -120,10 +120,11 @@ def _segment(settings: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
         cells = np.zeros(-(-max(len(keys), 1) * settings.bits_per_entry // 64), _U)
         place, bits = _places(keys, _U(len(cells)), settings.probes)
         np.bitwise_or.at(cells, place.astype(np.int64), bits)
+        kind = np.dtype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8")
         return pd.DataFrame({
-            "bucket": [int(group["bucket"].iloc[0])], "keys": [unigrams.tobytes()], "counts": [counts.astype(_U).tobytes()],
+            "bucket": [int(group["bucket"].iloc[0])], "keys": [unigrams.tobytes()], "counts": [counts.astype(kind).tobytes()],
             "cells": [cells.tobytes()], "types": [len(unigrams)], "tokens": [int(counts.sum())],
-            "levels": [top], "size": [16 * len(unigrams) + 8 * len(cells)],
+            "levels": [top], "size": [(8 + kind.itemsize) * len(unigrams) + 8 * len(cells)],
         })
 
     return build
@@ -152,7 +153,7 @@ class Part:
             return np.zeros(len(hashes), np.int64)
         distinct, inverse = np.unique(hashes, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return np.where(self.keys[at] == distinct, self.counts[at], 0)[inverse]
+        return np.where(self.keys[at] == distinct, self.counts[at].astype(np.int64), 0)[inverse]
 
     def grams(self, hashes: np.ndarray, ok: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes; 0 for what is not in these segments."""
@@ -196,14 +197,17 @@ class BloomModel:
             owner[buckets] = i
         buckets = sorted(self.passes[number])
         start, length = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, _U)
-        whole = {"keys": bytearray(), "counts": bytearray(), "cells": bytearray()}
+        whole = {"keys": bytearray(), "cells": bytearray()}
+        counted = []
         for i in range(0, len(buckets), 8):  # a few at a time, so that the driver holds one copy
-            rows = self.segments.filter(F.col("bucket").isin(buckets[i : i + 8])).select("bucket", *whole).collect()
+            rows = self.segments.filter(F.col("bucket").isin(buckets[i : i + 8])).select("bucket", "counts", *whole).collect()
             for r in sorted(rows, key=lambda r: r.bucket):
                 start[r.bucket], length[r.bucket] = len(whole["cells"]) // 8, len(r.cells) // 8
+                counted.append(np.frombuffer(r.counts, "<u4" if len(r.counts) * 2 == len(r["keys"]) else "<u8"))
                 for column, held in whole.items():
                     held += r[column]
-        keys, counts, cells = (np.frombuffer(whole[c], kind) for c, kind in (("keys", _U), ("counts", np.int64), ("cells", _U)))
+        keys, cells = (np.frombuffer(whole[c], _U) for c in whole)
+        counts = np.concatenate(counted) if counted else np.zeros(0, np.uint32)  # 4 bytes a count where all fit
         return Part(self.bits, owner == number, keys, counts, cells, start, length, self.levels, self.settings.probes)
 
     def _read(self, texts: DataFrame, columns: list[str], finish: Callable, schema: str) -> DataFrame:
@@ -222,54 +226,33 @@ class BloomModel:
             sums = lambda a: np.add.reduceat(a, bounds[:-1]) if len(bounds) > 1 else a[:0]
             return bounds, sums((own & (counts > 0)).astype(np.int64)), sums(log), levels
 
-        if len(self.passes) == 1:
-            shared = sc.broadcast(self._part(0))
-
-            def one(batches):
-                for whole in batches:
-                    for batch in slices(whole, "text", 1 << 20):
-                        yield finish(batch, *looked_up(shared.value, batch.column("text")))
-
-            return texts.mapInArrow(one, schema)
-
-        # Levels of each pass are written a text. Each hash is in one pass, so sums over passes are whole.
-        # They depend on the text alone: rows are keyed by its digest, and equal texts share one reading.
-        names = [f"l{k}" for k in range(1, settings.order + 1)]
-        keyed = texts.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-        passes = []
+        # Each hash is in one pass, so sums over passes are whole. A pass but the last writes its texts with what it has found in the shared
+        # folder, which the next one reads: nothing is shuffled, and each task holds the segments of one pass.
+        names = [f"_l{k}" for k in range(1, settings.order + 1)]
+        held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + ", _known long, _base double" + "".join(f", {c} binary" for c in names)
+        rows, last, given = texts, len(self.passes) - 1, texts.columns
         for number in range(len(self.passes)):
             shared = sc.broadcast(self._part(number))
 
-            def some(batches, shared=shared, number=number):
+            def read(batches, shared=shared, number=number):
                 for whole in batches:
                     for batch in slices(whole, "text", 1 << 20):
                         bounds, known, base, levels = looked_up(shared.value, batch.column("text"))
+                        if number:
+                            known, base = known + batch.column("_known").to_numpy(zero_copy_only=False), base + batch.column("_base").to_numpy(zero_copy_only=False)
+                            levels = [a + np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for a, c in zip(levels, names, strict=True)]
+                        if number == last:
+                            yield finish(batch, bounds, known, base, levels)
+                            continue
                         cut = lambda a: [a[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays([
-                            batch.column("key"), pa.array(np.full(len(known), number), pa.int32()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                            *(pa.array(cut(a), pa.binary()) for a in levels),
-                        ], ["key", "pass", "known", "base", *names])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(known, pa.int64()), pa.array(base, pa.float64()), *(pa.array(cut(a), pa.binary()) for a in levels)], [*given, "_known", "_base", *names])
 
-            kinds = "key string, pass int, known long, base double" + "".join(f", {c} binary" for c in names)
-            passes.append(materialize(keyed.select("key", "text").mapInArrow(some, kinds), "lm-pass"))
+            if number == last:
+                return rows.mapInArrow(read, schema)
+            before, rows = rows, materialize(rows.mapInArrow(read, held), "lm-pass")
             shared.unpersist()
-        union = passes[0]
-        for other in passes[1:]:
-            union = union.union(other)
-        one = [F.first(F.when(F.col("pass") == i, F.struct("known", "base", *names)), ignorenulls=True).alias(f"p{i}") for i in range(len(passes))]
-        gathered = union.groupBy("key").agg(*one)
-
-        count = len(passes)
-
-        def every(batches):
-            for batch in batches:
-                rows = list(zip(*(batch.column(f"p{i}").to_pylist() for i in range(count)), strict=True))
-                bounds = np.concatenate([[0], np.cumsum([len(r[0]["l1"]) for r in rows])]).astype(np.int64)
-                levels = [sum(np.frombuffer(b"".join(r[i][c] for r in rows), np.uint8) for i in range(count)) for c in names]
-                yield finish(batch, bounds, np.array([sum(p["known"] for p in r) for r in rows], np.int64), np.array([sum(p["base"] for p in r) for r in rows], float), levels)
-
-        results = gathered.join(keyed.select(*columns, "key"), "key") if columns else gathered.join(keyed.select("key"), "key")
-        return results.mapInArrow(every, schema)
+            if number:
+                discard(before)
 
     def _log_probabilities(self) -> Callable:
         """log10 of each item's probability, and which items are tokens; ``less`` 1 leaves the item itself out."""

@@ -96,6 +96,18 @@ def test_language_model_in_passes(docs, monkeypatch):
     assert sorted(map(key, one)) == sorted(map(key, many)) and len(whole) == len(many)
 
 
+def test_language_model_of_large_counts():
+    """Counts beyond 32 bits are kept, in a segment of their own width."""
+    import pandas as pd
+
+    settings_ = lm_bloom.Settings()
+    frame = pd.DataFrame({"bucket": [0, 0], "kind": [1, 1], "keys": [np.array([5, 9], np.uint64).tobytes()] * 2, "counts": [np.array([4_000_000_000, 7], np.uint32).tobytes()] * 2})
+    out = lm_bloom._segment(settings_)(frame).iloc[0]
+    assert np.frombuffer(out["counts"], "<u8").tolist() == [8_000_000_000, 14] and out["tokens"] == 8_000_000_014
+    small = lm_bloom._segment(settings_)(frame.iloc[:1]).iloc[0]
+    assert np.frombuffer(small["counts"], "<u4").tolist() == [4_000_000_000, 7]
+
+
 def test_language_model_levels():
     values = lm_bloom.level_counts(12, 1.5)
     counts = np.arange(1, 80)
