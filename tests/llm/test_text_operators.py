@@ -96,6 +96,47 @@ def test_language_model_in_passes(docs, monkeypatch):
     assert sorted(map(key, one)) == sorted(map(key, many)) and len(whole) == len(many)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_scores(docs, order):
+    """Scores against quantised counts in dictionaries; the filter is wide enough for no false hit."""
+    settings_ = lm_bloom.Settings(order=order, bits_per_entry=64)
+    rows = docs.select("doc_id", "text").withColumn("held", lm_bloom.held_out()).collect()
+    counts, begins = Counter(), 0
+    for r in rows:
+        if not r.held:
+            items = [None, *plain_words(r.text), ""]
+            begins += 1
+            for k in range(1, order + 1):
+                counts.update(tuple(items[i : i + k]) for i in range(len(items) - k + 1))
+    del counts[(None,)]
+    total, kinds = sum(n for g, n in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    ones, values = lm_bloom.level_counts(255, settings_.unigram_base), lm_bloom.level_counts(60, settings_.log_base)
+
+    def seen(gram):
+        if gram == (None,):
+            return begins
+        n = counts[gram]
+        base, table = (settings_.unigram_base, ones) if len(gram) == 1 else (settings_.log_base, values)
+        return table[int(lm_bloom.quantised(np.array([n]), base)[0])] if n else 0.0
+
+    def score(text, k):
+        items, out = [None, *plain_words(text), ""], 0.0
+        for i in range(1, len(items)):
+            p = (seen((items[i],)) + 0.1) / (total + 0.1 * (kinds + 1))
+            for j in range(2, order + 1):
+                if i - j + 1 >= 0:
+                    gram = tuple(items[i - j + 1 : i + 1])
+                    c = seen(gram)
+                    p = (c + k * p) / (max(seen(gram[:-1]), c) + k)
+            out += np.log10(p)
+        return out
+
+    model = lm_bloom.fit(docs.select("doc_id", "text").filter(~lm_bloom.held_out()), settings_)
+    got = model.score(docs.select("doc_id", "text"), ["doc_id"], ~lm_bloom.held_out()).collect()
+    want = Counter((r.doc_id, round(score(r.text, model.smoothing), 5)) for r in rows)
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got) == want
+
+
 def test_language_model_of_large_counts():
     """Counts beyond 32 bits are kept, in a segment of their own width."""
     import pandas as pd
