@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import exists, materialize, shared_dir
+
 GIVEN = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 REF_TIME = "2024-01-31 00:00:00"
 
@@ -54,7 +56,7 @@ FIXTURES: dict[str, str] = {
         FROM (SELECT chunk_id, doc_id, seq, explode_all(text, '[A-Z][a-z][a-z][a-z][a-z][a-z][a-z]+') AS m FROM {chunks}) c""",
     "observations": """
         SELECT 'user:' || cast(user_id as string) || ':' || event_type AS id, user_id, CASE event_type WHEN 'click' THEN 'Symptom' WHEN 'view' THEN 'Medication' WHEN 'purchase' THEN 'Diagnosis' WHEN 'signup' THEN 'Preference' ELSE 'Other' END AS entity_type,
-               min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, cast(sum(cast(value as decimal(18, 6))) as double) / count(*) / 500 AS confidence
+               min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, cast(sum(cast(value as decimal(18, 6))) as double) / count(*) / 499.7 AS confidence
         FROM {events} GROUP BY user_id, event_type""",
     "feedback": """
         SELECT event_id AS feedback_id, 's' || cast(user_id as string) AS session_id, 'q' || cast(event_id % 200 as string) AS query_text, 'r' || cast(event_id as string) AS response_text,
@@ -117,6 +119,11 @@ def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: Derived tables that many queries share: written once a session to the shared folder.
+STORED = frozenset(("nodes", "edges", "mentions", "observations"))
+_WRITTEN: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
 class Tables:
     """The given and derived tables of a folder by name."""
 
@@ -129,12 +136,21 @@ class Tables:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in FIXTURES:
                 sql = FIXTURES[name]
-                self._made[name] = self.spark.sql(_spark(sql), **{n: getattr(self, n) for n in _names(sql)})
+                made = self.spark.sql(_spark(sql), **{n: getattr(self, n) for n in _names(sql)})
+                self._made[name] = self._stored(name, made) if name in STORED else made
             else:
                 raise AttributeError(name)
         return self._made[name]
 
 
+    def _stored(self, name: str, made: DataFrame) -> DataFrame:
+        """The table as an earlier query of this session has written it, if that is still there."""
+        key = (self.spark.sparkContext.applicationId, shared_dir(self.spark), self.sf_dir, name)
+        if key not in _WRITTEN or not exists(_WRITTEN[key]):
+            _WRITTEN[key] = materialize(made, f"derived-{name}")
+        return _WRITTEN[key]
+
+
 def oracle(sql: str) -> str:
     """DuckDB SQL with the derived tables that it refers to as common table expressions."""
     made: dict[str, str] = {}

@@ -28,9 +28,12 @@ def build_session(name: str = "strataweave", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only where neither is set (tests on one machine) is a temporary folder made and set.
+    Only where neither is set on one machine (tests) is a temporary folder made and set; on a cluster, whose machines would each have a
+    folder of their own, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="strataweave-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -52,11 +55,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
-def discard(stored: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+def _file_system(stored: DataFrame):
     context = stored.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    files, path = _file_system(stored)
+    files.delete(path, True)
+
+
+def exists(stored: DataFrame) -> bool:
+    """Whether what ``materialize`` wrote is still there."""
+    files, path = _file_system(stored)
+    return files.exists(path)
 
 
 def megabytes(size: str) -> int:
