@@ -12,7 +12,6 @@ document's place follows from its place in its queue, which is a prefix sum over
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -31,9 +30,6 @@ END = 1
 #: The added token of the public vocabulary.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space for which cutting before a single blank would not keep to the pattern above.
-_UNUSUAL = re.compile(r"  |\n |[^\S \n]")
-_CACHE = 300_000
 #: Sources whose names and sums the driver and each task hold (some MB); more are an error.
 MOST_QUEUES = 100_000
 #: Rounds times queues that a task works on at once.
@@ -43,9 +39,7 @@ _CELLS = 4_000_000
 class Encoder:
     """Byte-level BPE of a public vocabulary; ids as little-endian bytes.
 
-    The pattern never joins what stands before white space to what follows, so that a text with single blanks can
-    be cut before each of them and the parts looked up in a bounded cache; other texts are encoded whole. The vocabulary's
-    one added token is its id wherever its string stands, as the tokenizer's own defaults have it.
+    Texts are encoded whole. The vocabulary's one added token is its id wherever its string stands, as the tokenizer's own defaults have it.
     """
 
     def __init__(self, vocabulary: str):
@@ -62,32 +56,14 @@ class Encoder:
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
         if ADDED in text:
-            return np.array([ADDED_ID], "<u2").tobytes().join(self._plain(t) for t in text.split(ADDED))
+            return np.array([ADDED_ID], "<u2").tobytes().join(map(self._plain, text.split(ADDED)))
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        parts = self.parts
-        if len(parts) > _CACHE:
-            parts.clear()
-        out = [self._whole(first)]
-        for word in rest:
-            ids = parts.get(word)
-            if ids is None:
-                ids = self._whole(" " + word)
-                if len(word) < 64:
-                    parts[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
