@@ -59,7 +59,7 @@ FIXTURES: dict[str, str] = {
                min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, cast(sum(cast(value as decimal(18, 6))) as double) / count(*) / 499.7 AS confidence
         FROM {events} GROUP BY user_id, event_type""",
     "feedback": """
-        SELECT event_id AS feedback_id, 's' || cast(user_id as string) AS session_id, 'q' || cast(event_id % 200 as string) AS query_text, 'r' || cast(event_id as string) AS response_text,
+        SELECT event_id AS feedback_id, 's' || cast(user_id as string) AS session_id, 'q' || cast(event_id % 199 as string) AS query_text, 'r' || cast(event_id as string) AS response_text,
                cast(1 + event_id % 5 as int) AS rating, event_type AS feedback_type, CASE WHEN event_id % 9 = 0 THEN 'fixed ' || cast(event_id as string) END AS correction_text,
                CASE WHEN event_id % 2 = 0 THEN array('SEMANTIC', 'REASONING') ELSE array('PERCEPTION') END AS layers, 'user:' || cast(user_id as string) AS entity, ts AS created_at,
                event_id % 11 = 0 AS used_for_training FROM {events}""",
