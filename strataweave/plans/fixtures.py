@@ -148,7 +148,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, shared_dir(self.spark), self.sf_dir, name)
         if key not in _WRITTEN or not exists(_WRITTEN[key]):
             _WRITTEN[key] = materialize(made, f"derived-{name}")
-        return _WRITTEN[key]
+        stored = _WRITTEN[key]
+        return self.spark.read.schema(stored.schema).parquet(stored.stored_at)  # by this session, which need not be the one that wrote it
 
 
 def oracle(sql: str) -> str:
