@@ -33,7 +33,7 @@ def build(mentions: DataFrame, least_confidence: float = 0.6, least_entities: in
     rows = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.avg("confidence").alias("c"), F.array_sort(F.collect_set("type")).alias("types"))
     has = lambda *t: F.forall(F.array(*map(F.lit, t)), lambda x: F.array_contains("types", x))
     kind = F.when(has("Drug", "Disease"), "treatment").when(has("Disease", "Person"), "diagnosis").otherwise("association")
-    rows = rows.filter((F.size("entities") >= least_entities) & (F.col("c") >= least_confidence))
+    rows = rows.filter((F.size("entities") >= least_entities) & (F.round("c", 9) >= least_confidence))  # whatever the order of the sum
     digest = F.sha2(F.concat_ws(":", "chunk_id", F.array_join("entities", ":")), 256)
     return rows.select(digest.alias("fact_id"), "chunk_id", "entities", F.size("entities").cast("long").alias("n"), F.round("c", 6).alias("confidence"), kind.alias("fact_type"))
 

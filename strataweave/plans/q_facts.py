@@ -9,7 +9,7 @@ from .fixtures import query
 _FACTS = """facts AS (SELECT sha256(chunk_id || ':' || string_agg(entity, ':' ORDER BY entity)) AS fact_id, chunk_id, list(entity ORDER BY entity) AS entities, count(*) AS n, round(avg(confidence), 6) AS confidence,
   CASE WHEN bool_or(drug) AND bool_or(disease) THEN 'treatment' WHEN bool_or(disease) AND bool_or(person) THEN 'diagnosis' ELSE 'association' END AS fact_type
   FROM (SELECT chunk_id, entity, avg(confidence) AS confidence, bool_or(type = 'Drug') AS drug, bool_or(type = 'Disease') AS disease, bool_or(type = 'Person') AS person FROM {mentions} GROUP BY chunk_id, entity) m
-  GROUP BY chunk_id HAVING count(*) >= 2 AND avg(confidence) >= 0.6),
+  GROUP BY chunk_id HAVING count(*) >= 2 AND round(avg(confidence), 9) >= 0.6),
   hyper AS (SELECT fact_id, confidence, unnest(entities) AS entity FROM facts)"""
 
 
