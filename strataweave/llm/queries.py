@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cover_tree, html_template, license_scan, lm_bloom, mixing, ngram_jaccard, packing, quality_gam, rp_forest
+from . import chat_format, cover_tree, genetic_packing, html_template, license_scan, lm_bloom, mixing, ngram_jaccard, packing, phrases, quality_gam, rp_forest, whitening
 from .lm_bloom import held_out
 
 
@@ -61,7 +61,19 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = (op1_lm_bloom, op2_html_template, op3_ngram_jaccard, op4_chat_format, op5_license_scan, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_lm_bloom, op2_html_template, op3_ngram_jaccard, op4_chat_format, op5_license_scan, op6_packing, op7_rp_forest, op8_cover_tree, op9_mixing, op10_quality_gam, op11_whitening, op12_genetic_packing, op13_phrases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op9_mixing": mixing.ORACLE, "op13_phrases": phrases.ORACLE}
