@@ -148,31 +148,32 @@ def summaries(docs: DataFrame, bits: int, s: Settings) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(task, "bucket int, mass long, keys binary, counts binary")
 
 
-def merge(keys: np.ndarray, counts: np.ndarray, more_keys: np.ndarray, more_counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two Misra-Gries summaries as one with at most ``capacity`` entries; keys ascend.
+def merge(keys: np.ndarray, counts: np.ndarray, more_keys: np.ndarray, more_counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Two Misra-Gries summaries as one with at most ``capacity`` entries, and what was taken off its counts; keys ascend.
 
-    Beyond the capacity the largest count that does not fit is taken off every entry, so each count falls short by at most mass / (capacity + 1).
+    Beyond the capacity the largest count that does not fit is taken off every entry, so each count falls short by at most mass / (capacity + 1)
+    over all merges together.
     """
     both = np.concatenate([keys, more_keys])
     order = np.argsort(both, kind="stable")
     both, sums = both[order], np.concatenate([counts, more_counts])[order]
     if not len(both):
-        return both, sums
+        return both, sums, 0
     first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
     both, sums = both[first], np.add.reduceat(sums, first)
-    if len(both) > capacity:
-        sums = sums - np.partition(sums, len(sums) - capacity - 1)[len(sums) - capacity - 1]
-        left = sums > 0
-        both, sums = both[left], sums[left]
-    return both, sums
+    if len(both) <= capacity:
+        return both, sums, 0
+    off = int(np.partition(sums, len(sums) - capacity - 1)[len(sums) - capacity - 1])
+    left = sums > off
+    return both[left], sums[left] - off, off
 
 
 def survivors(parts: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, keys, n) of each hash partition's merged summary."""
+    """(bucket, keys, n) of each hash partition: the keys of its merged summary whose counts, with all that was taken off, can reach ``least``."""
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         capacity = int(group["mass"].sum()) // s.least + 1
-        keys, counts, waiting, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+        keys, counts, short, waiting, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0, [], 0
 
         def take():
             more = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in waiting])
@@ -183,10 +184,12 @@ def survivors(parts: DataFrame, s: Settings) -> DataFrame:
             waiting.append(row)
             size += len(row[1])
             if size >= s.per_partition:
-                keys, counts = take()
-                waiting, size = [], 0
+                keys, counts, off = take()
+                short, waiting, size = short + off, [], 0
         if waiting:
-            keys, counts = take()
+            keys, counts, off = take()
+            short += off
+        keys = keys[counts + short >= s.least]
         return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "keys": [keys.tobytes()], "n": [len(keys)]})
 
     return parts.groupBy("bucket").applyInPandas(merged, "bucket int, keys binary, n long")
