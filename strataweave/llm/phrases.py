@@ -48,10 +48,10 @@ class Settings:
     #: Occurrences of runs that a hash partition holds on average.
     per_partition: int = 4_000_000
     #: Occurrences that a task sorts at once.
-    flush: int = 8_000_000
+    flush: int = 6_000_000
     #: Phrases that a task holds with their counts.
-    held: int = 1_000_000
-    #: Bound of the broadcast filter; beyond about 12 bits a survivor it only lets more runs through to the exact count.
+    held: int = 500_000
+    #: Bound of the broadcast filter; beyond about 24 bits a survivor it only lets more runs through to the exact count.
     filter_mb: int = 32
 
 
@@ -118,6 +118,7 @@ def summaries(docs: DataFrame, bits: int, s: Settings) -> DataFrame:
 
     def flush(held: list[np.ndarray]):
         keys = np.concatenate(held)
+        held.clear()
         keys.sort()
         keys >>= _U(32 - bits)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -134,14 +135,14 @@ def summaries(docs: DataFrame, bits: int, s: Settings) -> DataFrame:
     def task(batches):
         held, size = [], 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 _, seeds = _languages(batch.column("lang"))
                 for _, hashes, _ in runs_of(words(batch.column("text"), seeds), s.longest):
                     held.append(hashes)
                     size += len(hashes)
                 if size >= s.flush:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush(held)
 
@@ -208,7 +209,7 @@ def bloom(kept: DataFrame, bits: int, s: Settings) -> np.ndarray:
     """The survivors' filter: 2**size words of 64 bits, made a hash partition at a time, at most ``filter_mb``."""
     entries = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     most = (s.filter_mb << 20) // 8
-    size = max(bits, min(int(np.ceil(np.log2(max(entries, 1) * 12 / 64 + 1))), int(np.log2(most))))
+    size = max(bits, min(int(np.ceil(np.log2(max(entries, 1) * 24 / 64 + 1))), int(np.log2(most))))
 
     def task(batches):
         for batch in batches:
@@ -231,9 +232,13 @@ class Counts:
     def __init__(self):
         self.keys, self.looks = np.zeros(0, _U), np.zeros(0, _U)
         self.counts, self.index = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.names: list[tuple[str, int, str]] = []
+        self.names: list[pa.RecordBatch] = []
+        self.named = 0
         self.odd: Counter = Counter()
 
+    def __len__(self) -> int:
+        return self.named + len(self.odd)
+
     def add(self, hashes: np.ndarray, looks: np.ndarray, name) -> None:
         """Count hashes; ``looks``: a second value a run, ``name``: (language, words, phrase) of the run at a place."""
         keys, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -247,17 +252,26 @@ class Counts:
         self.counts[at[known]] += counts[known]
         new = np.flatnonzero(~known)
         if len(new):
-            index = len(self.names) + np.arange(len(new))
-            self.names += [name(i) for i in first[new].tolist()]
+            index = self.named + np.arange(len(new))
+            self.names.append(_named([name(i) for i in first[new].tolist()]))
+            self.named += len(new)
             put = at[new]
             self.keys, self.looks = np.insert(self.keys, put, keys[new]), np.insert(self.looks, put, expected[new])
             self.counts, self.index = np.insert(self.counts, put, counts[new]), np.insert(self.index, put, index)
 
-    def rows(self) -> pa.RecordBatch:
-        names = [self.names[i] for i in self.index.tolist()] + list(self.odd)
-        counts = self.counts.tolist() + list(self.odd.values())
-        lang, order, phrase = zip(*names, strict=True) if names else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(order, pa.int32()), pa.array(phrase, pa.string()), pa.array(counts, pa.int64())], ["lang", "order", "phrase", "f"])
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(self.named, np.int64)
+        counts[self.index] = self.counts
+        at = 0
+        for names in self.names:
+            yield names.append_column("f", pa.array(counts[at : at + len(names)]))
+            at += len(names)
+        if self.odd:
+            yield _named(list(self.odd)).append_column("f", pa.array(list(self.odd.values()), pa.int64()))
+
+
+def _named(names: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*names), (pa.string(), pa.int32(), pa.string()), strict=True)], ["lang", "order", "phrase"])
 
 
 def count(docs: DataFrame, passes: np.ndarray, bits: int, s: Settings) -> DataFrame:
@@ -268,7 +282,7 @@ def count(docs: DataFrame, passes: np.ndarray, bits: int, s: Settings) -> DataFr
     def task(batches):
         held, totals = Counts(), Counter()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 names, seeds = _languages(batch.column("lang"))
                 found = words(batch.column("text"), seeds)
                 for t, number in zip(*np.unique(found.text, return_counts=True), strict=True):
@@ -291,11 +305,11 @@ def count(docs: DataFrame, passes: np.ndarray, bits: int, s: Settings) -> DataFr
                         return names[found.text[w]], n, phrase.decode("utf-8", "replace")
 
                     held.add(hashes[ok], looks, name)
-                if len(held.names) + len(held.odd) >= s.held:
-                    yield held.rows()
+                if len(held) >= s.held:
+                    yield from held.rows()
                     held = Counts()
         held.odd.update({(lang, 0, ""): number for lang, number in totals.items()})
-        yield held.rows()
+        yield from held.rows()
 
     counted = docs.select("text", "lang").mapInArrow(task, "lang string, order int, phrase string, f long")
     counted = counted.groupBy("lang", "order", "phrase").agg(F.sum("f").alias("f"))
