@@ -50,7 +50,7 @@ class Settings:
     #: Occurrences that a task sorts at once.
     flush: int = 6_000_000
     #: Phrases that a task holds with their counts.
-    held: int = 500_000
+    held: int = 1_000_000
     #: Bound of the broadcast filter; beyond about 24 bits a survivor it only lets more runs through to the exact count.
     filter_mb: int = 32
 
@@ -226,10 +226,15 @@ def bloom(kept: DataFrame, bits: int, s: Settings) -> np.ndarray:
     return out
 
 
+_NAMES = ("lang", "order", "phrase", "f")
+_KINDS = (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+
 class Counts:
     """Exact counts of the runs of one task, told apart by their words."""
 
-    def __init__(self):
+    def __init__(self, bits: int):
+        self.bits = bits
         self.keys, self.looks = np.zeros(0, _U), np.zeros(0, _U)
         self.counts, self.index = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.names: list[pa.RecordBatch] = []
@@ -247,40 +252,50 @@ class Counts:
         expected = looks[first]
         expected[known] = self.looks[at[known]]
         other = np.flatnonzero(looks != expected[which])  # other white space between the words, or another phrase with this hash
-        self.odd.update(name(i) for i in other.tolist())
+        self.odd.update((int(hashes[i] >> _U(64 - self.bits)), *name(i)) for i in other.tolist())
         counts = counts - np.bincount(which[other], minlength=len(keys))
         self.counts[at[known]] += counts[known]
         new = np.flatnonzero(~known)
         if len(new):
             index = self.named + np.arange(len(new))
-            self.names.append(_named([name(i) for i in first[new].tolist()]))
+            self.names.append(pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*[name(i) for i in first[new].tolist()]), _KINDS)], _NAMES[:3]))
             self.named += len(new)
             put = at[new]
             self.keys, self.looks = np.insert(self.keys, put, keys[new]), np.insert(self.looks, put, expected[new])
             self.counts, self.index = np.insert(self.counts, put, counts[new]), np.insert(self.index, put, index)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(self.named, np.int64)
-        counts[self.index] = self.counts
-        at = 0
-        for names in self.names:
-            yield names.append_column("f", pa.array(counts[at : at + len(names)]))
-            at += len(names)
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        """(bucket, part): the counts of each hash partition as one compressed Arrow table."""
+        if self.named:
+            table = pa.Table.from_batches(self.names).take(pa.array(self.index)).append_column("f", pa.array(self.counts))
+            cuts = np.searchsorted(self.keys >> _U(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=_U)).tolist()
+            yield from (_part(bucket, table.slice(i, j - i)) for bucket, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j)
         if self.odd:
-            yield _named(list(self.odd)).append_column("f", pa.array(list(self.odd.values()), pa.int64()))
+            odd: dict[int, list] = {}
+            for (bucket, *name), f in self.odd.items():
+                odd.setdefault(bucket, []).append((*name, f))
+            for bucket, rows in odd.items():
+                yield _part(bucket, pa.Table.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), _KINDS, strict=True)], _NAMES))
 
 
-def _named(names: list[tuple[str, int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*names), (pa.string(), pa.int32(), pa.string()), strict=True)], ["lang", "order", "phrase"])
+def _part(bucket: int, table: pa.Table) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "part"])
 
 
 def count(docs: DataFrame, passes: np.ndarray, bits: int, s: Settings) -> DataFrame:
-    """(lang, order, phrase, f): exact counts of all frequent runs, and of all words of a language as order 0."""
+    """(lang, order, phrase, f): exact counts of all frequent runs, and of all words of a language as order 0.
+
+    Counts travel by hash partition as compressed tables, a few rows a task, and are summed by their words in the partition.
+    """
     size = int(np.log2(len(passes)))
     shared = docs.sparkSession.sparkContext.broadcast(passes)
+    least = s.least
 
     def task(batches):
-        held, totals = Counts(), Counter()
+        held, totals = Counts(bits), Counter()
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 names, seeds = _languages(batch.column("lang"))
@@ -306,14 +321,19 @@ def count(docs: DataFrame, passes: np.ndarray, bits: int, s: Settings) -> DataFr
 
                     held.add(hashes[ok], looks, name)
                 if len(held) >= s.held:
-                    yield from held.rows()
-                    held = Counts()
-        held.odd.update({(lang, 0, ""): number for lang, number in totals.items()})
-        yield from held.rows()
-
-    counted = docs.select("text", "lang").mapInArrow(task, "lang string, order int, phrase string, f long")
-    counted = counted.groupBy("lang", "order", "phrase").agg(F.sum("f").alias("f"))
-    return counted.filter((F.col("order") == 0) | (F.col("f") >= s.least))
+                    yield from held.parts()
+                    held = Counts(bits)
+        for lang, number in totals.items():
+            held.odd[0, lang, 0, ""] += number
+        yield from held.parts()
+
+    def summed(group):
+        tables = [pa.ipc.open_stream(part.as_buffer()).read_all() for part in group.column("part")]
+        table = pa.concat_tables(tables).group_by(list(_NAMES[:3])).aggregate([("f", "sum")]).rename_columns(list(_NAMES))
+        return table.filter(pc.or_(pc.equal(table["order"], 0), pc.greater_equal(table["f"], least)))
+
+    parts = docs.select("text", "lang").mapInArrow(task, "bucket int, part binary")
+    return parts.groupBy("bucket").applyInArrow(summed, "lang string, order int, phrase string, f long")
 
 
 def scored(counts: DataFrame, s: Settings) -> DataFrame:
