@@ -48,15 +48,6 @@ def summary(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"))
 
 
-def shape_violations(nodes: DataFrame, edges: DataFrame, shapes: Sequence[tuple[str, str, int, int]]) -> DataFrame:
-    """id, path, n: nodes of a class (label, rel_type, least, most) with too few or too many edges of a type."""
-    table = F.broadcast(nodes.sparkSession.createDataFrame(list(shapes), "label string, path string, least int, most int"))
-    counts = edges.groupBy(F.col("src").alias("id"), F.col("rel_type").alias("path")).agg(F.count("*").alias("n"))
-    targets = nodes.select("id", F.explode("labels").alias("label")).join(table, "label")
-    joined = targets.join(counts, ["id", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return joined.filter((F.col("n") < F.col("least")) | (F.col("n") > F.col("most"))).select("id", "path", "n")
-
-
 def pass_rates(rows: DataFrame, checks: Mapping[str, str]) -> DataFrame:
     """rule, passed share of each SQL condition, null as failed: one scan."""
     one = rows.agg(*(F.round(F.avg(F.coalesce(F.expr(c), F.lit(False)).cast("int")), 6).alias(name) for name, c in checks.items()))

@@ -100,6 +100,51 @@ FIXTURES: dict[str, str] = {
                WHEN 24 THEN 'the rash is gone. it went away: the cough' END AS question FROM {events}""",
     "store_a": "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status FROM {orders}",
     "store_b": "SELECT o_orderkey AS id, o_custkey AS owner, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM {orders} WHERE o_orderkey % 20 <> 0",
+    "shape_nodes": """
+        SELECT 'catalog:' || cast(r_regionkey as string) AS id, array('Catalog') AS labels FROM {region} UNION ALL SELECT 'domain:' || cast(r_regionkey as string), array('Domain') FROM {region}
+        UNION ALL SELECT 'schema:' || cast(n_nationkey as string), array('Schema') FROM {nation} UNION ALL SELECT 'rule:' || cast(n_nationkey as string), array('DataQualityRule') FROM {nation}
+        UNION ALL SELECT DISTINCT 'type:' || cast(p_size % 7 as string), array('DataType') FROM {part}
+        UNION ALL SELECT 'table:' || cast(s_suppkey as string), array('Table') FROM {supplier} UNION ALL SELECT 'column:' || cast(p_partkey as string), array('Column') FROM {part}
+        UNION ALL SELECT 'constraint:' || cast(p_partkey as string), array('Constraint') FROM {part} UNION ALL SELECT 'assignment:' || cast(p_partkey as string), array('TypeAssignment') FROM {part}
+        UNION ALL SELECT 'data:' || cast(p_partkey as string), array('DataEntity', 'Entity') FROM {part} UNION ALL SELECT 'concept:' || cast(c_custkey as string), array('BusinessConcept', 'Entity') FROM {customer}
+        UNION ALL SELECT 'asset:' || cast(o_orderkey as string), array('InformationAsset') FROM {orders} UNION ALL SELECT 'link:' || cast(o_orderkey as string), array('Relationship') FROM {orders}""",
+    "statements": """
+        SELECT id, path, value, datatype FROM (
+        SELECT 'catalog:' || cast(r_regionkey as string) AS id, 'name' AS path, r_name AS value, 'string' AS datatype FROM {region} WHERE r_regionkey <> 2
+        UNION ALL SELECT 'catalog:' || cast(r_regionkey as string), 'layer', CASE WHEN r_regionkey = 3 THEN 'SEMANTIC' ELSE 'PERCEPTION' END, 'string' FROM {region}
+        UNION ALL SELECT 'domain:' || cast(r_regionkey as string), 'name', r_name, 'string' FROM {region} UNION ALL SELECT 'domain:' || cast(r_regionkey as string), 'description', r_name || ' data', CASE WHEN r_regionkey = 1 THEN 'integer' ELSE 'string' END FROM {region} WHERE r_regionkey <> 4
+        UNION ALL SELECT 'domain:' || cast(r_regionkey as string), 'layer', 'SEMANTIC', 'string' FROM {region} WHERE r_regionkey > 0
+        UNION ALL SELECT 'schema:' || cast(n_nationkey as string), 'name', n_name, 'string' FROM {nation} UNION ALL SELECT 'schema:' || cast(n_nationkey as string), 'layer', 'PERCEPTION', 'string' FROM {nation} WHERE n_nationkey % 6 <> 0
+        UNION ALL SELECT 'schema:' || cast(n_nationkey as string), 'belongsTo', CASE WHEN n_nationkey % 8 = 1 THEN 'domain:' ELSE 'catalog:' END || cast(n_regionkey as string), 'iri' FROM {nation} WHERE n_nationkey % 9 <> 0
+        UNION ALL SELECT 'schema:' || cast(n_nationkey as string), 'belongsTo', 'catalog:0', 'iri' FROM {nation} WHERE n_nationkey % 10 = 3
+        UNION ALL SELECT 'rule:' || cast(n_nationkey as string), 'name', n_name, 'string' FROM {nation} UNION ALL SELECT 'rule:' || cast(n_nationkey as string), 'expression', 'x > 0', 'string' FROM {nation} WHERE n_nationkey % 7 <> 0
+        UNION ALL SELECT 'rule:' || cast(n_nationkey as string), 'dimension', CASE n_nationkey % 4 WHEN 0 THEN 'COMPLETENESS' WHEN 1 THEN 'ACCURACY' WHEN 2 THEN 'VALIDITY' ELSE 'BEAUTY' END, 'string' FROM {nation}
+        UNION ALL SELECT 'rule:' || cast(n_nationkey as string), 'layer', CASE WHEN n_nationkey % 5 = 0 THEN 'SEMANTIC' ELSE 'REASONING' END, 'string' FROM {nation}
+        UNION ALL SELECT 'table:' || cast(s_suppkey as string), 'name', s_name, CASE WHEN s_suppkey % 9 = 0 THEN 'integer' ELSE 'string' END FROM {supplier} UNION ALL SELECT 'table:' || cast(s_suppkey as string), 'belongsTo', 'schema:' || cast(s_nationkey as string), 'iri' FROM {supplier}
+        UNION ALL SELECT 'table:' || cast(s_suppkey as string), 'layer', 'PERCEPTION', 'string' FROM {supplier} WHERE s_suppkey % 4 <> 0
+        UNION ALL SELECT 'table:' || cast(l_suppkey as string), 'hasColumn', CASE WHEN l_partkey % 50 = 0 THEN 'data:' ELSE 'column:' END || cast(l_partkey as string), 'iri' FROM {lineitem} WHERE l_suppkey % 5 <> 0
+        UNION ALL SELECT 'column:' || cast(p_partkey as string), 'name', p_name, 'string' FROM {part} WHERE p_partkey % 13 <> 0 UNION ALL SELECT 'column:' || cast(p_partkey as string), 'belongsTo', 'table:' || cast(1 + p_partkey % 10 as string), 'iri' FROM {part}
+        UNION ALL SELECT 'column:' || cast(p_partkey as string), 'belongsTo', 'table:' || cast(2 + p_partkey % 10 as string), 'iri' FROM {part} WHERE p_partkey % 17 = 0
+        UNION ALL SELECT 'column:' || cast(p_partkey as string), 'hasDataType', 'type:' || cast(p_size % 7 as string), 'iri' FROM {part} WHERE p_partkey % 11 <> 0
+        UNION ALL SELECT 'column:' || cast(p_partkey as string), 'layer', CASE WHEN p_partkey % 19 = 0 THEN 'BASEMENT' ELSE 'PERCEPTION' END, 'string' FROM {part}
+        UNION ALL SELECT 'constraint:' || cast(p_partkey as string), 'name', 'k' || cast(p_partkey as string), 'string' FROM {part} UNION ALL SELECT 'constraint:' || cast(p_partkey as string), 'constraintType', CASE p_partkey % 5 WHEN 0 THEN 'PRIMARY_KEY' WHEN 1 THEN 'FOREIGN_KEY' WHEN 2 THEN 'CHECK' WHEN 3 THEN 'UNIQUE' ELSE 'WISH' END, 'string' FROM {part}
+        UNION ALL SELECT 'constraint:' || cast(p_partkey as string), 'appliesTo', CASE WHEN p_partkey % 12 = 0 THEN 'nowhere' ELSE 'column:' || cast(p_partkey as string) END, 'iri' FROM {part} WHERE p_partkey % 14 <> 0
+        UNION ALL SELECT 'constraint:' || cast(p_partkey as string), 'referencesColumn', 'column:1', 'iri' FROM {part} WHERE p_partkey % 3 = 0
+        UNION ALL SELECT 'assignment:' || cast(p_partkey as string), 'column', 'column:' || cast(p_partkey as string), 'iri' FROM {part} UNION ALL SELECT 'assignment:' || cast(p_partkey as string), 'dataType', CASE WHEN p_partkey % 21 = 0 THEN 'column:1' ELSE 'type:' || cast(p_size % 7 as string) END, 'iri' FROM {part} WHERE p_partkey % 23 <> 0
+        UNION ALL SELECT 'assignment:' || cast(p_partkey as string), 'layer', 'PERCEPTION', 'string' FROM {part}
+        UNION ALL SELECT 'data:' || cast(p_partkey as string), 'name', p_name, 'string' FROM {part} UNION ALL SELECT 'data:' || cast(p_partkey as string), 'origin', p_brand, 'string' FROM {part} WHERE p_partkey % 15 <> 0
+        UNION ALL SELECT 'data:' || cast(p_partkey as string), 'layer', CASE WHEN p_partkey % 6 = 0 THEN 'REASONING' ELSE 'PERCEPTION' END, 'string' FROM {part}
+        UNION ALL SELECT 'concept:' || cast(c_custkey as string), 'description', c_name, 'string' FROM {customer} WHERE c_custkey % 16 <> 0
+        UNION ALL SELECT 'concept:' || cast(c_custkey as string), 'layer', CASE c_custkey % 4 WHEN 0 THEN 'PERCEPTION' WHEN 1 THEN 'SEMANTIC' WHEN 2 THEN 'REASONING' ELSE 'APPLICATION' END, 'string' FROM {customer}
+        UNION ALL SELECT 'concept:' || cast(c_custkey as string), 'confidence', CASE WHEN c_custkey % 25 = 0 THEN '1.5' WHEN c_custkey % 26 = 0 THEN '-0.25' WHEN c_custkey % 27 = 0 THEN 'high' ELSE '0.75' END, CASE WHEN c_custkey % 27 = 0 THEN 'string' ELSE 'decimal' END FROM {customer} WHERE c_custkey % 3 > 0
+        UNION ALL SELECT 'asset:' || cast(l_orderkey as string), 'derivedFrom', 'data:' || cast(l_partkey as string), 'iri' FROM {lineitem} WHERE l_orderkey % 18 <> 0
+        UNION ALL SELECT 'asset:' || cast(o_orderkey as string), 'derivedFrom', 'concept:' || cast(o_custkey as string), 'iri' FROM {orders} WHERE o_orderkey % 22 = 0
+        UNION ALL SELECT 'asset:' || cast(o_orderkey as string), 'confidence', '1.25', 'decimal' FROM {orders} WHERE o_orderkey % 24 = 0
+        UNION ALL SELECT 'asset:' || cast(o_orderkey as string), 'layer', CASE o_orderkey % 3 WHEN 0 THEN 'SEMANTIC' WHEN 1 THEN 'PERCEPTION' ELSE 'REASONING' END, 'string' FROM {orders}
+        UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'source', 'concept:' || cast(o_custkey as string), CASE WHEN o_orderkey % 29 = 0 THEN 'string' ELSE 'iri' END FROM {orders} WHERE o_orderkey % 31 <> 0
+        UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'target', 'asset:' || cast(o_orderkey as string), 'iri' FROM {orders}
+        UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'target', 'asset:1', 'iri' FROM {orders} WHERE o_orderkey % 37 = 0
+        UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'relationshipType', 'PLACED', 'string' FROM {orders} WHERE o_orderkey % 41 <> 0) s""",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
 }
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import clinical, resolve, rules, validation
+from ..operators import clinical, resolve, rules, shapes, validation
 from .fixtures import REF_TIME, query
 
 _T = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
@@ -52,10 +52,37 @@ def _(t):
     return validation.summary(validation.validate_entities(t.entities))
 
 
-@query("VAL-04", """WITH s(label, path, least, most) AS (VALUES ('Organization', 'BELONGS_TO', 1, 1), ('BusinessConcept', 'PLACED', 1, 12), ('Organization', 'SUPPLIES', 1, 400)), t AS (SELECT id, unnest(labels) AS label FROM {nodes}), c AS (SELECT src AS id, rel_type AS path, count(*) AS n FROM {edges} GROUP BY 1, 2)
-  SELECT id, path, coalesce(n, 0) AS n FROM t JOIN s USING (label) LEFT JOIN c USING (id, path) WHERE coalesce(n, 0) < least OR coalesce(n, 0) > most""")
-def _(t):
-    return validation.shape_violations(t.nodes, t.edges, (("Organization", "BELONGS_TO", 1, 1), ("BusinessConcept", "PLACED", 1, 12), ("Organization", "SUPPLIES", 1, 400)))
+# Spelled out from the model's shapes, apart from the operator's table.
+_SHAPES = """counts(shape, label, path, least, most) AS (VALUES ('DataEntity', 'DataEntity', 'name', 1, NULL), ('DataEntity', 'DataEntity', 'origin', 1, NULL), ('InformationAsset', 'InformationAsset', 'derivedFrom', 1, NULL), ('BusinessConcept', 'BusinessConcept', 'description', 1, NULL),
+    ('Column', 'Column', 'name', 1, NULL), ('Column', 'Column', 'belongsTo', 1, 1), ('Column', 'Column', 'hasDataType', 1, 1), ('Table', 'Table', 'name', 1, NULL), ('Table', 'Table', 'belongsTo', 1, 1), ('Table', 'Table', 'hasColumn', 1, NULL),
+    ('Constraint', 'Constraint', 'name', 1, NULL), ('Constraint', 'Constraint', 'constraintType', 1, NULL), ('Constraint', 'Constraint', 'appliesTo', 1, NULL), ('Relationship', 'Relationship', 'source', 1, 1), ('Relationship', 'Relationship', 'target', 1, 1), ('Relationship', 'Relationship', 'relationshipType', 1, NULL),
+    ('Domain', 'Domain', 'name', 1, NULL), ('Domain', 'Domain', 'description', 1, NULL), ('TypeAssignment', 'TypeAssignment', 'column', 1, 1), ('TypeAssignment', 'TypeAssignment', 'dataType', 1, 1), ('Schema', 'Schema', 'name', 1, NULL), ('Schema', 'Schema', 'belongsTo', 1, 1), ('Catalog', 'Catalog', 'name', 1, NULL),
+    ('DataQualityRule', 'DataQualityRule', 'name', 1, NULL), ('DataQualityRule', 'DataQualityRule', 'expression', 1, NULL), ('DataQualityRule', 'DataQualityRule', 'dimension', 1, NULL)),
+  types(shape, label, path, expected) AS (VALUES ('DataEntity', 'DataEntity', 'name', 'string'), ('Column', 'Column', 'name', 'string'), ('Table', 'Table', 'name', 'string'), ('Constraint', 'Constraint', 'name', 'string'), ('Relationship', 'Relationship', 'relationshipType', 'string'), ('Domain', 'Domain', 'name', 'string'),
+    ('Domain', 'Domain', 'description', 'string'), ('Schema', 'Schema', 'name', 'string'), ('Catalog', 'Catalog', 'name', 'string'), ('DataQualityRule', 'DataQualityRule', 'name', 'string'), ('DataQualityRule', 'DataQualityRule', 'expression', 'string'), ('ConfidenceScore', 'BusinessConcept', 'confidence', 'decimal'), ('ConfidenceScore', 'InformationAsset', 'confidence', 'decimal')),
+  classes(shape, label, path, expected) AS (VALUES ('InformationAsset', 'InformationAsset', 'derivedFrom', 'DataEntity'), ('Column', 'Column', 'belongsTo', 'Table'), ('Table', 'Table', 'belongsTo', 'Schema'), ('Table', 'Table', 'hasColumn', 'Column'), ('Constraint', 'Constraint', 'appliesTo', 'Column'), ('TypeAssignment', 'TypeAssignment', 'column', 'Column'),
+    ('TypeAssignment', 'TypeAssignment', 'dataType', 'DataType'), ('Schema', 'Schema', 'belongsTo', 'Catalog')),
+  layers(shape, label, expected) AS (VALUES ('Table', 'Table', 'PERCEPTION'), ('Domain', 'Domain', 'SEMANTIC'), ('TypeAssignment', 'TypeAssignment', 'PERCEPTION'), ('Schema', 'Schema', 'PERCEPTION'), ('Catalog', 'Catalog', 'PERCEPTION'), ('DataQualityRule', 'DataQualityRule', 'REASONING')),
+  n AS (SELECT id, unnest(labels) AS label FROM {shape_nodes}), f AS (SELECT DISTINCT id, path, value, datatype FROM {statements})"""
+
+
+@query("VAL-04", f"""WITH {_SHAPES}, c AS (SELECT n.id, shape, counts.path, least, most, count(DISTINCT value) AS k FROM n JOIN counts USING (label) LEFT JOIN f ON f.id = n.id AND f.path = counts.path GROUP BY ALL)
+  SELECT id, shape, path, 'min_count' AS kind, least::VARCHAR AS expected, k::VARCHAR AS value FROM c WHERE k < least UNION ALL SELECT id, shape, path, 'max_count', most::VARCHAR, k::VARCHAR FROM c WHERE k > most
+  UNION ALL SELECT n.id, shape, f.path, 'datatype', expected, value FROM n JOIN types USING (label) JOIN f ON f.id = n.id AND f.path = types.path WHERE datatype <> expected
+  UNION ALL SELECT n.id, shape, f.path, 'class', expected, value FROM n JOIN classes USING (label) JOIN f ON f.id = n.id AND f.path = classes.path WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.id = f.value AND m.label = expected)
+  UNION ALL SELECT n.id, shape, 'layer', 'has_value', expected, NULL FROM n JOIN layers USING (label) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = n.id AND path = 'layer' AND value = expected)
+  UNION ALL SELECT n.id, 'Column', 'layer', 'in', 'PERCEPTION|SEMANTIC|REASONING|APPLICATION', value FROM n JOIN f USING (id) WHERE label = 'Column' AND path = 'layer' AND value NOT IN ('PERCEPTION', 'SEMANTIC', 'REASONING', 'APPLICATION')
+  UNION ALL SELECT n.id, 'Constraint', path, 'in', 'PRIMARY_KEY|FOREIGN_KEY|UNIQUE|NOT_NULL|CHECK|DEFAULT', value FROM n JOIN f USING (id) WHERE label = 'Constraint' AND path = 'constraintType' AND value NOT IN ('PRIMARY_KEY', 'FOREIGN_KEY', 'UNIQUE', 'NOT_NULL', 'CHECK', 'DEFAULT')
+  UNION ALL SELECT n.id, 'DataQualityRule', path, 'in', 'COMPLETENESS|ACCURACY|CONSISTENCY|TIMELINESS|VALIDITY', value FROM n JOIN f USING (id) WHERE label = 'DataQualityRule' AND path = 'dimension' AND value NOT IN ('COMPLETENESS', 'ACCURACY', 'CONSISTENCY', 'TIMELINESS', 'VALIDITY')
+  UNION ALL SELECT n.id, 'Relationship', path, 'node_kind', 'iri', value FROM n JOIN f USING (id) WHERE label = 'Relationship' AND path IN ('source', 'target') AND datatype <> 'iri'
+  UNION ALL SELECT n.id, 'ConfidenceScore', path, 'min_inclusive', '0.0', value FROM n JOIN f USING (id) WHERE label IN ('BusinessConcept', 'InformationAsset') AND path = 'confidence' AND coalesce(try_cast(value AS DOUBLE) < 0.0, true)
+  UNION ALL SELECT n.id, 'ConfidenceScore', path, 'max_inclusive', '1.0', value FROM n JOIN f USING (id) WHERE label IN ('BusinessConcept', 'InformationAsset') AND path = 'confidence' AND coalesce(try_cast(value AS DOUBLE) > 1.0, true)
+  UNION ALL SELECT n.id, 'ForeignKeyConstraint', path, 'needs', 'FOREIGN_KEY>referencesColumn', NULL FROM n JOIN f USING (id) WHERE label = 'Constraint' AND path = 'constraintType' AND value = 'FOREIGN_KEY' AND n.id NOT IN (SELECT id FROM f WHERE path = 'referencesColumn')
+  UNION ALL SELECT n.id, 'ReasoningLayer', path, 'needs', 'REASONING>confidence', NULL FROM n JOIN f USING (id) WHERE label = 'Entity' AND path = 'layer' AND value = 'REASONING' AND n.id NOT IN (SELECT id FROM f WHERE path = 'confidence')
+  UNION ALL SELECT DISTINCT n.id, 'LayerHierarchy', 'source>target', 'layer_order', 'REASONING>PERCEPTION|REASONING>SEMANTIC|APPLICATION>PERCEPTION|APPLICATION>SEMANTIC|APPLICATION>REASONING', x.value || '>' || y.value FROM n JOIN f s ON s.id = n.id AND s.path = 'source' JOIN f g ON g.id = n.id AND g.path = 'target'
+    JOIN f x ON x.id = s.value AND x.path = 'layer' JOIN f y ON y.id = g.value AND y.path = 'layer' WHERE label = 'Relationship' AND (x.value, y.value) IN (('REASONING', 'PERCEPTION'), ('REASONING', 'SEMANTIC'), ('APPLICATION', 'PERCEPTION'), ('APPLICATION', 'SEMANTIC'), ('APPLICATION', 'REASONING'))""")
+def _(t):
+    return shapes.violations(t.shape_nodes, t.statements)
 
 
 @query("VAL-05", "SELECT child AS id, CASE WHEN child = parent THEN 'self' ELSE 'lower_case' END AS problem FROM {hierarchy} WHERE child = parent OR child = lower(child)")
