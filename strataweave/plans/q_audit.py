@@ -255,21 +255,6 @@ def _(t):
     return storage.page(t.nodes.select("id", "name"), "id", 50, 100)
 
 
-@query("SRC-02", "SELECT src, dst FROM {edges} WHERE rel_type = 'SUPPLIES' AND src = 'supplier:3'")
-def _(t):
-    return t.edges.filter("rel_type = 'SUPPLIES' and src = 'supplier:3'").select("src", "dst")
-
-
-@query("SRC-03", "SELECT id FROM {nodes} WHERE layer = 'SEMANTIC' AND status = 'active' ORDER BY id LIMIT 200")
-def _(t):
-    return storage.page(t.nodes.filter("layer = 'SEMANTIC' and status = 'active'").select("id"), "id", 0, 200)
-
-
-@query("SRC-04", "SELECT id, CASE WHEN id % 20 <> 0 THEN b.status ELSE a.status END AS status, a.owner FROM {store_a} a LEFT JOIN {store_b} b USING (id)")
-def _(t):
-    return storage.upsert(t.store_a, t.store_b, ["id"]).select("id", "status", "owner")
-
-
 @query("SRC-05", "SELECT DISTINCT dst AS id FROM {edges} WHERE dst NOT IN (SELECT id FROM {nodes})")
 def _(t):
     return storage.placeholders(t.nodes, t.edges)

@@ -24,13 +24,6 @@ def _(t):
     return events.drain(events.promotions(_stream(t), ["purchase", "signup"], 100).select("event_id", "value"), "str-02")
 
 
-@query("STR-04", "SELECT lower(trim(name)) AS name, type, count(*) AS observations FROM (SELECT event_type AS name, 'user' || (user_id % 5)::VARCHAR AS type FROM events) e GROUP BY 1, 2")
-def _(t):
-    mentions = _stream(t).select(F.col("event_type").alias("name"), F.concat(F.lit("user"), F.col("user_id") % 5).alias("type"), (F.col("value") / 500).alias("confidence"))
-    batches = events.drain_batches(mentions, "str-04", events.crystallize)
-    return batches.groupBy("name", "type").agg(F.sum("observations").alias("observations"))
-
-
 @query("STR-08", "SELECT doc_id, 'doc:' || substr(sha256(text), 1, 16) AS content_id FROM documents")
 def _(t):
     from ..functions.text import content_id
@@ -58,16 +51,6 @@ def _(t):
     return files.recent_log(t.spark, path, 50, "error").select("event_id", "event_type")
 
 
-@query("SRC-20", "SELECT id, owner FROM {store_a} WHERE id % 2 = 0")
-def _(t):
-    import uuid
-
-    path = f"{shared_dir(t.spark)}/published-{uuid.uuid4().hex}"
-    files.publish(t.store_a.filter("id % 2 = 0"), path, f"even-{uuid.uuid4().hex}", "owner is not null")
-    files.publish(t.store_a.filter("id % 2 = 1"), path, f"odd-{uuid.uuid4().hex}", "id < 0")
-    return t.spark.read.schema(t.store_a.schema).option("recursiveFileLookup", True).parquet(path).select("id", "owner")
-
-
 @query("ALG-06")
 def _(t):
     """Within-cluster sums of k-means for k = 2 .. 4 on standardized columns."""

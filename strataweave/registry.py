@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import fixtures
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("q_flags", "q_graph", "q_feedback", "q_facts", "q_audit", "q_rules", "q_documents", "q_streams", "q_linking", "q_messages", "q_modeling", "q_reasoning")
+MODULES: tuple[str, ...] = ("q_flags", "q_graph", "q_feedback", "q_facts", "q_audit", "q_rules", "q_documents", "q_streams", "q_store", "q_linking", "q_messages", "q_modeling", "q_reasoning")
 
 
 def _load() -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -49,15 +48,3 @@ def append_log(events: DataFrame, path: str) -> None:
 def recent_log(spark: SparkSession, path: str, limit: int, kind: str | None = None) -> DataFrame:
     log = spark.read.parquet(path)
     return (log.filter(F.col("event_type") == kind) if kind else log).orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
-
-
-def publish(rows: DataFrame, path: str, batch_id: str, valid: str) -> bool:
-    """All or nothing: stage a batch, and make it visible only if every row meets the SQL condition."""
-    spark = rows.sparkSession
-    staged = f"{shared_dir(spark)}/staged-{batch_id}"
-    rows.write.mode("overwrite").parquet(staged)
-    stored = spark.read.schema(rows.schema).parquet(staged)
-    if stored.filter(~F.coalesce(F.expr(valid), F.lit(False))).limit(1).count():
-        return False
-    stored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return True

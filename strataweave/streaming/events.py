@@ -73,8 +73,3 @@ def rolling_success(outcomes: DataFrame, key: str, length: str = "7 days", step:
     """key, window, n, success_rate, confidence (mean) of (ts, success, confidence) in sliding windows, of a stream or a table."""
     rows = outcomes.withWatermark("ts", late).groupBy(F.window("ts", length, step), key)
     return rows.agg(F.count("*").alias("n"), F.avg(F.col("success").cast("int")).alias("success_rate"), F.avg("confidence").alias("confidence"))
-
-
-def crystallize(batch: DataFrame, number: int) -> DataFrame:
-    """One row a normalized name and type of a micro-batch: observations summed, the best confidence kept."""
-    return batch.groupBy(F.lower(F.trim("name")).alias("name"), "type").agg(F.count("*").alias("observations"), F.max("confidence").alias("confidence"))
