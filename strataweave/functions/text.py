@@ -7,9 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Expansions of words in names.
-ABBREVIATIONS = {"cust": "customer", "addr": "address", "qty": "quantity", "num": "number", "amt": "amount", "desc": "description", "id": "identifier"}
-SYNONYMS = {"client": "customer", "vendor": "supplier", "item": "product", "widget": "product"}
+# Expansions of words in names, and words that stand for another.
+ABBREVIATIONS = {
+    "id": "identifier", "pk": "primary_key", "fk": "foreign_key", "uq": "unique", "idx": "index", "seq": "sequence", "tbl": "table", "col": "column", "attr": "attribute", "rel": "relationship", "ref": "reference",
+    "int": "integer", "bool": "boolean", "char": "character", "varchar": "variable_character", "txt": "text", "num": "numeric", "dec": "decimal", "dt": "date", "ts": "timestamp",
+    "cust": "customer", "acct": "account", "addr": "address", "dept": "department", "emp": "employee", "mgr": "manager", "org": "organization", "prod": "product", "svc": "service", "qty": "quantity", "amt": "amount",
+    "desc": "description", "cat": "category", "subcat": "subcategory",
+    "pt": "patient", "dx": "diagnosis", "rx": "prescription", "tx": "treatment", "hx": "history", "sx": "symptoms", "med": "medication", "lab": "laboratory", "appt": "appointment", "hosp": "hospital", "prov": "provider", "ins": "insurance",
+    "yr": "year", "mo": "month", "wk": "week", "dy": "day", "hr": "hour", "min": "minute", "sec": "second",
+}
+SYNONYMS = {
+    "client": "customer", "buyer": "customer", "consumer": "customer", "patron": "customer", "member": "user", "subscriber": "user", "participant": "user", "purchase": "order", "sale": "order", "transaction": "order",
+    "item": "product", "article": "product", "merchandise": "product", "good": "product", "diagnosis": "medical_diagnosis", "condition": "medical_condition", "therapy": "treatment", "procedure": "medical_procedure",
+    "created": "creation_date", "modified": "modification_date", "updated": "modification_date",
+}
 INDICATORS = ("study", "research", "evidence", "treatment", "diagnosis", "patient", "clinical", "trial", "data", "analysis", "methodology", "results", "conclusion", "reference")
 FACT_PATTERNS = (r"\d+", r"(?i)\b(is|are|was|were|has|have|caused?|leads?|results?|shows?)\b", r"(?i)\b(treatment|medication|disease|patient|study|research)\b")
 
@@ -19,28 +30,56 @@ def word_map(word: Column, values: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, word), word)
 
 
+def _basic(name: Column) -> Column:
+    """camelCase cut, white space as _, other marks dropped, _ trimmed and collapsed."""
+    x = F.regexp_replace(F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2")), r"(?U)\s+", "_")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9_]", ""), "^_+|_+$", ""), "_+", "_")
+
+
+def _words(name: Column, values: Mapping[str, str]) -> Column:
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: word_map(w, values)), "_")
+
+
+def _stages(name: Column, abbreviations: Mapping[str, str], synonyms: Mapping[str, str]) -> list[Column]:
+    """The name after each stage: basic, abbreviations by word, synonyms of the whole or else by word."""
+    basic = _basic(name)
+    expanded = _words(basic, abbreviations)
+    table = F.create_map(*(F.lit(x) for kv in synonyms.items() for x in kv))
+    return [basic, expanded, F.coalesce(F.try_element_at(table, expanded), _words(expanded, synonyms))]
+
+
 def normalized_name(name: Column, abbreviations: Mapping[str, str] = ABBREVIATIONS, synonyms: Mapping[str, str] = SYNONYMS) -> Column:
-    """camelCase cut, blanks as _, other marks dropped, _ collapsed and trimmed, then words expanded."""
-    x = F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2")
-    x = F.regexp_replace(F.lower(x), r"[\s-]+", "_")
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9_]", ""), r"_+", "_"), r"^_|_$", "")
-    whole = word_map(x, synonyms)
-    words = F.transform(F.split(whole, "_"), lambda w: word_map(word_map(w, abbreviations), synonyms))
-    return F.array_join(words, "_")
-
-
-def trace(name: Column) -> Column:
-    """The steps of normalization that change a name."""
-    lowered = F.lower(name)
+    """The canonical form of a name; an empty one stays as it is."""
+    return F.when(name == "", name).otherwise(_stages(name, abbreviations, synonyms)[-1])
+
+
+def trace(name: Column, abbreviations: Mapping[str, str] = ABBREVIATIONS, synonyms: Mapping[str, str] = SYNONYMS) -> Column:
+    """The steps of normalization: the original, each stage that changes the name, the final form."""
+    basic, expanded, mapped = _stages(name, abbreviations, synonyms)
+    said = lambda head, c: F.concat(F.lit(f"{head}: "), c)
     return F.array_compact(F.array(
-        F.when(lowered != name, "lowercase"), F.when(name.rlike(r"[\s-]"), "separators"), F.when(name.rlike(r"[^A-Za-z0-9_\s-]"), "specials"),
-        F.when(F.exists(F.split(lowered, r"[\s_-]+"), lambda w: w.isin(*ABBREVIATIONS)), "abbreviations"), F.when(F.exists(F.split(lowered, r"[\s_-]+"), lambda w: w.isin(*SYNONYMS)), "synonyms"),
+        said("Original", name), F.when(basic != name, said("Basic normalization", basic)), F.when(expanded != basic, said("Abbreviation expansion", expanded)),
+        F.when(mapped != expanded, said("Synonym mapping", mapped)), said("Final", mapped),
     ))
 
 
-def word_jaccard(a: Column, b: Column) -> Column:
-    x, y = (F.array_distinct(F.split(F.lower(c), r"[ _]+")) for c in (a, b))
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+def term_similarity(a: Column, b: Column) -> Column:
+    """1 for terms of one canonical form, else the Jaccard similarity of their forms' words."""
+    x, y = normalized_name(a), normalized_name(b)
+    p, q = (F.array_distinct(F.split(c, "_")) for c in (x, y))
+    return F.when(x == y, 1.0).otherwise(F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q)))
+
+
+def entity_name(name: Column, abbreviations: Mapping[str, str]) -> Column:
+    """Lower case, white space collapsed, and the long form of a name that is an abbreviation; null as empty."""
+    return word_map(F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)\s+", " ")), abbreviations)
+
+
+def entity_type(kind: Column, aliases: Mapping[str, str]) -> Column:
+    """The type that an alias stands for, else title case; Entity where there is none."""
+    table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    known = F.try_element_at(table, F.replace(F.lower(F.trim(kind)), F.lit(" "), F.lit("_")))
+    return F.when(F.coalesce(kind, F.lit("")) == "", "Entity").otherwise(F.coalesce(known, title_case(kind)))
 
 
 def snake_case(x: Column) -> Column:

@@ -94,8 +94,38 @@ def layer_counts(nodes: DataFrame, layers: Sequence[str] = rules.LAYERS) -> Data
 
 
 def completeness(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Per key the number of rows, and of values in each column."""
-    return rows.groupBy(key).agg(F.count("*").alias("rows"), *(F.count(c).alias(f"with_{c}") for c in columns))
+    """Per key, such as a type of relationship, the number of rows, and of those with and without a value in each column."""
+    with_without = [e for c in columns for e in (F.count(c).alias(f"with_{c}"), (F.count("*") - F.count(c)).alias(f"without_{c}"))]
+    return rows.groupBy(key).agg(F.count("*").alias("rows"), *with_without)
+
+
+def documents_with_orphans(nodes: DataFrame, edges: DataFrame, source: str = "source_id", top: int = 20) -> DataFrame:
+    """source_id, total_entities, orphan_count, orphan_rate of the documents whose nodes are most often without an edge; nodes without a document stay out."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("linked", F.lit(True))
+    rows = nodes.filter(F.col(source).isNotNull()).select("id", F.col(source).alias("source_id")).join(ends, "id", "left")
+    counted = rows.groupBy("source_id").agg(F.count("*").alias("total_entities"), F.count_if(F.col("linked").isNull()).alias("orphan_count"))
+    best = counted.orderBy(F.desc(F.col("orphan_count") / F.col("total_entities")), "source_id").limit(top)
+    return best.withColumn("orphan_rate", F.round(F.col("orphan_count") / F.col("total_entities"), 6))
+
+
+def interoperability(entities: DataFrame, types: Sequence[str] = tuple(dict.fromkeys(rules.SCHEMA_ORG.values())), properties: Sequence[str] = rules.STANDARD_PROPERTIES) -> DataFrame:
+    """One row of (labels, properties as a map): entities, schema_coverage (labels of schema.org), property_coverage (a standard property is there), readiness (0.6 and 0.4 of them), linked_data_ready, rdf_exportable."""
+    share = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0.0))
+    named = F.arrays_overlap(F.map_keys("properties"), F.array(*map(F.lit, properties)))
+    one = entities.agg(F.count("*").alias("entities"), share(has_label(types)).alias("c"), share(named).alias("p"))
+    return one.select(
+        "entities", F.round("c", 6).alias("schema_coverage"), F.round("p", 6).alias("property_coverage"), F.round(F.col("c") * 0.6 + F.col("p") * 0.4, 6).alias("readiness"),
+        (F.col("c") >= 0.5).alias("linked_data_ready"), (F.col("c") >= 0.7).alias("rdf_exportable"))
+
+
+def ontology_score(metrics: DataFrame) -> DataFrame:
+    """Adds score and level to one-row metrics: coverage, compliance, taxonomy, consistency, normalization, cross_reference, interoperability, each 0 to 1."""
+    return weighted_score(metrics, rules.ONTOLOGY_WEIGHTS, rules.ONTOLOGY_LEVELS)
+
+
+def ontology_advice(metrics: DataFrame) -> DataFrame:
+    """rank, advice: what the metrics of ``ontology_score`` call for, in order; critical coverage comes first."""
+    return advice(metrics, rules.ONTOLOGY_ADVICE)
 
 
 def profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -28,12 +28,22 @@ def type_pairs(mentions: DataFrame, more_than: int = 5, top: int = 50) -> DataFr
     return rows.filter(F.col("n") > more_than).orderBy(F.desc("n"), "type_a", "type_b").limit(top)
 
 
-def build(mentions: DataFrame, least_confidence: float = 0.6, least_entities: int = 2) -> DataFrame:
-    """fact_id, chunk_id, entities, n, confidence, fact_type: one fact a chunk whose mentions are confident and diverse enough."""
-    rows = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.avg("confidence").alias("c"), F.array_sort(F.collect_set("type")).alias("types"))
-    has = lambda *t: F.forall(F.array(*map(F.lit, t)), lambda x: F.array_contains("types", x))
-    kind = F.when(has("Drug", "Disease"), "treatment").when(has("Disease", "Person"), "diagnosis").otherwise("association")
+def build(mentions: DataFrame, texts: DataFrame | None = None, least_confidence: float = 0.6, least_entities: int = 2) -> DataFrame:
+    """fact_id, chunk_id, entities, n, confidence, fact_type: one fact a chunk whose mentions are confident and diverse enough.
+
+    A drug or disease with a treatment or medication is a treatment; a cause or effect, or a text (chunk_id, text) that says causes, a causation;
+    mentions of one type are hierarchical; others an association.
+    """
+    rows = mentions.groupBy("chunk_id").agg(
+        F.array_sort(F.collect_set("entity")).alias("entities"), F.avg("confidence").alias("c"), F.collect_set(F.lower("type")).alias("kinds"), F.count_distinct("type").alias("diversity"))
     rows = rows.filter((F.size("entities") >= least_entities) & (F.round("c", 9) >= least_confidence))  # whatever the order of the sum
+    has = lambda *t: F.arrays_overlap("kinds", F.array(*map(F.lit, t)))
+    causal = has("cause", "effect")
+    if texts is not None:
+        said = texts.filter(F.contains(F.lower("text"), F.lit("causes"))).select("chunk_id", F.lit(True).alias("says_causes")).distinct()
+        rows = rows.join(said, "chunk_id", "left")
+        causal = causal | F.coalesce("says_causes", F.lit(False))
+    kind = F.when(has("drug", "disease") & has("treatment", "medication"), "treatment").when(causal, "causation").when(F.col("diversity") == 1, "hierarchical").otherwise("association")
     digest = F.sha2(F.concat_ws(":", "chunk_id", F.array_join("entities", ":")), 256)
     return rows.select(digest.alias("fact_id"), "chunk_id", "entities", F.size("entities").cast("long").alias("n"), F.round("c", 6).alias("confidence"), kind.alias("fact_type"))
 

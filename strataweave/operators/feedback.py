@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rules
 from .graph import banded
 
 
@@ -130,10 +132,29 @@ def propagated(feedback: DataFrame, entity: str, order: list[str], decay: float
     return clamped_sums(feedback.withColumn("_step", step), entity, order, "_step", start, low, high).join(counts, entity)
 
 
-def demotions(feedback: DataFrame, entity: str = "entity", least: int = 5, negatives: int = 3) -> DataFrame:
-    """Entities with enough feedback and enough of it negative."""
-    rows = feedback.groupBy(entity).agg(F.count("*").alias("feedbacks"), F.count_if(F.col("rating") <= 2).alias("negatives"))
-    return rows.filter((F.col("feedbacks") >= least) & (F.col("negatives") >= negatives))
+def demotions(nodes: DataFrame, feedback: DataFrame, entity: str = "entity", least: int = 5, negatives: int = 3, drop: float = 0.2, above: float = 0.3, floor: float = 0.1, layers: Mapping[str, str] = rules.DEMOTION) -> DataFrame:
+    """Nodes that enough feedback, and enough of it negative, moves a layer down: id, layer, previous_layer, confidence, feedbacks, negatives.
+
+    Confidence above ``above`` falls by ``drop``, any other becomes ``floor``, also where there was none. Nodes of the lowest or of no known layer stay.
+    ``storage.upsert`` or a graph store's commit takes the rows.
+    """
+    rows = feedback.groupBy(F.col(entity).alias("id")).agg(F.count("*").alias("feedbacks"), F.count_if(F.col("rating") <= 2).alias("negatives"))
+    rows = rows.filter((F.col("feedbacks") >= least) & (F.col("negatives") >= negatives))
+    lower = F.coalesce(*(F.when(F.col("layer") == k, v) for k, v in layers.items()))
+    lowered = F.when(F.col("confidence") > above, F.col("confidence") - drop).otherwise(F.lit(floor))
+    moved = nodes.join(rows, "id").withColumn("lower", lower).filter("lower is not null")
+    return moved.select("id", F.col("lower").alias("layer"), F.col("layer").alias("previous_layer"), lowered.alias("confidence"), "feedbacks", "negatives")
+
+
+def review_needed(confidences: DataFrame, key: str = "key", layers: Sequence[str] = rules.LAYERS, spread: float = 0.5, inverted: float = 0.2) -> DataFrame:
+    """key, review of (key, layer, confidence): the best confidences of layers lie further apart than ``spread``, or a lower layer's passes a higher one's by more than ``inverted``."""
+    from itertools import combinations
+
+    rows = confidences.filter(F.col("layer").isin(*layers)).groupBy(key).pivot("layer", list(layers)).agg(F.max("confidence"))
+    review = F.round(F.greatest(*layers) - F.least(*layers), 9) > spread
+    for low, high in combinations(layers, 2):
+        review = review | F.coalesce(F.round(F.col(low) - F.col(high), 9) > inverted, F.lit(False))
+    return rows.select(key, review.alias("review"))
 
 
 def rating_pairs(feedback: DataFrame, gap: int = 2, limit: int = 1000) -> DataFrame:

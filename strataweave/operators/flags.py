@@ -29,8 +29,8 @@ def mark_structural(nodes: DataFrame, labels: Sequence[str] = rules.STRUCTURAL_L
 
 
 def structural_counts(nodes: DataFrame, labels: Sequence[str] = rules.STRUCTURAL_LABELS) -> DataFrame:
-    """Dry run: structural nodes by each of their labels."""
-    return nodes.filter(is_structural(labels)).select(F.explode("labels").alias("label")).groupBy("label").count()
+    """Dry run: structural nodes by each of their structural labels."""
+    return nodes.filter(is_structural(labels)).select(F.explode("labels").alias("label")).filter(F.col("label").isin(*labels)).groupBy("label").count()
 
 
 def noise_reason(stopwords: Sequence[str] = rules.STOPWORDS, least: int = 3) -> Column:
@@ -48,9 +48,10 @@ def reset_flags(nodes: DataFrame, *flags: str) -> DataFrame:
     return nodes.withColumns({f: F.lit(None).cast(nodes.schema[f].dataType) for f in flags})
 
 
-def knowledge(nodes: DataFrame) -> DataFrame:
-    """Nodes that are neither structural nor noise."""
-    return nodes.filter(~is_structural() & noise_reason().isNull())
+def knowledge(nodes: DataFrame, labels: Sequence[str] = tuple(x for x in rules.STRUCTURAL_LABELS if x != "ExtractedEntity")) -> DataFrame:
+    """Nodes that are knowledge: neither excluded nor structural by a flag (is_structural, exclude_from_ontology, where the table has them) or by a label; extracted entities are knowledge."""
+    marked = [F.coalesce(c, F.lit(False)) for c in ("is_structural", "exclude_from_ontology") if c in nodes.columns]
+    return nodes.filter(~reduce(lambda a, b: a | b, marked, is_structural(labels)))
 
 
 def invalid_layers(nodes: DataFrame, layers: Sequence[str] = rules.LAYERS) -> DataFrame:

@@ -156,12 +156,14 @@ def subgraph_stats(nodes: DataFrame, edges: DataFrame, document: Sequence[str])
 
 
 def cross_reference_validity(edges: DataFrame, nodes: DataFrame, allowed=rules.EDGE_RULES) -> DataFrame:
-    """Edges with ``valid``: some rule of their type allows both ends' classes (first labels, * for any); unknown types pass."""
+    """Edges with ``valid``: some rule of their type allows one label of each end (* for any, also for an end without a node); unknown types pass."""
     table = edges.sparkSession.createDataFrame(list(allowed), "rel_type string, from_class string, to_class string")
-    ends = with_ends(edges, nodes.select("id", F.col("labels")[0].alias("class")), "class")
-    fits = ((F.col("from_class") == "*") | (F.col("from_class") == F.col("src_class"))) & ((F.col("to_class") == "*") | (F.col("to_class") == F.col("dst_class")))
+    labels = nodes.select("id", "labels")
+    ends = edges.select("src", "rel_type", "dst").join(labels.toDF("src", "src_labels"), "src", "left").join(labels.toDF("dst", "dst_labels"), "dst", "left")
+    fits = lambda rule, own: (F.col(rule) == "*") | F.coalesce(F.array_contains(own, F.col(rule)), F.lit(False))
     joined = ends.join(F.broadcast(table), "rel_type", "left")
-    return joined.groupBy("src", "rel_type", "dst").agg(F.max(F.when(F.col("from_class").isNull(), True).otherwise(fits)).alias("valid"))
+    valid = F.when(F.col("from_class").isNull(), True).otherwise(fits("from_class", "src_labels") & fits("to_class", "dst_labels"))
+    return joined.groupBy("src", "rel_type", "dst").agg(F.max(valid).alias("valid"))
 
 
 def layer_inversions(edges: DataFrame, nodes: DataFrame, layers: Sequence[str] = rules.LAYERS) -> DataFrame:

@@ -7,12 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import title_case
 from ..session import materialize
+from . import rules
 from .feedback import clamped_sums
 from .resolve import ratio
 
 # Words that name a concept.
-CONCEPT_WORDS = {"ring": "Jewelry", "gear": "Machinery", "bolt": "Fastener", "anvil": "Tool"}
+CONCEPT_WORDS = {
+    "patient": ("Patient", 0.95), "customer": ("Customer", 0.95), "user": ("User", 0.90), "order": ("SalesOrder", 0.90), "product": ("Product", 0.90), "invoice": ("Invoice", 0.85), "diagnosis": ("MedicalDiagnosis", 0.90),
+    "treatment": ("Treatment", 0.85), "medication": ("Medication", 0.90), "therapy": ("Therapy", 0.85), "appointment": ("Appointment", 0.80), "lab": ("LaboratoryResult", 0.85), "assessment": ("Assessment", 0.80),
+    "provider": ("HealthcareProvider", 0.85),
+}
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -137,12 +143,28 @@ def adaptive_weights(feedback: DataFrame, frame: int = 100, least: int = 10, ste
     return clamped_sums(steps, "feedback_type", ["place"], "step", start, 0.0, 1.0).select("feedback_type", F.round("value", 4).alias("weight"))
 
 
-def hybrid_search(matches: DataFrame, nodes: DataFrame, edges: DataFrame, weight: float = 0.6, top: int = 10) -> DataFrame:
-    """id, score: weight * match + (1 - weight) * (0.4 min(degree / 10, 1) + 0.3 typed + 0.3 layered), best first."""
-    degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    joined = matches.join(nodes, "id").join(degree, "id", "left")
-    graph = 0.4 * F.least(F.coalesce("degree", F.lit(0)) / 10, F.lit(1.0)) + 0.3 * F.col("type").isNotNull().cast("int") + 0.3 * F.col("layer").isNotNull().cast("int")
-    return joined.select("id", F.round(F.col("match") * weight + graph * (1 - weight), 6).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+def hybrid_search(
+    matches: DataFrame, nodes: DataFrame, edges: DataFrame, vector_weight: float = 0.7, graph_weight: float = 0.3, least: float = 0.3, top: int = 10, type_scores: Mapping[str, float] = rules.TYPE_SCORES,
+) -> DataFrame:
+    """id, vector_score, graph_score, score, explanation of matches (id, match) that reach ``least``, best first.
+
+    The graph score is 0.4 of neighbours up to 10, 0.3 of properties that are set up to 5 (columns beside id, type and labels) and 0.3 of the type's score.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst")
+    near = both.groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("near"))
+    own = [c for c in nodes.columns if c not in ("id", "type", "labels")]
+    there = sum((F.col(c).isNotNull().cast("int") for c in own), F.lit(0))
+    kind = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in type_scores.items()), F.lit(0.5))
+    props = nodes.select("id", F.least(there / 5, F.lit(1.0)).alias("rich"), kind.alias("kind"))
+    rows = matches.select("id", F.col("match").alias("vector_score")).join(props, "id").join(near, "id", "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    rows = rows.withColumn("graph_score", F.round(0.4 * F.least(F.col("near") / 10, F.lit(1.0)) + 0.3 * F.col("rich") + 0.3 * F.col("kind"), 9))
+    rows = rows.withColumn("score", F.col("vector_score") * vector_weight + F.col("graph_score") * graph_weight).filter(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(top)
+    vector, graph = F.format_string("%.2f", "vector_score"), F.format_string("%.2f", "graph_score")
+    alike = F.when(F.col("vector_score") > 0.8, F.concat(F.lit("High semantic similarity ("), vector, F.lit(")"))).when(F.col("vector_score") > 0.6, F.concat(F.lit("Moderate semantic similarity ("), vector, F.lit(")")))
+    linked = F.when(F.col("graph_score") > 0.7, F.concat(F.lit("Well-connected in graph ("), F.col("near").cast("string"), F.lit(" neighbors)")))
+    weak = F.concat(F.lit("Low confidence match (vector="), vector, F.lit(", graph="), graph, F.lit(")"))
+    said = F.concat_ws("; ", alike, linked)
+    return rows.select("id", "vector_score", "graph_score", "score", F.when(said == "", weak).otherwise(said).alias("explanation"))
 
 
 def merge_lists(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
@@ -186,11 +208,12 @@ def layered_retrieval(questions: DataFrame, nodes: DataFrame, weights: Mapping[s
     return hits.withColumn("confidence", F.round(F.least(0.5 + 0.1 * F.col("entities"), F.lit(1.0)) * weight, 6))
 
 
-def inferred_concept(name: Column, words: Mapping[str, str] = CONCEPT_WORDS) -> Column:
-    """The concept of the first word that names one, else the name without blanks."""
-    t = F.lower(name)
-    known = F.coalesce(*(F.when(F.contains(t, F.lit(w)), F.lit(c)) for w, c in words.items()))
-    return F.coalesce(known, F.replace(F.initcap(name), F.lit(" "), F.lit("")))
+def inferred_concept(name: Column, words: Mapping[str, tuple[str, float]] = CONCEPT_WORDS, otherwise: float = 0.6) -> Column:
+    """(concept, confidence) of a name's first run of letters, digits and _: of the first word of the table that it holds, else the run in PascalCase; null where there is none."""
+    t = F.lower(F.regexp_extract(name, r"(?U)(\w+)", 1))
+    pair = lambda c, x: F.struct(c.alias("concept"), F.lit(x).cast("double").alias("confidence"))
+    pascal = F.array_join(F.transform(F.split(t, "_"), title_case), "")
+    return F.when(t != "", F.coalesce(*(F.when(F.contains(t, F.lit(w)), pair(F.lit(c), x)) for w, (c, x) in words.items()), pair(pascal, otherwise)))
 
 
 def validate_names(names: DataFrame, dictionary: DataFrame, weak: float = 0.4, suggested: float = 0.5, valid: float = 0.7, top: int = 3) -> DataFrame:

@@ -44,6 +44,16 @@ FIXTURES: dict[str, str] = {
                CASE k % 4 WHEN 0 THEN map_from_arrays(array('source', 'confidence', 'domain', 'description'), array('feed', cast(cast(k % 130 as double) / 100 as string), 'sales', CASE WHEN k % 8 = 0 THEN NULL ELSE 'text' END))
                  WHEN 1 THEN map_from_arrays(array('Type', 'origin', 'reasoning'), array('x', 'crm', 'rule')) WHEN 2 THEN map_from_arrays(array('usage_count', 'usage_context', 'access_pattern', 'confidence'), array('3', 'report', 'daily', '0.7'))
                  ELSE map_from_arrays(array('note', ' '), array(repeat('n', cast(k % 3 * 600 as int)), 'b')) END AS properties FROM {nodes}""",
+    "noisy": """
+        SELECT id, CASE k % 23 WHEN 0 THEN 'However' WHEN 1 THEN ' Which ' WHEN 2 THEN 'ab' WHEN 3 THEN 'none' WHEN 4 THEN 'vendor' ELSE name END AS name,
+               CASE k % 19 WHEN 0 THEN array('ExtractedEntity') WHEN 1 THEN array('Entity', 'StructuralChunk') WHEN 2 THEN array('Message') WHEN 3 THEN array('Chunk', 'Document') WHEN 4 THEN array('InformationAsset') ELSE labels END AS labels,
+               CASE WHEN k % 31 = 0 THEN 'DATA' WHEN k % 37 = 0 THEN 'semantic' ELSE layer END AS layer, k % 29 = 0 AS is_structural, k % 43 = 0 AS exclude_from_ontology FROM {nodes}""",
+    "terms": """
+        SELECT id, CASE k % 12 WHEN 0 THEN 'CustAddr' WHEN 1 THEN 'client' WHEN 2 THEN ' Order  Qty-No#' WHEN 3 THEN 'dx' WHEN 4 THEN 'pk' WHEN 5 THEN 'diagnosis' WHEN 6 THEN 'itemDesc_' WHEN 7 THEN 'empMgr Dept' WHEN 8 THEN 'HTN' WHEN 9 THEN ' T2DM ' ELSE name END AS term,
+               CASE k % 9 WHEN 0 THEN 'medicine' WHEN 1 THEN 'Lab Result' WHEN 2 THEN ' person ' WHEN 3 THEN 'data-asset x2y' WHEN 4 THEN '' ELSE type END AS type FROM {nodes}""",
+    "named_edges": """
+        SELECT src, dst, CASE rel_type WHEN 'PART_OF' THEN 'belongsToDomain' WHEN 'BELONGS_TO' THEN CASE WHEN src LIKE 'supplier%' THEN 'represents' ELSE 'belongsToDomain' END WHEN 'PLACED' THEN 'relatedTo' WHEN 'CONTAINS' THEN CASE WHEN src LIKE '%7' THEN 'hasAttribute' ELSE 'derivedFrom' END ELSE 'SUPPLIES' END AS rel_type,
+               CASE rel_type WHEN 'PART_OF' THEN 'has_schema' WHEN 'BELONGS_TO' THEN 'owned_by' WHEN 'PLACED' THEN 'write_to_table' WHEN 'CONTAINS' THEN CASE WHEN src LIKE '%3' THEN 'has_column' ELSE 'contains' END ELSE 'previous' END AS metadata_type FROM {edges}""",
     "hierarchy": """
         SELECT 'p' || cast(p_partkey as string) AS child, 'p' || cast(p_partkey div 2 as string) AS parent FROM {part} WHERE p_partkey > 1
         UNION ALL SELECT 'c1', 'c2' UNION ALL SELECT 'c2', 'c3' UNION ALL SELECT 'c3', 'c1'""",
@@ -54,6 +64,8 @@ FIXTURES: dict[str, str] = {
         SELECT DISTINCT chunk_id, doc_id, seq, lower(m) AS entity, CASE length(m) % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Drug' WHEN 2 THEN 'Disease' ELSE 'Concept' END AS type,
                CASE WHEN length(m) % 2 = 0 THEN cast(0.6 as double) ELSE cast(0.75 as double) END AS confidence
         FROM (SELECT chunk_id, doc_id, seq, explode_all(text, '[A-Z][a-z][a-z][a-z][a-z][a-z][a-z]+') AS m FROM {chunks}) c""",
+    "fact_mentions": """
+        SELECT chunk_id, doc_id, seq, entity, CASE WHEN length(entity) % 5 = 0 THEN 'Medication' WHEN length(entity) % 11 = 0 THEN 'Cause' ELSE type END AS type, confidence FROM {mentions}""",
     "observations": """
         SELECT 'user:' || cast(user_id as string) || ':' || event_type AS id, user_id, CASE event_type WHEN 'click' THEN 'Symptom' WHEN 'view' THEN 'Medication' WHEN 'purchase' THEN 'Diagnosis' WHEN 'signup' THEN 'Preference' ELSE 'Other' END AS entity_type,
                min(ts) AS first_observed, max(ts) AS last_observed, count(*) AS observation_count, cast(sum(cast(value as decimal(18, 6))) as double) / count(*) / 499.7 AS confidence

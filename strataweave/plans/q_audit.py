@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import audit, rules, storage
 from .fixtures import query
 
-_STRUCT = "list_has_any(labels, ['Chunk', 'Document', 'DocumentQuality', 'Message', 'ConversationSession', 'InformationAsset'])"
-_NOISE = "(length(name) < 3 OR lower(trim(name)) IN ('the', 'and', 'or', 'of', 'in', 'to', 'a', 'an', 'is', 'it', 'for', 'on', 'with', 'as', 'by'))"
+_STRUCT = "list_has_any(labels, ['Chunk', 'StructuralChunk', 'Document', 'DocumentQuality', 'ExtractedEntity', 'ConversationSession', 'Message'])"
+_NOISE = "(length(name) < 3 OR lower(trim(name)) IN ('the', 'a', 'an', 'and', 'or', 'is', 'are', 'was', 'were', 'this', 'that', 'these', 'those', 'it', 'its', 'however', 'therefore', 'thus', 'hence', 'also', 'although', 'because', 'since', 'while', 'but', 'yet', 'so', 'for', 'nor', 'be', 'been', 'being', 'have', 'has', 'had', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'can', 'not', 'no', 'none', 'all', 'any', 'some', 'of', 'in', 'on', 'at', 'to', 'from', 'by', 'with', 'as', 'if', 'then', 'else', 'when', 'where', 'which', 'who'))"
 _ENDS = "ends AS (SELECT src AS id FROM {edges} UNION SELECT dst FROM {edges})"
 
 
@@ -30,11 +30,12 @@ def _(t):
     return audit.top_degrees(t.edges)
 
 
-@query("AGG-06", f"WITH {_ENDS}, c AS (SELECT layer, round(avg((e.id IS NULL)::INT), 6) AS orphan_rate, count(*) AS n FROM {{nodes}} n LEFT JOIN ends e ON n.id = e.id GROUP BY 1) SELECT layer, n, orphan_rate FROM c")
+@query("AGG-06", f"""WITH {_ENDS}, s AS (SELECT id, 'document:' || (k % 97)::VARCHAR AS source_id FROM {{nodes}} WHERE k % 5 <> 2), c AS (SELECT source_id, count(*) AS total_entities, count(*) FILTER (WHERE e.id IS NULL) AS orphan_count FROM s LEFT JOIN ends e ON s.id = e.id GROUP BY 1)
+  SELECT source_id, total_entities, orphan_count, round(orphan_count / total_entities, 6) AS orphan_rate FROM c ORDER BY orphan_count / total_entities DESC, source_id LIMIT 20""")
 def _(t):
-    rows = audit.connection_by(t.nodes, t.edges, F.col("layer"), "layer")
-    n = F.col("connected") + F.col("orphans")
-    return rows.select("layer", n.alias("n"), F.round(F.col("orphans") / n, 6).alias("orphan_rate"))
+    """Four of five nodes come from one of 97 documents."""
+    source = F.when(F.col("k") % 5 != 2, F.concat(F.lit("document:"), (F.col("k") % 97).cast("string")))
+    return audit.documents_with_orphans(t.nodes.withColumn("source_id", source), t.edges)
 
 
 _ADVICE = (("orphan_rate > 0.5", "link orphans"), ("orphan_rate > 0.001", "review orphans"), ("relationships < entities", "extract relations"), ("entities > 1000", "partition"))
@@ -56,9 +57,9 @@ def _(t):
 _MAPPED = "list_has_any(labels, ['Domain', 'Organization', 'DataEntity'])"
 
 
-@query("AGG-17", f"SELECT count(*) AS entities, count(*) FILTER (WHERE {_MAPPED}) AS mapped, round(avg(({_MAPPED})::INT), 6) AS coverage, count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE}) AS knowledge, count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE} AND {_MAPPED}) AS knowledge_mapped, round(avg(({_MAPPED})::INT) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE}), 6) AS knowledge_coverage FROM {{nodes}}")
+@query("AGG-17", f"SELECT count(*) AS entities, count(*) FILTER (WHERE {_MAPPED}) AS mapped, round(avg(({_MAPPED})::INT), 6) AS coverage, count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE}) AS knowledge, count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE} AND {_MAPPED}) AS knowledge_mapped, round(avg(({_MAPPED})::INT) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE}), 6) AS knowledge_coverage FROM {{noisy}}")
 def _(t):
-    return audit.coverage(t.nodes, ("Domain", "Organization", "DataEntity"))
+    return audit.coverage(t.noisy, ("Domain", "Organization", "DataEntity"))
 
 
 @query("AGG-18", """WITH s AS (SELECT labels[1] AS class, ((type IS NULL)::INT + (layer IS NULL)::INT + (status IS NULL)::INT) / 3.0 AS share FROM {nodes} WHERE labels[1] IN ('DataEntity', 'Organization'))
@@ -87,27 +88,57 @@ def _(t):
     return rows.agg(F.sum("n").alias("names"), F.sum("c").alias("canonical"), F.count_if(F.col("n") > 1).alias("duplicate_keys"))
 
 
-@query("AGG-23", f"SELECT round(0.6 * avg(({_MAPPED})::INT) + 0.4 * avg((status IS NOT NULL)::INT), 6) AS readiness FROM {{nodes}}")
+# Spelled out, apart from the operator's tables.
+_EXCHANGE = """x AS (SELECT avg(list_has_any(labels, ['Dataset', 'Property', 'Article', 'DefinedTerm', 'Organization', 'Person', 'MedicalCondition', 'Drug', 'MedicalSignOrSymptom', 'MedicalTherapy', 'MedicalTest', 'MedicalStudy', 'Gene', 'AnatomicalStructure', 'Protein', 'MedicalEntity', 'InfectiousAgent', 'Thing'])::INT) AS c,
+  avg(list_has_any(map_keys(properties), ['name', 'description', 'id', 'dateCreated', 'dateModified'])::INT) AS p, count(*) AS n FROM {entities})"""
+
+
+@query("AGG-23", f"WITH {_EXCHANGE} SELECT n AS entities, round(c, 6) AS schema_coverage, round(p, 6) AS property_coverage, round(c * 0.6::DOUBLE + p * 0.4::DOUBLE, 6) AS readiness, c >= 0.5 AS linked_data_ready, c >= 0.7 AS rdf_exportable FROM x")
 def _(t):
-    from ..operators.flags import has_label
+    return audit.interoperability(t.entities)
+
 
-    return t.nodes.agg(F.round(0.6 * F.avg(has_label(("Domain", "Organization", "DataEntity")).cast("int")) + 0.4 * F.avg(F.col("status").isNotNull().cast("int")), 6).alias("readiness"))
+_SEVEN = f"""{_EXCHANGE}, rules(rel_type, a, b) AS (VALUES ('hasAttribute', 'DataEntity', 'Attribute'), ('hasAttribute', 'Table', 'Column'), ('belongsToDomain', '*', 'Domain'), ('derivedFrom', 'InformationAsset', 'DataEntity'), ('represents', 'DataEntity', 'BusinessConcept'), ('relatedTo', '*', '*')),
+  links AS (SELECT e.src, e.rel_type, e.dst, bool_or(a IS NULL OR ((a = '*' OR coalesce(list_contains(p.labels, a), false)) AND (b = '*' OR coalesce(list_contains(q.labels, b), false)))) AS valid FROM {{named_edges}} e LEFT JOIN rules r ON r.rel_type = e.rel_type LEFT JOIN {{nodes}} p ON e.src = p.id LEFT JOIN {{nodes}} q ON e.dst = q.id GROUP BY ALL),
+  kinds AS (SELECT type, count(DISTINCT labels[1]) AS c FROM {{nodes}} WHERE type IS NOT NULL GROUP BY 1),
+  seven AS (SELECT (SELECT round(avg(({_MAPPED})::INT), 6) FROM {{noisy}}) AS coverage, (SELECT avg((type IS NOT NULL AND layer IS NOT NULL AND status IS NOT NULL)::INT) FROM {{nodes}} WHERE labels[1] IN ('DataEntity', 'Organization')) AS compliance,
+    (SELECT round(avg((list_has_any(a.labels, b.labels))::INT), 6) FROM {{edges}} JOIN {{nodes}} a ON src = a.id JOIN {{nodes}} b ON dst = b.id WHERE rel_type IN ('PART_OF', 'BELONGS_TO')) AS taxonomy, (SELECT round(avg((c = 1)::INT), 6) FROM kinds) AS consistency,
+    (SELECT avg((regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)*$'))::INT) FROM {{noisy}}) AS normalization, (SELECT avg(valid::INT) FROM links) AS cross_reference, (SELECT round(c * 0.6::DOUBLE + p * 0.4::DOUBLE, 6) FROM x) AS interoperability)"""
 
 
-@query("AGG-24", f"WITH m AS (SELECT avg(({_MAPPED})::INT) AS mapped, avg((type IS NOT NULL)::INT) AS typed, avg((layer IS NOT NULL)::INT) AS layered FROM {{nodes}}), s AS (SELECT round(mapped * 0.5 + typed * 0.3 + layered * 0.2, 6) AS score FROM m) SELECT score, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.75 THEN 'good' WHEN score >= 0.5 THEN 'acceptable' WHEN score >= 0.25 THEN 'poor' ELSE 'critical' END AS level FROM s")
+@query("AGG-24", f"""WITH {_SEVEN}, s AS (SELECT *, round(coverage * 0.25 + compliance * 0.2 + taxonomy * 0.15 + consistency * 0.15 + normalization * 0.1 + cross_reference * 0.1 + interoperability * 0.05, 6) AS score FROM seven)
+  SELECT score, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.5 THEN 'acceptable' WHEN score >= 0.3 THEN 'poor' ELSE 'critical' END AS level,
+    concat_ws(', ', CASE WHEN coverage < 0.5 THEN 'critical: map entity types' END, CASE WHEN coverage < 0.8 THEN 'map entity types' END, CASE WHEN compliance < 0.7 THEN 'add required properties' END, CASE WHEN taxonomy < 0.9 THEN 'fix the hierarchy' END, CASE WHEN consistency < 0.9 THEN 'resolve type mappings' END,
+      CASE WHEN normalization < 0.8 THEN 'normalize names' END, CASE WHEN cross_reference < 0.9 THEN 'fix cross-references' END, CASE WHEN interoperability < 0.5 THEN 'add schema.org types' END) AS advice FROM s""")
 def _(t):
-    from ..operators.flags import has_label
+    from ..functions.text import normalized_name
+    from ..operators.graph import cross_reference_validity, with_ends
 
-    metrics = t.nodes.agg(F.avg(has_label(("Domain", "Organization", "DataEntity")).cast("int")).alias("mapped"), F.avg(F.col("type").isNotNull().cast("int")).alias("typed"), F.avg(F.col("layer").isNotNull().cast("int")).alias("layered"))
-    return audit.weighted_score(metrics, {"mapped": 0.5, "typed": 0.3, "layered": 0.2}).select("score", "level")
+    ends, required = with_ends(t.edges.filter("rel_type in ('PART_OF', 'BELONGS_TO')"), t.nodes, "labels"), ("type", "layer", "status")
+    compliant = audit.compliance(t.nodes, {"DataEntity": required, "Organization": required})
+    parts = [
+        audit.coverage(t.noisy, ("Domain", "Organization", "DataEntity")).select("coverage"),
+        compliant.agg((F.sum("full") / F.sum(F.col("full") + F.col("partial") + F.col("violating"))).alias("compliance")),
+        ends.agg(F.round(F.avg(F.arrays_overlap("src_labels", "dst_labels").cast("int")), 6).alias("taxonomy")),
+        audit.mapping_consistency(t.nodes).select(F.col("share").alias("consistency")),
+        t.noisy.agg(F.avg((normalized_name(F.col("name"), {"": ""}, {"": ""}) == F.col("name")).cast("int")).alias("normalization")),
+        cross_reference_validity(t.named_edges, t.nodes).agg(F.avg(F.col("valid").cast("int")).alias("cross_reference")),
+        audit.interoperability(t.entities).select(F.col("readiness").alias("interoperability")),
+    ]
+    metrics = parts[0]
+    for part in parts[1:]:
+        metrics = metrics.crossJoin(part)  # one row each
+    scored = audit.ontology_score(metrics)
+    advice = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "advice"))), lambda a: a["advice"]), ", ")
+    return scored.select("score", "level").crossJoin(audit.ontology_advice(scored).agg(advice.alias("advice")))
 
 
-@query("AGG-25", f"SELECT count(*) FILTER (WHERE {_STRUCT}) AS structural, count(*) FILTER (WHERE NOT {_STRUCT} AND {_NOISE}) AS noise, round(100.0 * count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE} AND {_MAPPED}) / count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE}), 2)::DOUBLE AS adjusted FROM {{nodes}}")
+@query("AGG-25", f"SELECT count(*) FILTER (WHERE {_STRUCT}) AS structural, count(*) FILTER (WHERE NOT {_STRUCT} AND {_NOISE}) AS noise, round(100.0 * count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE} AND {_MAPPED}) / count(*) FILTER (WHERE NOT {_STRUCT} AND NOT {_NOISE}), 2)::DOUBLE AS adjusted FROM {{noisy}}")
 def _(t):
     from ..operators.flags import has_label, is_structural, noise_reason
 
     s, n, m = is_structural(), noise_reason().isNotNull(), has_label(("Domain", "Organization", "DataEntity"))
-    return t.nodes.agg(F.count_if(s).alias("structural"), F.count_if(~s & n).alias("noise"), F.round(100.0 * F.count_if(~s & ~n & m) / F.count_if(~s & ~n), 2).alias("adjusted"))
+    return t.noisy.agg(F.count_if(s).alias("structural"), F.count_if(~s & n).alias("noise"), F.round(100.0 * F.count_if(~s & ~n & m) / F.count_if(~s & ~n), 2).alias("adjusted"))
 
 
 @query("AGG-28", "WITH d AS (SELECT unnest(['PERCEPTION', 'SEMANTIC', 'REASONING', 'APPLICATION', 'unassigned']) AS layer), c AS (SELECT coalesce(layer, 'unassigned') AS layer, count(*) AS n FROM {nodes} GROUP BY 1) SELECT layer, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 2)::DOUBLE AS percent FROM d LEFT JOIN c USING (layer)")
@@ -115,12 +146,12 @@ def _(t):
     return audit.layer_counts(t.nodes)
 
 
-@query("AGG-27", f"SELECT layer, count(*) AS total, count(*) FILTER (WHERE {_STRUCT}) AS structural, count(*) FILTER (WHERE {_MAPPED}) AS mapped, round(100.0 * count(*) FILTER (WHERE {_MAPPED}) / count(*), 2)::DOUBLE AS percent FROM {{nodes}} GROUP BY layer")
+@query("AGG-27", f"SELECT layer, count(*) AS total, count(*) FILTER (WHERE {_STRUCT}) AS structural, count(*) FILTER (WHERE {_MAPPED}) AS mapped, round(100.0 * count(*) FILTER (WHERE {_MAPPED}) / count(*), 2)::DOUBLE AS percent FROM {{noisy}} GROUP BY layer")
 def _(t):
     from ..operators.flags import has_label, is_structural
 
     m = has_label(("Domain", "Organization", "DataEntity"))
-    return t.nodes.groupBy("layer").agg(F.count("*").alias("total"), F.count_if(is_structural()).alias("structural"), F.count_if(m).alias("mapped"), F.round(100.0 * F.count_if(m) / F.count("*"), 2).alias("percent"))
+    return t.noisy.groupBy("layer").agg(F.count("*").alias("total"), F.count_if(is_structural()).alias("structural"), F.count_if(m).alias("mapped"), F.round(100.0 * F.count_if(m) / F.count("*"), 2).alias("percent"))
 
 
 @query("AGG-26", "SELECT type, count(*) AS n FROM {nodes} WHERE type IS NOT NULL AND NOT list_has_any(labels, ['Organization', 'DataEntity', 'BusinessConcept', 'InformationAsset']) GROUP BY 1 UNION ALL SELECT '(mapped)', count(*) FROM {nodes} WHERE list_has_any(labels, ['Organization', 'DataEntity', 'BusinessConcept', 'InformationAsset'])")
@@ -215,9 +246,10 @@ def _(t):
     return t.nodes.filter("id not like 'order%'").groupBy(F.col("k").alias("id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names")).filter("n > 1")
 
 
-@query("AGG-66", "SELECT layer, count(*) AS rows, count(type) AS with_type, count(status) AS with_status FROM {nodes} GROUP BY layer")
+@query("AGG-66", "SELECT rel_type, count(*) AS rows, count(source) AS with_source, count(*) - count(source) AS without_source, count(confidence) AS with_confidence, count(*) - count(confidence) AS without_confidence FROM (SELECT rel_type, confidence, CASE WHEN dst LIKE '%1' THEN 'feed' END AS source FROM {edges}) e GROUP BY 1")
 def _(t):
-    return audit.completeness(t.nodes, "layer", ("type", "status"))
+    rows = t.edges.withColumn("source", F.when(F.col("dst").like("%1"), "feed"))
+    return audit.completeness(rows, "rel_type", ("source", "confidence"))
 
 
 @query("AGG-67", "SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, min(value) AS least, max(value) AS most FROM events")

@@ -6,15 +6,15 @@ from ..functions import text
 from ..operators import facts
 from .fixtures import query
 
-_FACTS = """facts AS (SELECT sha256(chunk_id || ':' || string_agg(entity, ':' ORDER BY entity)) AS fact_id, chunk_id, list(entity ORDER BY entity) AS entities, count(*) AS n, round(avg(confidence), 6) AS confidence,
-  CASE WHEN bool_or(drug) AND bool_or(disease) THEN 'treatment' WHEN bool_or(disease) AND bool_or(person) THEN 'diagnosis' ELSE 'association' END AS fact_type
-  FROM (SELECT chunk_id, entity, avg(confidence) AS confidence, bool_or(type = 'Drug') AS drug, bool_or(type = 'Disease') AS disease, bool_or(type = 'Person') AS person FROM {mentions} GROUP BY chunk_id, entity) m
-  GROUP BY chunk_id HAVING count(*) >= 2 AND round(avg(confidence), 9) >= 0.6),
+_FACTS = """facts AS (SELECT sha256(m.chunk_id || ':' || string_agg(entity, ':' ORDER BY entity)) AS fact_id, m.chunk_id, list(entity ORDER BY entity) AS entities, count(*) AS n, round(avg(confidence), 6) AS confidence,
+  CASE WHEN bool_or(medical) AND bool_or(medicine) THEN 'treatment' WHEN bool_or(causal) OR contains(lower(any_value(c.text)), 'causes') THEN 'causation' WHEN len(list_distinct(flatten(list(types)))) = 1 THEN 'hierarchical' ELSE 'association' END AS fact_type
+  FROM (SELECT chunk_id, entity, avg(confidence) AS confidence, bool_or(lower(type) IN ('drug', 'disease')) AS medical, bool_or(lower(type) IN ('treatment', 'medication')) AS medicine, bool_or(lower(type) IN ('cause', 'effect')) AS causal, list(DISTINCT type) AS types FROM {fact_mentions} GROUP BY chunk_id, entity) m
+  LEFT JOIN {chunks} c ON c.chunk_id = m.chunk_id GROUP BY m.chunk_id HAVING count(*) >= 2 AND round(avg(confidence), 9) >= 0.6),
   hyper AS (SELECT fact_id, confidence, unnest(entities) AS entity FROM facts)"""
 
 
 def _facts(t):
-    return facts.build(t.mentions)
+    return facts.build(t.fact_mentions, t.chunks)
 
 
 @query("JOIN-11", "SELECT chunk_id, string_agg(DISTINCT entity, ',' ORDER BY entity) AS entities, count(DISTINCT entity) AS n FROM {mentions} GROUP BY 1 HAVING count(DISTINCT entity) >= 2")
@@ -81,32 +81,47 @@ def _(t):
     return facts.document_entities(t.chunks, t.mentions)
 
 
-_NAME = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"""
-_EXPAND = f"array_to_string(list_transform(string_split({_NAME}, '_'), lambda w: CASE w WHEN 'widget' THEN 'product' WHEN 'item' THEN 'product' WHEN 'num' THEN 'number' WHEN 'id' THEN 'identifier' WHEN 'client' THEN 'customer' ELSE w END), '_')"
+# The word tables in full, apart from the operator's.
+_ABBREVIATED = "MAP {'id': 'identifier', 'pk': 'primary_key', 'fk': 'foreign_key', 'uq': 'unique', 'idx': 'index', 'seq': 'sequence', 'tbl': 'table', 'col': 'column', 'attr': 'attribute', 'rel': 'relationship', 'ref': 'reference', 'int': 'integer', 'bool': 'boolean', 'char': 'character', 'varchar': 'variable_character', 'txt': 'text', 'num': 'numeric', 'dec': 'decimal', 'dt': 'date', 'ts': 'timestamp', 'cust': 'customer', 'acct': 'account', 'addr': 'address', 'dept': 'department', 'emp': 'employee', 'mgr': 'manager', 'org': 'organization', 'prod': 'product', 'svc': 'service', 'qty': 'quantity', 'amt': 'amount', 'desc': 'description', 'cat': 'category', 'subcat': 'subcategory', 'pt': 'patient', 'dx': 'diagnosis', 'rx': 'prescription', 'tx': 'treatment', 'hx': 'history', 'sx': 'symptoms', 'med': 'medication', 'lab': 'laboratory', 'appt': 'appointment', 'hosp': 'hospital', 'prov': 'provider', 'ins': 'insurance', 'yr': 'year', 'mo': 'month', 'wk': 'week', 'dy': 'day', 'hr': 'hour', 'min': 'minute', 'sec': 'second'}"
+_SYNONYM = "MAP {'client': 'customer', 'buyer': 'customer', 'consumer': 'customer', 'patron': 'customer', 'member': 'user', 'subscriber': 'user', 'participant': 'user', 'purchase': 'order', 'sale': 'order', 'transaction': 'order', 'item': 'product', 'article': 'product', 'merchandise': 'product', 'good': 'product', 'diagnosis': 'medical_diagnosis', 'condition': 'medical_condition', 'therapy': 'treatment', 'procedure': 'medical_procedure', 'created': 'creation_date', 'modified': 'modification_date', 'updated': 'modification_date'}"
+_BASIC = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(term, '([a-z])([A-Z])', '\1_\2', 'g')), '\s+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g')"
+_FORMS = f"""words AS (SELECT {_ABBREVIATED} AS abbreviations, {_SYNONYM} AS synonyms), b AS (SELECT id, term, {_BASIC} AS basic FROM {{terms}}),
+  x AS (SELECT id, term, basic, array_to_string(list_transform(string_split(basic, '_'), lambda w: coalesce(abbreviations[w], w)), '_') AS expanded, synonyms FROM b, words),
+  forms AS (SELECT id, term, basic, expanded, coalesce(synonyms[expanded], array_to_string(list_transform(string_split(expanded, '_'), lambda w: coalesce(synonyms[w], w)), '_')) AS mapped FROM x)"""
 
 
-@query("SCL-01", f"SELECT id, {_EXPAND} AS key FROM {{nodes}}")
+@query("SCL-01", f"WITH {_FORMS} SELECT id, mapped AS key FROM forms")
 def _(t):
-    return t.nodes.select("id", text.normalized_name(F.col("name")).alias("key"))
+    return t.terms.select("id", text.normalized_name(F.col("term")).alias("key"))
 
 
-@query("SCL-02", r"""SELECT id, concat_ws(',', CASE WHEN lower(name) <> name THEN 'lowercase' END, CASE WHEN regexp_matches(name, '[\s-]') THEN 'separators' END, CASE WHEN regexp_matches(name, '[^A-Za-z0-9_\s-]') THEN 'specials' END,
-  CASE WHEN regexp_matches(lower(name), '(^|[\s_-])(cust|addr|qty|num|amt|desc|id)($|[\s_-])') THEN 'abbreviations' END, CASE WHEN regexp_matches(lower(name), '(^|[\s_-])(client|vendor|item|widget)($|[\s_-])') THEN 'synonyms' END) AS steps FROM {nodes}""")
+@query("SCL-02", f"""WITH {_FORMS} SELECT id, concat_ws(' | ', 'Original: ' || term, CASE WHEN basic <> term THEN 'Basic normalization: ' || basic END, CASE WHEN expanded <> basic THEN 'Abbreviation expansion: ' || expanded END,
+  CASE WHEN mapped <> expanded THEN 'Synonym mapping: ' || mapped END, 'Final: ' || mapped) AS steps FROM forms""")
 def _(t):
-    return t.nodes.select("id", F.array_join(text.trace(F.col("name")), ",").alias("steps"))
+    return t.terms.select("id", F.array_join(text.trace(F.col("term")), " | ").alias("steps"))
 
 
-@query("SCL-03", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' ')))), 6) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+@query("SCL-03", f"""WITH {_FORMS}, p AS (SELECT a.id AS id, a.mapped = b.mapped AS equivalent, string_split(a.mapped, '_') AS x, string_split(b.mapped, '_') AS y FROM forms a JOIN forms b ON a.id = 'part:' || split_part(b.id, ':', 2) AND b.id LIKE 'order:%' WHERE a.id LIKE 'part:%')
+  SELECT id, equivalent, CASE WHEN equivalent THEN 1.0 ELSE round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) END AS similarity FROM p""")
 def _(t):
-    a, b = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")), t.part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(text.word_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """Parts against the orders of their number."""
+    key = F.split_part("id", F.lit(":"), F.lit(2))
+    parts = t.terms.filter("id like 'part:%'").select("id", key.alias("k"), F.col("term").alias("x"))
+    rows = parts.join(t.terms.filter("id like 'order:%'").select(key.alias("k"), F.col("term").alias("y")), "k")
+    x, y = F.col("x"), F.col("y")
+    return rows.select("id", (text.normalized_name(x) == text.normalized_name(y)).alias("equivalent"), F.round(text.term_similarity(x, y), 6).alias("similarity"))
 
 
-@query("SCL-04", r"SELECT id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS name, coalesce(CASE lower(type) WHEN 'businessconcept' THEN 'business_concept' WHEN 'informationasset' THEN 'information_asset' ELSE lower(type) END, 'unknown') AS type FROM {nodes}")
+_WHOLE = "MAP {'htn': 'hypertension', 'dm': 'diabetes mellitus', 'dm2': 'diabetes mellitus type 2', 't2dm': 'diabetes mellitus type 2', 'chf': 'congestive heart failure', 'copd': 'chronic obstructive pulmonary disease', 'ckd': 'chronic kidney disease', 'cad': 'coronary artery disease', 'afib': 'atrial fibrillation', 'mi': 'myocardial infarction', 'bp': 'blood pressure', 'hr': 'heart rate', 'rx': 'prescription', 'mg': 'milligrams', 'mcg': 'micrograms'}"
+_ALIASES = "MAP {'medication': 'Medication', 'drug': 'Medication', 'medicine': 'Medication', 'diagnosis': 'Diagnosis', 'condition': 'Diagnosis', 'disease': 'Diagnosis', 'symptom': 'Symptom', 'allergy': 'Allergy', 'allergen': 'Allergy', 'patient': 'Patient', 'person': 'Patient', 'procedure': 'Procedure', 'treatment': 'Treatment', 'lab_result': 'LabResult', 'vital_sign': 'VitalSign', 'observation': 'Observation'}"
+
+
+@query("SCL-04", rf"""WITH c AS (SELECT id, trim(regexp_replace(lower(term), '\s+', ' ', 'g')) AS x, coalesce(type, '') AS type FROM {{terms}})
+  SELECT id, coalesce(({_WHOLE})[x], x) AS name, CASE WHEN type = '' THEN 'Entity' ELSE coalesce(({_ALIASES})[replace(lower(trim(type)), ' ', '_')], array_to_string(list_transform(regexp_extract_all(type, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')) END AS type FROM c""")
 def _(t):
-    from ..operators.rules import JOINED_TYPES
+    from ..operators.rules import ENTITY_TYPES, MEDICAL_ABBREVIATIONS
 
-    return t.nodes.select("id", F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), F.coalesce(text.word_map(F.lower("type"), JOINED_TYPES), F.lit("unknown")).alias("type"))
+    return t.terms.select("id", text.entity_name(F.col("term"), MEDICAL_ABBREVIATIONS).alias("name"), text.entity_type(F.col("type"), ENTITY_TYPES).alias("type"))
 
 
 _SNAKE = r"lower(regexp_replace(regexp_replace(trim(type), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[\s-]+', '_', 'g'))"

@@ -109,18 +109,12 @@ def _(t):
     return rows.groupBy("class").agg(F.round(F.sum(F.col("s") * F.col("w")) / F.sum("w"), 6).alias("confidence"))
 
 
-@query("AGG-38", """WITH p AS (SELECT lower(name) AS key, max(confidence) FILTER (WHERE layer = 'PERCEPTION') AS p, max(confidence) FILTER (WHERE layer = 'SEMANTIC') AS s, max(confidence) FILTER (WHERE layer = 'REASONING') AS r, max(confidence) FILTER (WHERE layer = 'APPLICATION') AS a FROM {nodes} GROUP BY 1)
-  SELECT key, greatest(p, s, r, a) - least(p, s, r, a) > 0.4 OR coalesce(p - s > 0.2, false) OR coalesce(p - r > 0.2, false) OR coalesce(p - a > 0.2, false) OR coalesce(s - r > 0.2, false) OR coalesce(s - a > 0.2, false) OR coalesce(r - a > 0.2, false) AS review FROM p WHERE coalesce(p, s, r, a) IS NOT NULL""")
+@query("AGG-38", """WITH p AS (SELECT lower(name) AS key, max(confidence) FILTER (WHERE layer = 'PERCEPTION') AS p, max(confidence) FILTER (WHERE layer = 'SEMANTIC') AS s, max(confidence) FILTER (WHERE layer = 'REASONING') AS r, max(confidence) FILTER (WHERE layer = 'APPLICATION') AS a
+    FROM (SELECT name, layer, CASE WHEN k % 7 = 0 THEN confidence / 2 ELSE confidence END AS confidence, k FROM {nodes}) n WHERE layer IS NOT NULL GROUP BY 1)
+  SELECT key, round(greatest(p, s, r, a) - least(p, s, r, a), 9) > 0.5 OR coalesce(round(p - s, 9) > 0.2, false) OR coalesce(round(p - r, 9) > 0.2, false) OR coalesce(round(p - a, 9) > 0.2, false) OR coalesce(round(s - r, 9) > 0.2, false) OR coalesce(round(s - a, 9) > 0.2, false) OR coalesce(round(r - a, 9) > 0.2, false) AS review FROM p""")
 def _(t):
-    from itertools import combinations
-
-    from ..operators.rules import LAYERS
-
-    rows = t.nodes.filter("layer is not null").groupBy(F.lower("name").alias("key")).pivot("layer", list(LAYERS)).agg(F.max("confidence"))
-    spread = F.greatest(*LAYERS) - F.least(*LAYERS) > 0.4
-    for low, high in combinations(LAYERS, 2):
-        spread = spread | F.coalesce(F.col(low) - F.col(high) > 0.2, F.lit(False))
-    return rows.select("key", spread.alias("review"))
+    rows = t.nodes.select(F.lower("name").alias("key"), "layer", F.when(F.col("k") % 7 == 0, F.col("confidence") / 2).otherwise(F.col("confidence")).alias("confidence"))
+    return feedback.review_needed(rows)
 
 
 @query("AGG-39", "SELECT operation_type, round(arg_min(confidence, (ts, operation_id)), 6) AS first, round(arg_max(confidence, (ts, operation_id)), 6) AS last, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(avg(confidence), 6) AS mean, CASE WHEN arg_max(confidence, (ts, operation_id)) > arg_min(confidence, (ts, operation_id)) THEN 'up' ELSE 'down' END AS trend FROM {predictions} GROUP BY 1")
@@ -191,9 +185,11 @@ def _(t):
     return t.predictions.select("operation_id", F.lag("confidence").over(w).alias("previous"), F.lead("confidence").over(w).isNull().alias("active"))
 
 
-@query("VAL-12", "SELECT entity, count(*) AS feedbacks, count(*) FILTER (WHERE rating <= 2) AS negatives FROM {feedback} GROUP BY entity HAVING count(*) >= 5 AND count(*) FILTER (WHERE rating <= 2) >= 3")
+@query("VAL-12", """WITH f AS (SELECT 'order:' || (1 + feedback_id % 600)::VARCHAR AS id, count(*) AS feedbacks, count(*) FILTER (WHERE rating <= 2) AS negatives FROM {feedback} GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (WHERE rating <= 2) >= 3)
+  SELECT id, CASE layer WHEN 'APPLICATION' THEN 'REASONING' WHEN 'REASONING' THEN 'SEMANTIC' ELSE 'PERCEPTION' END AS layer, layer AS previous_layer, CASE WHEN confidence > 0.3 THEN confidence - 0.2 ELSE 0.1 END AS confidence, feedbacks, negatives FROM {nodes} JOIN f USING (id) WHERE layer IN ('APPLICATION', 'REASONING', 'SEMANTIC')""")
 def _(t):
-    return feedback.demotions(t.feedback)
+    """Events as feedback on the first orders."""
+    return feedback.demotions(t.nodes, t.feedback.withColumn("entity", F.concat(F.lit("order:"), (1 + F.col("feedback_id") % 600).cast("string"))))
 
 
 @query("JOIN-32", """SELECT a.query_text, a.feedback_id AS chosen_id, b.feedback_id AS rejected_id, a.rating - b.rating AS gap FROM {feedback} a JOIN {feedback} b ON a.query_text = b.query_text AND a.rating - b.rating >= 2 AND a.response_text <> b.response_text

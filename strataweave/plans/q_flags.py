@@ -14,14 +14,15 @@ _MATCH = f"""rules(priority, step, kind, value, canonical_type, target_layer) AS
 _NORMAL = "CASE x {} ELSE x END".format(" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TYPE_ALIASES.items())).replace(" x ", " lower(trim(translate(type, '- ', '__'))) ").replace("ELSE x", "ELSE lower(trim(translate(type, '- ', '__')))")
 
 
-@query("FLT-01", f"SELECT unnest(labels) AS label, count(*) AS count FROM {{nodes}} WHERE {_STRUCTURAL} GROUP BY 1")
+@query("FLT-01", "SELECT label, count(*) AS count FROM (SELECT unnest(labels) AS label FROM {noisy}) x WHERE label IN ('Chunk', 'StructuralChunk', 'Document', 'DocumentQuality', 'ExtractedEntity', 'ConversationSession', 'Message') GROUP BY 1")
 def _(t):
-    return flags.structural_counts(t.nodes)
+    return flags.structural_counts(t.noisy)
 
 
-@query("FLT-02", f"SELECT id, CASE WHEN length(name) < 3 THEN 'short_name' WHEN lower(trim(name)) IN ({_IN(rules.STOPWORDS)}) THEN 'stopword' END AS noise_reason FROM {{nodes}} WHERE NOT {_STRUCTURAL}")
+@query("FLT-02", """SELECT id, CASE WHEN length(name) < 3 THEN 'short_name' WHEN lower(trim(name)) IN ('the', 'a', 'an', 'and', 'or', 'is', 'are', 'was', 'were', 'this', 'that', 'these', 'those', 'it', 'its', 'however', 'therefore', 'thus', 'hence', 'also', 'although', 'because', 'since', 'while', 'but', 'yet', 'so', 'for', 'nor', 'be', 'been', 'being', 'have', 'has', 'had', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'can', 'not', 'no', 'none', 'all', 'any', 'some', 'of', 'in', 'on', 'at', 'to', 'from', 'by', 'with', 'as', 'if', 'then', 'else', 'when', 'where', 'which', 'who') THEN 'stopword' END AS noise_reason
+  FROM {noisy} WHERE NOT list_has_any(labels, ['Chunk', 'StructuralChunk', 'Document', 'DocumentQuality', 'ExtractedEntity', 'ConversationSession', 'Message'])""")
 def _(t):
-    return flags.mark_noise(t.nodes).filter(~flags.is_structural()).select("id", "noise_reason")
+    return flags.mark_noise(t.noisy).filter(~flags.is_structural()).select("id", "noise_reason")
 
 
 @query("FLT-03", "SELECT id, NULL::VARCHAR AS status FROM {nodes}")
@@ -29,14 +30,14 @@ def _(t):
     return flags.reset_flags(t.nodes, "status").select("id", "status")
 
 
-@query("FLT-04", f"SELECT id, layer FROM {{nodes}} WHERE NOT {_STRUCTURAL} AND NOT (length(name) < 3 OR lower(trim(name)) IN ({_IN(rules.STOPWORDS)}))")
+@query("FLT-04", "SELECT id, layer FROM {noisy} WHERE NOT is_structural AND NOT exclude_from_ontology AND NOT list_has_any(labels, ['Chunk', 'StructuralChunk', 'Document', 'DocumentQuality', 'ConversationSession', 'Message'])")
 def _(t):
-    return flags.knowledge(t.nodes).select("id", "layer")
+    return flags.knowledge(t.noisy).select("id", "layer")
 
 
-@query("FLT-05", "SELECT id, layer FROM {nodes} WHERE layer IS NOT NULL AND layer NOT IN ('PERCEPTION', 'SEMANTIC', 'REASONING')")
+@query("FLT-05", "SELECT id, name, layer FROM {noisy} WHERE layer IS NOT NULL AND layer NOT IN ('PERCEPTION', 'SEMANTIC', 'REASONING', 'APPLICATION')")
 def _(t):
-    return flags.invalid_layers(t.nodes, rules.LAYERS[:3]).select("id", "layer")
+    return flags.invalid_layers(t.noisy).select("id", "name", "layer")
 
 
 @query("FLT-06", "SELECT id, CASE WHEN type IS NULL THEN 'type' ELSE 'layer' END AS missing FROM {nodes} WHERE type IS NULL OR layer IS NULL")

@@ -165,9 +165,10 @@ def _(t):
     return graph.node_detail(t.nodes, t.edges, "nation:5")
 
 
-@query("SET-06", "SELECT src, rel_type, dst FROM {edges} UNION ALL SELECT dst, CASE rel_type WHEN 'PART_OF' THEN 'HAS_PART' WHEN 'CONTAINS' THEN 'CONTAINED_IN' ELSE 'SUPPLIED_BY' END, src FROM {edges} WHERE rel_type IN ('PART_OF', 'CONTAINS', 'SUPPLIES')")
+@query("SET-06", """WITH e AS (SELECT src, metadata_type AS rel_type, dst FROM {named_edges}) SELECT src, rel_type, dst FROM e
+  UNION ALL SELECT dst, CASE rel_type WHEN 'has_schema' THEN 'belongs_to_schema' WHEN 'owned_by' THEN 'owner_of' WHEN 'write_to_table' THEN 'written_by' WHEN 'has_column' THEN 'belongs_to_table' WHEN 'previous' THEN 'next' END, src FROM e WHERE rel_type <> 'contains'""")
 def _(t):
-    return graph.inverse_edges(t.edges)
+    return graph.inverse_edges(t.named_edges.select("src", F.col("metadata_type").alias("rel_type"), "dst"))
 
 
 _TREE = "tree AS (SELECT child AS src, 'IS_A' AS rel_type, parent AS dst FROM {hierarchy})"
@@ -205,10 +206,11 @@ def _(t):
     return graph.subgraph_stats(t.nodes, t.edges, ["InformationAsset"])
 
 
-@query("AGG-22", f"""WITH rules(rel_type, a, b) AS (VALUES {', '.join(map(repr, rules.EDGE_RULES))}), ends AS (SELECT src, rel_type, dst, x.labels[1] AS p, y.labels[1] AS q FROM {{edges}} JOIN {{nodes}} x ON src = x.id JOIN {{nodes}} y ON dst = y.id)
-  SELECT src, rel_type, dst, bool_or(a IS NULL OR (a IN ('*', p) AND b IN ('*', q))) AS valid FROM ends LEFT JOIN rules USING (rel_type) GROUP BY ALL""")
+@query("AGG-22", """WITH rules(rel_type, a, b) AS (VALUES ('hasAttribute', 'DataEntity', 'Attribute'), ('hasAttribute', 'Table', 'Column'), ('belongsToDomain', '*', 'Domain'), ('derivedFrom', 'InformationAsset', 'DataEntity'), ('represents', 'DataEntity', 'BusinessConcept'), ('relatedTo', '*', '*')),
+  ends AS (SELECT src, rel_type, dst, coalesce(x.labels, []) AS p, coalesce(y.labels, []) AS q FROM {named_edges} LEFT JOIN {nodes} x ON src = x.id LEFT JOIN {nodes} y ON dst = y.id)
+  SELECT src, rel_type, dst, bool_or(a IS NULL OR ((a = '*' OR list_contains(p, a)) AND (b = '*' OR list_contains(q, b)))) AS valid FROM ends LEFT JOIN rules USING (rel_type) GROUP BY ALL""")
 def _(t):
-    return graph.cross_reference_validity(t.edges, t.nodes)
+    return graph.cross_reference_validity(t.named_edges, t.nodes)
 
 
 @query("AGG-50", "SELECT lower(trim(name)) AS key, count(DISTINCT type) AS types, count(*) AS n FROM {nodes} WHERE type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT type) >= 2")
