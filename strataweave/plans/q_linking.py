@@ -1,5 +1,8 @@
 """Linking, evidence, concept and extension operators as registered queries."""
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extension
@@ -180,18 +183,41 @@ def _(t):
     return t.customer.select("c_custkey", F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ").alias("row_text"))
 
 
-@query("SRC-10", "SELECT DISTINCT p_type AS entity, p_name AS attribute, 'VARCHAR' AS type FROM part")
+@query("SRC-10", """WITH d AS (SELECT DISTINCT p_brand AS brand, p_type AS type, p_name AS name FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY brand, type ORDER BY name) AS i FROM d), e AS (SELECT brand, type, row_number() OVER (PARTITION BY brand ORDER BY type) AS j FROM (SELECT DISTINCT brand, type FROM d) x)
+  SELECT brand AS domain, 'attribute' AS kind, type AS entity, name || CASE WHEN i = 1 THEN ' (Primary Key)' WHEN i % 3 = 0 THEN ' (Foreign Key)' ELSE '' END AS item FROM n UNION ALL SELECT brand, 'primary_key', type, name FROM n WHERE i = 1 UNION ALL SELECT brand, 'foreign_key', type, name FROM n WHERE i > 1 AND i % 3 = 0
+  UNION ALL SELECT brand, 'rule', type, type || ' must be unique' FROM e UNION ALL SELECT brand, 'description', type, 'All of ' || type FROM e UNION ALL SELECT brand, 'owner', 'Keeper of ' || brand, brand || ',' || 'sales' FROM (SELECT DISTINCT brand FROM d) x
+  UNION ALL SELECT a.brand, '1:N', a.type, b.type || ': a ' || a.type || ' has many' FROM e a JOIN e b ON a.brand = b.brand AND b.j = a.j + 1""")
 def _(t):
-    """Specs written from the part table, one file a task, and read back as attributes."""
+    """Specs of the part table, one a brand, written as Markdown and read back as tables."""
     import uuid
 
     from ..session import shared_dir
-    from ..sources.files import read_specs
+    from ..sources import specs
 
     path = f"{shared_dir(t.spark)}/specs-{uuid.uuid4().hex}"
-    blocks = t.part.groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- **"), F.col("p_name"), F.lit("** (VARCHAR)")))), "\n").alias("lines"))
-    blocks.select(F.concat(F.lit("# Domain: parts\n\n### Entity: "), "p_type", F.lit("\n\n"), "lines").alias("value")).write.text(path)
-    return read_specs(t.spark, path)["attributes"].select("entity", "attribute", "type").distinct()
+    rows = t.part.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name")).distinct()
+    i = F.row_number().over(Window.partitionBy("brand", "type").orderBy("name"))
+    item = F.concat(F.lit("  - "), "name", F.when(F.col("i") == 1, " (Primary Key)").when(F.col("i") % 3 == 0, " (Foreign Key)").otherwise(""))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", c.alias("x")))), lambda e: e["x"]), "\n")
+    blocks = rows.withColumn("i", i).groupBy("brand", "type").agg(joined(item).alias("items"))
+    blocks = blocks.withColumns({"i": F.row_number().over(Window.partitionBy("brand").orderBy("type")), "next": F.lead("type").over(Window.partitionBy("brand").orderBy("type"))})
+    entity = F.concat(F.lit("### "), "type", F.lit("\n- **Description**: All of "), "type", F.lit("\n- **Key Attributes**:\n"), "items", F.lit("\n- **Business Rules**:\n  - "), "type", F.lit(" must be unique\n"))
+    link = F.when(F.col("next").isNotNull(), F.concat(F.lit("- **"), "type", F.lit("** → **"), "next", F.lit("** (1:N)\n  - a "), "type", F.lit(" has many\n")))
+    whole = blocks.groupBy("brand").agg(joined(entity).alias("entities"), joined(F.coalesce(link, F.lit(""))).alias("links"))
+    text = F.concat(
+        F.lit("# Agreement\n\n## Document Information\n- **Domain**: "), "brand", F.lit("\n- **Stakeholders**: "), "brand", F.lit(", sales\n- **Data Owner**: Keeper of "), "brand",
+        F.lit("\n\n## Data Entities\n\n"), "entities", F.lit("\n## Relationships\n\n### All\n"), "links", F.lit("\n## Data Quality Requirements\n\n### Completeness\n- none\n"))
+    whole.select(text.alias("value"), F.col("brand").alias("b")).repartition(8, "b").write.partitionBy("b").text(path)
+    made = specs.read(t.spark, f"{path}/*")
+    names = made["domains"].select("file", "domain")
+    row = lambda df, kind, entity, item: df.join(names, "file").select("domain", F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.col(entity).alias("entity"), item.alias("item"))
+    parts = [
+        row(made["attributes"], "attribute", "entity", F.col("attribute")), row(made["entities"], "primary_key", "entity", F.col("primary_key")),
+        row(made["entities"].withColumn("key", F.explode("foreign_keys")), "foreign_key", "entity", F.col("key")), row(made["rules"], "rule", "entity", F.col("rule")), row(made["entities"], "description", "entity", F.col("description")),
+        made["domains"].select("domain", F.lit("owner").alias("kind"), F.col("data_owner").alias("entity"), F.array_join("stakeholders", ",").alias("item")),
+        row(made["relationships"], F.col("type"), "source", F.concat("target", F.lit(": "), "description")),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 _CHECKS = [("typed", "type is not null", "error", True), ("sure", "confidence >= 0.7", "warning", True), ("off", "false", "error", False)]

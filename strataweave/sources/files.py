@@ -1,4 +1,4 @@
-"""Sources and sinks: directory scans, Markdown specs, exports, the audit log, staged batches."""
+"""Sources and sinks: directory scans, exports, the audit log."""
 
 from __future__ import annotations
 
@@ -15,22 +15,6 @@ def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", category.alias("category"), F.col("length").alias("size"))
 
 
-def read_specs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Markdown specs as tables: domains, entities, attributes, relationships.
-
-    ``# Domain: x``, ``### Entity: y``, ``- **attribute** (type)``, ``- a -> b : name``. One row a file is parsed with column expressions.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    domains = files.select("file", F.regexp_extract("text", r"(?m)^# Domain:\s*(.+)$", 1).alias("domain")).filter("domain <> ''")
-    blocks = files.select("file", F.explode(F.slice(F.split("text", r"(?m)^### Entity:\s*"), 2, 1 << 30)).alias("block"))
-    entities = blocks.select("file", F.trim(F.substring_index("block", "\n", 1)).alias("entity"), "block")
-    pattern = r"(?m)^- \*\*([^*]+)\*\*\s*\(([^)]+)\)"
-    names = entities.select("file", "entity", F.explode(F.arrays_zip(F.regexp_extract_all("block", F.lit(pattern), 1).alias("attribute"), F.regexp_extract_all("block", F.lit(pattern), 2).alias("type"))).alias("a"))
-    link = r"(?m)^- (\w+) -> (\w+)\s*:\s*(\w+)"
-    links = files.select("file", F.explode(F.arrays_zip(*(F.regexp_extract_all("text", F.lit(link), i).alias(n) for i, n in ((1, "source"), (2, "target"), (3, "name"))))).alias("r"))
-    return {"domains": domains, "entities": entities.select("file", "entity"), "attributes": names.select("file", "entity", "a.*"), "relationships": links.select("file", "r.*")}
-
-
 def export(rows: DataFrame, path: str, kind: str = "json") -> None:
     """JSON lines, or CSV with nested values as JSON and columns by name."""
     if kind == "json":
