@@ -196,12 +196,13 @@ def scan(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     own: the licence its text states, with its cosine as score (0.0 without one); inherited_from: the nearest ancestor directory with a licence file, for files without
     an own licence; licence: own or inherited. Texts are scanned once, whole, whatever their length. Null and empty texts and texts without a statement have none. A null path inherits
     nothing. In one directory the licence file with the highest cosine counts, then the least path. Repeated rows give repeated
-    results. An empty table gives an empty result. Columns named like the results are replaced.
+    results. An empty table gives an empty result. Columns named like the results, in any case, are replaced; all others are kept, whatever their names.
     """
     added = ["own", "score", "licence_file", "inherited_from", "licence"]
-    files = files.drop(*added)
-    carried = [c for c in files.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in carried)
+    carried = [c for c in files.columns if c.lower() not in ("text", *added)]
+    kept = [f"kept_{i}" for i in range(len(carried))]  # while it works, so that no name of a column can clash
+    named = [F.col("`" + c.replace("`", "``") + "`") for c in carried]
+    kinds = ", ".join(f"{k} {files.schema[c].dataType.simpleString()}" for k, c in zip(kept, carried, strict=True))
 
     def task(batches):
         matcher = Matcher(settings)
@@ -209,25 +210,26 @@ def scan(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
             for batch in slices(whole, "text"):
                 found = [matcher.scan(t or "") for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(c) for c in carried), pa.array([f[0] for f in found], pa.string()),
+                    *(batch.column(c) for c in (*kept, "path")), pa.array([f[0] for f in found], pa.string()),
                     pa.array(np.array([f[1] for f in found], float)), pa.array([f[2] for f in found], pa.bool_()),
-                ], [*carried, "own", "score", "licence_file"])
+                ], [*kept, "path", "own", "score", "licence_file"])
 
-    scanned = files.select(*carried, "text").mapInArrow(task, f"{kinds}, own string, score double, licence_file boolean")
-    scanned = scanned.withColumn("_dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
+    rows = files.select(*(c.alias(k) for k, c in zip(kept, named, strict=True)), F.col("path").alias("path"), F.col("text").alias("text"))
+    scanned = rows.mapInArrow(task, ", ".join(filter(None, [kinds, "path string, own string, score double, licence_file boolean"])))
+    scanned = scanned.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
     # Written without the texts: it is read for the licence files, the directories and the result.
-    return _inherited(materialize(scanned, "licence-scan")).select(*carried, *added)
+    return _inherited(materialize(scanned, "licence-scan")).select(*(F.col(k).alias(c) for k, c in zip(kept, carried, strict=True)), *added)
 
 
 def _inherited(scanned: DataFrame) -> DataFrame:
     best = F.min_by("own", F.struct(-F.col("score"), "path"))
-    granted = scanned.filter("licence_file and _dir is not null").groupBy(F.col("_dir").alias("_above")).agg(best.alias("_granted"))
+    granted = scanned.filter("licence_file and dir is not null").groupBy(F.col("dir").alias("above")).agg(best.alias("granted"))
     # Each directory once, with all its ancestors: rows follow directories, not files.
-    parts = F.split("_dir", "/")
+    parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("at")))
-    dirs = scanned.filter("_dir is not null").select("_dir").distinct()
-    near = dirs.select("_dir", F.explode(above).alias("a")).select("_dir", "a.depth", F.col("a.at").alias("_above")).join(granted, "_above")
-    near = near.groupBy("_dir").agg(F.max_by(F.struct("_above", "_granted"), "depth").alias("_near")).withColumnRenamed("_dir", "_own_dir")
-    joined = scanned.join(near, F.col("_dir") == F.col("_own_dir"), "left")
+    dirs = scanned.filter("dir is not null").select("dir").distinct()
+    near = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.depth", F.col("a.at").alias("above")).join(granted, "above")
+    near = near.groupBy("dir").agg(F.max_by(F.struct("above", "granted"), "depth").alias("near")).withColumnRenamed("dir", "own_dir")
+    joined = scanned.join(near, F.col("dir") == F.col("own_dir"), "left")
     alone = F.col("own").isNull()
-    return joined.withColumns({"inherited_from": F.when(alone, F.col("_near._above")), "licence": F.coalesce("own", F.col("_near._granted"))})
+    return joined.withColumns({"inherited_from": F.when(alone, F.col("near.above")), "licence": F.coalesce("own", F.col("near.granted"))})
