@@ -99,8 +99,8 @@ def _blocks(rows: DataFrame, block: int, kind: str) -> DataFrame:
             "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [matrix(group["embedding"].tolist(), kind).tobytes()],
         })
 
-    # Rows are dealt by place, not by id, so that one id on most rows is spread too.
-    salted = rows.join(sizes, ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "parts"))
+    # By what a row holds, so that a row that is computed again goes to the same block; rows are distinct, so no id or vector gathers in one.
+    salted = rows.join(sizes, ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "embedding"), "parts"))
     return salted.groupBy("tree", "leaf", "salt").applyInPandas(pack, "tree int, leaf int, ids binary, vectors binary")
 
 
@@ -126,10 +126,10 @@ def _best(q_ids, q, ids, x, k: int):
 def nearest(table: DataFrame, queries: Column, k: int = 5, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for the rows that ``queries`` selects among all other ids.
 
-    Ties go to the smaller id; repeated ids count once, by their best row. Rows that ``vectors.usable`` leaves out take no part, and vectors
+    Ties go to the smaller id; equal rows are one, and repeated ids count once, by their best row. Rows that ``vectors.usable`` leaves out take no part, and vectors
     of different lengths are not compared. An empty table gives an empty result. Further columns are ignored.
     """
-    parts = [_nearest(rows, queries, k, settings, element_type(table)) for rows in by_length(usable(table))]
+    parts = [_nearest(rows, queries, k, settings, element_type(table)) for rows in by_length(usable(table).distinct())]
     merged = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,9 +13,10 @@ import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strataweave.llm import genetic_packing, phrases, whitening
+from strataweave.llm import genetic_packing, license_scan, phrases, rp_forest, whitening
 from strataweave.llm.queries import oracle_sql, queries
 
 
@@ -215,3 +216,32 @@ def test_phrase_query_against_sql(spark):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
     assert sorted(map(tuple, queries()["op13_phrases"](spark, SMALL).collect())) == sorted(duck.execute(oracle_sql()["op13_phrases"]).fetchall())
+
+
+def test_licences_with_columns_of_any_name(spark):
+    names = ["_near", "_dir", "_above", "_granted", "_own_dir", "near", "dir", "above", "granted", "own_dir", "kept_0", "kept_1", "a.b", "Score", "OWN"]
+    mit = 'Licensed under the MIT License.'
+    rows = [("r/LICENSE", mit, *names), ("r/a/x.txt", "code", *names), (None, None, *names)]
+    table = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ["path", "text", *names]))
+    plain = license_scan.scan(table.select("path", "text")).orderBy("path").collect()
+    got = license_scan.scan(table)
+    kept = ["path", *names[:-2]]
+    assert got.columns == [*kept, "own", "score", "licence_file", "inherited_from", "licence"]
+    found = got.orderBy("path").collect()
+    assert [tuple(r)[len(kept):] for r in found] == [tuple(r)[1:] for r in plain] and all(tuple(r)[1 : len(kept)] == tuple(names[:-2]) for r in found)
+
+
+def test_a_third_of_vectors_alike(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(500, [1.0] * 8)] * 60 + [(600 + i, [1.0] * 8) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    s = rp_forest.Settings(visit=1.0, block=16)
+    got = {}
+    for r in rp_forest.nearest(table, F.col("vec_id") % 50 == 0, settings=s).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    known = dict(rows)
+    assert set(got) == {i for i in known if i % 50 == 0}
+    for q, found in got.items():
+        x = np.array(known[q])
+        best = sorted((-round(float(np.dot(x, v) / np.linalg.norm(x) / np.linalg.norm(v)), 9), i) for i, v in known.items() if i != q)[:5]
+        assert sorted(found) == [(k, i, -score) for k, (score, i) in enumerate(best, 1)]
