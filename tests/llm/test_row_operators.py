@@ -398,5 +398,5 @@ def test_pipeline_of_empty_tables(spark, odd_documents):
 
 def test_registered():
     names = set(queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names}
     assert set(oracle_sql()) <= names
