@@ -51,6 +51,9 @@ FIXTURES: dict[str, str] = {
     "terms": """
         SELECT id, CASE k % 12 WHEN 0 THEN 'CustAddr' WHEN 1 THEN 'client' WHEN 2 THEN ' Order  Qty-No#' WHEN 3 THEN 'dx' WHEN 4 THEN 'pk' WHEN 5 THEN 'diagnosis' WHEN 6 THEN 'itemDesc_' WHEN 7 THEN 'empMgr Dept' WHEN 8 THEN 'HTN' WHEN 9 THEN ' T2DM ' ELSE name END AS term,
                CASE k % 9 WHEN 0 THEN 'medicine' WHEN 1 THEN 'Lab Result' WHEN 2 THEN ' person ' WHEN 3 THEN 'data-asset x2y' WHEN 4 THEN '' ELSE type END AS type FROM {nodes}""",
+    "typed": """
+        SELECT id, CASE k % 29 WHEN 0 THEN 'Medical Condition' WHEN 1 THEN 'tables' WHEN 2 THEN 'data-product' WHEN 3 THEN ' _Lab  Test_' WHEN 4 THEN 'Drug_Entity' WHEN 5 THEN 'therapies' WHEN 6 THEN 'Biomarkers' WHEN 7 THEN 'cell type'
+                 WHEN 8 THEN 'Lineage' WHEN 9 THEN '!!' WHEN 10 THEN 'workflow_concept' WHEN 11 THEN 'KPIs' WHEN 12 THEN 'gene_type' WHEN 13 THEN 'Data Stewards' WHEN 14 THEN '3d-model' WHEN 15 THEN '' ELSE type END AS type, layer, k FROM {nodes}""",
     "named_edges": """
         SELECT src, dst, CASE rel_type WHEN 'PART_OF' THEN 'belongsToDomain' WHEN 'BELONGS_TO' THEN CASE WHEN src LIKE 'supplier%' THEN 'represents' ELSE 'belongsToDomain' END WHEN 'PLACED' THEN 'relatedTo' WHEN 'CONTAINS' THEN CASE WHEN src LIKE '%7' THEN 'hasAttribute' ELSE 'derivedFrom' END ELSE 'SUPPLIES' END AS rel_type,
                CASE rel_type WHEN 'PART_OF' THEN 'has_schema' WHEN 'BELONGS_TO' THEN 'owned_by' WHEN 'PLACED' THEN 'write_to_table' WHEN 'CONTAINS' THEN CASE WHEN src LIKE '%3' THEN 'has_column' ELSE 'contains' END ELSE 'previous' END AS metadata_type FROM {edges}""",

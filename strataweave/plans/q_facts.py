@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import facts
+from ..operators import facts, ontology
 from .fixtures import query
 
 _FACTS = """facts AS (SELECT sha256(m.chunk_id || ':' || string_agg(entity, ':' ORDER BY entity)) AS fact_id, m.chunk_id, list(entity ORDER BY entity) AS entities, count(*) AS n, round(avg(confidence), 6) AS confidence,
@@ -124,31 +124,42 @@ def _(t):
     return t.terms.select("id", text.entity_name(F.col("term"), MEDICAL_ABBREVIATIONS).alias("name"), text.entity_type(F.col("type"), ENTITY_TYPES).alias("type"))
 
 
-_SNAKE = r"lower(regexp_replace(regexp_replace(trim(type), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[\s-]+', '_', 'g'))"
+_REGISTERED = """reg(canonical, class, type_layer, path, schema_type, area) AS (VALUES
+  ('table', 'DataEntity', 'PERCEPTION', 'data_entity/table', 'Dataset', 'data_architecture'), ('data_product', 'InformationAsset', 'SEMANTIC', 'information_asset/data_product', 'Dataset', 'data_architecture'),
+  ('domain', 'Domain', 'SEMANTIC', 'domain', 'Organization', 'data_architecture'), ('person', 'Domain', 'SEMANTIC', 'stakeholder/person', 'Person', 'data_architecture'),
+  ('business_concept', 'BusinessConcept', 'REASONING', 'business_concept', 'DefinedTerm', 'data_architecture'), ('workflow', 'BusinessConcept', 'REASONING', 'business_concept/workflow', NULL, 'data_architecture'),
+  ('kpi', 'DataQualityScore', 'APPLICATION', 'quality_score/kpi', NULL, 'data_architecture'), ('disease', 'Disease', 'SEMANTIC', 'clinical_concept/disease', NULL, 'medical'), ('drug', 'Drug', 'SEMANTIC', 'therapeutic_agent/drug', NULL, 'medical'),
+  ('gene', 'Gene', 'REASONING', 'biological_mechanism/gene', NULL, 'medical'), ('organization', 'Organization', 'APPLICATION', 'clinical_knowledge/organization', NULL, 'medical'),
+  ('biomarker', 'Biomarker', 'PERCEPTION', 'clinical_observation/biomarker', NULL, 'medical'), ('cell_type', 'CellType', 'SEMANTIC', 'biological_entity/cell_type', NULL, 'medical')),
+  spelling(form, canonical) AS (SELECT canonical, canonical FROM reg UNION ALL VALUES ('medical_condition', 'disease'), ('tables', 'table'), ('data_steward', 'person'), ('biomarkers', 'biomarker'), ('kpis', 'kpi'), ('businessconcept', 'business_concept'), ('dataentity', 'table'))"""
+_RESOLVED = rf"""{_REGISTERED}, spelt AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(type, '')), '[- ]', '_', 'g'), '[^\pL\pN_]', '', 'g'), '_+', '_', 'g'), '_') AS form FROM {{typed}}),
+  resolved AS (SELECT t.*, CASE WHEN t.form = '' THEN 'unknown' ELSE coalesce(a.canonical, b.canonical, c.canonical, t.form) END AS canonical, coalesce(a.canonical, b.canonical, c.canonical) IS NOT NULL AS known FROM spelt t LEFT JOIN spelling a ON a.form = t.form
+    LEFT JOIN spelling b ON t.form LIKE '%s' AND length(t.form) > 2 AND b.form = left(t.form, -1) LEFT JOIN spelling c ON regexp_matches(t.form, '_(entity|concept|type)$') AND c.form = regexp_replace(t.form, '_(entity|concept|type)$', ''))"""
 
 
-@query("SCL-05", f"SELECT DISTINCT type, CASE WHEN {_SNAKE} IN ('domain', 'business_concept', 'organization', 'information_asset', 'data_entity') THEN {_SNAKE} END AS resolved FROM {{nodes}} WHERE type IS NOT NULL")
+@query("SCL-05", f"WITH {_RESOLVED} SELECT DISTINCT type, canonical, known AS is_known FROM resolved WHERE type IS NOT NULL")
 def _(t):
-    from ..operators.rules import JOINED_TYPES, KNOWN_TYPES
+    return ontology.resolved(t.typed.filter("type is not null").select("type").distinct())
 
-    return t.nodes.filter("type is not null").select("type", text.resolved_type(F.col("type"), JOINED_TYPES, list(KNOWN_TYPES)).alias("resolved")).distinct()
 
-
-@query("AGG-57", f"SELECT type, count(*) AS n FROM {{nodes}} WHERE type IS NOT NULL AND {_SNAKE} NOT IN ('domain', 'business_concept', 'organization', 'information_asset', 'data_entity') GROUP BY 1")
+@query("AGG-57", f"WITH {_RESOLVED} SELECT type, count(*) AS n FROM resolved WHERE type IS NOT NULL AND NOT known GROUP BY 1")
 def _(t):
-    from ..operators.rules import JOINED_TYPES, KNOWN_TYPES
-
-    rows = t.nodes.filter("type is not null").withColumn("resolved", text.resolved_type(F.col("type"), JOINED_TYPES, list(KNOWN_TYPES)))
-    return rows.filter("resolved is null").groupBy("type").agg(F.count("*").alias("n"))
+    return ontology.unknown_types(t.typed)
 
 
-@query("SCL-06", "SELECT id, CASE type WHEN 'Domain' THEN 'Domain' WHEN 'BusinessConcept' THEN 'BusinessConcept' WHEN 'Organization' THEN 'Organization' WHEN 'InformationAsset' THEN 'InformationAsset' END AS class, CASE type WHEN 'Domain' THEN 'SEMANTIC' WHEN 'BusinessConcept' THEN 'SEMANTIC' WHEN 'Organization' THEN 'PERCEPTION' WHEN 'InformationAsset' THEN 'APPLICATION' END AS target FROM {nodes}")
+@query("SCL-06", rf"""WITH {_RESOLVED}, m AS (SELECT id, type, layer, r.canonical, known, coalesce(class, CASE WHEN lower(type) = 'lineage' THEN 'transformsInto' END) AS class, type_layer, path, schema_type, area,
+    regexp_replace(coalesce(type, ''), '[ -]', '', 'g') AS own FROM resolved r LEFT JOIN reg ON reg.canonical = r.canonical), n AS (SELECT *, upper(own[1]) || own[2:] AS label FROM m)
+  SELECT id, concat_ws(',', class, CASE WHEN schema_type <> class THEN schema_type END, CASE WHEN label <> '' AND label IS DISTINCT FROM class AND label IS DISTINCT FROM schema_type THEN label END) AS labels,
+    canonical, known AS mapped, coalesce(area, 'unknown') AS domain, coalesce(layer, type_layer) AS layer, coalesce(path, '') AS path FROM n""")
 def _(t):
-    from ..operators.rules import JOINED_TYPES, KNOWN_TYPES
+    return ontology.mapped(t.typed).select(
+        "id", F.array_join("ontology_labels", ",").alias("labels"), "canonical", F.col("ontology_mapped").alias("mapped"), F.col("ontology_domain").alias("domain"), "layer", F.array_join("hierarchy", "/").alias("path"))
 
-    table = F.broadcast(t.spark.createDataFrame([(k, *v) for k, v in KNOWN_TYPES.items()], "resolved string, class string, target string"))
-    rows = t.nodes.withColumn("resolved", text.resolved_type(F.col("type"), JOINED_TYPES, list(KNOWN_TYPES)))
-    return rows.join(table, "resolved", "left").select("id", "class", "target")
+
+@query("SCL-06-rollup", f"WITH {_RESOLVED} SELECT ancestor, count(*) AS n FROM (SELECT unnest(string_split(path, '/')) AS ancestor FROM resolved r JOIN reg ON reg.canonical = r.canonical WHERE known) GROUP BY 1")
+def _(t):
+    """Entities under each type of the hierarchy."""
+    return ontology.by_ancestor(t.typed)
 
 
 @query("SCL-07", "SELECT id, replace(lower(trim(name)), ' ', '') AS key, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS label FROM {nodes}")

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import training
-from ..operators import catalog, documents, linking, rules
+from ..operators import catalog, documents, linking, ontology
 from ..session import shared_dir
 from ..sources import files
 from .fixtures import query
@@ -85,7 +85,7 @@ def _(t):
     return rows.select("feedback_id", F.explode(lines).alias("x")).select("feedback_id", "x.*")
 
 
-_CANONICAL = sorted({r[1] for r in rules.CANONICAL_TYPES} | set(rules.KNOWN_TYPES))
+_CANONICAL = sorted(r[0] for r in (*ontology.DATA_TYPES, *ontology.MEDICAL_TYPES))
 _CANON = ", ".join(f"('{x}')" for x in _CANONICAL)
 
 
