@@ -82,6 +82,13 @@ def entity_type(kind: Column, aliases: Mapping[str, str]) -> Column:
     return F.when(F.coalesce(kind, F.lit("")) == "", "Entity").otherwise(F.coalesce(known, title_case(kind)))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name with underscores before it until no column has it, upper and lower case alike."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def title_case(x: Column) -> Column:
     """A capital after anything that is no letter, all else lower case."""
     return F.array_join(

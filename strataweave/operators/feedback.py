@@ -50,14 +50,16 @@ def calibration_quality(predictions: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def drift(predictions: DataFrame, ref: str, days: int = 7, least: int = 10, limit: float = 0.15) -> DataFrame:
-    """One row: drops of success and of high-confidence success in the last days against before; null below ``least`` rows."""
+    """One row: 0.6 of the fall of success and 0.4 of the fall of success above a confidence of 0.8 in the last days against before; null below ``least`` rows.
+
+    Rises count as no fall, and a side without confident rows has a success of 0.
+    """
     recent = F.col("ts") >= F.lit(ref).cast("timestamp") - F.expr(f"interval {days} days")
-    ok, sure = F.col("success").cast("int"), F.col("confidence") >= 0.8
+    ok, sure = F.col("success").cast("int"), F.col("confidence") > 0.8
+    rate = lambda side, more=F.lit(True): F.coalesce(F.avg(F.when(side & more, ok)), F.lit(0.0))
     one = predictions.agg(
-        F.count_if(recent).alias("recent"), F.count_if(~recent).alias("before"),
-        (F.avg(F.when(~recent, ok)) - F.avg(F.when(recent, ok))).alias("d1"), (F.avg(F.when(~recent & sure, ok)) - F.avg(F.when(recent & sure, ok))).alias("d2"),
-    )
-    score = F.when((F.col("recent") >= least) & (F.col("before") >= least), F.round(0.6 * F.abs("d1") + 0.4 * F.abs(F.coalesce("d2", F.lit(0.0))), 6))
+        F.count_if(recent).alias("recent"), F.count_if(~recent).alias("before"), F.greatest(F.lit(0.0), rate(~recent) - rate(recent)).alias("d1"), F.greatest(F.lit(0.0), rate(~recent, sure) - rate(recent, sure)).alias("d2"))
+    score = F.when((F.col("recent") >= least) & (F.col("before") >= least), F.round(0.6 * F.col("d1") + 0.4 * F.col("d2"), 6))
     return one.select("recent", "before", score.alias("score")).withColumn("drifted", F.col("score") > limit)
 
 

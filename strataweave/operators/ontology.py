@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import free_name
+
 # Type, class, layer, least confidence, path from the root type, schema.org type.
 DATA_TYPES = (
     ("table", "DataEntity", "PERCEPTION", 0.7, ("data_entity", "table"), "Dataset"),
@@ -106,7 +108,7 @@ def resolved(rows: DataFrame, kind: str = "type") -> DataFrame:
     rows = rows.drop("canonical", "is_known")
     form = spelled(F.col(kind))
     forms = [form, F.when(form.endswith("s") & (F.length(form) > 2), F.regexp_replace(form, "s$", "")), F.when(form.rlike("_(entity|concept|type)$"), F.regexp_replace(form, "_(entity|concept|type)$", ""))]
-    fresh = lambda name: _free(name, rows.columns)
+    fresh = lambda name: free_name(name, rows.columns)
     keys, found = [fresh(f"form_{i}") for i in range(3)], [fresh(f"found_{i}") for i in range(3)]
     out = rows.withColumns(dict(zip(keys, forms)))
     for key, name in zip(keys, found):
@@ -115,13 +117,6 @@ def resolved(rows: DataFrame, kind: str = "type") -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(hit, keys[0]).alias("canonical"), hit.isNotNull().alias("is_known"))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """The name with underscores before it until no column has it, upper and lower case alike."""
-    while name.lower() in {c.lower() for c in taken}:
-        name = f"_{name}"
-    return name
-
-
 def mapped(entities: DataFrame) -> DataFrame:
     """id, ontology_labels, canonical, ontology_mapped, ontology_domain, layer, hierarchy, threshold of (id, type, layer).
 

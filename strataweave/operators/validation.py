@@ -100,6 +100,19 @@ def promotion_gate(candidates: DataFrame, table: Sequence[tuple] = rules.PROMOTI
     return joined.select("id", risk.alias("risk"), decision.alias("decision"), F.array_join(failed, ",").alias("failed"))
 
 
+def automatic_target(thresholds: Mapping[str, tuple[float, int]] = rules.AUTOMATIC_PROMOTION) -> Column:
+    """The layer that an entity rises to by itself, or null, of (layer, confidence, validation_count, ontology_codes, inference_rules, reference_count).
+
+    Perception rises by confidence, validations or any ontology code; semantic by confidence, any inference rule that fired or references. One of them is enough; nulls count as nothing.
+    """
+    (sure, validations), (surer, references) = thresholds["PERCEPTION"], thresholds["SEMANTIC"]
+    value = lambda c: F.coalesce(F.col(c), F.lit(0))
+    some = lambda c: F.coalesce(F.size(F.col(c)) > 0, F.lit(False))
+    seen = (value("confidence") >= sure) | (value("validation_count") >= validations) | some("ontology_codes")
+    meant = (value("confidence") >= surer) | some("inference_rules") | (value("reference_count") >= references)
+    return F.when((F.col("layer") == "PERCEPTION") & seen, "SEMANTIC").when((F.col("layer") == "SEMANTIC") & meant, "REASONING")
+
+
 def promote(nodes: DataFrame, approved: DataFrame, layers: Sequence[str] = rules.LAYERS, defaults: Mapping[str, Mapping[str, str]] = rules.LAYER_DEFAULTS) -> DataFrame:
     """Nodes (id, name, layer, properties as a map of texts, ..) with approved ids one layer up: version 2, the old layer kept in promoted_from.
 

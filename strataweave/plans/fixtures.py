@@ -54,6 +54,9 @@ FIXTURES: dict[str, str] = {
     "typed": """
         SELECT id, CASE k % 29 WHEN 0 THEN 'Medical Condition' WHEN 1 THEN 'tables' WHEN 2 THEN 'data-product' WHEN 3 THEN ' _Lab  Test_' WHEN 4 THEN 'Drug_Entity' WHEN 5 THEN 'therapies' WHEN 6 THEN 'Biomarkers' WHEN 7 THEN 'cell type'
                  WHEN 8 THEN 'Lineage' WHEN 9 THEN '!!' WHEN 10 THEN 'workflow_concept' WHEN 11 THEN 'KPIs' WHEN 12 THEN 'gene_type' WHEN 13 THEN 'Data Stewards' WHEN 14 THEN '3d-model' WHEN 15 THEN '' ELSE type END AS type, layer, k FROM {nodes}""",
+    "rising": """
+        SELECT n.id, n.name, n.type, n.labels, n.layer, n.confidence, n.observation_count, n.status, cast(n.k % 4 as int) AS validation_count, CASE WHEN n.k % 19 = 0 THEN array('C1') END AS ontology_codes, CASE WHEN n.k % 23 = 0 THEN array('r') ELSE array() END AS inference_rules,
+               cast(coalesce(d.n, 0) as bigint) AS reference_count, cast(NULL as string) AS promoted_from, cast(NULL as int) AS version, n.k FROM {nodes} n LEFT JOIN (SELECT dst, count(*) AS n FROM {edges} GROUP BY dst) d ON d.dst = n.id""",
     "named_edges": """
         SELECT src, dst, CASE rel_type WHEN 'PART_OF' THEN 'belongsToDomain' WHEN 'BELONGS_TO' THEN CASE WHEN src LIKE 'supplier%' THEN 'represents' ELSE 'belongsToDomain' END WHEN 'PLACED' THEN 'relatedTo' WHEN 'CONTAINS' THEN CASE WHEN src LIKE '%7' THEN 'hasAttribute' ELSE 'derivedFrom' END ELSE 'SUPPLIES' END AS rel_type,
                CASE rel_type WHEN 'PART_OF' THEN 'has_schema' WHEN 'BELONGS_TO' THEN 'owned_by' WHEN 'PLACED' THEN 'write_to_table' WHEN 'CONTAINS' THEN CASE WHEN src LIKE '%3' THEN 'has_column' ELSE 'contains' END ELSE 'previous' END AS metadata_type FROM {edges}""",

@@ -85,9 +85,10 @@ def _(t):
     return feedback.calibration(t.predictions)
 
 
-@query("AGG-34", f"""WITH s AS (SELECT ts >= TIMESTAMP '{REF_TIME}' - INTERVAL 7 DAY AS r, success::INT AS ok, confidence >= 0.8 AS sure FROM {{predictions}}),
-  d AS (SELECT count(*) FILTER (WHERE r) AS recent, count(*) FILTER (WHERE NOT r) AS before, avg(ok) FILTER (WHERE NOT r) - avg(ok) FILTER (WHERE r) AS d1, avg(ok) FILTER (WHERE NOT r AND sure) - avg(ok) FILTER (WHERE r AND sure) AS d2 FROM s)
-  SELECT recent, before, round(0.6 * abs(d1) + 0.4 * abs(coalesce(d2, 0)), 6) AS score, 0.6 * abs(d1) + 0.4 * abs(coalesce(d2, 0)) > 0.15 AS drifted FROM d""")
+@query("AGG-34", f"""WITH s AS (SELECT ts >= TIMESTAMP '{REF_TIME}' - INTERVAL 7 DAY AS r, success::INT AS ok, confidence > 0.8 AS sure FROM {{predictions}}),
+  d AS (SELECT count(*) FILTER (WHERE r) AS recent, count(*) FILTER (WHERE NOT r) AS before, greatest(0, coalesce(avg(ok) FILTER (WHERE NOT r), 0) - coalesce(avg(ok) FILTER (WHERE r), 0)) AS d1,
+    greatest(0, coalesce(avg(ok) FILTER (WHERE NOT r AND sure), 0) - coalesce(avg(ok) FILTER (WHERE r AND sure), 0)) AS d2 FROM s)
+  SELECT recent, before, CASE WHEN recent >= 10 AND before >= 10 THEN round(0.6 * d1 + 0.4 * d2, 6) END AS score, CASE WHEN recent >= 10 AND before >= 10 THEN round(0.6 * d1 + 0.4 * d2, 6) > 0.15 END AS drifted FROM d""")
 def _(t):
     return feedback.drift(t.predictions, REF_TIME)
 

@@ -135,9 +135,10 @@ def _(t):
     return _gate(t).groupBy("risk", "decision").agg(F.count("*").alias("n"))
 
 
-@query("VAL-09", "SELECT id, confidence >= 0.9 OR observation_count >= 10 AS promotes FROM {nodes} WHERE layer = 'PERCEPTION'")
+@query("VAL-09", """SELECT id, layer, CASE WHEN layer = 'PERCEPTION' AND (confidence >= 0.85 OR validation_count >= 3 OR len(ontology_codes) > 0) THEN 'SEMANTIC'
+  WHEN layer = 'SEMANTIC' AND (confidence >= 0.9 OR len(inference_rules) > 0 OR reference_count >= 5) THEN 'REASONING' END AS target FROM {rising}""")
 def _(t):
-    return t.nodes.filter("layer = 'PERCEPTION'").select("id", ((F.col("confidence") >= 0.9) | (F.col("observation_count") >= 10)).alias("promotes"))
+    return t.rising.select("id", "layer", validation.automatic_target().alias("target"))
 
 
 _NEXT = "CASE layer WHEN 'PERCEPTION' THEN 'SEMANTIC' WHEN 'SEMANTIC' THEN 'REASONING' WHEN 'REASONING' THEN 'APPLICATION' END"
