@@ -15,16 +15,14 @@ def entity_sets(mentions: DataFrame, least: int = 2) -> DataFrame:
 def type_pairs(mentions: DataFrame, more_than: int = 5, top: int = 50) -> DataFrame:
     """type_a, type_b, n: how often entities of two types share a chunk, the entity of type_a being the smaller.
 
-    Per chunk, mentions are counted against the running type counts of the smaller entities, so no pairs of mentions are made.
+    Each mention is counted against the running counts of its own chunk's types, so rows are mentions times types of a chunk and no pairs of mentions are made; null types are left out.
     """
-    one = mentions.select("chunk_id", "entity", "type").distinct()
-    kinds = [r.type for r in one.select("type").distinct().orderBy("type").limit(1001).collect()]
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 types")
-    before = Window.partitionBy("chunk_id").orderBy("entity").rowsBetween(Window.unboundedPreceding, -1)
-    counted = one.withColumns({f"_{i}": F.count_if(F.col("type") == k).over(before) for i, k in enumerate(kinds)})
-    smaller = F.array(*(F.struct(F.lit(k).alias("type_a"), F.coalesce(f"_{i}", F.lit(0)).alias("k")) for i, k in enumerate(kinds)))
-    rows = counted.select(F.col("type").alias("type_b"), F.explode(smaller).alias("s")).groupBy(F.col("s.type_a").alias("type_a"), "type_b").agg(F.sum("s.k").alias("n"))
+    one = mentions.filter("type is not null").select("chunk_id", "entity", "type").distinct()
+    met = one.join(one.select("chunk_id", F.col("type").alias("type_a")).distinct(), "chunk_id")
+    same = F.col("type") == F.col("type_a")
+    within = Window.partitionBy("chunk_id", "type_a")
+    smaller = F.count_if(same).over(within.orderBy("entity").rangeBetween(Window.unboundedPreceding, 0)) - F.count_if(same).over(Window.partitionBy("chunk_id", "type_a", "entity"))
+    rows = met.select("type_a", F.col("type").alias("type_b"), smaller.alias("k")).groupBy("type_a", "type_b").agg(F.sum("k").alias("n"))
     return rows.filter(F.col("n") > more_than).orderBy(F.desc("n"), "type_a", "type_b").limit(top)
 
 

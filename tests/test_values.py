@@ -127,3 +127,18 @@ def test_scores_of_empty_tables(spark):
     assert audit.interoperability(none).first().readiness == 0.0
     metrics = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0), (0.4, 0.0, 0.0, None, 0.0, 0.0, 0.0)], "coverage double, compliance double, taxonomy double, consistency double, normalization double, cross_reference double, interoperability double")
     assert [(r.score, r.level) for r in audit.ontology_score(metrics).collect()] == [(0.95, "excellent"), (0.1, "critical")]
+
+
+def test_type_pairs_of_many_types_and_entities_of_two(spark):
+    import random
+    from collections import Counter
+
+    random.seed(2)
+    rows = [(f"c{random.randrange(60)}", f"e{random.randrange(40)}", random.choice([None, *(f"t{i}" for i in range(5))])) for _ in range(900)] + [("wide", f"e{i}", f"w{i}") for i in range(1200)]
+    kept = {r for r in rows if r[2] is not None}
+    by_chunk = {}
+    for c, e, k in kept:
+        by_chunk.setdefault(c, []).append((e, k))
+    expected = Counter((x, y) for c, held in by_chunk.items() if c != "wide" for a, x in held for b, y in held if a < b)
+    got = facts.type_pairs(spark.createDataFrame(rows, "chunk_id string, entity string, type string"), 5, 1000).collect()
+    assert {(r.type_a, r.type_b): r.n for r in got} == {k: n for k, n in expected.items() if n > 5}
