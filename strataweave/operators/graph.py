@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,42 +95,73 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def _jumps(links: DataFrame) -> DataFrame:
+    """node, to, far of the nodes with exactly one parent: the first ancestor that has none or several, and how far it is; no row on or below a cycle of single parents.
+
+    By pointer doubling: after a round a pointer spans twice as many links, so rounds are the logarithm of the longest chain. Each node is one row a round at most.
+    """
+    single = links.groupBy("child").agg(F.min("parent").alias("to"), F.count("*").alias("_n")).filter("_n = 1").select(F.col("child").alias("node"), "to", F.lit(1).cast("long").alias("far"))
+    further = single.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    now = materialize(single.join(further, "to", "left").select("node", "to", "far", F.coalesce("open", F.lit(False)).alias("open")), "jumps")
+    for _ in range(now.count().bit_length() + 1):
+        following = now.select(F.col("node").alias("to"), F.col("to").alias("_next"), F.col("far").alias("_more"), F.col("open").alias("_open"))
+        moved = now.filter("open").join(following, "to").select("node", F.col("_next").alias("to"), (F.col("far") + F.col("_more")).alias("far"), F.col("_open").alias("open"))
+        now = materialize(now.filter("not open").unionByName(moved), "jumps")
+        if now.filter("open").isEmpty():
+            break
+    return now.filter("not open").drop("open")
+
+
 def hierarchy_depth(tree: DataFrame) -> DataFrame:
     """(node, depth, cyclic): longest path to a root (a node without parent); what never resolves lies on or below a cycle.
 
-    A level a round, as many rounds as there are levels: a node is settled once all its parents are.
+    Chains of single parents are spanned by doubling first. What is left are nodes with several parents, each settled once all that it hangs from are: a round a level of such nodes, however long the chains between
+    them are. Rows with a null end are left out.
     """
-    links = materialize(tree.select("child", "parent").distinct(), "tree")
+    links = materialize(tree.select("child", "parent").dropna().distinct(), "tree")
     nodes = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     roots = nodes.join(links.select(F.col("child").alias("node")), "node", "left_anti")
-    done = materialize(roots.withColumn("depth", F.lit(0)), "depths")
-    parents = materialize(links.groupBy("child").agg(F.count("*").alias("parents")), "parents")
+    jumps = _jumps(links)
+    several = links.groupBy("child").agg(F.count("*").alias("parents")).filter("parents > 1")
+    up = links.join(several, "child").join(jumps.select(F.col("node").alias("parent"), F.col("to").alias("_to"), "far"), "parent", "left")
+    alone = links.groupBy("child").agg(F.count("*").alias("_k")).filter("_k = 1").select(F.col("child").alias("parent"), F.lit(True).alias("_single"))
+    # A single parent without a jump leads into a cycle: what hangs from it never settles.
+    up = up.join(alone, "parent", "left").select("child", "parents", F.when(F.col("_to").isNotNull(), F.col("_to")).when(F.col("_single").isNull(), F.col("parent")).alias("to"), (1 + F.coalesce("far", F.lit(0))).alias("far"))
+    up = materialize(up, "branches")
+    done = materialize(roots.withColumn("depth", F.lit(0).cast("long")), "depths")
     while True:
-        settled = links.join(done.select(F.col("node").alias("parent"), "depth"), "parent").groupBy("child").agg(F.count("*").alias("k"), F.max("depth").alias("top"))
-        fresh = settled.join(parents, "child").filter("k = parents").select(F.col("child").alias("node"), (F.col("top") + 1).alias("depth"))
-        fresh = materialize(fresh.join(done, "node", "left_anti"), "depths")
-        if not fresh.limit(1).count():
+        met = up.join(done.select(F.col("node").alias("to"), "depth"), "to").groupBy("child", "parents").agg(F.count("*").alias("k"), F.max(F.col("depth") + F.col("far")).alias("depth"))
+        fresh = materialize(met.filter("k = parents").select(F.col("child").alias("node"), "depth").join(done, "node", "left_anti"), "depths")
+        if fresh.isEmpty():
             break
-        done = done.union(fresh)
-    return nodes.join(done, "node", "left").select("node", "depth", F.col("depth").isNull().alias("cyclic"))
+        done = done.unionByName(fresh)
+    along = jumps.join(done.select(F.col("node").alias("to"), "depth"), "to").select("node", (F.col("depth") + F.col("far")).alias("depth"))
+    return nodes.join(done.unionByName(along), "node", "left").select("node", F.col("depth").cast("int").alias("depth"), F.col("depth").isNull().alias("cyclic"))
 
 
-def cycles(tree: DataFrame) -> DataFrame:
-    """Directed cycles of any length, once each, as paths from their least node.
+def cycles(tree: DataFrame, most: int | None = None) -> DataFrame:
+    """Directed cycles, once each, as paths from their least node: all of them, or the first ``most`` by length, then name.
 
-    Nodes that settle in ``hierarchy_depth`` lie on no cycle and are left out before paths are grown.
+    Only nodes that settle in ``hierarchy_depth`` neither upwards nor downwards are kept: those on cycles or between them. Paths grow a link a round, so with ``most`` the work ends at the length that completes the
+    number; without it, dense cyclic parts have very many cycles, all of which are listed.
     """
-    loose = hierarchy_depth(tree).filter("cyclic").select("node")
-    e = tree.select("child", "parent").join(loose.toDF("child"), "child", "left_semi").join(loose.toDF("parent"), "parent", "left_semi").distinct()
-    paths = e.select(F.array("child").alias("path"), F.col("parent").alias("end"))
-    found = None
+    e = materialize(tree.select("child", "parent").dropna().distinct(), "cyclic")
+    for turned in (False, True):
+        a, b = ("parent", "child") if turned else ("child", "parent")
+        loose = hierarchy_depth(e.select(F.col(a).alias("child"), F.col(b).alias("parent"))).filter("cyclic").select("node")
+        e = materialize(e.join(loose.toDF("child"), "child", "left_semi").join(loose.toDF("parent"), "parent", "left_semi"), "cyclic")
+    paths = e.filter("parent >= child").select(F.array("child").alias("path"), F.col("parent").alias("end"))
+    found, count = [], 0
     while True:
-        closed = paths.filter("end = path[0]").select(F.array_join("path", ">").alias("cycle"))
-        found = closed if found is None else found.union(closed)
-        paths = paths.filter("end > path[0] and not array_contains(path, end)").join(e, F.col("end") == F.col("child")).select(F.array_append("path", F.col("end")).alias("path"), F.col("parent").alias("end"))
-        paths = materialize(paths, "cycles")
-        if not paths.limit(1).count():
-            return found
+        found.append(materialize(paths.filter("end = path[0]").select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("_n")), "cycles"))
+        if most is not None and (count := count + found[-1].limit(most).count()) >= most:
+            break
+        grown = paths.filter("end > path[0] and not array_contains(path, end)").join(e, F.col("end") == F.col("child"))
+        paths = materialize(grown.select(F.array_append("path", F.col("end")).alias("path"), F.col("parent").alias("end")), "cycle-paths")
+        if paths.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, found)
+    return (every if most is None else every.orderBy("_n", "cycle").limit(most)).select("cycle")
 
 
 def graph_totals(nodes: DataFrame, edges: DataFrame, bands=rules.SEVERITY_BANDS) -> DataFrame:
