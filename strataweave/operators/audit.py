@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rules
+from . import ontology, rules
 from .flags import has_label, is_structural, noise_reason
 from .graph import banded, endpoints
 
@@ -45,10 +45,38 @@ def directed_degrees(edges: DataFrame, top: int = 10) -> DataFrame:
     return both.withColumn("total", F.col("outgoing") + F.col("incoming")).orderBy(F.desc("total"), "id").limit(top)
 
 
-def advice(metrics: DataFrame, table: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row for each rule (SQL condition on the one-row metrics, advice) that holds, in order."""
-    found = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(i).alias("rank"), F.lit(text).alias("advice"))) for i, (c, text) in enumerate(table))))
-    return metrics.select(F.explode(found).alias("a")).select("a.*")
+def findings(nodes: DataFrame, edges: DataFrame, source: str = "source_id") -> DataFrame:
+    """kind (cause or recommendation), rank, code, value, detail: what is behind the orphans of nodes (id, type, source) and what to do, in order.
+
+    Ratios are compared unrounded and given to six places. Coverage is the share of nodes whose type the registry knows; the five most frequent unknown types and the worst document are named in ``detail``.
+    An empty graph has no cause and only the advice that always holds.
+    """
+    spark = nodes.sparkSession
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_linked", F.lit(True))
+    types = ontology.resolved(nodes.groupBy("type").agg(F.count("*").alias("n")))
+    parts = (
+        nodes.join(ends, "id", "left").agg(F.count("*").alias("entities"), F.count_if(F.col("_linked").isNull()).alias("orphans")),
+        edges.agg(F.count("*").alias("relationships")), top_degrees(edges, 1).agg(F.max("degree").alias("degree")), types.agg(F.sum(F.when(F.col("is_known"), F.col("n")).otherwise(0)).alias("known")),
+        ontology.unknown_types(nodes).limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "type"))).alias("unknown")),
+        documents_with_orphans(nodes, edges, source).select(*("orphan_count", "total_entities", "source_id")).agg(
+            F.count_if(F.col("orphan_count") / F.col("total_entities") > 0.8).alias("failing"), F.min(F.struct((-F.col("orphan_count") / F.col("total_entities")).alias("r"), F.col("source_id").alias("d"))).alias("worst")),
+    )
+    one = spark.range(1).select()
+    for part in parts:  # a row each
+        one = one.join(part, F.lit(True))
+    rate, covered = F.try_divide("orphans", "entities"), F.try_divide("known", "entities")
+    none = F.lit(None).cast("string")
+    rules_ = (
+        ("cause", "critical_orphans", rate >= 0.9, rate, none), ("cause", "high_orphans", (rate >= 0.5) & (rate < 0.9), rate, none),
+        ("cause", "concentrated", (F.col("degree") > 100) & (F.col("relationships") > 1000), F.col("degree"), none), ("cause", "low_ontology_coverage", covered < 0.5, covered, none),
+        ("cause", "unmapped_types", F.size("unknown") > 0, F.size("unknown"), F.array_join(F.col("unknown.type"), ",")), ("cause", "failing_documents", F.col("failing") > 0, F.col("failing"), none),
+        ("recommendation", "write_atomically", rate >= 0.8, rate, none), ("recommendation", "block_orphans", rate >= 0.8, rate, none), ("recommendation", "extend_ontology", covered < 0.8, covered, none),
+        ("recommendation", "extract_facts_first", rate > 0.3, rate, none), ("recommendation", "link_orphans", F.col("orphans") > 1000, F.col("orphans"), none),
+        ("recommendation", "monitor_documents", F.lit(True), F.lit(None), none), ("recommendation", "inspect_document", -F.col("worst.r") > 0.9, -F.col("worst.r"), F.col("worst.d")),
+    )
+    found = F.array_compact(F.array(*(F.when(holds, F.struct(
+        F.lit(kind).alias("kind"), F.lit(i).alias("rank"), F.lit(code).alias("code"), F.round(value.cast("double"), 6).alias("value"), detail.alias("detail"))) for i, (kind, code, holds, value, detail) in enumerate(rules_))))
+    return one.select(F.explode(found).alias("f")).select("f.*")
 
 
 def coverage(nodes: DataFrame, known: Sequence[str]) -> DataFrame:

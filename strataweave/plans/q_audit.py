@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, rules, storage
 from .fixtures import query
+from .q_facts import RESOLVED
 
 _STRUCT = "list_has_any(labels, ['Chunk', 'StructuralChunk', 'Document', 'DocumentQuality', 'ExtractedEntity', 'ConversationSession', 'Message'])"
 _NOISE = "(length(name) < 3 OR lower(trim(name)) IN ('the', 'a', 'an', 'and', 'or', 'is', 'are', 'was', 'were', 'this', 'that', 'these', 'those', 'it', 'its', 'however', 'therefore', 'thus', 'hence', 'also', 'although', 'because', 'since', 'while', 'but', 'yet', 'so', 'for', 'nor', 'be', 'been', 'being', 'have', 'has', 'had', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'can', 'not', 'no', 'none', 'all', 'any', 'some', 'of', 'in', 'on', 'at', 'to', 'from', 'by', 'with', 'as', 'if', 'then', 'else', 'when', 'where', 'which', 'who'))"
@@ -38,14 +39,29 @@ def _(t):
     return audit.documents_with_orphans(t.nodes.withColumn("source_id", source), t.edges)
 
 
-_ADVICE = (("orphan_rate > 0.5", "link orphans"), ("orphan_rate > 0.001", "review orphans"), ("relationships < entities", "extract relations"), ("entities > 1000", "partition"))
-
-
-@query("AGG-08", f"WITH {_ENDS}, m AS (SELECT (SELECT count(*) FROM {{nodes}}) AS n, (SELECT count(*) FROM {{edges}}) AS r, (SELECT count(*) FROM {{nodes}} WHERE id NOT IN (SELECT id FROM ends)) AS o) SELECT * FROM (SELECT 1 AS rank, 'review orphans' AS advice FROM m WHERE o / n > 0.001 UNION ALL SELECT 0, 'link orphans' FROM m WHERE o / n > 0.5 UNION ALL SELECT 2, 'extract relations' FROM m WHERE r < n UNION ALL SELECT 3, 'partition' FROM m WHERE n > 1000) a")
-def _(t):
-    from ..operators.graph import graph_totals
-
-    return audit.advice(graph_totals(t.nodes, t.edges), _ADVICE)
+_FOUND = f"""WITH {RESOLVED}, g AS (SELECT unnest(['all', 'belonging']) AS report), e AS (SELECT report, src, dst FROM {{edges}}, g WHERE report = 'all' OR rel_type IN ('BELONGS_TO', 'PART_OF')),
+  n AS (SELECT report, id, type, known, CASE WHEN k % 5 <> 2 THEN 'document:' || (k % 97)::VARCHAR END AS source_id FROM resolved, g), ends AS (SELECT report, src AS id FROM e UNION SELECT report, dst FROM e),
+  x AS (SELECT n.*, ends.id IS NULL AS orphan FROM n LEFT JOIN ends ON ends.report = n.report AND ends.id = n.id),
+  d AS (SELECT report, source_id, count(*) FILTER (WHERE orphan) / count(*) AS r FROM x WHERE source_id IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY report ORDER BY count(*) FILTER (WHERE orphan) / count(*) DESC, source_id) <= 20),
+  u AS (SELECT report, type, count(*) AS n FROM n WHERE NOT known AND type IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY report ORDER BY count(*) DESC, type) <= 5),
+  m AS (SELECT report, count(*) FILTER (WHERE orphan) AS orphans, count(*) FILTER (WHERE orphan) / count(*) AS rate, count(*) FILTER (WHERE known) / count(*) AS covered, (SELECT count(*) FROM e WHERE e.report = x.report) AS edges,
+    (SELECT max(c) FROM (SELECT report AS p, count(*) AS c FROM (SELECT report, src AS id FROM e UNION ALL SELECT report, dst FROM e) GROUP BY report, id) WHERE p = x.report) AS degree, (SELECT count(*) FROM d WHERE d.report = x.report AND r > 0.8) AS failing,
+    (SELECT max(r) FROM d WHERE d.report = x.report) AS worst, (SELECT arg_min(source_id, (-r, source_id)) FROM d WHERE d.report = x.report) AS worst_id, (SELECT count(*) FROM u WHERE u.report = x.report) AS unknown, (SELECT string_agg(type, ',' ORDER BY n DESC, type) FROM u WHERE u.report = x.report) AS names FROM x GROUP BY report)"""
+
+
+@query("AGG-08", f"""{_FOUND} SELECT report, kind, code, round(value, 6) AS value, detail FROM (
+  SELECT report, 'cause' AS kind, 'critical_orphans' AS code, rate AS value, NULL AS detail FROM m WHERE rate >= 0.9 UNION ALL SELECT report, 'cause', 'high_orphans', rate, NULL FROM m WHERE rate >= 0.5 AND rate < 0.9
+  UNION ALL SELECT report, 'cause', 'concentrated', degree, NULL FROM m WHERE degree > 100 AND edges > 1000 UNION ALL SELECT report, 'cause', 'low_ontology_coverage', covered, NULL FROM m WHERE covered < 0.5
+  UNION ALL SELECT report, 'cause', 'unmapped_types', unknown, names FROM m WHERE unknown > 0 UNION ALL SELECT report, 'cause', 'failing_documents', failing, NULL FROM m WHERE failing > 0
+  UNION ALL SELECT report, 'recommendation', unnest(['write_atomically', 'block_orphans']), rate, NULL FROM m WHERE rate >= 0.8 UNION ALL SELECT report, 'recommendation', 'extend_ontology', covered, NULL FROM m WHERE covered < 0.8
+  UNION ALL SELECT report, 'recommendation', 'extract_facts_first', rate, NULL FROM m WHERE rate > 0.3 UNION ALL SELECT report, 'recommendation', 'link_orphans', orphans, NULL FROM m WHERE orphans > 1000
+  UNION ALL SELECT report, 'recommendation', 'monitor_documents', NULL, NULL FROM m UNION ALL SELECT report, 'recommendation', 'inspect_document', worst, worst_id FROM m WHERE worst > 0.9)""")
+def _(t):
+    """The whole graph, and the graph of belonging alone, in which most nodes have no edge."""
+    nodes = t.typed.withColumn("source_id", F.when(F.col("k") % 5 != 2, F.concat(F.lit("document:"), (F.col("k") % 97).cast("string"))))
+    reports = {"all": t.edges, "belonging": t.edges.filter("rel_type in ('BELONGS_TO', 'PART_OF')")}
+    parts = [audit.findings(nodes, edges).select(F.lit(name).alias("report"), "kind", "code", "value", "detail") for name, edges in reports.items()]
+    return parts[0].union(parts[1])
 
 
 @query("AGG-12", "SELECT (SELECT count(*) FROM {nodes}) AS nodes, (SELECT count(*) FROM {edges}) AS edges, (SELECT count(*) FROM {subjects}) AS subjects")

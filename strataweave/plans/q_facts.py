@@ -132,22 +132,22 @@ _REGISTERED = """reg(canonical, class, type_layer, path, schema_type, area) AS (
   ('gene', 'Gene', 'REASONING', 'biological_mechanism/gene', NULL, 'medical'), ('organization', 'Organization', 'APPLICATION', 'clinical_knowledge/organization', NULL, 'medical'),
   ('biomarker', 'Biomarker', 'PERCEPTION', 'clinical_observation/biomarker', NULL, 'medical'), ('cell_type', 'CellType', 'SEMANTIC', 'biological_entity/cell_type', NULL, 'medical')),
   spelling(form, canonical) AS (SELECT canonical, canonical FROM reg UNION ALL VALUES ('medical_condition', 'disease'), ('tables', 'table'), ('data_steward', 'person'), ('biomarkers', 'biomarker'), ('kpis', 'kpi'), ('businessconcept', 'business_concept'), ('dataentity', 'table'))"""
-_RESOLVED = rf"""{_REGISTERED}, spelt AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(type, '')), '[- ]', '_', 'g'), '[^\pL\pN_]', '', 'g'), '_+', '_', 'g'), '_') AS form FROM {{typed}}),
+RESOLVED = rf"""{_REGISTERED}, spelt AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(type, '')), '[- ]', '_', 'g'), '[^\pL\pN_]', '', 'g'), '_+', '_', 'g'), '_') AS form FROM {{typed}}),
   resolved AS (SELECT t.*, CASE WHEN t.form = '' THEN 'unknown' ELSE coalesce(a.canonical, b.canonical, c.canonical, t.form) END AS canonical, coalesce(a.canonical, b.canonical, c.canonical) IS NOT NULL AS known FROM spelt t LEFT JOIN spelling a ON a.form = t.form
     LEFT JOIN spelling b ON t.form LIKE '%s' AND length(t.form) > 2 AND b.form = left(t.form, -1) LEFT JOIN spelling c ON regexp_matches(t.form, '_(entity|concept|type)$') AND c.form = regexp_replace(t.form, '_(entity|concept|type)$', ''))"""
 
 
-@query("SCL-05", f"WITH {_RESOLVED} SELECT DISTINCT type, canonical, known AS is_known FROM resolved WHERE type IS NOT NULL")
+@query("SCL-05", f"WITH {RESOLVED} SELECT DISTINCT type, canonical, known AS is_known FROM resolved WHERE type IS NOT NULL")
 def _(t):
     return ontology.resolved(t.typed.filter("type is not null").select("type").distinct())
 
 
-@query("AGG-57", f"WITH {_RESOLVED} SELECT type, count(*) AS n FROM resolved WHERE type IS NOT NULL AND NOT known GROUP BY 1")
+@query("AGG-57", f"WITH {RESOLVED} SELECT type, count(*) AS n FROM resolved WHERE type IS NOT NULL AND NOT known GROUP BY 1")
 def _(t):
     return ontology.unknown_types(t.typed)
 
 
-@query("SCL-06", rf"""WITH {_RESOLVED}, m AS (SELECT id, type, layer, r.canonical, known, coalesce(class, CASE WHEN lower(type) = 'lineage' THEN 'transformsInto' END) AS class, type_layer, path, schema_type, area,
+@query("SCL-06", rf"""WITH {RESOLVED}, m AS (SELECT id, type, layer, r.canonical, known, coalesce(class, CASE WHEN lower(type) = 'lineage' THEN 'transformsInto' END) AS class, type_layer, path, schema_type, area,
     regexp_replace(coalesce(type, ''), '[ -]', '', 'g') AS own FROM resolved r LEFT JOIN reg ON reg.canonical = r.canonical), n AS (SELECT *, upper(own[1]) || own[2:] AS label FROM m)
   SELECT id, concat_ws(',', class, CASE WHEN schema_type <> class THEN schema_type END, CASE WHEN label <> '' AND label IS DISTINCT FROM class AND label IS DISTINCT FROM schema_type THEN label END) AS labels,
     canonical, known AS mapped, coalesce(area, 'unknown') AS domain, coalesce(layer, type_layer) AS layer, coalesce(path, '') AS path FROM n""")
@@ -156,7 +156,7 @@ def _(t):
         "id", F.array_join("ontology_labels", ",").alias("labels"), "canonical", F.col("ontology_mapped").alias("mapped"), F.col("ontology_domain").alias("domain"), "layer", F.array_join("hierarchy", "/").alias("path"))
 
 
-@query("SCL-06-rollup", f"WITH {_RESOLVED} SELECT ancestor, count(*) AS n FROM (SELECT unnest(string_split(path, '/')) AS ancestor FROM resolved r JOIN reg ON reg.canonical = r.canonical WHERE known) GROUP BY 1")
+@query("SCL-06-rollup", f"WITH {RESOLVED} SELECT ancestor, count(*) AS n FROM (SELECT unnest(string_split(path, '/')) AS ancestor FROM resolved r JOIN reg ON reg.canonical = r.canonical WHERE known) GROUP BY 1")
 def _(t):
     """Entities under each type of the hierarchy."""
     return ontology.by_ancestor(t.typed)

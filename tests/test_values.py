@@ -142,3 +142,17 @@ def test_type_pairs_of_many_types_and_entities_of_two(spark):
     expected = Counter((x, y) for c, held in by_chunk.items() if c != "wide" for a, x in held for b, y in held if a < b)
     got = facts.type_pairs(spark.createDataFrame(rows, "chunk_id string, entity string, type string"), 5, 1000).collect()
     assert {(r.type_a, r.type_b): r.n for r in got} == {k: n for k, n in expected.items() if n > 5}
+
+
+def test_findings_of_an_orphaned_graph(spark):
+    nodes = [(f"n{i}", "table" if i < 3 else f"odd{i % 2}", "d1" if i < 12 else "d2") for i in range(20)]
+    edges = [("n12", "n13"), ("n12", "n14")]
+    frame = spark.createDataFrame(nodes, "id string, type string, source_id string")
+    got = {r.code: (r.kind, r.value, r.detail) for r in audit.findings(frame, spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {
+        "high_orphans": ("cause", 0.85, None), "low_ontology_coverage": ("cause", 0.15, None), "unmapped_types": ("cause", 2.0, "odd1,odd0"), "failing_documents": ("cause", 1.0, None), "write_atomically": ("recommendation", 0.85, None),
+        "block_orphans": ("recommendation", 0.85, None), "extend_ontology": ("recommendation", 0.15, None), "extract_facts_first": ("recommendation", 0.85, None), "monitor_documents": ("recommendation", None, None),
+        "inspect_document": ("recommendation", 1.0, "d1"),
+    }
+    empty = audit.findings(frame.limit(0), spark.createDataFrame([], "src string, dst string"))
+    assert [r.code for r in empty.collect()] == ["monitor_documents"]
