@@ -170,7 +170,7 @@ def _(t):
 
 
 @query("TOP-01", """SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5) AS distance FROM {vectors} q JOIN {vectors} v ON q.vec_id % 20 = 0
-  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 5), v.vec_id) <= 5""")
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), v.vec_id) <= 5""")
 def _(t):
     q = t.vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
     return nearest_l2(q, t.vectors, 5)
@@ -179,16 +179,16 @@ def _(t):
 def nearest_l2(queries, vectors, k):
     """query_id, vec_id, distance: the k rows of least squared L2 distance; the stated queries against all rows, with a top-k a task before the merge."""
     gap = F.aggregate(F.zip_with("x", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    pairs = vectors.join(F.broadcast(queries) if queries.count() <= 10000 else queries, F.lit(True)).select("query_id", "vec_id", F.round(gap, 5).alias("distance"))
+    pairs = vectors.join(queries, F.lit(True)).select("query_id", "vec_id", gap.alias("distance"))  # the smaller side is broadcast where Spark knows it to be small
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "distance")
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
 
 
 @query("TOP-03", """SELECT a.vec_id AS in_id, b.vec_id AS cand_id FROM {vectors} a JOIN {vectors} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2
-  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) <= 5""")
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 5""")
 def _(t):
     found = resolve.embedding_matches(t.vectors.filter("vec_id % 20 = 0"), t.vectors, 0.2)
-    rank = F.row_number().over(Window.partitionBy("in_id").orderBy(F.round("score", 9).desc(), "cand_id"))
+    rank = F.row_number().over(Window.partitionBy("in_id").orderBy(F.desc("score"), "cand_id"))
     return found.withColumn("rank", rank).filter("rank <= 5").select("in_id", "cand_id")
 
 
