@@ -30,8 +30,9 @@ END = 1
 #: The added token of the public vocabulary.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Sources whose names and sums the driver and each task hold (some MB); more are an error.
-MOST_QUEUES = 100_000
+#: Sources with a queue of their own; where there are more, the others share ``SHARED`` queues by hash.
+OWN = 1024
+SHARED = 1024
 #: Rounds times queues that a task works on at once.
 _CELLS = 4_000_000
 
@@ -80,7 +81,9 @@ class Schedule:
     """How many tokens each queue has sent before a round.
 
     totals: tokens a queue; weights: target proportions. While all queues last, queue s earns
-    window * weight_s / sum(weights) a round; when a queue is empty the others share by their weights.
+    window * weight_s / sum(weights) a round; when a queue is empty the others share by their weights, and queues without a weight share
+    by their totals when all others are empty. All queues of weight w have then sent w * v tokens, or all that they hold, where v depends on
+    the round alone, so what is kept is one curve and not a table of rates.
     """
 
     totals: np.ndarray
@@ -88,51 +91,55 @@ class Schedule:
     window: int = WINDOW
 
     def __post_init__(self):
-        left, t = self.totals.astype(float), 0.0
-        self.times, self.base, self.rates = [], [], []
-        while True:
-            live = (left > 1e-6) & (self.weights > 0)
-            if not live.any() and (left > 1e-6).any():
-                live = left > 1e-6
-                rate = np.where(live, self.window * left / left[live].sum(), 0.0)
-            elif not live.any():
-                break
-            else:
-                rate = np.where(live, self.window * self.weights / self.weights[live].sum(), 0.0)
-            self.times.append(t)
-            self.base.append(self.totals - left)
-            self.rates.append(rate)
-            ends = np.full(len(left), np.inf)
-            ends[live] = left[live] / rate[live]
-            step = ends.min()
-            left = np.where(ends <= step * (1 + 1e-12), 0.0, left - rate * step)
-            t += step
-        self.rounds = int(np.ceil(t)) + 1
-        self.times, self.base, self.rates = np.array(self.times), np.array(self.base), np.array(self.rates)
+        some = self.totals > 0
+        served, idle = some & (self.weights > 0), some & ~(self.weights > 0)
+        self.own = np.where(served, self.weights, 0.0)
+        self.late = np.where(idle, self.totals, 0).astype(float)
+        order = np.argsort(self.totals[served] / self.own[served], kind="stable")
+        weight, total = self.own[served][order], self.totals[served][order].astype(float)
+        ends, live = total / weight, np.cumsum(weight[::-1])[::-1]
+        self.curve = np.concatenate([[0.0], ends])
+        self.times = np.concatenate([[0.0], np.cumsum(np.diff(self.curve) * live) / self.window])
+        self.served = self.times[-1]
+        self.last = self.served + self.late.sum() / self.window
+        self.rounds = int(np.ceil(self.last)) + 1
         # Where all queues end together and the largest earns enough, it also sends what the others' deficits
         # leave of a window, so that rounds and windows coincide.
+        together = len(ends) > 0 and not idle.any() and ends[-1] <= ends[0] * (1 + 1e-12)
         largest = int(self.totals.argmax()) if len(self.totals) else 0
-        self.filler = largest if len(self.times) == 1 and self.rates[0, largest] >= len(self.totals) else None
+        self.filler = largest if together and self.window * self.own[largest] / live[0] >= len(self.totals) else None
+
+    def _sent(self, rounds: np.ndarray, own: np.ndarray, late: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Whole tokens without what the filler adds; rounds and queues broadcast against each other."""
+        done = np.clip((rounds - self.served) / max(self.last - self.served, 1e-300), 0.0, 1.0)
+        out = np.floor(np.interp(rounds, self.times, self.curve) * own + done * late + 1e-9).astype(np.int64)
+        return np.where(rounds >= self.rounds, totals, np.minimum(out, totals))
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens of each queue before each round: one row a round."""
-        if not len(self.times):
-            return np.zeros((len(rounds), len(self.totals)), np.int64)
-        phase = np.maximum(np.searchsorted(self.times, rounds, "right") - 1, 0)
-        out = np.floor(self.base[phase] + (rounds - self.times[phase])[:, None] * self.rates[phase] + 1e-9).astype(np.int64)
-        out = np.minimum(out, self.totals)
+        out = self._sent(rounds[:, None], self.own, self.late, self.totals)
         if self.filler is not None:
-            out[:, self.filler] = np.minimum(rounds * self.window - out.sum(axis=1) + out[:, self.filler], self.totals[self.filler])
-        out[rounds >= self.rounds] = self.totals
+            most = self.totals[self.filler]
+            filled = np.minimum(rounds * self.window - out.sum(axis=1) + out[:, self.filler], most)
+            out[:, self.filler] = np.where(rounds >= self.rounds, most, filled)
+        return out
+
+    def _sent_of(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of one queue before one round each; the filler alone needs the other queues."""
+        out = self._sent(rounds, self.own[queue], self.late[queue], self.totals[queue])
+        filler = np.flatnonzero(queue == self.filler) if self.filler is not None else ()
+        if len(filler):
+            needed, at = np.unique(rounds[filler], return_inverse=True)
+            rows = max(1, _CELLS // len(self.totals))
+            out[filler] = np.concatenate([self.sent(needed[i : i + rows])[:, self.filler] for i in range(0, len(needed), rows)])[at]
         return out
 
     def round_of(self, queue: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The round that sends the token at this place of the queue, by bisection."""
         low, high = np.zeros(len(place), np.int64), np.full(len(place), self.rounds, np.int64)
-        rows = max(1, _CELLS // max(1, len(self.totals)))
         while (high - low > 1).any():
             mid = (low + high) // 2
-            sent = np.concatenate([self.sent(mid[i : i + rows])[np.arange(len(mid[i : i + rows])), queue[i : i + rows]] for i in range(0, len(mid), rows)])
+            sent = self._sent_of(queue, mid)
             low, high = np.where(sent <= place, mid, low), np.where(sent <= place, high, mid)
         return low
 
@@ -142,7 +149,9 @@ def tokenized(docs: DataFrame, vocabulary: str, queues: DataFrame) -> DataFrame:
 
     Written to the shared folder, so that tasks and places stay as they are.
     """
-    queued = docs.join(F.broadcast(queues), docs["source"].eqNullSafe(queues["queue_source"])).select("doc_id", "text", "queue")  # a row a source: at most MOST_QUEUES
+    shared = queues.count() + F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int")
+    known = docs.join(F.broadcast(queues), docs["source"].eqNullSafe(queues["queue_source"]), "left")  # at most OWN rows, or one a given weight
+    queued = known.select("doc_id", "text", F.coalesce("queue", shared).alias("queue"))
 
     def task(batches):
         encode, place, part = _encoder(vocabulary).encode, {}, TaskContext.get().partitionId()
@@ -170,24 +179,30 @@ def pack(
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ``weights``: target proportions by source (missing: 0, served when the others are empty); by default each source's
-    share of all tokens, so that all queues end together. Each source is a queue of its own; their names and sums are held by the
-    driver, so that more than ``MOST_QUEUES`` raise an error. All windows are full but the last, which is to be padded. Null text: only
+    share of all tokens, so that all queues end together. Up to ``OWN`` sources are queues of their own. Of more, those that ``weights`` names are, or else those
+    with the most bytes, and the others share ``SHARED`` queues by hash, each with the sum of their shares: such a source has less than two tokens a
+    window. All windows are full but the last, which is to be padded. Null text: only
     the end token; null source: a source of its own; null ids and repeated rows are packed like any row. Texts of any length
     are cut at the ends of rounds and windows. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    names = sorted((r.source for r in docs.select("source").distinct().limit(MOST_QUEUES + 1).collect()), key=lambda s: (s is None, s or ""))
-    if len(names) > MOST_QUEUES:
-        raise ValueError(f"more than {MOST_QUEUES} sources")
+    names = {r.source for r in docs.select("source").distinct().limit(OWN + 1).collect()}
+    more = SHARED if len(names) > OWN else 0
+    if more and weights is not None:
+        names = set(weights)
+    elif more:
+        sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"))
+        names = {r.source for r in sizes.orderBy(F.desc("n"), "source").limit(OWN).collect()}
+    names = sorted(names, key=lambda s: (s is None, s or ""))
     queues = docs.sparkSession.createDataFrame(list(enumerate(names)), "queue int, queue_source string")
     ids = tokenized(docs, vocabulary, queues)
     parts = ids.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(parts.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))), "packing-bases")
-    totals = np.zeros(len(names), np.int64)
-    for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row a source
+    totals = np.zeros(len(names) + more, np.int64)
+    for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row a queue
         totals[r.queue] = r.n
-    shares = totals.astype(float) if weights is None else np.array([float(weights.get(s, 0)) for s in names])
+    shares = totals.astype(float) if weights is None else np.array([float(weights.get(s, 0)) for s in names] + [0.0] * more)
     schedule = Schedule(totals, shares, window)
 
     def task(batches):

@@ -191,14 +191,50 @@ def test_mixing_with_clashing_columns(spark, documents):
 
 
 def test_packing_of_many_sources(spark, monkeypatch):
-    """More queues than the old bound, each with its own share in every stretch; too many are an error."""
+    """Each source has its own share in every stretch; sources beyond ``OWN`` share queues, and none is left out."""
     docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"), F.col("id").cast("string").alias("source"))
     rows = packing.pack(docs, weights={str(i): 1 for i in range(1500)}).collect()
     first = Counter(r.doc_id for r in rows if r.sequence_id == 0 for _ in range(r.length))
     assert sum(r.length for r in rows) == 1500 * rows[0].doc_tokens and len(first) == 1500 and max(first.values()) <= 2
-    monkeypatch.setattr(packing, "MOST_QUEUES", 1499)
-    with pytest.raises(ValueError):
-        packing.pack(docs)
+    monkeypatch.setattr(packing, "OWN", 20)
+    monkeypatch.setattr(packing, "SHARED", 8)
+    source = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 5, None).otherwise(F.col("id").cast("string"))
+    docs = spark.range(6000).repartition(7).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id").cast("string")).alias("text"), source.alias("source"))
+    tokenizer = _tokenizer()
+    for weights in (None, {"hot": 1.0, "7": 1.0, "not there": 2.0}):
+        rows = packing.pack(docs, weights=weights, window=256).collect()
+        places, ids = set(), defaultdict(dict)
+        for r in rows:
+            for k in range(r.length):
+                assert (r.sequence_id, r.offset + k) not in places and r.start + k not in ids[r.doc_id]
+                places.add((r.sequence_id, r.offset + k))
+                ids[r.doc_id][r.start + k] = int(np.frombuffer(r.ids, "<u4")[k])
+        assert sorted(s * 256 + o for s, o in places) == list(range(len(places))) and len(ids) == 6000
+        assert all([ids[i][k] for k in sorted(ids[i])] == [*tokenizer.encode(f"one two three {i}", add_special_tokens=False).ids, 1] for i in range(0, 6000, 97))
+        hot = Counter()
+        for r in rows:
+            hot[r.sequence_id] += r.length * (r.doc_id % 3 == 0)
+        if weights is None:  # a third of every window
+            assert all(abs(hot[w] - 256 / 3) <= 30 for w in range(max(hot)))
+        else:  # the named sources first
+            assert hot[2] == 256 and hot[max(r.sequence_id for r in rows)] == 0
+
+
+def test_schedule_places_every_token_once():
+    """Places by a queue's own curve agree with the table of all queues, whatever the weights."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        for kind in range(4):
+            totals = rng.integers(0, 4000, n)
+            weights = (totals.astype(float), rng.random(n), rng.integers(0, 3, n).astype(float), np.zeros(n))[kind]
+            s = packing.Schedule(totals, weights, 128)
+            sent = s.sent(np.arange(s.rounds + 1))
+            queue = np.repeat(np.arange(n), totals)
+            place = np.concatenate([np.arange(t) for t in totals])
+            found = s.round_of(queue, place)
+            assert (sent[found, queue] <= place).all() and (place < sent[found + 1, queue]).all()
+            live = sent[1:-2].sum(axis=1) - 128 * np.arange(1, s.rounds - 1)
+            assert (np.abs(live) <= n + 1).all()
 
 
 @pytest.fixture(scope="module")
