@@ -70,3 +70,15 @@ def resolve_layers(a_layer: Column, a: Column, b_layer: Column, b: Column, gap:
     rank = lambda c: F.array_position(F.array(*map(F.lit, rules.LAYERS)), c)
     x, y = layer_adjusted(a, a_layer), layer_adjusted(b, b_layer)
     return F.when(F.abs(x - y) > gap, F.when(x > y, a_layer).otherwise(b_layer)).otherwise(F.when(rank(a_layer) >= rank(b_layer), a_layer).otherwise(b_layer))
+
+
+def day_bucket(last: Column, now: Column) -> Column:
+    """today, yesterday, this_week or older, by calendar days; null is older."""
+    gap = F.datediff(now.cast("date"), last.cast("date"))
+    return F.when(gap <= 0, "today").when(gap <= 1, "yesterday").when(gap <= 7, "this_week").otherwise("older")
+
+
+def elapsed_bucket(last: Column, now: Column) -> Column:
+    """today, yesterday, this_week, this_month or older, by whole days that have passed; what lies ahead is this_week, null is older."""
+    days = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 86_400_000_000)
+    return F.when(days == 0, "today").when(days == 1, "yesterday").when(days <= 7, "this_week").when(days <= 30, "this_month").otherwise("older")

@@ -15,21 +15,26 @@ from .graph import banded
 
 
 def statistics(feedback: DataFrame) -> DataFrame:
-    """One row: total, mean rating, a count for each rating, corrections, positives, negatives."""
-    return feedback.agg(
+    """One row: total, mean rating, a count for each rating, corrections, positives, negatives, types (``type:n``, most frequent first; null left out)."""
+    one = feedback.agg(
         F.count("*").alias("total"), F.round(F.avg("rating"), 6).alias("mean_rating"), *(F.count_if(F.col("rating") == r).alias(f"rating_{r}") for r in range(1, 6)),
         F.count("correction_text").alias("corrections"), F.count_if(F.col("rating") >= 4).alias("positives"), F.count_if(F.col("rating") <= 2).alias("negatives"),
     )
+    kinds = feedback.filter("feedback_type is not null").groupBy("feedback_type").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "feedback_type"))).alias("t"))  # a row a type
+    return one.join(kinds.select(F.array_join(F.transform("t", lambda x: F.concat(x["feedback_type"], F.lit(":"), (-x["n"]).cast("string"))), ",").alias("types")), F.lit(True))
 
 
 def layer_performance(feedback: DataFrame, top: int = 5) -> DataFrame:
-    """layer, total, mean_rating, negative_rate, failures (the most frequent types of its negative feedback)."""
+    """layer, total, mean_rating, negative_rate, failures (the most frequent types of its negative feedback), suggestions (by the table of rules, in order, joined by ``; ``)."""
     rows = feedback.select(F.explode("layers").alias("layer"), "rating", "feedback_type")
-    base = rows.groupBy("layer").agg(F.count("*").alias("total"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.avg((F.col("rating") <= 2).cast("int")), 6).alias("negative_rate"))
+    base = rows.groupBy("layer").agg(F.count("*").alias("total"), F.avg("rating").alias("_mean"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.avg((F.col("rating") <= 2).cast("int")), 6).alias("negative_rate"))
     failed = rows.filter("rating <= 2").groupBy("layer", "feedback_type").count()
     rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("count"), "feedback_type"))
     names = failed.withColumn("rank", rank).filter(F.col("rank") <= top).groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("rank", "feedback_type"))).alias("f"))
-    return base.join(names, "layer", "left").select(*base.columns, F.array_join(F.transform("f", lambda x: x["feedback_type"]), ",").alias("failures"))
+    holds = lambda layer, what: ((F.col("layer") == layer) | F.lit(layer == "*")) & (F.col("_mean") < what if isinstance(what, float) else F.array_contains("f.feedback_type", what))
+    suggested = F.concat_ws("; ", *(F.when(holds(layer, what), F.replace(F.lit(text), F.lit("{layer}"), F.col("layer"))) for layer, what, text in rules.LAYER_SUGGESTIONS))
+    rows = base.join(names, "layer", "left").select("*", suggested.alias("suggestions"))
+    return rows.select("layer", "total", "mean_rating", "negative_rate", F.array_join(F.transform("f", lambda x: x["feedback_type"]), ",").alias("failures"), "suggestions")
 
 
 def operations(predictions: DataFrame) -> DataFrame:

@@ -139,8 +139,9 @@ def dismiss(nodes: DataFrame, ids: DataFrame, undo: bool = False) -> DataFrame:
 
 
 def search(nodes: DataFrame, text: str, types: Sequence[str] | None = None, limit: int = 50) -> DataFrame:
-    """Nodes whose name contains the text in any case; the first by name and id."""
-    found = nodes.filter(F.lower("name").contains(text.lower()))
+    """Nodes whose name, or description where there is such a column, contains the text in any case; the first by name and id."""
+    said = F.concat_ws("\n", *(F.lower(c) for c in ("name", "description") if c in nodes.columns))
+    found = nodes.filter(said.contains(text.lower()))
     if types:
         found = found.filter(F.col("type").isin(*types))
     return found.orderBy("name", "id").limit(limit)
@@ -202,7 +203,15 @@ def training_batch(feedback: DataFrame, limit: int, batch_id: str) -> DataFrame:
     return unused.orderBy("created_at", "feedback_id").limit(limit).withColumn("batch_id", F.lit(batch_id))
 
 
-def search_sessions(sessions: DataFrame, messages: DataFrame, text: str) -> DataFrame:
-    """Sessions with the number of messages that contain the text in any case."""
-    hits = messages.filter(F.lower("content").contains(text.lower())).groupBy("session_id").agg(F.count("*").alias("matches"))
-    return sessions.join(hits, "session_id")
+def search_sessions(sessions: DataFrame, messages: DataFrame, text: str, exact: bool = False, limit: int | None = None) -> DataFrame:
+    """Sessions (session_id, title, last_activity) whose title or any message contains the text, with matches and message_count.
+
+    In any case, latest activity first; ``exact``: letter by letter, most matches first, and sessions without messages stay out. A title that contains the text makes every message of the session a match.
+    Ties go to the smaller id. Messages are counted a session before the join.
+    """
+    held = lambda c: F.coalesce(F.contains(c, F.lit(text)) if exact else F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+    counts = messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.count_if(held(F.col("content"))).alias("_hits"))
+    rows = sessions.join(counts, "session_id", "inner" if exact else "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+    rows = rows.filter(held(F.col("title")) | (F.col("_hits") > 0))
+    rows = rows.withColumn("matches", F.when(held(F.col("title")), F.col("message_count")).otherwise(F.col("_hits"))).drop("_hits")
+    return rows if limit is None else rows.orderBy(F.desc("matches" if exact else "last_activity"), "session_id").limit(limit)

@@ -163,6 +163,23 @@ FIXTURES: dict[str, str] = {
         UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'target', 'asset:' || cast(o_orderkey as string), 'iri' FROM {orders}
         UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'target', 'asset:1', 'iri' FROM {orders} WHERE o_orderkey % 37 = 0
         UNION ALL SELECT 'link:' || cast(o_orderkey as string), 'relationshipType', 'PLACED', 'string' FROM {orders} WHERE o_orderkey % 41 <> 0) s""",
+    "layer_changes": """
+        SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'PERCEPTION' WHEN 1 THEN 'SEMANTIC' ELSE 'REASONING' END AS from_layer, CASE event_id % 3 WHEN 0 THEN 'SEMANTIC' WHEN 1 THEN 'REASONING' ELSE 'APPLICATION' END AS to_layer,
+               CASE event_id % 7 WHEN 4 THEN 'pending' WHEN 5 THEN 'rejected' WHEN 6 THEN 'failed' ELSE 'completed' END AS status, ts AS requested_at,
+               CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN ts + INTERVAL '90' SECOND ELSE ts + INTERVAL '7' MINUTE END AS completed_at FROM {events}""",
+    "rated": """
+        SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE level END AS level, score AS overall_score, cast(doc_id % 101 as double) / 100 AS context_precision, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE cast(doc_id % 89 as double) / 100 END AS context_recall,
+               cast(doc_id % 71 as double) / 100 AS topic_coverage, cast(doc_id % 53 as double) / 100 AS signal_to_noise, cast(doc_id % 31 as double) / 100 AS entity_extraction_rate, cast(NULL as double) AS retrieval_quality FROM {assessments}""",
+    "titled": """
+        SELECT session_id, started AS last_activity, CASE session_id % 7 WHEN 0 THEN 'About this' WHEN 1 THEN 'About This thing' WHEN 2 THEN NULL ELSE 'Talk' END AS title FROM {sessions}""",
+    "chat_sessions": """
+        SELECT session_id AS n, CASE WHEN session_id % 17 = 0 THEN 'bad-' || cast(session_id as string) ELSE '00000000-0000-4000-8000-' || lpad(cast(session_id as string), 12, '0') END AS session_id FROM {sessions}""",
+    "chat_messages": """
+        SELECT m.session_id AS n, m.seq, CASE WHEN m.seq % 13 = 12 THEN 'bad-' || cast(m.seq as string) ELSE '00000000-0000-4000-9000-' || lpad(cast(m.session_id * 1000 + m.seq as string), 12, '0') END AS message_id, s.session_id
+        FROM {messages} m LEFT JOIN {chat_sessions} s ON s.n = m.session_id""",
+    "older_nodes": """
+        SELECT id, CASE k % 13 WHEN 1 THEN array('Drug') WHEN 2 THEN array('Policy', 'Table') WHEN 3 THEN array('Message') WHEN 4 THEN array('Alien') WHEN 5 THEN array('UserFeedback', 'BusinessRule') ELSE labels END AS labels,
+               CASE WHEN k % 3 = 0 THEN layer END AS layer, status, CASE WHEN k % 6 <> 1 THEN confidence END AS confidence FROM {nodes}""",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
 }
 

@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, rules, storage
+from ..operators import audit, measures, rules, storage
 from .fixtures import query
-from .q_facts import RESOLVED
+from .q_facts import _FORMS, RESOLVED
 
 _STRUCT = "list_has_any(labels, ['Chunk', 'StructuralChunk', 'Document', 'DocumentQuality', 'ExtractedEntity', 'ConversationSession', 'Message'])"
 _NOISE = "(length(name) < 3 OR lower(trim(name)) IN ('the', 'a', 'an', 'and', 'or', 'is', 'are', 'was', 'were', 'this', 'that', 'these', 'those', 'it', 'its', 'however', 'therefore', 'thus', 'hence', 'also', 'although', 'because', 'since', 'while', 'but', 'yet', 'so', 'for', 'nor', 'be', 'been', 'being', 'have', 'has', 'had', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'can', 'not', 'no', 'none', 'all', 'any', 'some', 'of', 'in', 'on', 'at', 'to', 'from', 'by', 'with', 'as', 'if', 'then', 'else', 'when', 'where', 'which', 'who'))"
+# Labels of a child (a) and its parent (b) that may meet, spelled out apart from the operator's table.
+_VALID = """(coalesce(list_has_any(a.labels, b.labels), false) OR coalesce((list_contains(a.labels, 'Attribute') AND list_contains(b.labels, 'DataEntity')) OR (list_contains(a.labels, 'Column') AND list_contains(b.labels, 'Table')) OR (list_contains(a.labels, 'InformationAsset') AND list_contains(b.labels, 'DataEntity'))
+  OR (list_contains(a.labels, 'BusinessConcept') AND (list_contains(b.labels, 'BusinessConcept') OR list_contains(b.labels, 'Domain'))) OR (list_contains(a.labels, 'Domain') AND list_contains(b.labels, 'Domain')), false))"""
 _ENDS = "ends AS (SELECT src AS id FROM {edges} UNION SELECT dst FROM {edges})"
 
 
@@ -84,12 +87,18 @@ def _(t):
     return audit.compliance(t.nodes, {"DataEntity": ("type", "layer", "status"), "Organization": ("type", "layer", "status")})
 
 
-@query("AGG-19", "SELECT count(*) AS edges, count(*) FILTER (WHERE list_has_any(a.labels, b.labels)) AS valid, round(avg((list_has_any(a.labels, b.labels))::INT), 6) AS share FROM {edges} JOIN {nodes} a ON src = a.id JOIN {nodes} b ON dst = b.id WHERE rel_type IN ('PART_OF', 'BELONGS_TO')")
+@query("AGG-19", f"""WITH RECURSIVE h AS (SELECT src, dst FROM {{edges}} WHERE rel_type IN ('IS_A', 'SUBCLASS_OF', 'PART_OF', 'BELONGS_TO', 'hasAttribute')), up(node, d) AS (SELECT src, 1 FROM h UNION SELECT h.src, d + 1 FROM h JOIN up ON h.dst = up.node),
+  depths AS (SELECT node, max(d) AS d FROM up GROUP BY 1), v AS (SELECT {_VALID} AS ok FROM h LEFT JOIN {{noisy}} a ON src = a.id LEFT JOIN {{noisy}} b ON dst = b.id), {_ENDS},
+  one AS (SELECT count(*) AS relationships, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS invalid, round(avg(ok::INT), 6) AS coherence, (SELECT max(d) FROM depths)::INT AS max_depth, (SELECT round(avg(d), 6) FROM depths) AS avg_depth, 0::BIGINT AS cyclic FROM v),
+  k AS (SELECT id, NOT {_STRUCT} AND id NOT IN (SELECT id FROM ends) AS free, NOT {_STRUCT} AND is_structural AS marked, exclude_from_ontology AS away FROM {{noisy}})
+  SELECT 'computed' AS report, relationships, valid, invalid, coherence, (SELECT count(*) FROM k WHERE free) AS orphans, 0::BIGINT AS episodic, 0::BIGINT AS knowledge, (SELECT count(*) FROM k WHERE free) AS unclassified, max_depth, avg_depth, cyclic FROM one
+  UNION ALL SELECT 'flagged', relationships, valid, invalid, coherence, (SELECT count(*) FROM k WHERE marked), (SELECT count(*) FROM k WHERE marked AND away), (SELECT count(*) FROM k WHERE marked AND NOT away), 0, max_depth, avg_depth, cyclic FROM one""")
 def _(t):
-    from ..operators.graph import with_ends
-
-    ends, ok = with_ends(t.edges.filter("rel_type in ('PART_OF', 'BELONGS_TO')"), t.nodes, "labels"), F.arrays_overlap("src_labels", "dst_labels")
-    return ends.agg(F.count("*").alias("edges"), F.count_if(ok).alias("valid"), F.round(F.avg(ok.cast("int")), 6).alias("share"))
+    """Orphans as the edges show them, and as marks on the nodes (those of structure) name them."""
+    source = F.when(F.col("exclude_from_ontology"), "episodic").otherwise("knowledge")
+    reports = {"computed": t.noisy.select("id", "labels"), "flagged": t.noisy.select("id", "labels", F.col("is_structural").alias("is_orphan"), source.alias("orphan_source"))}
+    first, second = (measures.taxonomy(nodes, t.edges).select(F.lit(name).alias("report"), "*") for name, nodes in reports.items())
+    return first.union(second)
 
 
 @query("AGG-20", "WITH k AS (SELECT type, count(DISTINCT labels[1]) AS c FROM {nodes} WHERE type IS NOT NULL GROUP BY 1) SELECT count(*) AS types, count(*) FILTER (WHERE c = 1) AS consistent, round(avg((c = 1)::INT), 6) AS share FROM k")
@@ -97,11 +106,13 @@ def _(t):
     return audit.mapping_consistency(t.nodes)
 
 
-@query("AGG-21", "WITH k AS (SELECT lower(trim(name)) AS key, count(*) AS n, count(*) FILTER (WHERE name = lower(trim(name))) AS canonical FROM {nodes} GROUP BY 1) SELECT sum(n)::BIGINT AS names, sum(canonical)::BIGINT AS canonical, count(*) FILTER (WHERE n > 1) AS duplicate_keys FROM k")
+@query("AGG-21", f"""WITH {_FORMS}, e AS (SELECT term AS name, lower(term) AS low, t.type, labels, is_structural, mapped, map_keys(abbreviations) AS a, map_keys(words.synonyms) AS s FROM {{terms}} t JOIN {{noisy}} n USING (id) JOIN forms f USING (id, term), words),
+  keys AS (SELECT count(*) AS n FROM e WHERE NOT is_structural AND NOT {_STRUCT} AND coalesce(type, '') <> '' AND coalesce(name, '') <> '' GROUP BY replace(replace(trim(low), ' ', '_'), '-', ''))
+  SELECT count(*) AS total, count(*) FILTER (WHERE mapped = replace(low, ' ', '_')) AS canonical, count(*) FILTER (WHERE mapped <> replace(low, ' ', '_')) AS normalized, count(*) FILTER (WHERE len(list_filter(a, lambda w: contains(low, w))) > 0) AS abbreviation_hits,
+    count(*) FILTER (WHERE len(list_filter(s, lambda w: contains(low, w))) > 0) AS synonym_hits, round(count(mapped) / count(*), 6) AS rate, (SELECT count(*) FROM keys WHERE n > 1) AS duplicates FROM e""")
 def _(t):
-    key = F.lower(F.trim("name"))
-    rows = t.nodes.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("name") == key).alias("c"))
-    return rows.agg(F.sum("n").alias("names"), F.sum("c").alias("canonical"), F.count_if(F.col("n") > 1).alias("duplicate_keys"))
+    named = t.terms.select("id", F.col("term").alias("name"), "type").join(t.noisy.select("id", "labels", "is_structural"), "id")
+    return measures.normalization(named)
 
 
 # Spelled out, apart from the operator's tables.
@@ -118,7 +129,7 @@ _SEVEN = f"""{_EXCHANGE}, rules(rel_type, a, b) AS (VALUES ('hasAttribute', 'Dat
   links AS (SELECT e.src, e.rel_type, e.dst, bool_or(a IS NULL OR ((a = '*' OR coalesce(list_contains(p.labels, a), false)) AND (b = '*' OR coalesce(list_contains(q.labels, b), false)))) AS valid FROM {{named_edges}} e LEFT JOIN rules r ON r.rel_type = e.rel_type LEFT JOIN {{nodes}} p ON e.src = p.id LEFT JOIN {{nodes}} q ON e.dst = q.id GROUP BY ALL),
   kinds AS (SELECT type, count(DISTINCT labels[1]) AS c FROM {{nodes}} WHERE type IS NOT NULL GROUP BY 1),
   seven AS (SELECT (SELECT round(avg(({_MAPPED})::INT), 6) FROM {{noisy}}) AS coverage, (SELECT avg((type IS NOT NULL AND layer IS NOT NULL AND status IS NOT NULL)::INT) FROM {{nodes}} WHERE labels[1] IN ('DataEntity', 'Organization')) AS compliance,
-    (SELECT round(avg((list_has_any(a.labels, b.labels))::INT), 6) FROM {{edges}} JOIN {{nodes}} a ON src = a.id JOIN {{nodes}} b ON dst = b.id WHERE rel_type IN ('PART_OF', 'BELONGS_TO')) AS taxonomy, (SELECT round(avg((c = 1)::INT), 6) FROM kinds) AS consistency,
+    (SELECT round(avg({_VALID}::INT), 6) FROM {{edges}} JOIN {{nodes}} a ON src = a.id JOIN {{nodes}} b ON dst = b.id WHERE rel_type IN ('PART_OF', 'BELONGS_TO')) AS taxonomy, (SELECT round(avg((c = 1)::INT), 6) FROM kinds) AS consistency,
     (SELECT avg((regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)*$'))::INT) FROM {{noisy}}) AS normalization, (SELECT avg(valid::INT) FROM links) AS cross_reference, (SELECT round(c * 0.6::DOUBLE + p * 0.4::DOUBLE, 6) FROM x) AS interoperability)"""
 
 
@@ -130,12 +141,12 @@ def _(t):
     from ..functions.text import normalized_name
     from ..operators.graph import cross_reference_validity, with_ends
 
-    ends, required = with_ends(t.edges.filter("rel_type in ('PART_OF', 'BELONGS_TO')"), t.nodes, "labels"), ("type", "layer", "status")
+    ends, required = with_ends(measures.hierarchy_edges(t.edges), t.nodes, "labels"), ("type", "layer", "status")
     compliant = audit.compliance(t.nodes, {"DataEntity": required, "Organization": required})
     parts = [
         audit.coverage(t.noisy, ("Domain", "Organization", "DataEntity")).select("coverage"),
         compliant.agg((F.sum("full") / F.sum(F.col("full") + F.col("partial") + F.col("violating"))).alias("compliance")),
-        ends.agg(F.round(F.avg(F.arrays_overlap("src_labels", "dst_labels").cast("int")), 6).alias("taxonomy")),
+        ends.agg(F.round(F.avg(measures.valid_hierarchy(F.col("src_labels"), F.col("dst_labels")).cast("int")), 6).alias("taxonomy")),
         audit.mapping_consistency(t.nodes).select(F.col("share").alias("consistency")),
         t.noisy.agg(F.avg((normalized_name(F.col("name"), {"": ""}, {"": ""}) == F.col("name")).cast("int")).alias("normalization")),
         cross_reference_validity(t.named_edges, t.nodes).agg(F.avg(F.col("valid").cast("int")).alias("cross_reference")),
@@ -179,9 +190,11 @@ def _(t):
     return rest.union(mapped.agg(F.lit("(mapped)"), F.count("*")))
 
 
-@query("AGG-29", "SELECT layer, status, count(*) AS n, round(avg(observation_count), 6) AS mean FROM {nodes} GROUP BY 1, 2")
+@query("AGG-29", """WITH c AS (SELECT * FROM {layer_changes}), d AS (SELECT * FROM c WHERE status = 'completed')
+  SELECT 'count' AS kind, 'total' AS key, count(*)::DOUBLE AS value FROM c UNION ALL SELECT 'count', status, count(*) FROM c GROUP BY status UNION ALL SELECT 'path', from_layer || ' → ' || to_layer, count(*) FROM d GROUP BY 2
+  UNION ALL SELECT 'mean', 'mean_seconds', round(avg(epoch_us(completed_at) - epoch_us(requested_at)) / 1e6, 6) FROM d WHERE completed_at IS NOT NULL""")
 def _(t):
-    return t.nodes.groupBy("layer", "status").agg(F.count("*").alias("n"), F.round(F.avg("observation_count"), 6).alias("mean"))
+    return measures.transition_statistics(t.layer_changes)
 
 
 @query("AGG-40", "SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
@@ -189,9 +202,10 @@ def _(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_distinct("source").alias("sources"))
 
 
-@query("AGG-41", "SELECT level, count(*) AS n, round(avg(score), 6) AS mean, count(DISTINCT doc_id) AS documents FROM {assessments} GROUP BY level")
+@query("AGG-41", "SELECT 'level' AS kind, level AS key, count(*)::DOUBLE AS value FROM {rated} WHERE level IS NOT NULL GROUP BY level UNION ALL SELECT 'count', 'documents', count(DISTINCT doc_id) FROM {rated}"
+  + "".join(f" UNION ALL SELECT 'average', '{c}', round(coalesce(avg({c}), 0), 6) FROM {{rated}}" for c in ("overall_score", "context_precision", "context_recall", "topic_coverage", "signal_to_noise", "entity_extraction_rate", "retrieval_quality")))
 def _(t):
-    return t.assessments.groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.count_distinct("doc_id").alias("documents"))
+    return measures.quality_statistics(t.rated)
 
 
 @query("AGG-42", "SELECT day, round(avg(score), 6) AS mean, count(*) FILTER (WHERE level <> 'critical') AS sound FROM {assessments} GROUP BY day")
@@ -257,9 +271,9 @@ def _(t):
     return one.select(F.round(F.try_divide(100.0 * F.col("r"), F.col("n")), 2).alias("density"))
 
 
-@query("AGG-65", "SELECT k AS id, count(*) AS n, string_agg(name, '|' ORDER BY name) AS names FROM {nodes} WHERE id NOT LIKE 'order%' GROUP BY k HAVING count(*) > 1")
+@query("AGG-65", "SELECT k AS id, count(*) AS n, string_agg(name, '|' ORDER BY name) AS names FROM {nodes} GROUP BY k HAVING count(*) > 1")
 def _(t):
-    return t.nodes.filter("id not like 'order%'").groupBy(F.col("k").alias("id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names")).filter("n > 1")
+    return t.nodes.groupBy(F.col("k").alias("id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names")).filter("n > 1")
 
 
 @query("AGG-66", "SELECT rel_type, count(*) AS rows, count(source) AS with_source, count(*) - count(source) AS without_source, count(confidence) AS with_confidence, count(*) - count(confidence) AS without_confidence FROM (SELECT rel_type, confidence, CASE WHEN dst LIKE '%1' THEN 'feed' END AS source FROM {edges}) e GROUP BY 1")
@@ -324,9 +338,15 @@ def _(t):
     return storage.reconcile(t.store_a, t.store_b, "id", ("status",))
 
 
-@query("SRC-11", "SELECT id, owner FROM {store_a} WHERE id NOT IN (SELECT id FROM {store_b})")
+@query("SRC-11", r"""WITH s AS (SELECT *, length(session_id) = 36 AND regexp_full_match(session_id, '[0-9a-fA-F]+-[0-9a-fA-F]+-[0-9a-fA-F]+-[0-9a-fA-F]+-[0-9a-fA-F]+') AS good, n % 4 = 0 AS known FROM {chat_sessions}), m AS (SELECT c.*, length(message_id) = 36 AND regexp_full_match(message_id, '[0-9a-fA-F]+-[0-9a-fA-F]+-[0-9a-fA-F]+-[0-9a-fA-F]+-[0-9a-fA-F]+') AS good, n % 4 = 0 AND seq % 3 = 0 AS known,
+    n % 4 = 0 OR coalesce(n % 17 <> 0, false) AS able FROM {chat_messages} c), g AS (SELECT unnest([false, true]) AS every)
+  SELECT CASE WHEN every THEN 'full' ELSE 'incremental' END AS mode, 'sessions' AS data, count(*) FILTER (WHERE good AND (every OR NOT known)) AS copied, count(*) FILTER (WHERE good AND known AND NOT every) AS known, count(*) FILTER (WHERE NOT good) AS bad_id, 0::BIGINT AS without_session FROM s, g GROUP BY every
+  UNION ALL SELECT CASE WHEN every THEN 'full' ELSE 'incremental' END, 'messages', count(*) FILTER (WHERE good AND able AND (every OR NOT known)), count(*) FILTER (WHERE good AND able AND known AND NOT every), count(*) FILTER (WHERE NOT good), count(*) FILTER (WHERE good AND NOT able) FROM m, g GROUP BY every""")
 def _(t):
-    return storage.missing_rows(t.store_a, t.store_b, "id").select("id", "owner")
+    """Every fourth session and every third of its messages are already there."""
+    there, said = t.chat_sessions.filter("n % 4 = 0"), t.chat_messages.filter("n % 4 = 0 and seq % 3 = 0")
+    parts = [measures.copy_sessions(t.chat_sessions, t.chat_messages, there, said, full)[2].select(F.lit("full" if full else "incremental").alias("mode"), "*") for full in (False, True)]
+    return parts[0].union(parts[1])
 
 
 @query("SRC-12", "SELECT 'orders' AS data, (SELECT count(*) FROM {store_a}) AS left, (SELECT count(*) FROM {store_b}) AS right")
@@ -353,10 +373,15 @@ def _(t):
     return storage.rollback(stamped, "b7", ["status"]).select("id", "status")
 
 
-@query("SRC-22", "SELECT id, coalesce(layer, CASE WHEN list_contains(labels, 'Domain') THEN 'SEMANTIC' WHEN list_contains(labels, 'InformationAsset') THEN 'APPLICATION' ELSE 'PERCEPTION' END) AS layer FROM {nodes}")
+@query("SRC-22", """WITH b AS (SELECT *, CASE WHEN list_has_any(labels, ['MedicalEntity', 'Entity', 'PDFSource', 'RawConcept', 'Chunk', 'Document', 'Catalog', 'Schema', 'Table', 'Column', 'DataType', 'document', 'unknown', 'resource', 'concept']) THEN 'PERCEPTION'
+    WHEN list_has_any(labels, ['SemanticConcept', 'Disease', 'Treatment', 'Drug', 'Symptom', 'Gene', 'Pathway', 'Diagnosis', 'Medication', 'Allergy', 'BusinessConcept', 'medication', 'treatment', 'medical_condition', 'body_part', 'profession']) THEN 'SEMANTIC'
+    WHEN list_has_any(labels, ['InferredConcept', 'QualityRule', 'InferenceResult', 'DataQualityRule', 'DataQualityScore', 'Constraint', 'Policy', 'BusinessRule']) THEN 'REASONING'
+    WHEN list_has_any(labels, ['QueryPattern', 'CachedResult', 'UsageMetric', 'Patient', 'Session', 'Message', 'UserFeedback']) THEN 'APPLICATION' END AS by_label FROM {older_nodes})
+  SELECT id, coalesce(layer, by_label, 'PERCEPTION') AS layer, CASE WHEN layer IS NOT NULL THEN status WHEN coalesce(by_label, 'PERCEPTION') = 'PERCEPTION' THEN 'pending_validation' ELSE 'validated' END AS status,
+    CASE WHEN layer IS NOT NULL OR by_label IS NULL THEN confidence WHEN by_label = 'PERCEPTION' THEN coalesce(confidence, 0.7) ELSE coalesce(confidence, 0.9) END AS confidence,
+    CASE WHEN layer IS NULL THEN CASE WHEN by_label IS NULL THEN 'migration_default' ELSE 'migration_by_label' END END AS layer_assignment_method FROM b""")
 def _(t):
-    by_label = F.when(F.array_contains("labels", "Domain"), "SEMANTIC").when(F.array_contains("labels", "InformationAsset"), "APPLICATION").otherwise("PERCEPTION")
-    return t.nodes.select("id", F.coalesce("layer", by_label).alias("layer"))
+    return measures.migrate_layers(t.older_nodes).select("id", "layer", "status", "confidence", "layer_assignment_method")
 
 
 @query("JOIN-37", "WITH b AS (SELECT src, rel_type, dst FROM {edges} WHERE rel_type = 'CONTAINS' UNION ALL SELECT 'part:1', 'X', 'part:1') SELECT src, rel_type, dst, 'missing_target' AS conflict FROM b WHERE dst NOT IN (SELECT id FROM {nodes}) UNION ALL SELECT src, rel_type, dst, 'self_loop' FROM b WHERE src = dst UNION ALL SELECT src, rel_type, dst, 'duplicate' FROM b WHERE rel_type = 'CONTAINS'")

@@ -60,16 +60,28 @@ def _(t):
     return a.join(b, ["kind", "k"]).select("id", temporal.resolve_layers(F.col("layer"), F.col("confidence"), F.col("other"), F.col("other_confidence")).alias("layer"))
 
 
-@query("AGG-30", "SELECT count(*) AS total, round(avg(rating), 6) AS mean_rating, " + ", ".join(f"count(*) FILTER (WHERE rating = {r}) AS rating_{r}" for r in range(1, 6)) + ", count(correction_text) AS corrections, count(*) FILTER (WHERE rating >= 4) AS positives, count(*) FILTER (WHERE rating <= 2) AS negatives FROM {feedback}")
+@query("AGG-30", "SELECT count(*) AS total, round(avg(rating), 6) AS mean_rating, " + ", ".join(f"count(*) FILTER (WHERE rating = {r}) AS rating_{r}" for r in range(1, 6)) + """, count(correction_text) AS corrections, count(*) FILTER (WHERE rating >= 4) AS positives, count(*) FILTER (WHERE rating <= 2) AS negatives,
+  (SELECT string_agg(feedback_type || ':' || n, ',' ORDER BY n DESC, feedback_type) FROM (SELECT feedback_type, count(*) AS n FROM {feedback} WHERE feedback_type IS NOT NULL GROUP BY 1) k) AS types FROM {feedback}""")
 def _(t):
     return feedback.statistics(t.feedback)
 
 
-@query("AGG-31", """WITH r AS (SELECT unnest(layers) AS layer, rating, feedback_type FROM {feedback}), f AS (SELECT layer, feedback_type, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, feedback_type) AS rank FROM r WHERE rating <= 2 GROUP BY layer, feedback_type),
-  n AS (SELECT layer, string_agg(feedback_type, ',' ORDER BY rank) AS failures FROM f WHERE rank <= 5 GROUP BY layer)
-  SELECT layer, count(*) AS total, round(avg(rating), 6) AS mean_rating, round(avg((rating <= 2)::INT), 6) AS negative_rate, any_value(failures) AS failures FROM r LEFT JOIN n USING (layer) GROUP BY layer""")
-def _(t):
-    return feedback.layer_performance(t.feedback)
+@query("AGG-31", """WITH f0 AS (SELECT CASE WHEN feedback_id % 4 = 0 THEN ['APPLICATION', 'PERCEPTION'] ELSE layers END AS layers, CASE WHEN feedback_id % 2 = 0 AND rating < 5 THEN rating + 1 ELSE rating END AS rating,
+    CASE feedback_type WHEN 'click' THEN 'incorrect' WHEN 'view' THEN 'missing_info' WHEN 'purchase' THEN 'partially_correct' WHEN 'signup' THEN 'unhelpful' ELSE feedback_type END AS feedback_type FROM {feedback}),
+  r AS (SELECT unnest(layers) AS layer, rating, feedback_type FROM f0), f AS (SELECT layer, feedback_type, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, feedback_type) AS rank FROM r WHERE rating <= 2 GROUP BY layer, feedback_type),
+  n AS (SELECT layer, string_agg(feedback_type, ',' ORDER BY rank) AS failures, list(feedback_type) AS kinds FROM f WHERE rank <= 5 GROUP BY layer),
+  l AS (SELECT layer, count(*) AS total, avg(rating) AS mean, round(avg((rating <= 2)::INT), 6) AS negative_rate FROM r GROUP BY layer)
+  SELECT layer, total, round(mean, 6) AS mean_rating, negative_rate, failures, concat_ws('; ', CASE WHEN mean < 3 THEN 'Critical: ' || layer || ' layer needs significant improvement' END,
+    CASE WHEN layer = 'PERCEPTION' AND list_contains(kinds, 'incorrect') THEN 'Improve entity extraction accuracy from source documents' END, CASE WHEN layer = 'PERCEPTION' AND list_contains(kinds, 'missing_info') THEN 'Expand document coverage for better information retrieval' END,
+    CASE WHEN layer = 'SEMANTIC' AND list_contains(kinds, 'incorrect') THEN 'Review ontology mappings for accuracy' END, CASE WHEN layer = 'SEMANTIC' AND list_contains(kinds, 'partially_correct') THEN 'Improve concept disambiguation' END,
+    CASE WHEN layer = 'REASONING' AND list_contains(kinds, 'incorrect') THEN 'Review inference rules for logical consistency' END, CASE WHEN layer = 'REASONING' AND list_contains(kinds, 'unhelpful') THEN 'Improve relevance scoring in reasoning' END,
+    CASE WHEN layer = 'APPLICATION' AND mean < 4 THEN 'Consider retraining with recent preference data' END) AS suggestions FROM l LEFT JOIN n USING (layer)""")
+def _(t):
+    kinds = {"click": "incorrect", "view": "missing_info", "purchase": "partially_correct", "signup": "unhelpful"}
+    kind = F.coalesce(*(F.when(F.col("feedback_type") == k, v) for k, v in kinds.items()), F.col("feedback_type"))
+    layers = F.when(F.col("feedback_id") % 4 == 0, F.array(F.lit("APPLICATION"), F.lit("PERCEPTION"))).otherwise(F.col("layers"))
+    rating = F.when((F.col("feedback_id") % 2 == 0) & (F.col("rating") < 5), F.col("rating") + 1).otherwise(F.col("rating"))
+    return feedback.layer_performance(t.feedback.withColumns({"feedback_type": kind, "layers": layers, "rating": rating}))
 
 
 @query("AGG-32", "SELECT operation_type, count(*) FILTER (WHERE success) AS successes, count(*) FILTER (WHERE NOT success) AS failures, round(avg(confidence), 6) AS mean_confidence FROM {predictions} GROUP BY 1")

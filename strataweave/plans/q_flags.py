@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import flags, rules
+from ..operators import flags, measures, rules
 from .fixtures import query
 
 _IN = lambda values: ", ".join(f"'{v}'" for v in values)
@@ -92,9 +92,11 @@ def _(t):
     return flags.dismiss(t.nodes, t.nodes.filter("k % 19 = 0")).select("id", "dismissed")
 
 
-@query("FLT-15", "SELECT id, name FROM {nodes} WHERE lower(name) LIKE '%widget%' ORDER BY name, id LIMIT 50")
+@query("FLT-15", """SELECT id, name, description FROM (SELECT id, name, labels[1] AS type, properties['description'] AS description FROM {entities}) e
+  WHERE type IN ('Domain', 'BusinessConcept', 'DataEntity') AND (contains(lower(name), 'ext') OR contains(lower(description), 'ext')) ORDER BY name, id LIMIT 50""")
 def _(t):
-    return flags.search(t.nodes, "Widget").select("id", "name")
+    rows = t.entities.select("id", "name", F.col("labels")[0].alias("type"), F.try_element_at("properties", F.lit("description")).alias("description"))
+    return flags.search(rows, "EXT", ("Domain", "BusinessConcept", "DataEntity")).select("id", "name", "description")
 
 
 @query("FLT-16", "SELECT doc_id, source FROM documents WHERE lang IN ('de', 'fr') AND source ILIKE '%RC1%'")
@@ -115,9 +117,21 @@ def _(t):
     return flags.violations(t.nodes, _GOVERNANCE)
 
 
-@query("FLT-19", "SELECT labels[1] AS label, count(*) AS n, sum(CASE WHEN layer = 'SEMANTIC' THEN 1 ELSE 0 END)::BIGINT AS semantic FROM {nodes} GROUP BY 1")
+@query("FLT-19", """WITH c AS (SELECT "column" AS name, "table" AS table_name, CASE "column" WHEN 'email' THEN 'PII' WHEN 'memo' THEN 'open' END AS classification, "column" = 'customer_name' AS is_pii FROM {attributes}),
+  e AS (SELECT src, dst, CASE rel_type WHEN 'SUPPLIES' THEN 'FLOWS_TO' WHEN 'PLACED' THEN 'TRANSFORMS_INTO' ELSE rel_type END AS rel_type FROM {edges})
+  SELECT 'pii_data' AS view, name AS a, table_name AS b, classification AS c, NULL::BIGINT AS n FROM c WHERE is_pii OR classification = 'PII'
+  UNION ALL SELECT 'lineage', p.name, rel_type, q.name, NULL FROM e JOIN {nodes} p ON src = p.id JOIN {nodes} q ON dst = q.id WHERE rel_type IN ('FLOWS_TO', 'TRANSFORMS_INTO')
+  UNION ALL SELECT 'domain_summary', array_to_string(labels, ','), NULL, NULL, count(*) FROM {nodes} WHERE layer = 'SEMANTIC' GROUP BY labels""")
 def _(t):
-    return t.nodes.groupBy(F.col("labels")[0].alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("layer") == "SEMANTIC").alias("semantic"))
+    """Sales and orders stand for lineage."""
+    kind = F.when(F.col("column") == "email", "PII").when(F.col("column") == "memo", "open")
+    columns = t.attributes.select(F.col("column").alias("name"), F.col("table").alias("table_name"), kind.alias("classification"), (F.col("column") == "customer_name").alias("is_pii"))
+    edges = t.edges.withColumn("rel_type", F.when(F.col("rel_type") == "SUPPLIES", "FLOWS_TO").when(F.col("rel_type") == "PLACED", "TRANSFORMS_INTO").otherwise(F.col("rel_type")))
+    views = measures.named_views(columns, t.nodes, edges)
+    none, text = F.lit(None).cast("long").alias("n"), lambda x: F.lit(x).cast("string")
+    rows = views["pii_data"].select(F.lit("pii_data").alias("view"), F.col("name").alias("a"), F.col("table_name").alias("b"), F.col("classification").alias("c"), none)
+    rows = rows.union(views["lineage"].select(F.lit("lineage"), "source", "rel_type", "target", none))
+    return rows.union(views["domain_summary"].select(F.lit("domain_summary"), F.array_join("type", ","), text(None), text(None), "n"))
 
 
 @query("FLT-20", "WITH gone AS (SELECT src AS id FROM {edges} WHERE dst = 'customer:8' UNION SELECT dst FROM {edges} WHERE src = 'customer:8' UNION SELECT 'customer:8') SELECT src, rel_type, dst FROM {edges} WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) AND rel_type = 'PLACED'")
@@ -157,6 +171,10 @@ def _(t):
     return flags.required_flags(t.nodes, ("type", "layer", "status")).select("id", "has_type", "has_layer", "has_status")
 
 
-@query("FLT-29", "SELECT s.session_id, count(*) AS matches FROM {sessions} s JOIN {messages} m USING (session_id) WHERE lower(content) LIKE '%this%' GROUP BY 1")
+@query("FLT-29", """WITH m AS (SELECT session_id, count(*) AS c, count(*) FILTER (WHERE contains(lower(content), 'this')) AS h, count(*) FILTER (WHERE contains(content, 'this')) AS x FROM {messages} GROUP BY 1),
+  a AS (SELECT 'any case' AS form, session_id, CASE WHEN contains(lower(title), 'this') THEN coalesce(c, 0) ELSE h END AS matches, coalesce(c, 0) AS message_count FROM {titled} LEFT JOIN m USING (session_id) WHERE contains(lower(title), 'this') OR h > 0 ORDER BY last_activity DESC, session_id LIMIT 20),
+  b AS (SELECT 'exact' AS form, session_id, CASE WHEN contains(title, 'this') THEN c ELSE x END AS matches, c AS message_count FROM {titled} JOIN m USING (session_id) WHERE contains(title, 'this') OR x > 0 ORDER BY matches DESC, session_id LIMIT 20)
+  SELECT * FROM a UNION ALL SELECT * FROM b""")
 def _(t):
-    return flags.search_sessions(t.sessions, t.messages, "This").select("session_id", "matches")
+    found = [flags.search_sessions(t.titled, t.messages, text, exact, 20).select(F.lit("exact" if exact else "any case").alias("form"), "session_id", "matches", "message_count") for text, exact in (("THIS", False), ("this", True))]
+    return found[0].union(found[1])

@@ -160,9 +160,9 @@ def _(t):
     return linking.ranked_sources([part(0), part(1)])
 
 
-@query("ALG-05", "WITH RECURSIVE tree AS (SELECT child, parent FROM {hierarchy} WHERE child LIKE 'p%'), up(node, ancestor, distance) AS (SELECT child, parent, 1 FROM tree UNION ALL SELECT node, parent, distance + 1 FROM up JOIN tree ON ancestor = child) SELECT node, ancestor, distance FROM up")
+@query("ALG-05", "WITH RECURSIVE tree AS (SELECT child, parent FROM {hierarchy}), up(node, ancestor, distance) AS (SELECT child, parent, 1 FROM tree UNION SELECT node, parent, distance + 1 FROM up JOIN tree ON ancestor = child WHERE distance < 64) SELECT node, ancestor, min(distance)::INT AS distance FROM up WHERE node <> ancestor GROUP BY ALL")
 def _(t):
-    return linking.ancestry(t.hierarchy.filter("child like 'p%'"))
+    return linking.ancestry(t.hierarchy)
 
 
 @query("SCL-32", r"""WITH w AS (SELECT schema, "table", position, regexp_extract(lower(CASE position % 4 WHEN 0 THEN 'Patient' WHEN 1 THEN '' WHEN 2 THEN ' lab' ELSE 'x1y_' END || "column" || ' note'), '\w+') AS t FROM {attributes})

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import temporal
 from ..operators import clinical, resolve, rules, shapes, validation
 from .fixtures import REF_TIME, query
 
@@ -197,7 +198,10 @@ def _(t):
     return t.nodes.filter(F.lower("name").contains("red bolt")).select("id", F.when(F.lower("name") == "red bolt", 1.0).otherwise(0.8).alias("score"))
 
 
-@query("SCL-25", f"SELECT user_id, CASE WHEN max(ts)::DATE >= DATE '{REF_TIME[:10]}' THEN 'today' WHEN max(ts)::DATE >= DATE '{REF_TIME[:10]}' - 1 THEN 'yesterday' WHEN max(ts)::DATE >= DATE '{REF_TIME[:10]}' - 7 THEN 'week' ELSE 'older' END AS bucket FROM events GROUP BY 1")
+@query("SCL-25", f"""WITH u AS (SELECT user_id, max(ts) AS m FROM events GROUP BY 1), d AS (SELECT user_id, DATE '{REF_TIME[:10]}' - m::DATE AS days, floor((epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(m)) / 86400000000) AS passed FROM u)
+  SELECT user_id, CASE WHEN days <= 0 THEN 'today' WHEN days <= 1 THEN 'yesterday' WHEN days <= 7 THEN 'this_week' ELSE 'older' END AS by_day,
+    CASE WHEN passed = 0 THEN 'today' WHEN passed = 1 THEN 'yesterday' WHEN passed <= 7 THEN 'this_week' WHEN passed <= 30 THEN 'this_month' ELSE 'older' END AS elapsed FROM d""")
 def _(t):
-    gap = F.datediff(F.lit(REF_TIME[:10]).cast("date"), F.max("ts").cast("date"))
-    return t.events.groupBy("user_id").agg(F.when(gap <= 0, "today").when(gap <= 1, "yesterday").when(gap <= 7, "week").otherwise("older").alias("bucket"))
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last"))
+    now = F.lit(REF_TIME).cast("timestamp")
+    return last.select("user_id", temporal.day_bucket(F.col("last"), now).alias("by_day"), temporal.elapsed_bucket(F.col("last"), now).alias("elapsed"))
