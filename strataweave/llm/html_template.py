@@ -281,17 +281,29 @@ def _group(settings: Settings):
         pages = [tokenize(h or "") for h in frame["html"]]
         template = deduce([p for p in pages if p] or [[]], settings)
         texts = [extract(p, template) for p in pages]
-        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts], "copies": frame["copies"]})
 
     return work
 
 
+def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows with ``copies``: those whose content is in ``repeated`` once each, summed up in tasks before a shuffle; the others, most of all, are not moved where the repeated are few."""
+    number = repeated.count()
+    if not number:
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    repeated = F.broadcast(repeated) if number <= MOST_BROADCAST else repeated
+    marked = rows.withColumn("content", F.xxhash64("page_id", "url", "html"))
+    several = marked.join(repeated, "content", "left_semi").groupBy("host", "page_id", "url", "html").agg(F.count("*").alias("copies"))
+    return marked.join(repeated, "content", "left_anti").drop("content").withColumn("copies", F.lit(1).cast("long")).unionByName(several)
+
+
 def main_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """page_id, url, text, n_chars of every row, from its whole ``html``.
 
     A null or empty html gives an empty text. Pages without a url are compared with small hosts. A host's pages are dealt by
     hash into groups of about ``settings.group``, or as many as hold ``settings.group_bytes``, so that a host with most pages is spread over tasks and all
-    its pages take part in a template; one very long page fills a group alone. Repeated rows are pages of their own. An empty table gives an empty
+    its pages take part in a template; one very long page fills a group alone. Rows that agree in id, url and html are one page of a template, summed up before they meet in a
+    task, and as many rows of the result; pages that differ in any of these are pages of their own. An empty table gives an empty
     result; further columns are ignored, whatever their names.
     """
     s = settings
@@ -299,15 +311,19 @@ def main_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
     # A row a host: sent to all tasks if they are few, else joined by a shuffle of the pages.
     groups = lambda n, b: F.greatest(F.ceil(n / s.group), F.ceil(b / s.group_bytes), F.lit(1))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("b"))
+    # Repeated rows count once: by a hash of what they hold, a row of numbers each.
+    shapes = rows.select("host", F.xxhash64("page_id", "url", "html").alias("content"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("b"))
+    shapes = materialize(shapes.groupBy("host", "content").agg(F.first("b").alias("b"), F.count("*").alias("copies")), "pages-contents")
+    sizes = shapes.groupBy("host").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     sizes = materialize(sizes.withColumn("parts", groups(F.col("n"), F.col("b"))), "pages-hosts")
     sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     pooled = (F.col("n") < s.least_pages) | (F.col("host") == "")
     pools = sizes.filter(pooled).agg(groups(F.sum("n"), F.sum("b"))).first()[0] or 1
     spread = F.xxhash64("page_id", "url")
-    joined = rows.join(sizes, "host")
+    joined = _once(rows, shapes.filter("copies > 1").select("content")).join(sizes, "host")
     joined = joined.withColumn("part", F.when(F.col("host") == "", F.pmod(spread, F.lit(pools))).when(pooled, F.pmod(F.xxhash64("host"), F.lit(pools))).otherwise(F.pmod(spread, F.col("parts"))))
-    joined = joined.withColumn("site", F.when(pooled, F.lit("")).otherwise(F.col("host"))).select("site", "part", "page_id", "url", "html")
+    joined = joined.withColumn("site", F.when(pooled, F.lit("")).otherwise(F.col("host"))).select("site", "part", "page_id", "url", "html", "copies")
     kinds = pages.schema
-    schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long"
-    return joined.groupBy("site", "part").applyInPandas(_group(s), schema)
+    schema = f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars long, copies long"
+    found = joined.groupBy("site", "part").applyInPandas(_group(s), schema)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "copy")

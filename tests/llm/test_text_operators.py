@@ -336,6 +336,19 @@ def test_main_text_of_odd_pages(spark):
     assert html_template.main_texts(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_many_copies(spark):
+    """A page that is there thousands of times is one page of its host's template and leaves the others together."""
+    frame = pages(spark, "<div class='x'>", "</div>", 60)
+    copies = frame.filter("page_id = 7").crossJoin(spark.range(3000)).drop("id")
+    nulls = spark.createDataFrame([(None, None, None)] * 5 + [(None, "http://a.example.org/q", None), (None, None, "http://a.example.org/q")], frame.schema)
+    got = Counter((r.page_id, r.url, r.text) for r in html_template.main_texts(frame.union(copies).union(nulls).repartition(9)).collect())
+    plain = {r.page_id: (r.url, r.text) for r in html_template.main_texts(frame).collect()}
+    assert all(got[i, *plain[i]] == (3001 if i == 7 else 1) for i in range(60))
+    assert got[None, None, ""] == 5 and got[None, "http://a.example.org/q", ""] == 1 and sum(got.values()) == 60 + 3000 + 7
+    once = html_template._once(frame.union(copies).withColumn("host", F.lit("h")), frame.filter("page_id = 7").select(F.xxhash64("page_id", "url", "html").alias("content")))
+    assert {r.page_id: r.copies for r in once.collect()} == {i: 3001 if i == 7 else 1 for i in range(60)}
+
+
 def test_template_of_the_host_decides(spark):
     """The same page gives another text beside other pages of its host, and nothing with an empty template."""
     rng = random.Random(4)
