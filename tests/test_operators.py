@@ -155,3 +155,16 @@ def test_duplicate_groups_of_a_hot_name(spark):
     nodes = spark.range(3000).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id"), F.when(F.col("id") % 3 == 0, " Same ").otherwise(F.col("id").cast("string")).alias("name"), F.lit("t").alias("type"))
     rows = resolve.duplicate_groups(nodes).collect()
     assert len(rows) == 1000 and {r.canonical for r in rows} == {"n00000"}
+
+
+def test_best_matches_make_no_pairs_of_entities(spark, monkeypatch):
+    names = ["Large Ring", "large rings", "hot bolt", "hot bold", "thin nut", None]
+    incoming = spark.createDataFrame([(i, "AB"[i % 2], names[i % 6]) for i in range(60)], "in_id long, type string, name string")
+    nodes = spark.createDataFrame([(f"part:{i}", ["A", "B", None][i % 3], names[i * 5 % 6]) for i in range(90)], "id string, type string, name string")
+    every = {}
+    for r in resolve.fuzzy_matches(incoming, nodes).collect():
+        every[r.in_id] = min(every.get(r.in_id, (9, "")), (-r.score, r.cand_id))
+    assert {r.in_id: (-r.score, r.cand_id) for r in resolve.best_matches(incoming, nodes).collect()} == every and len(every) == 30
+    monkeypatch.setattr(resolve, "fuzzy_matches", None)
+    for key in ("JOIN-08", "JOIN-09"):
+        assert registry.queries()[key](spark, SMALL).count()
