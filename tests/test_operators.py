@@ -168,3 +168,30 @@ def test_best_matches_make_no_pairs_of_entities(spark, monkeypatch):
     monkeypatch.setattr(resolve, "fuzzy_matches", None)
     for key in ("JOIN-08", "JOIN-09"):
         assert registry.queries()[key](spark, SMALL).count()
+
+
+def test_vectors_are_compared_by_blocks(spark, monkeypatch):
+    from strataweave.operators import nearest
+    from strataweave.plans import q_rules
+
+    monkeypatch.setattr(nearest, "QUERIES", 7)
+    monkeypatch.setattr(nearest, "VECTORS", 40)
+    random.seed(5)
+    rows = [(i, [random.gauss(0, 1) for _ in range(4)], "ab"[i % 2]) for i in range(150)] + [(200 + i, [1.0, 2.0, 0.5, 0.0], "a") for i in range(60)]
+    rows += [(300, None, "a"), (301, [1.0, None, 0.0, 0.0], "a"), (302, [0.0] * 4, "b"), (303, [1.0, 2.0], "b"), (304, [float("nan"), 1.0, 1.0, 1.0], "b"), (320, [1.0, 2.0, 0.5, 0.0], None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    q = vectors.filter("vec_id % 20 = 0")
+    pairs = q.select(F.col("vec_id").alias("in_id"), F.col("embedding").alias("x"), "label").join(vectors.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("y"), "label"), "label").filter("in_id <> cand_id")
+    expected = pairs.select("in_id", "cand_id", resolve.cosine(F.col("x"), F.col("y")).alias("score")).filter("score >= 0.25")
+    found = resolve.embedding_matches(q, vectors, 0.25)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    asked = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    got = {}
+    for r in q_rules.nearest_l2(asked, vectors.filter("vec_id <> 304"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    known = {i: v for i, v, _ in rows if i != 304}
+    for i in (0, 20, 200, 220, 320):
+        gap = lambda v: sum((np.float64(np.float32(a)) - np.float64(np.float32(b))) ** 2 for a, b in zip(known[i], v))
+        odd = [j for j, v in known.items() if v is None or None in v or len(v) < 4]  # they have no distance and come first, as they did
+        assert got[i] == set(sorted(odd)[:5]) | set(sorted((j for j in known if j not in odd), key=lambda j: (gap(known[j]), j))[: 5 - len(odd)])
