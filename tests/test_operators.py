@@ -166,7 +166,7 @@ def test_best_matches_make_no_pairs_of_entities(spark, monkeypatch):
         every[r.in_id] = min(every.get(r.in_id, (9, "")), (-r.score, r.cand_id))
     assert {r.in_id: (-r.score, r.cand_id) for r in resolve.best_matches(incoming, nodes).collect()} == every and len(every) == 30
     monkeypatch.setattr(resolve, "fuzzy_matches", None)
-    for key in ("JOIN-08", "JOIN-09"):
+    for key in ("EXT-05", "JOIN-08", "JOIN-09"):
         assert registry.queries()[key](spark, SMALL).count()
 
 
