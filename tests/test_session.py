@@ -33,3 +33,15 @@ def test_measured_session_keeps_settings_and_leaves_the_callers(spark):
     own.conf.set(static, "-1")
     assert measured_session(own).conf.get(static) == "-1"
     assert (in_bytes("256k"), in_bytes("10485760b"), megabytes("8g"), megabytes("512k")) == (262144, 10485760, 8192, 0)
+
+
+def test_tasks_of_a_measured_session_do_not_grow_with_the_table(spark):
+    parts, files, shuffled = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own = measured_session(spark)
+    assert (own.conf.get(parts), in_bytes(own.conf.get(files)), in_bytes(own.conf.get(shuffled))) == ("200", 16 << 20, 32 << 20)
+    assert spark.conf.get(parts, None) is None
+    own.conf.set(shuffled, "1m")
+    few, more = (own.range(n).selectExpr("sha2(string(id), 256) as id").groupBy("id").count().rdd.getNumPartitions() for n in (1_000, 300_000))
+    assert few <= 4 < more  # never more than the four parts of the session before
+    own.conf.set(parts, "7")
+    assert measured_session(own).conf.get(parts) == "7"
