@@ -64,47 +64,63 @@ def violations(nodes: DataFrame, statements: DataFrame, shapes: Sequence[tuple[s
         raise ValueError(f"unknown kinds of constraint: {sorted(unknown)}")
     spark = nodes.sparkSession
     table = spark.createDataFrame([(shape, label, path, kind, value) for shape, labels, path, kind, value in shapes for label in labels], "shape string, label string, path string, kind string, expected string")
-    focus = nodes.select("id", F.explode("labels").alias("label")).join(F.broadcast(table), "label").drop("label").distinct()
     paths = sorted({p for _, _, path, kind, expected in shapes for p in (*path.split(">"), *(expected.split(">")[1:] if kind == "needs" else ()), *(("layer",) if kind == "layer_order" else ()))})
-    facts = materialize(statements.filter(F.col("path").isin(paths) & F.col("value").isNotNull()).select("id", "path", "value", "datatype").distinct(), "shape-facts")  # every kind reads them
-    labelled = nodes.select(F.col("id").alias("value"), "labels").groupBy("value").agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
+    # Datatypes are only held against those of the table: a flag for each says whether the value is given with another one, so that values are told apart once and counted as rows.
+    wanted = sorted({expected for *_, kind, expected in shapes if kind in ("datatype", "node_kind")})
+    others = [F.max(F.coalesce(F.col("datatype") != d, F.lit(True))).alias(f"_other{i}") for i, d in enumerate(wanted)]
+    facts = statements.filter(F.col("path").isin(paths) & F.col("value").isNotNull()).groupBy("id", "path", "value").agg(F.count("*").alias("_given"), *others).drop("_given")
+    facts = materialize(facts, "shape-facts")  # every kind reads them
+    labels = nodes.select("id", F.explode("labels").alias("label"))
     used = {kind for *_, kind, _ in shapes}
-    of = lambda *kinds: focus.filter(F.col("kind").isin(*kinds))
+    rules_of = lambda *kinds: F.broadcast(table.filter(F.col("kind").isin(*kinds)))
+    of = lambda *kinds: labels.join(rules_of(*kinds), "label")
+    about = lambda *which: facts.filter(F.col("path").isin(*which))
+    paths_of = lambda *kinds: sorted({path for *_, path, kind, _ in shapes if kind in kinds})
     parts = []
 
-    if used & {"min_count", "max_count", "has_value"}:
-        rows = of("min_count", "max_count", "has_value").join(facts, ["id", "path"], "left").groupBy("id", "shape", "path", "kind", "expected")
-        counted = rows.agg(F.count_distinct("value").alias("n"), F.coalesce(F.max(F.col("value") == F.col("expected")), F.lit(False)).alias("there"))
-        bound = F.col("expected").try_cast("long")
-        bad = ((F.col("kind") == "min_count") & (F.col("n") < bound)) | ((F.col("kind") == "max_count") & (F.col("n") > bound)) | ((F.col("kind") == "has_value") & ~F.col("there"))
-        parts.append(counted.filter(bad).withColumn("value", F.when(F.col("kind") != "has_value", F.col("n").cast("string"))))
-    if used & {"datatype", "in", "min_inclusive", "max_inclusive", "node_kind"}:
+    if used & {"min_count", "max_count"}:
+        kinds = ("min_count", "max_count")
+        counts = about(*paths_of(*kinds)).groupBy("id", "path").agg(F.count("*").alias("n"))
+        bounds = table.filter(F.col("kind").isin(*kinds)).groupBy("label", "path").agg(F.collect_list(F.struct("shape", "kind", "expected")).alias("_bounds"))
+        asked = labels.join(F.broadcast(bounds), "label").join(counts, ["id", "path"], "left")
+        n, bound = F.coalesce("n", F.lit(0)), lambda r: r["expected"].try_cast("long")
+        bad = F.filter("_bounds", lambda r: ((r["kind"] == "min_count") & (n < bound(r))) | ((r["kind"] == "max_count") & (n > bound(r))))
+        parts.append(asked.select("id", "path", n.cast("string").alias("value"), F.explode(bad).alias("_r")).select("id", "path", "value", "_r.*"))
+    if "has_value" in used:
+        held = about(*paths_of("has_value")).select("id", "path", F.col("value").alias("expected")).join(rules_of("has_value"), ["path", "expected"], "left_semi")
+        parts.append(of("has_value").join(held, ["id", "path", "expected"], "left_anti").withColumn("value", F.lit(None).cast("string")))
+    # A value that breaks a constraint does so whatever its node is: bad ones are found first, by the path alone, and only they are joined with the labels.
+    kinds = ("datatype", "in", "min_inclusive", "max_inclusive", "node_kind")
+    if used & set(kinds):
         number, bound = F.col("value").try_cast("double"), F.col("expected").try_cast("double")
         bad = (
-            F.when(F.col("kind") == "datatype", F.coalesce(F.col("datatype") != F.col("expected"), F.lit(True)))
+            F.when(F.col("kind").isin("datatype", "node_kind"), F.array_contains(F.filter(F.array(*(F.when(F.col(f"_other{i}"), F.lit(d)) for i, d in enumerate(wanted)), F.lit(None).cast("string")), lambda d: d.isNotNull()), F.col("expected")))
             .when(F.col("kind") == "in", ~F.array_contains(F.split("expected", r"\|"), F.col("value")))
             .when(F.col("kind") == "min_inclusive", F.coalesce(number < bound, F.lit(True)))
             .when(F.col("kind") == "max_inclusive", F.coalesce(number > bound, F.lit(True)))
-            .when(F.col("kind") == "node_kind", F.coalesce(F.col("datatype") != F.col("expected"), F.lit(True)))
         )
-        parts.append(of("datatype", "in", "min_inclusive", "max_inclusive", "node_kind").join(facts, ["id", "path"]).filter(bad))
+        parts.append(about(*paths_of(*kinds)).join(rules_of(*kinds), "path").filter(bad).join(labels, ["id", "label"]))
     if "class" in used:
-        rows = of("class").join(facts, ["id", "path"]).join(labelled, "value", "left")
-        parts.append(rows.filter(~F.coalesce(F.array_contains("labels", F.col("expected")), F.lit(False))))
+        targets = about(*paths_of("class")).join(rules_of("class"), "path")
+        parts.append(targets.join(labels.toDF("value", "expected"), ["value", "expected"], "left_anti").join(labels, ["id", "label"]))
     if "needs" in used:
+        given = [(path, expected.split(">")) for *_, path, kind, expected in shapes if kind == "needs"]
         rows = of("needs").withColumns({"given": F.split_part("expected", F.lit(">"), F.lit(1)), "other": F.split_part("expected", F.lit(">"), F.lit(2))})
-        rows = rows.join(facts.select("id", "path", F.col("value").alias("given")), ["id", "path", "given"], "left_semi")
-        parts.append(rows.join(facts.select("id", F.col("path").alias("other")), ["id", "other"], "left_anti").withColumn("value", F.lit(None).cast("string")))
+        said = about(*(path for path, _ in given)).filter(F.col("value").isin(*(value for _, (value, *_) in given)))
+        rows = rows.join(said.select("id", "path", F.col("value").alias("given")), ["id", "path", "given"], "left_semi")
+        others = about(*(other for _, (_, other) in given))
+        parts.append(rows.join(others.select("id", F.col("path").alias("other")), ["id", "other"], "left_anti").withColumn("value", F.lit(None).cast("string")))
     if "layer_order" in used:
-        layers = facts.filter("path = 'layer'").select("id", F.col("value").alias("layer"))
+        layers = about("layer").select("id", F.col("value").alias("layer"))
         one, two = F.split_part("path", F.lit(">"), F.lit(1)), F.split_part("path", F.lit(">"), F.lit(2))
+        ends = about(*(p for path in paths_of("layer_order") for p in path.split(">")))
         rows = of("layer_order").withColumns({"one": one, "two": two})
-        rows = rows.join(facts.select("id", F.col("path").alias("one"), F.col("value").alias("a")), ["id", "one"]).join(facts.select("id", F.col("path").alias("two"), F.col("value").alias("b")), ["id", "two"])
+        rows = rows.join(ends.select("id", F.col("path").alias("one"), F.col("value").alias("a")), ["id", "one"]).join(ends.select("id", F.col("path").alias("two"), F.col("value").alias("b")), ["id", "two"])
         rows = rows.join(layers.toDF("a", "from"), "a").join(layers.toDF("b", "to"), "b")
         rows = rows.filter(F.array_contains(F.split("expected", r"\|"), F.concat_ws(">", "from", "to")))
         parts.append(rows.withColumn("value", F.concat_ws(">", "from", "to")))
     if not parts:
-        return focus.withColumn("value", F.lit(None).cast("string")).filter("false").select(*_OUT)
+        return of().withColumn("value", F.lit(None).cast("string")).filter("false").select(*_OUT)
     return reduce(DataFrame.unionByName, [p.select(*_OUT) for p in parts]).distinct()
 
 

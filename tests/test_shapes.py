@@ -48,3 +48,16 @@ def test_two_classes_of_one_shape_and_empty_tables(spark):
 
 def test_all_shapes_of_the_model():
     assert len({shape for shape, *_ in shapes.SHAPES}) == 16 and {kind for *_, kind, _ in shapes.SHAPES} == {*shapes.KINDS}
+
+
+def test_a_value_is_one_row_of_what_every_kind_reads(spark, monkeypatch):
+    written, write = [], shapes.materialize
+    monkeypatch.setattr(shapes, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    assert found(spark, [("a", "p", "x", "string"), ("a", "p", "x", None), ("b", "p", "x", "string")], ("S", ("A",), "p", "datatype", "string")) == [("a", "x")]
+    assert written[0].count() == 2
+
+
+def test_a_value_of_two_datatypes_counts_once_and_breaks_both(spark):
+    twice = [("a", "p", "x", "string"), ("a", "p", "x", "iri"), ("b", "p", "y", "string"), ("b", "q", "y", "string")]
+    assert found(spark, twice, ("S", ("A",), "p", "max_count", "1")) == []
+    assert found(spark, twice, ("S", ("A",), "p", "datatype", "string"), ("S", ("A",), "p", "node_kind", "iri")) == [("a", "x"), ("a", "x"), ("b", "y")]
