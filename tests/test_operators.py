@@ -195,3 +195,17 @@ def test_vectors_are_compared_by_blocks(spark, monkeypatch):
         gap = lambda v: sum((np.float64(np.float32(a)) - np.float64(np.float32(b))) ** 2 for a, b in zip(known[i], v))
         odd = [j for j, v in known.items() if v is None or None in v or len(v) < 4]  # they have no distance and come first, as they did
         assert got[i] == set(sorted(odd)[:5]) | set(sorted((j for j in known if j not in odd), key=lambda j: (gap(known[j]), j))[: 5 - len(odd)])
+
+
+def test_neighbourhood_sends_few_ids_and_leaves_edges_unshuffled(spark, monkeypatch):
+    own = spark.newSession()
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        own.conf.set(key, "-1")
+    edges = [("a", "b"), ("b", "c"), ("d", "c"), ("e", "d"), ("b", "a"), ("x", "y"), ("c", "c")]
+    frame, start = own.createDataFrame(edges, "src string, dst string"), own.createDataFrame([("a",), ("a",)], "id string")
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    expected = {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert {r.id: r.distance for r in graph.neighbourhood(frame, start, 3).collect()} == expected
+    assert not any("SortMergeJoin" in p for p in plans)
+    assert {r.id: r.distance for r in graph.neighbourhood(frame, start, 3, 0).collect()} == expected
