@@ -156,3 +156,16 @@ def test_findings_of_an_orphaned_graph(spark):
     }
     empty = audit.findings(frame.limit(0), spark.createDataFrame([], "src string, dst string"))
     assert [r.code for r in empty.collect()] == ["monitor_documents"]
+
+
+def test_findings_shuffle_edges_once(spark, monkeypatch):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    write = getattr(audit, "materialize", lambda df, name: df)
+    monkeypatch.setattr(audit, "materialize", lambda df, name: plans.append(df) or write(df, name), raising=False)
+    nodes = own.createDataFrame([("a", "table", "d1"), ("b", "table", None), (None, "odd", "d1")], "id string, type string, source_id string")
+    made = audit.findings(nodes, own.createDataFrame([("a", "gone"), ("gone", None), ("gone", "a")], "src string, dst string"))
+    assert sum(df._jdf.queryExecution().executedPlan().toString().count("Generate explode(array(src") for df in (*plans, made)) == 1
+    got = {r.code: r.value for r in made.collect()}
+    assert got["high_orphans"] == round(2 / 3, 6) and got["monitor_documents"] is None
