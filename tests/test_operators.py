@@ -209,3 +209,11 @@ def test_neighbourhood_sends_few_ids_and_leaves_edges_unshuffled(spark, monkeypa
     assert {r.id: r.distance for r in graph.neighbourhood(frame, start, 3).collect()} == expected
     assert not any("SortMergeJoin" in p for p in plans)
     assert {r.id: r.distance for r in graph.neighbourhood(frame, start, 3, 0).collect()} == expected
+
+
+def test_no_fuzzy_pairs_for_rows_with_an_exact_match(spark, monkeypatch):
+    asked, made = [], resolve.fuzzy_matches
+    monkeypatch.setattr(resolve, "fuzzy_matches", lambda incoming, nodes: asked.append((incoming, nodes)) or made(incoming, nodes))
+    registry.queries()["JOIN-07"](spark, str(SMALL))
+    (incoming, nodes), = asked
+    assert incoming.count() > 0 and resolve.exact_matches(incoming, nodes).isEmpty()
