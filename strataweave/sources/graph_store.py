@@ -104,20 +104,20 @@ class GraphStore:
     def _staged(self, table: str, new: DataFrame, manifest: Manifest, commit: str) -> tuple[dict[str, str], str]:
         """Folders of the table's partitions once ``new`` is upserted, written but not yet published, and the schema."""
         keys, column, arrays = TABLES[table]
-        old = self._read(table, manifest)
-        if old is None:
-            old = self.spark.createDataFrame([], new.schema)
-        new = new.select(*old.columns)
-        current = manifest.parts[table]
-        touched = {*self._values(new, column), *self._values(old.join(new.select(*keys).distinct(), list(keys), "left_semi"), column)}
-        value = F.coalesce(F.col(column).cast("string"), F.lit(NULL))
-        merged = upsert(old.filter(value.isin(*touched)) if touched else old.limit(0), _latest(new, keys, arrays), list(keys), list(arrays))
+        old, current = self._read(table, manifest), manifest.parts[table]
+        if old is None:  # nothing to meet, so rows are folded once and not shuffled against an empty table
+            touched, merged, schema = set(), _latest(new, keys, arrays), new.schema
+        else:
+            new, schema = new.select(*old.columns), old.schema
+            touched = {*self._values(new, column), *self._values(old.join(new.select(*keys).distinct(), list(keys), "left_semi"), column)}
+            value = F.coalesce(F.col(column).cast("string"), F.lit(NULL))
+            merged = upsert(old.filter(value.isin(*touched)) if touched else old.limit(0), _latest(new, keys, arrays), list(keys), list(arrays))
         folder = f"{self.path}/{table}/commit={commit}"
         merged.repartition(F.col(column), F.pmod(F.xxhash64(*keys), F.lit(max(1, self.spark.sparkContext.defaultParallelism)))).write.partitionBy(column).option("compression", "zstd").parquet(folder)
         made = [s.getPath().getName() for s in self._files.listStatus(self._path(folder)) if s.isDirectory()]
         unescape = self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         parts = {v: f for v, f in current.items() if v not in touched} | {unescape(n.split("=", 1)[1]): f"commit={commit}/{n}" for n in made}
-        return parts, old.schema.json()
+        return parts, schema.json()
 
     def commit(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, batch: tuple[str, int] | None = None, bare: Mapping[str, object] | None = None, valid: Mapping[str, str] | None = None) -> Manifest:
         """Upsert nodes, then edges, and publish both together.
@@ -139,8 +139,12 @@ class GraphStore:
         if edges is not None and known is not None:
             lacking = placeholders(known, edges).withColumn("labels", F.array(F.lit("Entity"))).withColumns({c: F.lit(v) for c, v in (bare or {}).items()})
             lacking = lacking.select(*(F.col(f.name).cast(f.dataType) if f.name in lacking.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema))
+            draft = f"{self.path}/_bare/{commit}"  # found once, for that reads all ends of edges
+            lacking.write.option("compression", "zstd").parquet(draft)
+            lacking = self.spark.read.schema(lacking.schema).parquet(draft)
             if not lacking.isEmpty():
                 following.parts["nodes"], following.schemas["nodes"] = self._staged("nodes", lacking, following, f"{commit}-bare")
+            self._files.delete(self._path(draft), True)
         if batch:
             following.batches[batch[0]] = batch[1]
         self._publish(following)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strataweave.sources import graph_store
 from strataweave.sources.graph_store import GraphStore
 from strataweave.streaming import crystallize
 
@@ -114,3 +115,18 @@ def test_similar_names_are_merged(spark, tmp_path):
     assert (done.mentions, done.merged, done.created) == (3, 2, 1)
     n1 = made.nodes().filter("id = 'n1'").first()
     assert (n1.observation_count, n1.confidence, n1.name) == (3, 0.9, "customer account") and made.nodes().count() == 2
+
+
+def test_first_commit_folds_rows_once_and_finds_lacking_nodes_once(spark, tmp_path, monkeypatch):
+    read, found = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(df, counter):
+        return df.sparkSession.createDataFrame(df.rdd.map(lambda r: (counter.add(1), r)[1]), df.schema)
+
+    plain = graph_store.placeholders
+    monkeypatch.setattr(graph_store, "placeholders", lambda nodes, edges: counted(plain(nodes, edges), found))
+    made = GraphStore(spark, f"file://{tmp_path}/graph")
+    edges = spark.createDataFrame([("a", "SEES", f"ghost{i % 7}", 0.5) for i in range(10)], EDGES)
+    made.commit(nodes=counted(spark.createDataFrame([node(f"n{i}") for i in range(10)] + [node("a"), node("a", name="z")], NODES), read), edges=edges)
+    assert ids(made.nodes()) == ["a", *(f"ghost{i}" for i in range(7)), *(f"n{i}" for i in range(10))] and made.nodes().filter("id = 'a'").first().name == "z"
+    assert (read.value, found.value) == (12, 7)
