@@ -44,6 +44,6 @@ def test_nodes_are_sent_where_files_decide(by_files, monkeypatch):
     assert most_rows("AGG-19", by_files) > MOST
 
 
-@pytest.mark.parametrize("name", ["AGG-19", "AGG-21", "AGG-24", "SRC-02", "SRC-03", "SRC-20", "STR-02-promote", "STR-04", "FLT-13", "FLT-19", "TOP-02"])
+@pytest.mark.parametrize("name", ["AGG-19", "AGG-21", "AGG-24", "SRC-02", "SRC-03", "SRC-20", "STR-02-promote", "STR-04", "FLT-13", "FLT-19", "TOP-02", "SCL-03"])
 def test_tables_are_not_sent_whole_through_the_driver(by_files, name):
     assert most_rows(name, by_files) <= MOST
