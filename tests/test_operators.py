@@ -217,3 +217,44 @@ def test_no_fuzzy_pairs_for_rows_with_an_exact_match(spark, monkeypatch):
     registry.queries()["JOIN-07"](spark, str(SMALL))
     (incoming, nodes), = asked
     assert incoming.count() > 0 and resolve.exact_matches(incoming, nodes).isEmpty()
+
+
+def joined_rows(frame):
+    """Rows of the largest join while the frame is read."""
+    session = frame.sparkSession
+    store = session._jsparkSession.sharedState().statusStore()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    before = {e.executionId() for e in each(store.executionsList())}
+    frame.write.format("noop").mode("overwrite").save()
+    session.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = [0]
+    for e in each(store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for node in each(store.planGraph(e.executionId()).allNodes().toSeq()):
+                if "Join" in node.name():
+                    rows = (values.get(m.accumulatorId()) for m in each(node.metrics().toSeq()) if m.name() == "number of output rows")
+                    found += [int(r.get().replace(",", "")) for r in rows if r.isDefined()]
+    return max(found)
+
+
+def test_questions_meet_the_best_nodes_of_a_name_alone(spark):
+    nodes = spark.range(600).select(F.concat(F.lit("n"), F.lpad("id", 4, "0")).alias("id"), F.when(F.col("id") % 2 == 0, "Bolt").when(F.col("id") % 3 == 0, "NUT").otherwise("x").alias("name"))
+    edges = spark.range(900).selectExpr("concat('n', lpad(id % 37 * 11, 4, '0')) as src", "'r' as rel_type", "concat('n', lpad(id % 53 * 7, 4, '0')) as dst")
+    questions = spark.range(40).select(F.col("id").alias("question"), F.expr("case when id % 4 = 0 then array('bolt', 'nut', 'bolt') when id % 4 = 1 then array('nut', null) when id % 4 = 2 then array('none') else array('bolt') end").alias("terms"))
+    degree = {}
+    for e in edges.collect():
+        for end in (e.src, e.dst):
+            degree[end] = degree.get(end, 0) + 1
+    want = []
+    for q in questions.collect():
+        hits = sorted((-degree.get(n.id, 0), n.id) for n in nodes.collect() if n.name.lower() in q.terms)
+        want += [(q.question, i, -d) for d, i in hits[:3]]
+    found = linking.evidence(questions, nodes, edges, 3)
+    assert sorted((r.question, r.id, r.degree) for r in found.collect()) == sorted(want)
+    assert joined_rows(found) <= 600
+
+
+@pytest.mark.parametrize("key", ["JOIN-39"])
+def test_names_of_many_nodes_stay_few_rows_in_queries(spark, key):
+    assert joined_rows(registry.queries()[key](spark, SMALL.replace("0.001", "0.01"))) <= 40_000
