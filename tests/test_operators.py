@@ -255,6 +255,20 @@ def test_questions_meet_the_best_nodes_of_a_name_alone(spark):
     assert joined_rows(found) <= 600
 
 
-@pytest.mark.parametrize("key", ["JOIN-39", "JOIN-48"])
+@pytest.mark.parametrize("key", ["JOIN-39", "JOIN-48", "SCL-18"])
 def test_names_of_many_nodes_stay_few_rows_in_queries(spark, key):
     assert joined_rows(registry.queries()[key](spark, SMALL.replace("0.001", "0.01"))) <= 40_000
+
+
+def test_layers_count_nodes_before_questions_meet_them(spark):
+    rows = [(f"n{i:03d}", ["Bolt", "nut", "x"][i % 3], ["L", "M", None][i % 5 % 3]) for i in range(600)] + [("n000", "NUT", "L"), ("n000", "bolt", "L"), (None, "Bolt", "M"), (None, "only", "L")]
+    nodes = spark.createDataFrame(rows, "id string, name string, layer string")
+    asked = [(q, [["bolt", "nut", "bolt"], ["nut", None], ["none"], ["only"]][q % 4]) for q in range(80)]
+    want = {}
+    for q, terms in asked:
+        for i, name, layer in rows:
+            if layer and name.lower() in terms:
+                want.setdefault((q, layer), set()).update([i] if i else [])
+    found = linking.layered_retrieval(spark.createDataFrame(asked, "question long, terms array<string>"), nodes, {"L": 0.7, "M": 1.0})
+    assert {(r.question, r.layer): (r.entities, r.confidence) for r in found.collect()} == {k: (len(v), round(min(0.5 + 0.1 * len(v), 1) * {"L": 0.7, "M": 1.0}[k[1]], 6)) for k, v in want.items()}
+    assert joined_rows(found) <= 604
