@@ -255,7 +255,7 @@ def test_questions_meet_the_best_nodes_of_a_name_alone(spark):
     assert joined_rows(found) <= 600
 
 
-@pytest.mark.parametrize("key", ["JOIN-39", "JOIN-48", "SCL-18"])
+@pytest.mark.parametrize("key", ["JOIN-39", "JOIN-48", "SCL-18", "TOP-10"])
 def test_names_of_many_nodes_stay_few_rows_in_queries(spark, key):
     assert joined_rows(registry.queries()[key](spark, SMALL.replace("0.001", "0.01"))) <= 40_000
 
