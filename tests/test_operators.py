@@ -219,8 +219,8 @@ def test_no_fuzzy_pairs_for_rows_with_an_exact_match(spark, monkeypatch):
     assert incoming.count() > 0 and resolve.exact_matches(incoming, nodes).isEmpty()
 
 
-def joined_rows(frame):
-    """Rows of the largest join while the frame is read."""
+def joined_rows(frame, node_name="Join", metric="number of output rows"):
+    """Rows of the largest join (or another node's metric) while the frame is read."""
     session = frame.sparkSession
     store = session._jsparkSession.sharedState().statusStore()
     each = lambda seq: (seq.apply(i) for i in range(seq.size()))
@@ -232,8 +232,8 @@ def joined_rows(frame):
         if e.executionId() not in before:
             values = store.executionMetrics(e.executionId())
             for node in each(store.planGraph(e.executionId()).allNodes().toSeq()):
-                if "Join" in node.name():
-                    rows = (values.get(m.accumulatorId()) for m in each(node.metrics().toSeq()) if m.name() == "number of output rows")
+                if node_name in node.name():
+                    rows = (values.get(m.accumulatorId()) for m in each(node.metrics().toSeq()) if m.name() == metric)
                     found += [int(r.get().replace(",", "")) for r in rows if r.isDefined()]
     return max(found)
 
@@ -272,3 +272,31 @@ def test_layers_count_nodes_before_questions_meet_them(spark):
     found = linking.layered_retrieval(spark.createDataFrame(asked, "question long, terms array<string>"), nodes, {"L": 0.7, "M": 1.0})
     assert {(r.question, r.layer): (r.entities, r.confidence) for r in found.collect()} == {k: (len(v), round(min(0.5 + 0.1 * len(v), 1) * {"L": 0.7, "M": 1.0}[k[1]], 6)) for k, v in want.items()}
     assert joined_rows(found) <= 604
+
+
+def test_hybrid_matches_shuffle_no_pairs(spark):
+    names, keys = ["Large Ring", "large rings", "hot bolt", "hot bold", "thin nut", None], [["a", "b"], ["b"], [], ["c", "a"]]
+    incoming = [(i, "AB"[i % 2], ["large rinn", "hot bole", "thin nut", "hot bolt", None][i % 5]) for i in range(100)]
+    own = [(i, keys[i % 4]) for i in range(100) if i % 19]
+    nodes = [(f"part:{i}", ["A", "B", None][i % 3], names[i * 5 % 6], keys[i % 3]) for i in range(300)]
+    near = [(i, f"part:{j}", 0.5 + j / 600) for i in (0, 1, 3, 6, 40, 73) for j in range(0, 300, 2)] + [(6, "part:0", 0.99)]
+    one = lambda rows, names: spark.createDataFrame(rows, names)
+    frames = one(incoming, "in_id long, type string, name string"), one(nodes, "id string, type string, name string, keys array<string>"), one(near, "in_id long, cand_id string, score double"), one(own, "id long, keys array<string>")
+    found = resolve.hybrid_matches(*frames, F.when(F.col("in_id") % 3 == 1, 0.98))
+    exact = {(r.in_id, r.cand_id): 1.0 for r in resolve.exact_matches(*frames[:2]).collect()}
+    given, mine, theirs, want = {}, dict(own), {n[0]: n[3] for n in nodes}, dict(exact)
+    for i, c, score in near:
+        given[i, c] = max(score, given.get((i, c), 0))
+    done = {i for i, _ in exact}
+    for r in resolve.fuzzy_matches(*frames[:2]).collect():
+        close = max(given.get((r.in_id, r.cand_id), -1), 0.98 if r.in_id % 3 == 1 else -1)
+        if r.in_id not in done and close >= 0 and r.in_id in mine:
+            x, y = set(mine[r.in_id]), set(theirs[r.cand_id])
+            score = 0.3 * r.score + 0.5 * close + 0.2 * (len(x & y) / len(x | y) if x | y else 1)
+            if score >= 0.72:
+                want[r.in_id, r.cand_id] = score
+    got = {(r.in_id, r.cand_id): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > len(exact) > 0
+    many = one([(i, *incoming[i % 100][1:]) for i in range(600)], "in_id long, type string, name string"), one([(f"part:{i}", *nodes[i % 300][1:]) for i in range(3000)], "id string, type string, name string, keys array<string>")
+    alone = resolve.hybrid_matches(*many, frames[2].limit(0), one([(i, keys[i % 4]) for i in range(600)], "id long, keys array<string>"), F.when(F.col("in_id") % 3 == 1, 0.98))
+    assert joined_rows(alone, "Exchange", "shuffle records written") <= 3_000 < alone.count() / 5
