@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import rules
 from .graph import banded
 
@@ -167,14 +168,19 @@ def review_needed(confidences: DataFrame, key: str = "key", layers: Sequence[str
 def rating_pairs(feedback: DataFrame, gap: int = 2, limit: int = 1000) -> DataFrame:
     """Preference pairs of one query text whose ratings differ by at least ``gap`` and whose answers differ; the ``limit`` widest, then by ids.
 
-    Of equal answers to one query text with one rating only the first ``limit`` by id can be in the result; the others leave before the join.
+    A row that another answer with such a rating stands beside is in one pair at least, so the pairs are of the first ``limit`` of these rows, by gap and id. They meet, of a query text and rating, the first
+    2 * ``limit`` rows by id once each answer is there ``limit`` times at most: of these, ``limit`` or all differ from any one answer.
     """
-    rank = F.row_number().over(Window.partitionBy("query_text", "rating", "response_text").orderBy("feedback_id"))
-    f = feedback.select("query_text", "rating", "response_text", "feedback_id").withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
+    f = feedback.select("query_text", "rating", "response_text", "feedback_id").filter("query_text is not null and rating is not null and response_text is not null")
     chosen, rejected = f.toDF("query_text", "chosen_rating", "chosen", "chosen_id"), f.toDF("query_text", "rejected_rating", "rejected", "rejected_id")
-    pairs = chosen.join(rejected, "query_text").filter((F.col("chosen_rating") - F.col("rejected_rating") >= gap) & (F.col("chosen") != F.col("rejected")))
-    pairs = pairs.withColumn("gap", F.col("chosen_rating") - F.col("rejected_rating"))
-    return pairs.orderBy(F.desc("gap"), "chosen_id", "rejected_id").limit(limit)
+    by = ["query_text", "rejected_rating"]
+    ends = rejected.groupBy(*by).agg(F.min("rejected").alias("_least"), F.max("rejected").alias("_most"))
+    wide = chosen.join(ends, "query_text").withColumn("gap", F.col("chosen_rating") - F.col("rejected_rating")).filter((F.col("gap") >= gap) & ((F.col("_least") != F.col("chosen")) | (F.col("_most") != F.col("chosen"))))
+    wide = F.broadcast(materialize(wide.drop("_least", "_most").orderBy(F.desc("gap"), "chosen_id").limit(limit), "widest"))  # ``limit`` rows
+    first = lambda rows, most, *own: rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, *own).orderBy("rejected_id"))).filter(F.col("_rank") <= most).drop("_rank")
+    met = first(rejected.join(wide, by, "left_semi"), limit, "rejected")
+    met = first(first(met.withColumn("_part", F.pmod(F.xxhash64("rejected_id"), F.lit(64))), 2 * limit, "_part"), 2 * limit)  # in parts, so that no task sorts a query text whole
+    return met.join(wide, by).filter("chosen <> rejected").drop("_part").orderBy(F.desc("gap"), "chosen_id", "rejected_id").limit(limit)
 
 
 def correction_pairs(feedback: DataFrame, most: int = 3) -> DataFrame:

@@ -302,6 +302,17 @@ def test_hybrid_matches_shuffle_no_pairs(spark):
     assert joined_rows(alone, "Exchange", "shuffle records written") <= 3_000 < alone.count() / 5
 
 
+def test_rating_pairs_of_a_hot_text_are_not_all_made(spark):
+    rng = random.Random(8)
+    rows = [("hot", rng.choice([1, 2, 3, 4, 5, None]), "same" if i % 3 else f"answer {i}", i) for i in range(900)] + [("q", 5, "same", 2000 + i) for i in range(50)] + [("q", 1, "same", 3000), (None, 5, "x", 4000), (None, 1, "y", 4001), ("n", 5, None, 5000), ("n", 1, "y", 5001)]
+    frame = spark.createDataFrame(rows, "query_text string, rating int, response_text string, feedback_id long")
+    whole = [r for r in rows if None not in r]
+    every = sorted((b[1] - a[1], a[3], b[3]) for a in whole for b in whole if a[0] == b[0] and a[1] - b[1] >= 2 and a[2] != b[2])
+    for limit in (1, 30, 400):
+        assert [(-r.gap, r.chosen_id, r.rejected_id) for r in feedback.rating_pairs(frame, limit=limit).collect()] == every[:limit]
+    assert joined_rows(feedback.rating_pairs(frame, limit=30)) <= 5_000 < len(every)
+
+
 def test_assertions_on_odd_texts_agree_with_the_sql(spark, tmp_path):
     import duckdb
 
