@@ -324,3 +324,9 @@ def test_assertions_on_odd_texts_agree_with_the_sql(spark, tmp_path):
     want = connection.execute(registry.oracle_sql()["EXT-07"]).fetchall()
     got = registry.queries()["EXT-07"](spark, str(tmp_path)).collect()
     assert sorted(map(str, want)) == sorted(str((r.id, r.check, r.passed)) for r in got)
+
+
+@pytest.mark.parametrize("key", ["JOIN-10"])
+def test_edges_of_all_types_are_read(spark, key):
+    found = {r.rel_type for r in registry.queries()[key](spark, SMALL).select("rel_type").distinct().collect()}
+    assert {"PART_OF", "BELONGS_TO", "PLACED", "CONTAINS", "SUPPLIES"} <= found
