@@ -330,3 +330,21 @@ def test_assertions_on_odd_texts_agree_with_the_sql(spark, tmp_path):
 def test_edges_of_all_types_are_read(spark, key):
     found = {r.rel_type for r in registry.queries()[key](spark, SMALL).select("rel_type").distinct().collect()}
     assert {"PART_OF", "BELONGS_TO", "PLACED", "CONTAINS", "SUPPLIES"} <= found
+
+
+def test_neighbourhood_paths_use_no_edge_twice(spark):
+    edges = [("a", "R", "b"), ("b", "S", "a"), ("b", "R", "c"), ("c", "T", "c"), ("d", "R", "c"), ("a", "R", "a"), ("x", "R", "y")]
+    want = {}
+
+    def walk(at, path, used):
+        want.setdefault(at, set()).add(path)
+        for e in edges:
+            for here, there in {(e[0], e[2]), (e[2], e[0])}:
+                if here == at and e not in used and len(path) < 3:
+                    walk(there, (*path, e[1]), [*used, e])
+
+    walk("a", (), [])
+    frame, start = spark.createDataFrame(edges, "src string, rel_type string, dst string"), spark.createDataFrame([("a",), ("a",)], "id string")
+    for sent in (1000, 0):
+        found = {r.id: (r.distance, r.paths) for r in graph.neighbourhood_paths(frame, start, 3, sent).collect()}
+        assert found == {k: (min(map(len, v)), sorted(",".join(p) for p in v)) for k, v in want.items()}
