@@ -326,7 +326,7 @@ def test_assertions_on_odd_texts_agree_with_the_sql(spark, tmp_path):
     assert sorted(map(str, want)) == sorted(str((r.id, r.check, r.passed)) for r in got)
 
 
-@pytest.mark.parametrize("key", ["JOIN-10"])
+@pytest.mark.parametrize("key", ["JOIN-10", "JOIN-42"])
 def test_edges_of_all_types_are_read(spark, key):
     found = {r.rel_type for r in registry.queries()[key](spark, SMALL).select("rel_type").distinct().collect()}
     assert {"PART_OF", "BELONGS_TO", "PLACED", "CONTAINS", "SUPPLIES"} <= found
