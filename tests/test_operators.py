@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataweave import registry
 from strataweave.functions import extension, messages, text
-from strataweave.operators import feedback, flags, graph, linking, resolve, validation
+from strataweave.operators import feedback, flags, graph, linking, resolve, storage, validation
 from strataweave.streaming import events, state
 
 
@@ -348,3 +348,14 @@ def test_neighbourhood_paths_use_no_edge_twice(spark):
     for sent in (1000, 0):
         found = {r.id: (r.distance, r.paths) for r in graph.neighbourhood_paths(frame, start, 3, sent).collect()}
         assert found == {k: (min(map(len, v)), sorted(",".join(p) for p in v)) for k, v in want.items()}
+
+
+def test_conflicts_of_entities_and_what_is_done_about_them(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "R", "b")], "src string, rel_type string, dst string")
+    batch = spark.createDataFrame([("a", "R", "b"), ("a", "R", "a"), ("z", "R", "y"), (None, "R", "b"), ("a", "", "b")], edges.schema)
+    rows = {(r.src, r.dst, r.conflict, r.severity, r.action, r.manual) for r in storage.planned(storage.conflicts(batch, nodes, edges)).collect()}
+    assert rows == {("a", "b", "duplicate", "low", "skip_duplicate", False), ("a", "a", "self_loop", "medium", "reject_operation", False), ("z", "y", "missing_source", "high", "create_missing_entity", False), ("z", "y", "missing_target", "high", "create_missing_entity", False)}
+    new = spark.createDataFrame([("a", {"x": "1"}), ("c", {" \t": "1", "y": None}), ("", {"y": None}), (None, {"": "1"}), ("d", None)], "id string, properties map<string,string>")
+    rows = {(r.id, r.property, r.conflict, r.severity, r.action, r.manual) for r in storage.planned(storage.entity_conflicts(new, nodes)).collect()}
+    assert rows == {("a", None, "existing_id", "high", "merge_entities", False), ("c", " \t", "blank_property", "medium", "manual_review", True), ("c", "y", "null_property", "low", "manual_review", True)}
