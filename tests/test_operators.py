@@ -359,3 +359,10 @@ def test_conflicts_of_entities_and_what_is_done_about_them(spark):
     new = spark.createDataFrame([("a", {"x": "1"}), ("c", {" \t": "1", "y": None}), ("", {"y": None}), (None, {"": "1"}), ("d", None)], "id string, properties map<string,string>")
     rows = {(r.id, r.property, r.conflict, r.severity, r.action, r.manual) for r in storage.planned(storage.entity_conflicts(new, nodes)).collect()}
     assert rows == {("a", None, "existing_id", "high", "merge_entities", False), ("c", " \t", "blank_property", "medium", "manual_review", True), ("c", "y", "null_property", "low", "manual_review", True)}
+
+
+def test_edges_are_upserted_with_safe_types(spark):
+    schema = "src string, rel_type string, dst string, confidence double, note string"
+    edges = spark.createDataFrame([("a", "LIVES_IN", "b", 0.5, "old"), ("a", "R", "c", 0.1, None)], schema)
+    batch = spark.createDataFrame([("a", "lives in", "b", 0.9, None), ("a", "Lives:In", "b", 0.7, None), ("c", "new type", "z", None, "n")], schema)
+    assert sorted(map(tuple, storage.upsert_edges(edges, batch).collect())) == [("a", "LIVES_IN", "b", 0.9, "old"), ("a", "R", "c", 0.1, None), ("c", "NEW_TYPE", "z", None, "n")]
